@@ -30,6 +30,8 @@ from tidewright.llm.spark_io import id_and_text
 from tidewright.llm.text import raw, slices
 
 BINS, CLUSTERS, PER_LANGUAGE, REJECT = 4096, 4, 400, 0.25
+#: Trigrams below which the least cosine is lowered.
+SHORT = 200
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -43,19 +45,24 @@ def counts(column: pa.Array) -> np.ndarray:
     """Hashed trigram counts of each row's text, [rows, BINS]."""
     data, off = raw(column)
     out = np.zeros((len(off) - 1) * BINS, np.float32)
-    if len(data) < 3:
+    if not len(data):
         return out.reshape(-1, BINS)
     low = _FOLD[data]
     upper = np.flatnonzero((low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[:-1] == 0xC3)) + 1  # capitals of Latin-1
     low[upper] += 0x20
     keep = low != 0x20
     keep[1:] |= low[:-1] != 0x20
-    edges = off[(off > 0) & (off < len(data))]
+    # A blank stands before and after each row's text.
+    edges = np.unique(off)
     row_of = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
-    keep[edges] = True
+    keep[edges[:-1]] = low[edges[:-1]] != 0x20
+    kept = np.append(0, np.cumsum(keep))
+    ends = kept[off]
     low, row = low[keep].astype(np.uint32), row_of[keep]
-    if len(low) < 3:
-        return out.reshape(-1, BINS)
+    low = np.insert(low, np.concatenate([ends[:-1], ends[1:]]), 0x20)
+    row = np.insert(row, np.concatenate([ends[:-1], ends[1:]]), np.tile(np.arange(len(off) - 1, dtype=np.int32), 2))
+    order = np.argsort(row, kind="stable")
+    low, row = low[order], row[order]
     h = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
     h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(20)
@@ -155,10 +162,12 @@ def _predict(shared) -> callable:
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 rejected = np.ones(len(texts), bool)
                 if len(model.centroids):
-                    best, cos = model.predict(counts(texts))
+                    tf = counts(texts)
+                    best, cos = model.predict(tf)
                     lang = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
                     score = np.where(known, np.clip(cos, 0, 1), 0.0).astype(np.float64)
-                    rejected = ~known | (cos < model.least[best])
+                    # Cosines of short texts are low by themselves, about as the root of their length.
+                    rejected = ~known | (cos < model.least[best] * np.sqrt(np.minimum(tf.sum(1) / SHORT, 1)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run

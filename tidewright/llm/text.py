@@ -83,6 +83,7 @@ class Words(NamedTuple):
 
     hash: np.ndarray
     ptr: np.ndarray
+    heads: list[np.ndarray] = []
 
     def row(self, r: int) -> np.ndarray:
         return self.hash[self.ptr[r] : self.ptr[r + 1]]
@@ -104,9 +105,10 @@ def fold(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def words(column: pa.Array, table: np.ndarray) -> Words:
+def words(column: pa.Array, table: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
+    """All words; with prefixes, also the hashes of each word's first so many bytes (0 if it has fewer)."""
     data, off = raw(column)
-    starts, hashes = [], []
+    starts, hashes, heads = [], [], [[] for _ in prefixes]
     lo, end = 0, len(data)
     while lo < end:
         hi = min(lo + PIECE, end)
@@ -129,8 +131,11 @@ def words(column: pa.Array, table: np.ndarray) -> Words:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUE[piece] * _power(_BASE, n), out=sums[1:])
         hashes.append(mix((sums[e] - sums[b]) * _power(_INVERSE, n)[b] + (e - b).astype(np.uint64)))
+        for own, k in zip(heads, prefixes, strict=True):
+            stop = np.minimum(b + k, n)
+            own.append(np.where(e - b >= k, mix((sums[stop] - sums[b]) * _power(_INVERSE, n)[b] + np.uint64(k << 32)), np.uint64(0)))
         starts.append(b + lo)
         lo = hi
     if not starts:
-        return Words(np.zeros(0, np.uint64), np.zeros(len(off), np.int64))
-    return Words(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), off).astype(np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(off), np.int64), [np.zeros(0, np.uint64) for _ in prefixes])
+    return Words(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), off).astype(np.int64), [np.concatenate(x) for x in heads])

@@ -1,13 +1,15 @@
-"""Toxicity by a counterfactual-regularised linear classifier on words.
+"""Toxicity by a counterfactual-regularised linear classifier on words and word beginnings.
 
-Features are the distinct words of a document (hashed). Features enter the model when their share of
-toxic training documents differs clearly from the overall share (a z-score), and identity terms
-always do. Training minimises logistic loss, an L2 term and a counterfactual term: in labelled
-documents identity terms are swapped for one another (or put in, where there is none), and the
-squared change of the score is penalised, so that a neutral mention of a group moves no score.
+Features of a document are its distinct words and the beginnings of its words (4, 6 and 8 bytes),
+each present in one word or in two or more different ones. Features enter the model when their share
+of toxic training documents differs clearly from the overall share (a z-score), and identity terms
+always do. Training minimises weighted logistic loss, an L2 term and a counterfactual term: in
+labelled documents identity terms are swapped for one another (or put in, where there is none), and
+the squared change of the score is penalised, so that a neutral mention of a group moves no score.
 
-Training takes at most `sample` labelled documents (those with the smallest hash of their id, whole
-texts): that is the documented bound of the training sample. Scoring is row by row without a shuffle.
+Training takes at most `sample` labelled documents of each label (those with the smallest hash of
+their id, whole texts), weighted back to the labels' shares: that is the documented bound of the
+training sample. Scoring is row by row without a shuffle.
 
 Edge cases: null or empty text has no words and gets the base score; without labelled rows, or with
 labels of one kind only, scores are the smoothed share of label 1; labels other than 0 and 1 and null
@@ -20,13 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.spark_io import id_and_text
 from tidewright.llm.text import ALNUM, slices, words
 
-SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 12_000, 0.3, 4.0, 4.0, 1e-3
+SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 3_000, 0.3, 4.0, 4.0, 1e-3
+#: Lengths, in bytes, of the word beginnings that are features.
+HEADS = (4, 6, 8)
+_TWICE = np.uint64(0x5851F42D4C957F2D)
 #: Identity terms whose swaps leave a text's toxicity as it is.
 IDENTITY_TERMS = [
     "women", "men", "woman", "man", "girls", "boys", "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "buddhist", "atheist", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "african", "european", "american",
@@ -34,43 +39,64 @@ IDENTITY_TERMS = [
 ]
 
 
-def word_sets(column: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct word hashes of each row."""
-    w = words(column, ALNUM)
-    return [np.unique(w.row(r)) for r in range(len(column))]
+def feature_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sorted distinct feature hashes of each row."""
+    w = words(column, ALNUM, HEADS)
+    out = []
+    for r in range(len(column)):
+        own, first = np.unique(w.row(r), return_index=True)
+        heads, n = np.unique(np.concatenate([h[w.ptr[r] : w.ptr[r + 1]][first] for h in w.heads]), return_counts=True)
+        n = n[heads != 0]
+        heads = heads[heads != 0]
+        out.append(np.unique(np.concatenate([own, heads, heads[n > 1] ^ _TWICE])))
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([s.tobytes() for s in word_sets(part.column("text"))], pa.binary())], ["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([s.tobytes() for s in feature_sets(part.column("text"))], pa.binary())], ["toxic", "words"])
 
 
 class Model:
-    """Sorted word hashes with weights, and a base score (log-odds)."""
+    """Sorted feature hashes with weights, and a base score (log-odds)."""
 
     def __init__(self, known: np.ndarray, weight: np.ndarray, base: float):
         self.known, self.weight, self.base = known, weight, base
 
     def score(self, column: pa.Array) -> np.ndarray:
-        """Scores of whole texts; each distinct word of a text counts once."""
-        w = words(column, ALNUM)
+        """Scores of whole texts."""
+        w = words(column, ALNUM, HEADS)
         z = np.full(len(column), self.base)
-        if len(self.known) and len(w.hash):
-            bits = np.zeros(1 << 16, bool)
-            bits[(self.known & np.uint64(0xFFFF)).astype(np.int64)] = True
-            maybe = np.flatnonzero(bits[(w.hash & np.uint64(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.known, w.hash[maybe]), len(self.known) - 1)
-            hit = self.known[at] == w.hash[maybe]
-            row = np.searchsorted(w.ptr, maybe[hit], "right") - 1
-            once = np.unique(row * len(self.known) + at[hit])
-            z += np.bincount(once // len(self.known), self.weight[once % len(self.known)], minlength=len(z))
+        if not len(self.known) or not len(w.hash):
+            return 1 / (1 + np.exp(-z))
+        # A beginning is looked for by its own hash, whether it is known as present once or twice.
+        base = np.unique(np.concatenate([self.known, self.known ^ _TWICE]))
+        bits = np.zeros(1 << 16, bool)
+        bits[(base & np.uint64(0xFFFF)).astype(np.int64)] = True
+        for k, hashes in enumerate([w.hash, *w.heads]):
+            maybe = np.flatnonzero(bits[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(base, hashes[maybe]), len(base) - 1)
+            hit = base[at] == hashes[maybe]
+            maybe, at = maybe[hit], at[hit]
+            row = np.searchsorted(w.ptr, maybe, "right") - 1
+            order = np.lexsort((w.hash[maybe], at, row))
+            maybe, at, row = maybe[order], at[order], row[order]
+            own = np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])) if len(at) else np.zeros(0, bool)
+            other = np.append(True, w.hash[maybe[1:]] != w.hash[maybe[:-1]]) if len(at) else own
+            first = np.flatnonzero(own)
+            distinct = np.add.reduceat(own | other, first) if len(first) else first
+            for found, rows in ((base[at[first]], row[first]), (base[at[first]] ^ _TWICE, np.where(distinct > 1, row[first], -1) if k else np.full(len(first), -1))):
+                place = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+                good = (self.known[place] == found) & (rows >= 0)
+                z += np.bincount(rows[good], self.weight[place[good]], minlength=len(z))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(sets: list[np.ndarray], toxic: np.ndarray, *, z: float = Z, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 600) -> Model:
-    """Fits the model to word sets and 0/1 labels."""
+def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None = None, *, z: float = Z, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 600) -> Model:
+    """Fits the model to feature sets and 0/1 labels; weight: of each document."""
     n, ones = len(toxic), int(toxic.sum())
+    weight = np.ones(n) if weight is None else weight / weight.mean()
     if not 0 < ones < n:
         share = (ones + 0.5) / (n + 1) if n else 0.05
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
@@ -100,13 +126,14 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, *, z: float = Z, penalty: f
                 d[present[k % len(present)]] -= 1
             swaps.append(d)
     gram = np.array(swaps).T @ np.array(swaps) / len(swaps)
-    w, b, y = np.zeros(len(known)), float(np.log(share / (1 - share))), toxic.astype(np.float64)
+    w, b, y = np.zeros(len(known)), float(np.log((weight * toxic).sum() / (weight * (1 - toxic)).sum())), toxic.astype(np.float64)
     mw, mb = np.zeros(len(known)), 0.0
     step = 4.0 / (0.25 * max(1.0, float((x**2).sum(1).mean())) + penalty + ridge)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        gw = x.T @ (p - y) / n + ridge * w + penalty * (gram @ w)
-        gb = float((p - y).mean())
+        off = weight * (p - y)
+        gw = x.T @ off / n + ridge * w + penalty * (gram @ w)
+        gb = float(off.mean())
         mw, mb = 0.9 * mw + gw, 0.9 * mb + gb
         w, b = w - 0.1 * step * mw, b - 0.1 * step * mb
     return Model(known, w, b)
@@ -115,10 +142,16 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, *, z: float = Z, penalty: f
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, **how) -> Model:
     """A model of the documents that labels marks; one label per id (the larger, if they differ)."""
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = marks.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "toxic")
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     found = sorted((r.words, r.toxic) for r in rows.mapInArrow(_features, "toxic int, words binary").collect())
-    return train([np.frombuffer(w, np.uint64) for w, _ in found] or [np.zeros(0, np.uint64)], np.array([t for _, t in found], np.int64) if found else np.zeros(1, np.int64), **how)
+    if not found:
+        return train([np.zeros(0, np.uint64)], np.zeros(1, np.int64), **how)
+    toxic = np.array([t for _, t in found], np.int64)
+    total = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    weight = np.array([total[t] / (toxic == t).sum() for t in toxic.tolist()])
+    return train([np.frombuffer(w, np.uint64) for w, _ in found], toxic, weight, **how)
 
 
 def _score(shared, threshold: float) -> callable:

@@ -17,9 +17,9 @@ within the link distance form its core (one component, no pairs among them are l
 triangle inequality two members link only if their distances to the pivot differ by the link
 distance at most, so the rest meets only the core's boundary, and falls into parts wherever the
 distances leave a wider gap; each part is joined recursively around a new pivot, and at last, where
-a pivot no longer divides it, by counting common shingles of all its members at once. Regions larger
-than `region` members are dealt as pairs of blocks, with the region's pivot in each, so one task
-never holds more; only links that join two components are given out.
+a pivot no longer divides it, by counting common shingles of all its members at once. Regions that
+have the same first pivot document are joined as one. Regions larger than `region` members are dealt
+as pairs of blocks, so one task never holds more; only links that join two components are given out.
 
 Shuffles. Node and pivot hashes travel in packed arrays, one row per batch and target partition;
 sets are built again from the text only for nodes that share a region with another node. Components
@@ -169,58 +169,48 @@ def _deal(shared, shingle: int, percent: int, parts: int) -> callable:
     return run
 
 
-def _regions(region: int) -> callable:
-    """Rows (region, i, j, node, pivot) of regions with two nodes or more, equal ones once per task."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lead, node): members of regions with two nodes or more, named by one member of each.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, nodes = [], []
-        for batch in batches:
-            for p, n in zip(batch.column("pivots"), batch.column("nodes"), strict=True):
-                pivots.append(np.frombuffer(p.as_buffer(), np.uint64))
-                nodes.append(np.frombuffer(n.as_buffer(), np.int64))
-        if not pivots:
-            return
-        pivot, node = np.concatenate(pivots), np.concatenate(nodes)
-        order = np.lexsort((node, pivot))
-        pivot, node = pivot[order], node[order]
-        first = np.append(True, (pivot[1:] != pivot[:-1]) | (node[1:] != node[:-1]))
-        at = np.flatnonzero(first)
-        weight = np.diff(np.append(at, len(pivot)))  # batches that hold the node: copies
-        pivot, node = pivot[at], node[at]
-        begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
-        size = np.diff(np.append(begin, len(pivot)))
-        some = size > 1
-        begin, size = begin[some], size[some]
-        if not len(begin):
-            return
-        mixed = np.append(np.uint64(0), np.cumsum(mix(node.view(np.uint64))))
-        mark = mix((mixed[begin + size] - mixed[begin]) ^ size.astype(np.uint64)).view(np.int64)
-        _, once = np.unique(mark, return_index=True)
-        out: list[tuple[np.ndarray, ...]] = []
-        for r in once.tolist():
-            a, n = begin[r], size[r]
-            own, w = node[a : a + n], weight[a : a + n]
-            lead = own[np.lexsort((own, -w))[0]]
-            if n <= region:
-                out.append((np.full(n, mark[r]), np.zeros(n, np.int32), np.zeros(n, np.int32), own, np.full(n, lead)))
-                continue
-            blocks = -(-2 * n // region)
-            block = np.arange(n) % blocks
-            for i in range(blocks):
-                for j in range(i + (blocks > 1), blocks):
-                    m = np.union1d(own[(block == i) | (block == j)], [lead])
-                    out.append((np.full(len(m), mark[r]), np.full(len(m), i, np.int32), np.full(len(m), j, np.int32), m, np.full(len(m), lead)))
-                    if sum(len(x[0]) for x in out) > 500_000:
-                        yield _rows(out)
-                        out = []
-        if out:
-            yield _rows(out)
-
-    return run
-
-
-def _rows(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(5)], ["region", "i", "j", "node", "lead"])
+    The lead is the node that most batches hold (copies), then the smallest, so that the many nearly
+    equal regions of one group of near copies mostly have the same lead and become one region.
+    """
+    pivots, nodes = [], []
+    for batch in batches:
+        for p, n in zip(batch.column("pivots"), batch.column("nodes"), strict=True):
+            pivots.append(np.frombuffer(p.as_buffer(), np.uint64))
+            nodes.append(np.frombuffer(n.as_buffer(), np.int64))
+    if not pivots:
+        return
+    pivot, node = np.concatenate(pivots), np.concatenate(nodes)
+    del pivots, nodes
+    order = np.lexsort((node, pivot))
+    pivot, node = pivot[order], node[order]
+    at = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (node[1:] != node[:-1])))
+    weight = np.diff(np.append(at, len(pivot)))
+    pivot, node = pivot[at], node[at]
+    begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+    size = np.diff(np.append(begin, len(pivot)))
+    some = np.repeat(size > 1, size)
+    pivot, node, weight = pivot[some], node[some], weight[some]
+    if not len(pivot):
+        return
+    begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+    size = np.diff(np.append(begin, len(pivot)))
+    best = node[np.lexsort((node, -weight, np.repeat(np.arange(len(begin)), size)))[begin]]
+    lead = np.repeat(best, size)
+    order = np.lexsort((node, lead))
+    lead, node = lead[order], node[order]
+    first = np.append(True, (lead[1:] != lead[:-1]) | (node[1:] != node[:-1]))
+    yield pa.RecordBatch.from_arrays([pa.array(lead[first]), pa.array(node[first])], ["lead", "node"])
+
+
+def dealt_blocks(members: DataFrame, region: int) -> DataFrame:
+    """lead, i, j, node: regions of more than `region` members as pairs of blocks, the others as one block."""
+    large = members.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > region).select("lead", F.ceil(2 * F.col("n") / region).cast("int").alias("blocks"))
+    own = members.join(large, "lead", "left").withColumn("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.expr("if(blocks is null, array(struct(0 as i, 0 as j)), transform(filter(sequence(0, blocks - 1), o -> o <> h), o -> struct(least(h, o) as i, greatest(h, o) as j)))")
+    return own.select("lead", "node", F.inline(pairs))
 
 
 def _sets(shared, shingle: int) -> callable:
@@ -315,11 +305,10 @@ def _all_near(token: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: i
 
 def _join(percent: int) -> callable:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        order = np.argsort(nodes)
-        nodes = nodes[order]
-        sets = [np.frombuffer(table.column("members")[int(i)].as_buffer(), np.uint64) for i in order]
-        found = region_links(nodes, sets, table.column("lead")[0].as_py(), percent)
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        members = table.column("members")
+        sets = [np.frombuffer(members[int(i)].as_buffer(), np.uint64) for i in first]
+        found = region_links(nodes, sets, key[0].as_py(), percent)
         return pa.table({"a": pa.array([nodes[min(x)] for x in found], pa.int64()), "b": pa.array([nodes[max(x)] for x in found], pa.int64())})
 
     return run
@@ -363,7 +352,7 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, reg
     entries = meta.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // ENTRIES))
     dealt = source.mapInArrow(_deal(ranks, shingle, percent, parts), "part int, pivots binary, nodes binary").repartition(parts, "part")
-    members = kept(dealt.mapInArrow(_regions(region), "region long, i int, j int, node long, lead long").groupBy("region", "i", "j", "node").agg(F.min("lead").alias("lead")), "members")
+    members = kept(dealt.mapInArrow(_regions, "lead long, node long").distinct(), "members")
 
     nodes = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = kept(members.select("node").distinct().join(nodes, "node"), "wanted")
@@ -371,8 +360,8 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, reg
     for r in wanted.mapInArrow(_bitmap(len(bits)), "bits binary").toLocalIterator():
         bits |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    sets = source.mapInArrow(_sets(shared, shingle), "doc_id long, node long, members binary").join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "members")
-    links = members.join(sets, "node").groupBy("region", "i", "j").applyInArrow(_join(percent), "a long, b long")
+    sets = source.mapInArrow(_sets(shared, shingle), "doc_id long, node long, members binary").join(wanted, ["node", "doc_id"]).select("node", "members")
+    links = dealt_blocks(members, region).join(sets, "node").groupBy("lead", "i", "j").applyInArrow(_join(percent), "a long, b long")
     found = components(links)
 
     named = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))

@@ -9,7 +9,8 @@ therefore single shingles, ordered from rare to frequent. A node belongs to the
 pivot, and the window that replicates it into further regions follows from the bound on what two
 linked sets may not share: a set of n shingles misses at most n - ceil(threshold * n) of its own in
 any partner, so linked nodes meet in the region of one of their first n - ceil(threshold * n) + 1
-pivots. The order comes from counts over all documents in a hashed table of fixed size; any order is
+pivots. How far along its order a node's pivot stands also bounds the sizes of partners that it can
+meet there first (`window`), so members without a possible partner leave the region. The order comes from counts over all documents in a hashed table of fixed size; any order is
 exact, a good one keeps frequent shingles (shared passages) out of the windows.
 
 Inside a region the pivots are documents. A pivot's distances to all members are worked out; members
@@ -48,7 +49,8 @@ from tidewright.llm.text import SPACED, Words, fold, mix, slices, words
 SHINGLE, PERCENT = 5, 75
 #: Counters of the table that orders pivots; entries aimed at per join partition; largest region held at once.
 COUNTERS, ENTRIES, REGION = 1 << 22, 1_000_000, 2048
-_PARTS = 64
+_PARTS, _UNIT = 64, 16384
+_PACKED = ("pivots", "nodes", "sizes", "reaches")
 
 
 def shingle_sets(w: Words, shingle: int) -> list[np.ndarray]:
@@ -122,33 +124,43 @@ def pivot_ranks(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(4 * np.log2(np.maximum(counts, 1) / (2 * load))), 0, 255).astype(np.uint8)
 
 
-def window(s: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
-    """The first pivots of a set, as many as a linked set may miss and one more."""
-    keep = len(s) - -(-percent * len(s) // 100) + 1
-    if keep >= len(s):
-        return s
+def window(s: np.ndarray, ranks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first pivots of a set, as many as a linked set may miss and one more, with their reaches.
+
+    Two sets of sizes a and b link only if they share t (a + b) of their shingles, t = p / (1 + p). If
+    the i-th pivot of one is the first that they share, they share at most a - i, so the other's
+    size is at most (a - i) / t - a: the pivot's reach, given here as a share of a, rounded up.
+    """
+    n = len(s)
+    keep = n - -(-percent * n // 100) + 1
     key = (ranks[(s >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(s) >> np.uint64(8))
-    return s[key <= np.partition(key, keep - 1)[keep - 1]]
+    if keep < n:
+        inside = key <= np.partition(key, keep - 1)[keep - 1]
+        s, key = s[inside], key[inside]
+    order = np.argsort(key)
+    at = np.searchsorted(key[order], key[order])  # equal keys have the place of the first
+    reach = (n - at) * (100 + percent) / percent / n - 1
+    return s[order], np.minimum(np.ceil(reach * _UNIT) + 1, 65535).astype(np.uint16)
 
 
 def _deal(shared, shingle: int, percent: int, parts: int) -> callable:
-    """Packed (pivot, node) arrays by target partition; nodes that recur in a slice are sent once."""
+    """Packed pivots, nodes, sizes and reaches by target partition; a task sends a node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
-        size = 0
+        count = 0
 
         def flush() -> pa.RecordBatch:
-            pivot, node = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            target = (pivot % np.uint64(parts)).astype(np.int64)
+            columns = [np.concatenate([x[i] for x in held]) for i in range(4)]
+            target = (columns[0] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(target, kind="stable")
             bound = np.searchsorted(target[order], np.arange(parts + 1))
-            pivot, node = pivot[order], node[order]
+            columns = [x[order] for x in columns]
             some = np.flatnonzero(np.diff(bound))
             return pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), *(pa.array([x[bound[p] : bound[p + 1]].tobytes() for p in some], pa.binary()) for x in (pivot, node))], ["part", "pivots", "nodes"]
+                [pa.array(some.astype(np.int32)), *(pa.array([x[bound[p] : bound[p + 1]].tobytes() for p in some], pa.binary()) for x in columns)], ["part", *_PACKED]
             )
 
         for batch in batches:
@@ -157,52 +169,78 @@ def _deal(shared, shingle: int, percent: int, parts: int) -> callable:
                     if len(s) and (node := node_of(s)) not in seen:
                         if len(seen) < 1_000_000:
                             seen.add(node)
-                        own = window(s, ranks, percent)
-                        held.append((own, np.full(len(own), node, np.int64)))
-                        size += len(own)
-                if size > 2_000_000:
+                        own, reach = window(s, ranks, percent)
+                        held.append((own, np.full(len(own), node, np.int64), np.full(len(own), len(s), np.uint32), reach))
+                        count += len(own)
+                if count > 1_000_000:
                     yield flush()
-                    held, size = [], 0
+                    held, count = [], 0
         if held:
             yield flush()
 
     return run
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lead, node): members of regions with two nodes or more, named by one member of each.
+def _possible(size: np.ndarray, reach: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of one region can have a link whose first common pivot is the region's."""
+    most = np.minimum(reach, size * 100.0 / percent)
+    fits = (size[None, :] <= most[:, None] + 1e-6) & (size[:, None] <= most[None, :] + 1e-6)
+    np.fill_diagonal(fits, False)
+    return fits.any(1)
+
 
-    The lead is the node that most batches hold (copies), then the smallest, so that the many nearly
+def _regions(percent: int) -> callable:
+    """Rows (lead, node): members of regions, as far as they can have links there, named by one of them.
+
+    The lead is the node that most tasks sent (copies), then the smallest, so that the many nearly
     equal regions of one group of near copies mostly have the same lead and become one region.
     """
-    pivots, nodes = [], []
-    for batch in batches:
-        for p, n in zip(batch.column("pivots"), batch.column("nodes"), strict=True):
-            pivots.append(np.frombuffer(p.as_buffer(), np.uint64))
-            nodes.append(np.frombuffer(n.as_buffer(), np.int64))
-    if not pivots:
-        return
-    pivot, node = np.concatenate(pivots), np.concatenate(nodes)
-    del pivots, nodes
-    order = np.lexsort((node, pivot))
-    pivot, node = pivot[order], node[order]
-    at = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (node[1:] != node[:-1])))
-    weight = np.diff(np.append(at, len(pivot)))
-    pivot, node = pivot[at], node[at]
-    begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
-    size = np.diff(np.append(begin, len(pivot)))
-    some = np.repeat(size > 1, size)
-    pivot, node, weight = pivot[some], node[some], weight[some]
-    if not len(pivot):
-        return
-    begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
-    size = np.diff(np.append(begin, len(pivot)))
-    best = node[np.lexsort((node, -weight, np.repeat(np.arange(len(begin)), size)))[begin]]
-    lead = np.repeat(best, size)
-    order = np.lexsort((node, lead))
-    lead, node = lead[order], node[order]
-    first = np.append(True, (lead[1:] != lead[:-1]) | (node[1:] != node[:-1]))
-    yield pa.RecordBatch.from_arrays([pa.array(lead[first]), pa.array(node[first])], ["lead", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            for out, name, kind in zip(parts, _PACKED, (np.uint64, np.int64, np.uint32, np.uint16), strict=True):
+                out += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
+        if not parts[0]:
+            return
+        pivot, node, size, reach = map(np.concatenate, parts)
+        del parts
+        order = np.argsort(pivot, kind="stable")
+        pivot = pivot[order]
+        twice = np.zeros(len(pivot), bool)
+        twice[1:] = pivot[1:] == pivot[:-1]
+        twice[:-1] |= twice[1:]
+        pivot, order = pivot[twice], order[twice]
+        node, size, reach = node[order], size[order].astype(np.float64), reach[order]
+        if not len(pivot):
+            return
+        order = np.lexsort((node, pivot))
+        pivot, node, size, reach = pivot[order], node[order], size[order], reach[order] * size[order] / _UNIT
+        at = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (node[1:] != node[:-1])))
+        weight = np.diff(np.append(at, len(pivot)))
+        pivot, node, size, reach = pivot[at], node[at], size[at], reach[at]
+        begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+        count = np.diff(np.append(begin, len(pivot)))
+        keep = np.zeros(len(pivot), bool)
+        two = begin[count == 2]
+        most = np.minimum(reach, size * 100.0 / percent) + 1e-6
+        fits = (size[two] <= most[two + 1]) & (size[two + 1] <= most[two])
+        keep[two[fits]] = keep[two[fits] + 1] = True
+        for a, n in zip(begin[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+            keep[a : a + n] = _possible(size[a : a + n], reach[a : a + n], percent) if n <= 1024 else True
+        pivot, node, weight = pivot[keep], node[keep], weight[keep]
+        if not len(pivot):
+            return
+        begin = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+        count = np.diff(np.append(begin, len(pivot)))
+        best = node[np.lexsort((node, -weight, np.repeat(np.arange(len(begin)), count)))[begin]]
+        lead = np.repeat(best, count)
+        order = np.lexsort((node, lead))
+        lead, node = lead[order], node[order]
+        first = np.append(True, (lead[1:] != lead[:-1]) | (node[1:] != node[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(lead[first]), pa.array(node[first])], ["lead", "node"])
+
+    return run
 
 
 def dealt_blocks(members: DataFrame, region: int) -> DataFrame:
@@ -351,8 +389,8 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, reg
     ranks = spark.sparkContext.broadcast(pivot_ranks(table.reshape(-1)))
     entries = meta.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // ENTRIES))
-    dealt = source.mapInArrow(_deal(ranks, shingle, percent, parts), "part int, pivots binary, nodes binary").repartition(parts, "part")
-    members = kept(dealt.mapInArrow(_regions, "lead long, node long").distinct(), "members")
+    dealt = source.mapInArrow(_deal(ranks, shingle, percent, parts), "part int, pivots binary, nodes binary, sizes binary, reaches binary").repartition(parts, "part")
+    members = kept(dealt.mapInArrow(_regions(percent), "lead long, node long").distinct(), "members")
 
     nodes = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     wanted = kept(members.select("node").distinct().join(nodes, "node"), "wanted")

@@ -22,8 +22,10 @@ a pivot no longer divides it, by counting common shingles of all its members at
 have the same first pivot document are joined as one. Regions larger than `region` members are dealt
 as pairs of blocks, so one task never holds more; only links that join two components are given out.
 
-Shuffles. Node and pivot hashes travel in packed arrays, one row per batch and target partition;
-sets are built again from the text only for nodes that share a region with another node. Components
+Shuffles. Node and pivot hashes travel in packed arrays, one row per batch and target partition.
+Nodes that share a region with another are first compared by sketches (bitmaps that bound how much
+two sets can share, about a thirtieth of a set's size); sets are built from the text and sent only
+for nodes that are left, in the regions where they are left. Components
 are found by large-star and small-star steps over the links, in Spark, each step written to the
 shared folder; nothing that grows with the documents comes to the driver.
 
@@ -49,7 +51,7 @@ from tidewright.llm.text import SPACED, Words, fold, mix, slices, words
 SHINGLE, PERCENT = 5, 75
 #: Counters of the table that orders pivots; entries aimed at per join partition; largest region held at once.
 COUNTERS, ENTRIES, REGION = 1 << 22, 1_000_000, 2048
-_PARTS, _UNIT = 64, 16384
+_PARTS, _UNIT, _SKETCHED = 64, 16384, 128
 _PACKED = ("pivots", "nodes", "sizes", "reaches")
 
 
@@ -251,8 +253,23 @@ def dealt_blocks(members: DataFrame, region: int) -> DataFrame:
     return own.select("lead", "node", F.inline(pairs))
 
 
-def _sets(shared, shingle: int) -> callable:
-    """Node and set of documents whose id may be wanted, by a bitmap of fixed size."""
+def sketch(s: np.ndarray) -> bytes:
+    """A bitmap of the set's low hash bits, with two to four bits for each member."""
+    size = max(8, 1 << int(2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap as one of fewer bytes: halves laid over each other."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def _texts(shared, shingle: int, whole: bool) -> callable:
+    """Node and set (or sketch) of documents whose id may be wanted, by a bitmap of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8))
@@ -262,7 +279,71 @@ def _sets(shared, shingle: int) -> callable:
             own = batch.filter(pa.array(keep))
             for part in slices(own, "text"):
                 sets = shingle_sets(words(part.column("text"), SPACED), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "node", "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() if whole else sketch(s) for s in sets], pa.binary())], ["doc_id", "node", "members"]
+                )
+
+    return run
+
+
+def _wanted(source: DataFrame, nodes: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """node, n_shingles and set (or sketch) of the given nodes, built from one document of each."""
+    bits = np.zeros(1 << 22, bool)
+    for r in nodes.mapInArrow(_bitmap(len(bits)), "bits binary").toLocalIterator():
+        bits |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+    shared = source.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    return source.mapInArrow(_texts(shared, shingle, whole), "doc_id long, node long, members binary").join(nodes, ["node", "doc_id"]).select("node", "n_shingles", "members")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of rows with equal (lead, i, j), from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "i", "j")])
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = tuple(key[:, a].tolist())
+            if own != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_region(rows: DataFrame) -> DataFrame:
+    return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+
+
+def _prune(percent: int) -> callable:
+    """Drops members that, by their sketches, can't link with any other of a small region.
+
+    A bit of x that y lacks stands for a member of x that y lacks: |x and y| <= |x| - such bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            n = table.num_rows
+            keep = np.ones(n, bool)
+            if n <= _SKETCHED:
+                sizes = table.column("n_shingles").to_numpy()
+                maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("members")]
+                keep[:] = False
+                for x in range(n):
+                    for y in range(x):
+                        if keep[x] and keep[y] or 100 * min(sizes[x], sizes[y]) < percent * max(sizes[x], sizes[y]):
+                            continue
+                        size = min(len(maps[x]), len(maps[y]))
+                        a, b = folded(maps[x], size), folded(maps[y], size)
+                        most = min(sizes[x] - np.bitwise_count(a & ~b).sum(dtype=np.int64), sizes[y] - np.bitwise_count(b & ~a).sum(dtype=np.int64))
+                        if (100 + percent) * most >= percent * (sizes[x] + sizes[y]):
+                            keep[x] = keep[y] = True
+            if keep.any():
+                yield from table.select(["lead", "i", "j", "node"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
@@ -342,12 +423,13 @@ def _all_near(token: np.ndarray, owner: np.ndarray, size: np.ndarray, percent: i
 
 
 def _join(percent: int) -> callable:
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        members = table.column("members")
-        sets = [np.frombuffer(members[int(i)].as_buffer(), np.uint64) for i in first]
-        found = region_links(nodes, sets, key[0].as_py(), percent)
-        return pa.table({"a": pa.array([nodes[min(x)] for x in found], pa.int64()), "b": pa.array([nodes[max(x)] for x in found], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+            members = table.column("members")
+            sets = [np.frombuffer(members[int(i)].as_buffer(), np.uint64) for i in first]
+            if found := region_links(nodes, sets, table.column("lead")[0].as_py(), percent):
+                yield pa.RecordBatch.from_arrays([pa.array([int(nodes[min(x)]) for x in found], pa.int64()), pa.array([int(nodes[max(x)]) for x in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -392,14 +474,11 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, reg
     dealt = source.mapInArrow(_deal(ranks, shingle, percent, parts), "part int, pivots binary, nodes binary, sizes binary, reaches binary").repartition(parts, "part")
     members = kept(dealt.mapInArrow(_regions(percent), "lead long, node long").distinct(), "members")
 
-    nodes = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = kept(members.select("node").distinct().join(nodes, "node"), "wanted")
-    bits = np.zeros(1 << 22, bool)
-    for r in wanted.mapInArrow(_bitmap(len(bits)), "bits binary").toLocalIterator():
-        bits |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    sets = source.mapInArrow(_sets(shared, shingle), "doc_id long, node long, members binary").join(wanted, ["node", "doc_id"]).select("node", "members")
-    links = dealt_blocks(members, region).join(sets, "node").groupBy("lead", "i", "j").applyInArrow(_join(percent), "a long, b long")
+    nodes = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    sketches = _wanted(source, kept(members.select("node").distinct().join(nodes, "node"), "wanted"), shingle, False)
+    left = kept(_by_region(dealt_blocks(members, region).join(sketches, "node")).mapInArrow(_prune(percent), "lead long, i int, j int, node long"), "left")
+    sets = _wanted(source, kept(left.select("node").distinct().join(nodes, "node"), "wanted"), shingle, True)
+    links = _by_region(left.join(sets, "node").select("lead", "i", "j", "node", "members")).mapInArrow(_join(percent), "a long, b long")
     found = components(links)
 
     named = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))

@@ -24,7 +24,11 @@ def histories(events: DataFrame, key: str, position: str, values: list[str], las
     rows = F.array_sort(F.collect_list(F.struct(position, *values)))
     grouped = ranked.groupBy(key, "_n").agg(rows.alias("_rows"))
     past = F.slice("_rows", 1, F.size("_rows") - 1)
-    return grouped.select(key, *[F.col("_rows")[F.size("_rows") - 1][v].alias(f"target_{v}") for v in values], *[F.transform(past, lambda r, v=v: r[v]).alias(f"history_{v}") for v in values])
+
+    def field(name: str):
+        return lambda r: r[name]
+
+    return grouped.select(key, *[F.col("_rows")[F.size("_rows") - 1][v].alias(f"target_{v}") for v in values], *[F.transform(past, field(v)).alias(f"history_{v}") for v in values])
 
 
 def tail(a: Column, n: int) -> Column:

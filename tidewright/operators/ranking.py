@@ -62,8 +62,10 @@ def total_ranks(strict: DataFrame, queries: DataFrame, items: DataFrame, key: st
     """
     texts, of = collapsed(items)
     scores = cosines(queries, texts, key, "text_id")
-    larger = F.row_number().over(Window.orderBy(F.desc("item_id"))) - 1
-    rank_of = items.select("item_id", larger.alias("later"))  # one column of the catalogue, in one order
+    # Items with larger ids: those in later buckets of ids, and those later in the same bucket.
+    own = items.select("item_id", F.expr("item_id div 4096").alias("bucket"))
+    after = own.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy(F.desc("bucket"))) - F.col("n")).alias("after"))
+    rank_of = own.join(F.broadcast(after), "bucket").select("item_id", (F.col("after") + F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("item_id"))) - 1).alias("later"))
     aim = strict.select(key, F.col(target).alias("item_id"), "sim").join(rank_of, "item_id").withColumnRenamed("item_id", "aim")
     same = scores.join(aim, key).filter("score = sim or sim = 0").select(key, "text_id", "aim")
     count = same.join(of, "text_id").filter("item_id > aim").groupBy(key).agg(F.count("*").alias("k"))

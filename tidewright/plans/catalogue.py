@@ -1,6 +1,397 @@
-"""All queries over the reference's operators, with their SQL."""
+"""All queries over the engine's own operators, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewright.functions import rubric as R
+from tidewright.functions import text as T
+from tidewright.operators import core, ranking, selection
+from tidewright.plans import adapters as A
+from tidewright.sources.tables import table
+from tidewright.streaming import events as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIP = lambda x: rf"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+_COMPACT = lambda x: _STRIP(rf"regexp_replace({x}, '{_WS}+', ' ', 'g')")
+_WORDS = lambda x: rf"regexp_extract_all({x}, '[A-Za-z0-9][A-Za-z0-9''-]*')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Text
+
+
+@query(f"WITH c AS (SELECT doc_id, {_COMPACT('text')} AS t FROM documents) SELECT doc_id, md5(t) AS whole, length(t) AS n, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(left(t, 185), '{_WS}+$', '') || ' [TRUNCATED]' END AS cut FROM c")
+def text_compact_truncate(spark, d):
+    t = T.compact(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("whole"), F.length(t).cast("long").alias("n"), T.compact(F.col("text"), 200).alias("cut"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, len({_WORDS('text')}) AS words, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) AS runs FROM documents)
+SELECT doc_id, words, runs, CASE WHEN words BETWEEN 70 AND 220 THEN 5 WHEN words BETWEEN 45 AND 280 THEN 4 WHEN words BETWEEN 25 AND 360 THEN 3 WHEN words > 0 THEN 2 ELSE 1 END AS band FROM c""")
+def token_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(T.runs(F.col("text"))).cast("long").alias("runs")).withColumn("band", R.conciseness(F.col("words")))
+
+
+@query(f"""WITH c AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, md5(CASE WHEN len(w) <= 30 THEN text ELSE array_to_string(w[1:30], ' ') END) AS cut FROM c""")
+def truncate_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.first_words(F.col("text"), 30)).alias("cut"))
+
+
+@query(f"""WITH {A.TAGGED}, b AS (SELECT doc_id, raw, regexp_matches(raw, '(?is)<(?:analysis|think|thinking|thoughts)>(.*?)</(?:analysis|think|thinking|thoughts)>\\s*<(?:recommendation|answer)>(.*?)</(?:recommendation|answer)>') AS has FROM tagged)
+SELECT doc_id, has AS has_tags, CASE WHEN has THEN md5({_STRIP("regexp_extract(raw, '(?is)<thinking>(.*?)</thinking>', 1)")}) ELSE md5('') END AS think,
+CASE WHEN has THEN md5({_STRIP("regexp_extract(raw, '(?is)<recommendation>(.*?)</recommendation>', 1)")}) ELSE md5({_STRIP('raw')}) END AS answer FROM b""")
+def tag_extract(spark, d):
+    b = A.tagged(spark, d).withColumn("b", T.blocks(F.col("raw")))
+    return b.select("doc_id", "b.has_tags", F.md5("b.think").alias("think"), F.md5("b.answer").alias("answer"))
+
+
+@query(f"""WITH {A.TAGGED}, c AS (SELECT doc_id, {_STRIP("replace(replace(replace(replace(raw, '<Thinking>', '<think>'), '</thinking>', '</think>'), '<recommendation>', '<answer>'), '</RECOMMENDATION>', '</answer>')")} AS t FROM tagged)
+SELECT doc_id, md5(t) AS canonical, md5(CASE WHEN doc_id % 2 = 0 THEN {_STRIP("regexp_extract(t, '(?s)<answer>(.*)</answer>', 1)")} ELSE {_STRIP("substr(t, 15)")} END) AS answer FROM c""")
+def answer_extract(spark, d):
+    return A.tagged(spark, d).select("doc_id", F.md5(T.canonical_tags(F.col("raw"))).alias("canonical"), F.md5(T.answer_of(F.col("raw"))).alias("answer"))
+
+
+# Items and histories
+
+
+@query(f"SELECT p_partkey AS item_id, {_COMPACT("p_name || ' ' || p_type || ' ' || p_brand || ' Categories: ' || p_type || ' > ' || p_brand || ' Description: size ' || p_size")} AS text, 'avg_rating=' || CAST(CAST(p_retailprice AS DECIMAL(12,1)) AS VARCHAR) || ', rating_count=' || p_size AS stats FROM part")
+def item_text(spark, d):
+    return A.items(spark, d).select("item_id", T.compact(F.concat_ws(" ", *[F.nullif(T.compact(F.col(c), 300), F.lit("")) for c in ("title", "main_category", "store")], F.concat(F.lit("Categories: "), F.concat_ws(" > ", "main_category", "store")), F.concat(F.lit("Description: size "), F.col("rating_number")))).alias("text"), F.concat_ws(", ", F.concat(F.lit("avg_rating="), F.col("average_rating").cast("decimal(12,1)")), F.concat(F.lit("rating_count="), F.col("rating_number"))).alias("stats"))
+
+
+@query(f"WITH {A.EXAMPLES} SELECT user_id, string_agg(title || ' (' || rating || ' stars)', '; ' ORDER BY pos) || '.' AS plain, md5(string_agg((k + 0) || '. ' || title || ' (' || rating || ' stars)', chr(10) ORDER BY pos)) AS numbered FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k FROM hist) GROUP BY user_id")
+def history_text(spark, d):
+    entry = lambda r: F.concat(r["history_title"], F.lit(" ("), T.number(r["history_rating"].cast("double")), F.lit(" stars)"))
+    rows = F.arrays_zip("history_title", "history_rating")
+    return A.examples(spark, d).filter(F.size("history_title") > 0).select("user_id", F.concat(F.array_join(F.transform(rows, entry), "; "), F.lit(".")).alias("plain"), F.md5(F.array_join(F.transform(rows, lambda r, i: F.concat(i + 1, F.lit(". "), entry(r))), "\n")).alias("numbered"))
+
+
+@query(f"WITH {A.INTER} SELECT user_id, array_to_string(list(item_id ORDER BY pos), ',') AS last_ids FROM inter WHERE pos > n - 5 GROUP BY user_id")
+def last_n_history(spark, d):
+    own = A.interactions(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("r"))
+    return own.select("user_id", F.array_join(core.tail(F.transform("r", lambda x: x["item_id"].cast("string")), 5), ",").alias("last_ids"))
+
+
+@query(f"WITH {A.INTER}, t AS (SELECT user_id, coalesce(max(CASE WHEN rating >= 4 AND pos > 3 THEN pos END), max(pos)) AS target_pos FROM inter GROUP BY user_id) SELECT t.user_id, t.target_pos, count(i.item_id) AS n_before, coalesce(sum(i.item_id), 0)::BIGINT AS id_sum FROM t LEFT JOIN inter i ON i.user_id = t.user_id AND i.pos < t.target_pos AND i.pos >= t.target_pos - 10 GROUP BY 1, 2")
+def choose_target(spark, d):
+    own = A.interactions(spark, d)
+    aim = own.groupBy("user_id").agg(F.coalesce(F.max(F.when((F.col("rating") >= 4) & (F.col("pos") > 3), F.col("pos"))), F.max("pos")).alias("target_pos"))
+    before = own.join(aim, "user_id").filter("pos < target_pos and pos >= target_pos - 10").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("item_id").alias("s"))
+    return aim.join(before, "user_id", "left").select("user_id", F.col("target_pos").cast("long").alias("target_pos"), F.coalesce("n", F.lit(0)).alias("n_before"), F.coalesce("s", F.lit(0)).alias("id_sum"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) > 50 THEN 'Label=' || json_extract_string(props, '$.k') ELSE '' END AS details FROM events")
+def details_parse(spark, d):
+    k = F.from_json("props", "map<string,string>")["k"]
+    return table(spark, d, "events").select("event_id", k.alias("k"), F.when(k.cast("int") > 50, F.concat(F.lit("Label="), k)).otherwise("").alias("details"))
+
+
+# Chats
+
+
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn)) AS chat, md5(coalesce(arg_min(text, turn) FILTER (role = 'user'), '')) AS first_user FROM conversations GROUP BY conv_id")
+def chat_messages(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    user = F.try_element_at(F.filter("m", lambda x: x["role"] == "user"), F.lit(1))["text"]
+    return rows.select("conv_id", F.size("m").cast("long").alias("n"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), F.coalesce(x["text"], F.lit("")))), "\n")).alias("chat"), F.md5(F.coalesce(user, F.lit(""))).alias("first_user"))
+
+
+@query("""WITH u AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS q FROM conversations GROUP BY conv_id), l AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
+SELECT conv_id, md5('user' || chr(10) || coalesce(q, '')) AS prompt FROM u WHERE conv_id NOT IN (SELECT doc_id FROM l) AND conv_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def grpo_rows(spark, d):
+    c, lab = table(spark, d, "conversations"), table(spark, d, "labels").withColumnRenamed("doc_id", "conv_id")
+    first = c.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("q"))
+    rows = c.select("conv_id").distinct().join(first, "conv_id", "left")
+    return core.without(rows, (lab.filter("toxic = 1"), ["conv_id"]), (lab.filter("quality = 0"), ["conv_id"])).select("conv_id", F.md5(F.concat(F.lit("user\n"), F.coalesce("q", F.lit("")))).alias("prompt"))
+
+
+@query(f"""WITH {A.TAGGED}, s AS (SELECT doc_id, {_STRIP("regexp_extract(raw, '(?is)<thinking>(.*?)</thinking>', 1)")} AS th, {_STRIP("regexp_extract(raw, '(?is)<recommendation>(.*?)</recommendation>', 1)")} AS an, {_STRIP('raw')} AS whole FROM tagged)
+SELECT doc_id, md5(CASE WHEN th <> '' AND an <> '' THEN '<think>' || chr(10) || th || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || an || chr(10) || '</answer>'
+ELSE '<think>' || chr(10) || {_STRIP("regexp_replace(whole, '(?i)</?(analysis|think|thinking|thoughts|recommendation|answer)>', '', 'g')")} || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || 'Use the grounded reasoning above as a concise user preference profile.' || chr(10) || '</answer>' END) AS assistant,
+CASE WHEN th <> '' AND an <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_reward FROM s""")
+def sft_rows(spark, d):
+    b = T.blocks(F.col("raw"))
+    return A.tagged(spark, d).select("doc_id", F.md5(T.tagged_assistant(F.col("raw"))).alias("assistant"), F.when(b["has_tags"] & (b["think"] != "") & (b["answer"] != ""), 1.0).otherwise(0.0).alias("format_reward"))
+
+
+# Ranking
+
+
+_RANK = A.EXAMPLES + """, q AS (SELECT a.user_id, a.target_item_id, coalesce(string_agg(h.title, ' ' ORDER BY h.pos), '') AS text FROM aim a LEFT JOIN hist h USING (user_id) GROUP BY 1, 2),
+qt AS (SELECT user_id, tok, count(*) AS tf FROM (SELECT user_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9][A-Za-z0-9''-]*')) AS tok FROM q) GROUP BY 1, 2), qn AS (SELECT user_id, sum(tf * tf) AS qn FROM qt GROUP BY 1),
+names AS (SELECT DISTINCT p_name FROM part), it AS (SELECT p_name, tok, count(*) AS tf FROM (SELECT p_name, unnest(regexp_extract_all(lower(p_name), '[A-Za-z0-9][A-Za-z0-9''-]*')) AS tok FROM names) GROUP BY 1, 2), itn AS (SELECT p_name, sum(tf * tf) AS tn FROM it GROUP BY 1),
+dots AS (SELECT user_id, p_name, sum(qt.tf * it.tf) AS dot FROM qt JOIN it USING (tok) GROUP BY 1, 2),
+sc AS (SELECT user_id, p_name, dot / sqrt((qn * tn)::DOUBLE) AS score FROM dots JOIN qn USING (user_id) JOIN itn USING (p_name)),
+own AS (SELECT q.user_id, target_item_id, coalesce(score, 0.0::DOUBLE) AS sim FROM q JOIN part ON p_partkey = target_item_id LEFT JOIN sc USING (user_id, p_name)),
+full_sc AS (SELECT o.user_id, o.sim, o.target_item_id, p.p_partkey AS item_id, coalesce(s.score, 0.0::DOUBLE) AS score FROM own o CROSS JOIN part p LEFT JOIN sc s ON s.user_id = o.user_id AND s.p_name = p.p_name)"""
+_NDCG = lambda r, k: f"CASE WHEN {r} <= {k} THEN 1.0::DOUBLE / log2({r} + 1.0::DOUBLE) ELSE 0.0::DOUBLE END"
+
+
+def _queries(spark, d):
+    return A.examples(spark, d).select("user_id", "target_item_id", F.array_join("history_title", " ").alias("text"), "history_item_id")
+
+
+def _catalogue(spark, d):
+    return A.items(spark, d).select("item_id", F.col("title").alias("text"))
+
+
+def _masked(q):
+    """History and pad item, never the target."""
+    return q.select("user_id", "target_item_id", F.explode(F.array_union("history_item_id", F.array(F.lit(0).cast("long")))).alias("item_id")).filter("item_id <> target_item_id").select("user_id", "item_id")
+
+
+@query(f"""WITH {_RANK}, hm AS (SELECT DISTINCT user_id, item_id FROM hist), r AS (SELECT f.user_id, 1 + count(*) FILTER (f.score > f.sim AND f.item_id <> 0 AND hm.item_id IS NULL) AS rank FROM full_sc f LEFT JOIN hm ON hm.user_id = f.user_id AND hm.item_id = f.item_id GROUP BY f.user_id)
+SELECT count(*) AS n, round(avg((rank <= 10)::INT::DOUBLE), 6) AS hr_10, round(avg({_NDCG('rank', 10)}), 6) AS ndcg_10, round(avg((rank <= 100)::INT::DOUBLE), 6) AS hr_100, round(avg({_NDCG('rank', 100)}), 6) AS ndcg_100, round(avg(rank), 6) AS mean_rank, CAST(quantile_disc(rank, 0.5 ORDER BY rank DESC) AS BIGINT) AS median_rank FROM r""".replace("quantile_disc(rank, 0.5 ORDER BY rank DESC)", "list_sort(list(rank))[count(*) // 2 + 1]"))
+def flagship_ranking_eval(spark, d):
+    q = _queries(spark, d)
+    return ranking.metrics(ranking.lexical_ranks(q, _catalogue(spark, d), "user_id", "target_item_id", _masked(q)), "rank_strict", (10, 100))
+
+
+@query(f"WITH {_RANK} SELECT user_id, target_item_id, round(sim, 6) AS sim, 1 + count(*) FILTER (score > sim) AS rank_strict, 1 + count(*) FILTER (score > sim OR (score = sim AND item_id > target_item_id)) AS rank_total FROM full_sc GROUP BY user_id, target_item_id, sim")
+def lexical_ranks(spark, d):
+    q, items = _queries(spark, d), _catalogue(spark, d)
+    strict = ranking.lexical_ranks(q, items, "user_id", "target_item_id")
+    return ranking.total_ranks(strict, q, items, "user_id", "target_item_id").withColumn("sim", F.round("sim", 6))
+
+
+_DT = lambda t, k: f"{t}t AS (SELECT {k}, tok, count(*) AS tf FROM (SELECT {k}, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9][A-Za-z0-9''-]*')) AS tok FROM {t}) GROUP BY 1, 2), {t}n AS (SELECT {k}, sum(tf * tf) AS nn FROM {t}t GROUP BY 1)"
+
+
+@query(f"WITH {_DT('documents', 'doc_id')}, {_DT('benchmark', 'item_id')}, p AS (SELECT doc_id, item_id, sum(a.tf * b.tf) AS dot FROM documentst a JOIN benchmarkt b USING (tok) GROUP BY 1, 2) SELECT doc_id, round(max(dot / sqrt((x.nn * y.nn)::DOUBLE)), 6) AS best, count(*) AS n FROM p JOIN documentsn x USING (doc_id) JOIN benchmarkn y USING (item_id) GROUP BY doc_id")
+def lexical_cosine_pairs(spark, d):
+    pairs = ranking.cosines(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id")
+    return pairs.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n"))
+
+
+_VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT a.vec_id AS qid, b.vec_id AS vid, a.label AS ql, b.label AS vl, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"""
+
+
+def _dense(spark, d):
+    """All vectors against the query vectors (ids divisible by 50), rounded to six places."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("e").alias("qe"))
+    dot = F.aggregate(F.zip_with("qe", "e", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return v.join(q, F.col("qid") != F.col("vec_id")).select("qid", F.col("vec_id").alias("vid"), "ql", F.col("label").alias("vl"), F.round(dot, 6).alias("score"))
+
+
+@query(f"WITH {_VEC} SELECT qid, vid, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rn FROM pairs) WHERE rn <= 10")
+def dense_topk(spark, d):
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
+    return _dense(spark, d).withColumn("rn", F.row_number().over(w).cast("long")).filter("rn <= 10").select("qid", "vid", "score", "rn")
+
+
+@query(f"WITH {_VEC}, t AS (SELECT qid, min(vid) AS tid FROM pairs WHERE ql = vl AND vid > qid GROUP BY qid), ts AS (SELECT qid, tid, score AS s FROM t JOIN pairs USING (qid) WHERE vid = tid) SELECT qid, tid, s AS sim, 1 + count(*) FILTER (score > s) AS rank FROM ts JOIN pairs USING (qid) GROUP BY 1, 2, 3")
+def dense_rank_target(spark, d):
+    p = _dense(spark, d)
+    own = p.filter("ql = vl and vid > qid").groupBy("qid").agg(F.min_by(F.struct(F.col("vid").alias("tid"), F.col("score").alias("sim")), "vid").alias("t")).select("qid", "t.*")
+    return p.join(own, "qid").groupBy("qid", "tid", "sim").agg((1 + F.count_if(F.col("score") > F.col("sim"))).alias("rank"))
+
+
+@query(f"WITH {_VEC}, pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rn FROM pairs), neg AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rn) AS k FROM pool WHERE rn <= 50 AND ql <> vl) SELECT qid, string_agg(vid, ',' ORDER BY k) AS negatives FROM neg WHERE k <= 5 GROUP BY qid")
+def hard_negatives(spark, d):
+    pool = _dense(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))).filter("rn <= 50 and ql <> vl")
+    neg = pool.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("rn"))).filter("k <= 5")
+    return neg.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "vid"))), lambda x: x["vid"].cast("string")), ",").alias("negatives"))
+
+
+@query(f"""WITH {A.INTER}, seen AS (SELECT DISTINCT user_id, item_id FROM inter), c AS (SELECT count(*) AS m FROM part), ix AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part),
+dr AS (SELECT DISTINCT user_id, first_value(j) OVER (PARTITION BY user_id, i ORDER BY j) AS j, i FROM (SELECT user_id, j, ('0x' || substr(md5(user_id || ':' || j), 1, 12))::BIGINT % m AS i FROM (SELECT DISTINCT user_id FROM inter), range(64) t(j), c)),
+ok AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k FROM dr JOIN ix USING (i) WHERE item_id > 0 AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM seen)) SELECT user_id, string_agg(item_id, ',' ORDER BY k) AS negatives FROM ok WHERE k <= 5 GROUP BY user_id""")
+def random_negatives(spark, d):
+    """Seeded draws (64 for a user) looked up by place in the catalogue; the first five unseen ones."""
+    own, cat = A.interactions(spark, d), A.items(spark, d).select("item_id")
+    m = cat.count()
+    ix = cat.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("i"))
+    draws = own.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")).withColumn("i", F.conv(F.substring(F.md5(F.concat_ws(":", "user_id", "j")), 1, 12), 16, 10).cast("long") % m)
+    draws = draws.groupBy("user_id", "i").agg(F.min("j").alias("j")).join(ix, "i").filter("item_id > 0").join(own.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    first = draws.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("j"))).filter("k <= 5")
+    return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item_id"))), lambda x: x["item_id"].cast("string")), ",").alias("negatives"))
+
+
+# Rubric and judging
+
+
+_LIST = lambda terms: " + ".join(f"(contains(low, '{t}'))::INT" for t in terms)
+_LAD = lambda x, s: "(1 + " + " + ".join(f"(({x}) >= {k})::INT" for k in s) + ")"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_COMPACT('lower(text)')} AS low, len({_WORDS('text')}) AS wc FROM documents), h AS (SELECT *, {_LIST(R.PREFERENCE)} AS p, {_LIST(R.TRANSITION)} AS t, {_LIST(R.DISCRIMINATIVE)} AS di, {_LIST(R.LEAKAGE)} AS lk, {_LIST(R.GENERIC)} AS g FROM c),
+s AS (SELECT doc_id, greatest(1, 1 - lk) AS a, greatest(1, {_LAD('p', R.SPECIFICITY_LADDER)} - g) AS b, {_LAD('t', R.LADDER)} AS c, greatest(1, {_LAD('di', R.LADDER)} - lk) AS e, greatest(1, CASE WHEN wc BETWEEN 70 AND 220 THEN 5 WHEN wc BETWEEN 45 AND 280 THEN 4 WHEN wc BETWEEN 25 AND 360 THEN 3 WHEN wc > 0 THEN 2 ELSE 1 END - 1) AS f FROM h)
+SELECT doc_id, CAST(a AS INT) AS grounding, CAST(b AS INT) AS specificity, CAST(c AS INT) AS transitional, CAST(e AS INT) AS framing, CAST(f AS INT) AS conciseness, CAST(a + b + c + e + f AS INT) AS total, round((a + b + c + e + f) / 25.0::DOUBLE, 6) AS score_norm FROM s""")
+def rule_score(spark, d):
+    s = R.rule_score(F.lit(""), F.col("text"))
+    own = table(spark, d, "documents").select("doc_id", s.alias("s"))
+    return own.select("doc_id", *[F.col(f"s.{a}").alias(b) for a, b in zip(R.DIMENSIONS, ("grounding", "specificity", "transitional", "framing", "conciseness"), strict=True)], "s.total", F.round("s.score_norm", 6).alias("score_norm"))
+
+
+@query(f"WITH {A.SCORED} SELECT doc_id, CAST(d1 AS INT) AS a, CAST(d2 AS INT) AS b, CAST(greatest(1, least(5, round_even(CASE WHEN d3 / 5.0 < 1 THEN d3 ELSE 1 END, 0))) AS INT) AS c, CAST(d4 AS INT) AS prose FROM scored")
+def judge_parse(spark, d):
+    obj = F.concat(F.lit('Verdict: {"preference_grounding": '), F.col("d1"), F.lit(', "taste_specificity": "'), F.col("d2"), F.lit('", "conciseness": '), F.col("d3") / F.lit(5.0), F.lit("} done"))
+    prose = F.concat(F.lit("**Transitional reasoning** is fair, score: "), F.col("d4"), F.lit(". Next."))
+    own = A.scored(spark, d).select("doc_id", R.judged(obj).alias("o"), prose.alias("p"))
+    return own.select("doc_id", R.judged_dimension(F.col("o"), "preference_grounding").alias("a"), R.judged_dimension(F.col("o"), "taste_specificity").alias("b"), R.judged_dimension(F.col("o"), "conciseness").alias("c"), R.free_text_dimension(F.col("p"), "transitional_reasoning").alias("prose"))
+
+
+# Gain, selection, merging
+
+
+@query(f"WITH {A.SCORED}, s AS (SELECT *, rubric * greatest(gain, 0) AS sel, rubric >= 15 AND gain >= 0.01 AS ok FROM scored), r AS (SELECT *, row_number() OVER w AS rk, sum(ok::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS passed, max(ok::INT) OVER (PARTITION BY example_id) AS anyok FROM s WINDOW w AS (PARTITION BY example_id ORDER BY sel DESC, rubric DESC, gain DESC, doc_id)) SELECT doc_id, example_id, CAST(rk AS INT) AS selection_rank, round(sel, 6) AS selection_score, anyok = 0 AND rk = 1 AS fallback_selected, (anyok = 0 AND rk = 1) OR (ok AND passed <= 2) AS selected FROM r")
+def select_topk_per_group(spark, d):
+    own = selection.top_k(A.scored(spark, d), "example_id", 2, 15, 0.01, "doc_id", True)
+    return own.select("doc_id", "example_id", "selection_rank", F.round("selection_score", 6).alias("selection_score"), "fallback_selected", "selected")
+
+
+@query(f"WITH {A.SCORED}, s AS (SELECT *, rubric * greatest(gain, 0) AS sel FROM scored WHERE rubric >= 12 AND gain >= 0), c AS (SELECT CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS k FROM s) SELECT doc_id, rubric, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (ORDER BY sel DESC, rubric DESC, gain DESC, doc_id) AS rn FROM s), c WHERE rn <= k")
+def select_top_percent(spark, d):
+    return selection.top_share(A.scored(spark, d), 0.2, 12, 0, "doc_id").select("doc_id", "rubric", F.round("gain", 6).alias("gain"))
+
+
+_Q = lambda p, a: f"round(quantile_cont(gain, {p}), 6) AS {a}"
+
+
+@query(f"WITH {A.SCORED} SELECT count(*) AS n, count(gain) AS n_value, count(*) FILTER (gain < 0) AS n_negative, round(min(gain), 6) AS min, round(max(gain), 6) AS max, round(avg(gain), 6) AS mean, {_Q(0.5, 'median')}, {_Q(0.05, 'p05')}, {_Q(0.25, 'p25')}, {_Q(0.75, 'p75')}, {_Q(0.95, 'p95')} FROM scored")
+def finalize_summary(spark, d):
+    return selection.summary(A.scored(spark, d), "gain")
+
+
+@query(f"WITH {A.SCORED}, e AS (SELECT min(gain) AS a, max(gain) AS b FROM scored), f AS (SELECT CAST(least(floor((gain - a) / ((b - a) / 20)), 19) AS INT) AS bin, count(*) AS n FROM scored, e GROUP BY 1) SELECT CAST(g.i AS INT) AS bin, round(a + g.i * ((b - a) / 20), 6) AS lo, coalesce(n, 0) AS n FROM range(20) g(i) CROSS JOIN e LEFT JOIN f ON f.bin = g.i")
+def gain_histogram(spark, d):
+    return selection.histogram(A.scored(spark, d), "gain", 20)
+
+
+@query("WITH s AS (SELECT doc_id, quality, toxic, doc_id AS pos FROM labels UNION ALL SELECT doc_id, 1 - quality, toxic, doc_id + 1000000 FROM labels WHERE doc_id % 3 = 0), l AS (SELECT doc_id, arg_max(quality, pos) AS quality FROM s GROUP BY 1) SELECT d.doc_id, lang, CAST(quality AS INT) AS quality FROM documents d JOIN l USING (doc_id)")
+def merge_scores(spark, d):
+    lab = table(spark, d, "labels").select("doc_id", "quality", F.col("doc_id").alias("pos"))
+    scores = lab.unionByName(lab.filter("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).cast("int").alias("quality"), (F.col("pos") + 1000000).alias("pos")))
+    return core.merged(table(spark, d, "documents").select("doc_id", "lang"), scores, ["doc_id"], "pos").select("doc_id", "lang", F.col("quality").cast("int").alias("quality"))
+
+
+@query("SELECT count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS matched, count(*) FILTER (l.doc_id IS NULL) AS unscored, count(*) FILTER (d.doc_id IS NULL) AS unmatched FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def merge_stats(spark, d):
+    a, b = table(spark, d, "documents").select("doc_id", F.lit(1).alias("x")), table(spark, d, "labels").select("doc_id").distinct().withColumn("y", F.lit(1))
+    return a.join(b, "doc_id", "full").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("matched"), F.count_if(F.col("y").isNull()).alias("unscored"), F.count_if(F.col("x").isNull()).alias("unmatched"))
+
+
+@query("SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT % 7 AS INT) AS shard FROM documents")
+def shard_assign(spark, d):
+    return table(spark, d, "documents").select("doc_id", core.hash_shard(F.col("doc_id").cast("string"), 7).alias("shard"))
+
+
+@query("SELECT d.doc_id, CAST(k.k AS INT) AS candidate_index FROM documents d CROSS JOIN range(2) k(k) WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = k.k)")
+def resume_pending(spark, d):
+    grid = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("candidate_index"))
+    return core.without(grid, (table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("candidate_index")), ["doc_id", "candidate_index"]))
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, ts) AS first_id, arg_max(event_id, ts) AS last_id FROM events GROUP BY 1, 2")
+def first_and_last_wins(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
+    first = core.first_wins(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", F.col("event_id").alias("first_id"))
+    last = core.last_wins(e, ["user_id", "event_type"], "ts").select("user_id", "event_type", F.col("event_id").alias("last_id"))
+    return first.join(last, ["user_id", "event_type"])
+
+
+# Rewards and analytics
+
+
+@query(f"WITH {A.SCORED}, r AS (SELECT *, (d1 > 2)::INT::DOUBLE AS fmt, CASE WHEN norm < 0.45 THEN -0.05 WHEN gain > 0 THEN norm * gain ELSE -0.05 END AS gated FROM scored) SELECT doc_id, round(gated, 6) AS gated, round(0.2 * fmt + 0.3 * norm + gated, 6) AS total, round((gated - avg(gated) OVER w) / nullif(stddev_samp(gated) OVER w, 0), 4) AS advantage FROM r WINDOW w AS (PARTITION BY example_id)")
+def gated_reward(spark, d):
+    gated = F.when(F.col("norm") < 0.45, -0.05).when(F.col("gain") > 0, F.col("norm") * F.col("gain")).otherwise(-0.05)
+    own = A.scored(spark, d).withColumn("gated", gated).withColumn("fmt", (F.col("d1") > 2).cast("double"))
+    w = Window.partitionBy("example_id")
+    adv = (F.col("gated") - F.avg("gated").over(w)) / F.nullif(F.stddev_samp("gated").over(w), F.lit(0.0))
+    return own.select("doc_id", F.round("gated", 6).alias("gated"), F.round(0.2 * F.col("fmt") + 0.3 * F.col("norm") + F.col("gated"), 6).alias("total"), F.round(adv, 4).alias("advantage"))
+
+
+@query(f"WITH {A.SCORED}, u AS (UNPIVOT scored ON d1, d2, d3, d4, d5 INTO NAME dim VALUE v), k AS (SELECT dim, v, gain, rank() OVER (PARTITION BY dim ORDER BY v) + (count(*) OVER (PARTITION BY dim, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY dim ORDER BY gain) + (count(*) OVER (PARTITION BY dim, gain) - 1) / 2.0 AS rg FROM u) SELECT dim, round(corr(v, gain), 6) AS pearson, round(corr(rv, rg), 6) AS spearman FROM k GROUP BY dim")
+def corr_dims_gain(spark, d):
+    """Ranks come from counts of distinct values, so no dimension is sorted in one task."""
+    own = A.scored(spark, d)
+    u = own.select("gain", F.expr("stack(5, 'd1', d1, 'd2', d2, 'd3', d3, 'd4', d4, 'd5', d5) as (dim, v)"))
+
+    def ranks(value: str, name: str) -> DataFrame:
+        n = u.groupBy("dim", value).agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("dim").orderBy(value)) - F.col("n")
+        return n.select("dim", value, (before + 1 + (F.col("n") - 1) / 2.0).alias(name))
+
+    both = u.join(ranks("v", "rv"), ["dim", "v"]).join(ranks("gain", "rg"), ["dim", "gain"])
+    return both.groupBy("dim").agg(F.round(F.corr(F.col("v").cast("double"), "gain"), 6).alias("pearson"), F.round(F.corr("rv", "rg"), 6).alias("spearman"))
+
+
+@query(f"WITH {A.SCORED}, s AS (SELECT *, unnest(['raw', 'gain', 'rubric', 'gated']) AS strategy FROM scored), v AS (SELECT *, CASE strategy WHEN 'raw' THEN -candidate_index WHEN 'gain' THEN gain WHEN 'rubric' THEN norm ELSE norm * greatest(gain, 0) END AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY strategy, example_id ORDER BY score DESC, doc_id) AS k FROM v) SELECT strategy, count(*) AS n, round(avg(rubric), 6) AS rubric, round(avg(gain), 6) AS gain FROM r WHERE k = 1 GROUP BY 1")
+def selection_strategies(spark, d):
+    scores = {"raw": -F.col("candidate_index").cast("double"), "gain": F.col("gain"), "rubric": F.col("norm"), "gated": F.col("norm") * F.greatest("gain", F.lit(0.0))}
+    own = A.scored(spark, d).select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), v.alias("score")) for k, v in scores.items()])).alias("s")).select("*", "s.*")
+    best = core.first_wins(own, ["strategy", "example_id"], [F.desc("score"), F.asc("doc_id")])
+    return best.groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.avg("rubric"), 6).alias("rubric"), F.round(F.avg("gain"), 6).alias("gain"))
+
+
+@query(f"WITH {A.INTER}, u AS (SELECT user_id, count(*) AS c, avg(rating) AS r FROM inter GROUP BY 1), t AS (SELECT *, ntile(3) OVER (ORDER BY c, user_id) AS cohort FROM u) SELECT 'activity' AS kind, CAST(cohort AS INT) AS cohort, count(*) AS n, round(avg(c), 6) AS events, round(avg(r), 6) AS rating FROM t GROUP BY cohort UNION ALL SELECT 'popularity', CAST(cohort AS INT), count(*), round(avg(c), 6), round(avg(r), 6) FROM (SELECT *, ntile(3) OVER (ORDER BY c, item_id) AS cohort FROM (SELECT item_id, count(*) AS c, avg(rating) AS r FROM inter GROUP BY 1)) GROUP BY cohort")
+def cohorts(spark, d):
+    own = A.interactions(spark, d)
+
+    def of(kind: str, key: str) -> DataFrame:
+        n = own.groupBy(key).agg(F.count("*").alias("c"), F.avg("rating").alias("r"))
+        return n.withColumn("cohort", F.ntile(3).over(Window.orderBy("c", key))).groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("events"), F.round(F.avg("r"), 6).alias("rating")).select(F.lit(kind).alias("kind"), "cohort", "n", "events", "rating")
+
+    return of("activity", "user_id").unionByName(of("popularity", "item_id"))
+
+
+@query(f"WITH {A.SCORED}, b AS (SELECT CAST(floor(gain * 50) AS INT) AS band, count(*) AS n, sum(gain) AS g FROM scored GROUP BY 1), c AS (SELECT band, sum(n) OVER (ORDER BY band DESC) AS n, sum(g) OVER (ORDER BY band DESC) AS g FROM b) SELECT band, round(n / (SELECT count(*) FROM scored)::DOUBLE, 6) AS share, round(g, 4) AS gained FROM c")
+def pareto_selective(spark, d):
+    """Share of calls made against gain kept, over bands of gain from high to low."""
+    own = A.scored(spark, d)
+    bands = own.groupBy(F.floor(F.col("gain") * 50).cast("int").alias("band")).agg(F.count("*").alias("n"), F.sum("gain").alias("g"))
+    w = Window.orderBy(F.desc("band"))
+    total = own.count()
+    return bands.select("band", F.round(F.sum("n").over(w) / F.lit(float(total)), 6).alias("share"), F.round(F.sum("g").over(w), 4).alias("gained"))
+
+
+@query(f"WITH {_VEC}, pos AS (SELECT qid, max(score) AS s FROM pairs WHERE ql = vl GROUP BY qid) SELECT p.qid, round(ln(sum(exp((score - s) / 0.05))), 4) AS loss FROM pairs p JOIN pos USING (qid) GROUP BY p.qid, s")
+def infonce_batch(spark, d):
+    p = _dense(spark, d)
+    best = p.filter("ql = vl").groupBy("qid").agg(F.max("score").alias("s"))
+    return p.join(best, "qid").groupBy("qid", "s").agg(F.round(F.ln(F.sum(F.exp((F.col("score") - F.col("s")) / 0.05))), 4).alias("loss")).select("qid", "loss")
+
+
+@query(f"""WITH {_RANK}, nd AS (SELECT count(*) AS m FROM documents), cot AS (SELECT q.user_id, q.target_item_id, q.text || chr(10) || chr(10) || 'Recommendation reasoning:' || chr(10) || {_STRIP('d.text')} AS text FROM q, nd, documents d WHERE d.doc_id = q.user_id % nd.m),
+{_DT('cot', 'user_id')}, cs AS (SELECT user_id, p_name, dot / sqrt((nn * tn)::DOUBLE) AS score FROM (SELECT user_id, p_name, sum(a.tf * b.tf) AS dot FROM cott a JOIN it b USING (tok) GROUP BY 1, 2) JOIN cotn USING (user_id) JOIN itn USING (p_name)),
+co AS (SELECT c.user_id, coalesce(score, 0.0::DOUBLE) AS sim FROM cot c JOIN part ON p_partkey = c.target_item_id LEFT JOIN cs USING (user_id, p_name)),
+cnt AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), br AS (SELECT own.user_id, sim, 1 + coalesce((SELECT sum(n) FROM sc JOIN cnt USING (p_name) WHERE sc.user_id = own.user_id AND sc.score > own.sim), 0) AS r FROM own), cr AS (SELECT co.user_id, sim, 1 + coalesce((SELECT sum(n) FROM cs JOIN cnt USING (p_name) WHERE cs.user_id = co.user_id AND cs.score > co.sim), 0) AS r FROM co)
+SELECT b.user_id, CAST(b.r AS BIGINT) AS baseline_rank, CAST(c.r AS BIGINT) AS cot_rank, round({_NDCG('c.r', 100)} - ({_NDCG('b.r', 100)}), 6) AS cot_gain, round(c.sim - b.sim, 6) AS sim_gain FROM br b JOIN cr c USING (user_id)""")
+def gain_ndcg(spark, d):
+    q, items, docs = _queries(spark, d), _catalogue(spark, d), table(spark, d, "documents").select("doc_id", F.col("text").alias("cot"))
+    n = docs.count()
+    more = q.withColumn("doc_id", F.col("user_id") % n).join(docs, "doc_id").withColumn("text", T.with_reasoning(F.col("text"), F.col("cot")))
+    base, cot = (ranking.lexical_ranks(x.select("user_id", "target_item_id", "text"), items, "user_id", "target_item_id") for x in (q, more))
+    both = base.select("user_id", F.col("rank_strict").alias("baseline_rank"), F.col("sim").alias("b")).join(cot.select("user_id", F.col("rank_strict").alias("cot_rank"), F.col("sim").alias("c")), "user_id")
+    return both.select("user_id", "baseline_rank", "cot_rank", F.round(R.ndcg(F.col("cot_rank"), 100) - R.ndcg(F.col("baseline_rank"), 100), 6).alias("cot_gain"), F.round(F.col("c") - F.col("b"), 6).alias("sim_gain"))
+
+
+# Events
+
+
+@query("SELECT epoch_us(ts) // 3600000000 AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, d):
+    return S.tumbling(table(spark, d, "events"), "1 hour").select((F.unix_timestamp("start") / 3600).cast("long").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY user_id, k")
+def events_sessions(spark, d):
+    return S.sessions(table(spark, d, "events"), "30 minutes").select("user_id", F.unix_micros("start").alias("start_us"), "n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: White space as the scripting language of the data's producers knows it, and words.
 WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD = r"[A-Za-z0-9][A-Za-z0-9'-]*"
+_WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 REASONING_TAGS = ("analysis", "think", "thinking", "thoughts")
 ANSWER_TAGS = ("recommendation", "answer")
 _R, _A = "|".join(REASONING_TAGS), "|".join(ANSWER_TAGS)
@@ -30,7 +31,8 @@ def strip(x: Column) -> Column:
 
 def compact(x: Column, limit: int = 0) -> Column:
     """White space collapsed and trimmed; over the limit, cut with a marker (limit 0: whole)."""
-    own = strip(F.regexp_replace(F.coalesce(x, F.lit("")), rf"{WHITE}+", " "))
+    blanks = F.translate(F.coalesce(x, F.lit("")), _WHITE_CHARS, " " * len(_WHITE_CHARS))
+    own = F.trim(F.regexp_replace(blanks, "  +", " "))
     return truncated(own, limit, 15, " [TRUNCATED]")
 
 

@@ -214,7 +214,7 @@ def decode_coefficients(stream: np.ndarray, starts: np.ndarray, mcus: np.ndarray
             lane, at, now = np.arange(len(live)), base + 1, b
             while len(lane):
                 got, v, now = read(table, now)
-                if got.max() >> 20 and (got & 0xF000).any():
+                if (got & 0xF000).any():
                     at = at + ((got >> 12) & 15)
                 some = (got & 0xF00) != 0
                 if some.all():

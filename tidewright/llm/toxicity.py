@@ -107,7 +107,8 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
     share = ones / n
     score = (hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
     terms = np.unique(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM).hash)
-    chosen = (np.abs(score) >= z) & (np.maximum(hits, df - hits) >= 2) & ~np.isin(values, terms)
+    begun = np.concatenate(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM, HEADS).heads)  # their beginnings stay out
+    chosen = (np.abs(score) >= z) & (np.maximum(hits, df - hits) >= 2) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
     known = np.union1d(values[chosen], terms)
     is_term = np.isin(known, terms)
     at = np.minimum(np.searchsorted(known, every), len(known) - 1)

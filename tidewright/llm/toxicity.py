@@ -126,10 +126,10 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
             if len(present):
                 d[present[k % len(present)]] -= 1
             swaps.append(d)
-    gram = np.array(swaps).T @ np.array(swaps) / len(swaps)
+    gram = np.array(swaps).T @ np.array(swaps) * (len(own_terms) / len(swaps))  # each term weighs about one
     w, b, y = np.zeros(len(known)), float(np.log((weight * toxic).sum() / (weight * (1 - toxic)).sum())), toxic.astype(np.float64)
     mw, mb = np.zeros(len(known)), 0.0
-    step = 4.0 / (0.25 * max(1.0, float((x**2).sum(1).mean())) + penalty + ridge)
+    step = 4.0 / (0.25 * max(1.0, float((x**2).sum(1).mean())) + 3 * penalty + ridge)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         off = weight * (p - y)

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from tidewright.llm.spark_io import id_and_text
 from tidewright.llm.text import ALNUM, slices, words
 
-SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 3_000, 0.3, 4.0, 4.0, 1e-3
+SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 2_500, 0.3, 4.0, 4.0, 1e-3
 #: Lengths, in bytes, of the word beginnings that are features.
 HEADS = (4, 6, 8)
+_BINS = 1 << 20
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 #: Identity terms whose swaps leave a text's toxicity as it is.
 IDENTITY_TERMS = [
@@ -100,19 +101,32 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
     if not 0 < ones < n:
         share = (ones + 0.5) / (n + 1) if n else 0.05
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+    share = ones / n
+
+    def unlikely(hits: np.ndarray, df: np.ndarray) -> np.ndarray:
+        score = (hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
+        return (np.abs(score) >= z) & (np.maximum(hits, df - hits) >= 2)
+
+    # Counts in a hashed table of fixed size first; only features of bins that stand out are gathered.
+    bin_df, bin_hits = np.zeros(_BINS, np.int64), np.zeros(_BINS, np.int64)
+    for own, t in zip(sets, toxic.tolist(), strict=True):
+        b = (own >> np.uint64(44)).astype(np.int64)
+        bin_df[b] += 1
+        bin_hits[b] += t
+    some = unlikely(bin_hits, bin_df)
+    terms = np.unique(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM).hash)
+    some[(terms >> np.uint64(44)).astype(np.int64)] = True
+    sets = [own[some[(own >> np.uint64(44)).astype(np.int64)]] for own in sets]
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(n), list(map(len, sets)))
     values, inverse, df = np.unique(every, return_inverse=True, return_counts=True)
-    hits = np.bincount(inverse, toxic[owner])
-    share = ones / n
-    score = (hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-    terms = np.unique(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM).hash)
+    hits = np.bincount(inverse, toxic[owner], minlength=len(values))
     begun = np.concatenate(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM, HEADS).heads)  # their beginnings stay out
-    chosen = (np.abs(score) >= z) & (np.maximum(hits, df - hits) >= 2) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
+    chosen = unlikely(hits, df) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
     known = np.union1d(values[chosen], terms)
     is_term = np.isin(known, terms)
     at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-    hit = known[at] == every
+    hit = known[at] == every if len(every) else np.zeros(0, bool)
     x = np.zeros((n, len(known)), np.float32)
     x[owner[hit], at[hit]] = 1
     # Counterfactual differences: a term swapped for the next ones, or put in where there is none.
@@ -146,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = marks.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "toxic")
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    found = sorted((r.words, r.toxic) for r in rows.mapInArrow(_features, "toxic int, words binary").collect())
+    found = sorted((r.words, r.toxic) for r in rows.mapInArrow(_features, "toxic int, words binary").toLocalIterator())
     if not found:
         return train([np.zeros(0, np.uint64)], np.zeros(1, np.int64), **how)
     toxic = np.array([t for _, t in found], np.int64)

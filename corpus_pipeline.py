@@ -8,40 +8,31 @@ sf_dir under the same rules as the single queries.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, jaccard, language, queries, toxicity
 from tidewright.llm.spark_io import kept
 from tidewright.sources.tables import table
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
-    found = language.identify(docs, queries.language_model(spark, sf_dir))
-    return _keep(docs, found.filter("not rejected"))
+    return language.recognised(docs, queries.language_model(spark, sf_dir))
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not scored as toxic."""
-    found = toxicity.classify(docs, queries.toxicity_model(spark, sf_dir))
-    return _keep(docs, found.filter("predicted = 0"))
+    return toxicity.civil(docs, queries.toxicity_model(spark, sf_dir))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    found = jaccard.join(docs)
-    return _keep(docs, found.filter("doc_id = component_id"))
+    others = jaccard.join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontaminate.digest(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
-    return _keep(docs, found.filter("not contaminated"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from tidewright.llm.spark_io import id_and_text
 from tidewright.llm.text import _ODD, PIECE, mix, raw, slices
 
 #: Entries that a worker keeps in each of its memos, which are emptied when full.
-CACHE = 250_000
+CACHE = 100_000
 #: Longest word, in bytes, that takes part in the numpy traversal.
 WIDTH = 40
 #: Fixed value: the ByteLevel pattern, white space spelt as the Unicode property.
@@ -443,7 +443,7 @@ def _encode(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _merges(shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 texts = part.column("text").fill_null("")
                 ids, edge = m.encode(texts)
                 column = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
@@ -456,7 +456,7 @@ def _decode(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _merges(shared.value)
         for batch in batches:
-            for part in slices(batch, "ids"):
+            for part in slices(batch, "ids", 2 << 20):
                 data, off = raw(part.column("ids"))
                 ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
                 text = [m.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip((off[:-1] // 4).tolist(), (off[1:] // 4).tolist(), strict=True)]

@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.llm.spark_io import id_and_text, kept
 from tidewright.llm.text import ALNUM, Words, fold, slices, words
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 3, 200_000
-_HITS = "doc_id long, text string, n_words long, starts array<int>, stops array<int>, items array<long>"
+_HITS = "n_words long, starts array<int>, stops array<int>, items array<long>"
 
 
 class Block:
@@ -176,9 +177,10 @@ def _find(block) -> callable:
                         new = [s.tolist(), e.tolist(), np.union1d(np.array(old[2], np.int64), own).tolist()]
                     for o, x in zip(out, new, strict=True):
                         o.append(x)
+                kept = [c for c in part.schema.names if c not in ("n_words", "starts", "stops", "items")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), pa.array(np.diff(w.ptr)), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int64()))],
-                    ["doc_id", "text", "n_words", "starts", "stops", "items"],
+                    [*(part.column(c) for c in kept), pa.array(np.diff(w.ptr)), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int64()))],
+                    [*kept, "n_words", "starts", "stops", "items"],
                 )
 
     return run
@@ -210,30 +212,34 @@ def _blocks(items: DataFrame, window: int, block_windows: int) -> Iterator[list[
         yield now
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, keep_text: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, keep_row: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_words, starts and stops of merged hit spans (in words), items.
 
-    Spans that touch are merged. With keep_text the text follows too.
+    Spans that touch are merged. With keep_row each row also has its text and, as a struct named
+    row, its other columns.
     """
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col)
+    if keep_row:
+        source = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hits = T.StructType(source.schema.fields + T.StructType.fromDDL(_HITS).fields)
     items = kept(id_and_text(benchmark, item_col, item_text_col).mapInArrow(_items, "item_id long, words array<long>"), "items")
     found = source
     for own in _blocks(items, window, block_windows):
         block = Block(own, window, shingle)
         shared = spark.sparkContext.broadcast(block)
-        counts = source.mapInArrow(_count(shared), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
+        counts = source.select("doc_id", "text").mapInArrow(_count(shared), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
         by = {s: np.zeros(len(block.grams[s]), np.int64) for s in block.orders}
         for r in counts:
             by[r["size"]][r["at"]] = r["n"]
         shared.unpersist()
         block.set_prefixes(by)
-        found = found.mapInArrow(_find(spark.sparkContext.broadcast(block)), _HITS)
+        found = found.mapInArrow(_find(spark.sparkContext.broadcast(block)), hits)
     if found is source:
         nothing = Block([], window, shingle)
         nothing.prefix = {}
-        found = found.mapInArrow(_find(spark.sparkContext.broadcast(nothing)), _HITS)
-    return found if keep_text else found.drop("text")
+        found = found.mapInArrow(_find(spark.sparkContext.broadcast(nothing)), hits)
+    return found if keep_row else found.drop("text")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -245,3 +251,9 @@ def digest(found: DataFrame) -> DataFrame:
         .withColumn("items_sha256", F.sha2(F.expr("array_join(array_sort(transform(items, x -> cast(x as string))), ',')"), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns, without a shuffle of texts."""
+    found = digest(contamination(docs, benchmark, id_col=id_col, text_col=text_col, keep_row=True, **how)).filter("not contaminated")
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

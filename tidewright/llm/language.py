@@ -152,22 +152,24 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     return model
 
 
+def _judged(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, of each text."""
+    known = has_letter(texts)
+    if not len(model.centroids):
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    tf = counts(texts)
+    best, cos = model.predict(tf)
+    lang = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+    # Cosines of short texts are low by themselves, about as the root of their length.
+    rejected = ~known | (cos < model.least[best] * np.sqrt(np.minimum(tf.sum(1) / SHORT, 1)))
+    return lang, np.where(known, np.clip(cos, 0, 1), 0.0).astype(np.float64), rejected
+
+
 def _predict(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                texts = part.column("text")
-                known = has_letter(texts)
-                lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                rejected = np.ones(len(texts), bool)
-                if len(model.centroids):
-                    tf = counts(texts)
-                    best, cos = model.predict(tf)
-                    lang = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                    score = np.where(known, np.clip(cos, 0, 1), 0.0).astype(np.float64)
-                    # Cosines of short texts are low by themselves, about as the root of their length.
-                    rejected = ~known | (cos < model.least[best] * np.sqrt(np.minimum(tf.sum(1) / SHORT, 1)))
+                lang, score, rejected = _judged(shared.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run
@@ -177,3 +179,15 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """One row per document row: doc_id, lang_pred, score, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return id_and_text(docs, id_col, text_col).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def recognised(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, 1 << 20):
+                yield part.filter(pa.array(~_judged(shared.value, part.column(text_col))[2]))
+
+    return docs.mapInArrow(run, docs.schema)

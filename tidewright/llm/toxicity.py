@@ -32,6 +32,8 @@ SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 2_500, 0.3, 4.0, 4.0, 1e-3
 #: Lengths, in bytes, of the word beginnings that are features.
 HEADS = (4, 6, 8)
 _BINS = 1 << 20
+#: Features besides the identity terms: those that stand out most.
+FEATURES = 512
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 #: Identity terms whose swaps leave a text's toxicity as it is.
 IDENTITY_TERMS = [
@@ -94,7 +96,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None = None, *, z: float = Z, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 600) -> Model:
+def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None = None, *, z: float = Z, features: int = FEATURES, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 400) -> Model:
     """Fits the model to feature sets and 0/1 labels; weight: of each document."""
     n, ones = len(toxic), int(toxic.sum())
     weight = np.ones(n) if weight is None else weight / weight.mean()
@@ -103,9 +105,10 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     share = ones / n
 
-    def unlikely(hits: np.ndarray, df: np.ndarray) -> np.ndarray:
-        score = (hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-        return (np.abs(score) >= z) & (np.maximum(hits, df - hits) >= 2)
+    def unlikely(hits: np.ndarray, df: np.ndarray, most: int | None = None) -> np.ndarray:
+        score = np.abs(hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
+        good = (score >= z) & (np.maximum(hits, df - hits) >= 2)
+        return good & (score >= np.sort(score[good])[-most]) if most and good.sum() > most else good
 
     # Counts in a hashed table of fixed size first; only features of bins that stand out are gathered.
     bin_df, bin_hits = np.zeros(_BINS, np.int64), np.zeros(_BINS, np.int64)
@@ -122,7 +125,7 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
     values, inverse, df = np.unique(every, return_inverse=True, return_counts=True)
     hits = np.bincount(inverse, toxic[owner], minlength=len(values))
     begun = np.concatenate(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM, HEADS).heads)  # their beginnings stay out
-    chosen = unlikely(hits, df) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
+    chosen = unlikely(hits, df, features) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
     known = np.union1d(values[chosen], terms)
     is_term = np.isin(known, terms)
     at = np.minimum(np.searchsorted(known, every), len(known) - 1)
@@ -183,3 +186,15 @@ def classify(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, id_
     """One row per document row: doc_id, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return id_and_text(docs, id_col, text_col).mapInArrow(_score(shared, threshold), "doc_id long, score double, predicted int")
+
+
+def civil(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs scored below the threshold, with all their columns, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(shared.value.score(part.column(text_col)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -45,12 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.spark_io import id_and_text, kept
-from tidewright.llm.text import SPACED, Words, fold, mix, slices, words
+from tidewright.llm.text import SPACED, Words, fold, mix, slices, trim, words
 
 #: Words of a shingle; link at `percent` hundredths of similarity or more.
 SHINGLE, PERCENT = 5, 75
 #: Counters of the table that orders pivots; entries aimed at per join partition; largest region held at once.
-COUNTERS, ENTRIES, REGION = 1 << 22, 1_000_000, 2048
+COUNTERS, ENTRIES, REGION = 1 << 22, 700_000, 2048
 _PARTS, _UNIT, _SKETCHED = 64, 16384, 128
 _PACKED = ("pivots", "nodes", "sizes", "reaches")
 
@@ -169,12 +169,12 @@ def _deal(shared, shingle: int, percent: int, parts: int) -> callable:
             for part in slices(batch, "text"):
                 for s in shingle_sets(words(part.column("text"), SPACED), shingle):
                     if len(s) and (node := node_of(s)) not in seen:
-                        if len(seen) < 1_000_000:
+                        if len(seen) < 200_000:  # a memo against copies; more are sent and found equal later
                             seen.add(node)
                         own, reach = window(s, ranks, percent)
                         held.append((own, np.full(len(own), node, np.int64), np.full(len(own), len(s), np.uint32), reach))
                         count += len(own)
-                if count > 1_000_000:
+                if count > 500_000:
                     yield flush()
                     held, count = [], 0
         if held:
@@ -241,6 +241,8 @@ def _regions(percent: int) -> callable:
         lead, node = lead[order], node[order]
         first = np.append(True, (lead[1:] != lead[:-1]) | (node[1:] != node[:-1]))
         yield pa.RecordBatch.from_arrays([pa.array(lead[first]), pa.array(node[first])], ["lead", "node"])
+        del pivot, node, size, reach, order, lead, first
+        trim()
 
     return run
 

@@ -7,6 +7,7 @@ words agree with odds of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,6 +37,7 @@ def _word_table(separators) -> np.ndarray:
 SPACED = _word_table([0x20, *range(0x09, 0x0E)])
 ALNUM = _word_table([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -76,6 +78,14 @@ def slices(batch: pa.RecordBatch, name: str, size: int = SLICE) -> Iterator[pa.R
         to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker kept for later tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 class Words(NamedTuple):

@@ -35,7 +35,7 @@ from tidewright.llm.spark_io import id_and_text
 from tidewright.llm.text import _ODD, PIECE, mix, raw, slices
 
 #: Entries that a worker keeps in each of its memos, which are emptied when full.
-CACHE = 100_000
+CACHE = 60_000
 #: Longest word, in bytes, that takes part in the numpy traversal.
 WIDTH = 40
 #: Fixed value: the ByteLevel pattern, white space spelt as the Unicode property.
@@ -67,10 +67,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Merges:
+class Vocabulary:
+    """Bytes of all tokens in one array: what decoding needs."""
+
+    def __init__(self, file_text: str):
+        spec = json.loads(file_text)
+        back = byte_alphabet()
+        tokens = {i: bytes(back[c] for c in s) for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        parts = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.length = np.array(list(map(len, parts)), np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, special tokens included."""
+        return _gather(self.flat, self.begin[ids], self.length[ids])[0].tobytes()
+
+
+class Merges(Vocabulary):
     """A byte-level BPE vocabulary with its merges, and the words encoded so far."""
 
     def __init__(self, file_text: str):
+        super().__init__(file_text)
         spec = json.loads(file_text)
         back = byte_alphabet()
         of = lambda s: bytes(back[c] for c in s)
@@ -112,22 +130,16 @@ class Merges:
             for k in range(n):
                 h = h * self.base + self.value[m[:, k]]
             order = np.argsort(h)
-            bits = np.zeros(1 << 18, bool)
-            bits[(h >> np.uint64(46)).astype(np.int64)] = True
+            bits = np.zeros(1 << 16, bool)
+            bits[(h >> np.uint64(48)).astype(np.int64)] = True
             self.by_length[n] = (h[order], np.array(own, np.int32)[order], bits)
-        size = max(self.bytes) + 1
-        self.length = np.zeros(size, np.int64)
-        for i, b in self.bytes.items():
-            self.length[i] = len(b)
-        self.begin = np.cumsum(self.length) - self.length
-        self.flat = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), np.uint8)
-        self.memo_key = np.full(1 << 20, -1, np.int64)
-        self.memo = np.zeros(1 << 20, bool)
+        self.memo_key = np.full(1 << 18, -1, np.int64)
+        self.memo = np.zeros(1 << 18, bool)
 
     def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """`stays` of many pairs."""
         key = a.astype(np.int64) << 20 | b
-        slot = ((key * 0x2545F4914F6CDD1D) >> 40) & 0xFFFFF
+        slot = ((key * 0x2545F4914F6CDD1D) >> 40) & 0x3FFFF
         new = np.flatnonzero(self.memo_key[slot] != key)
         if len(new):
             u, at = np.unique(key[new], return_inverse=True)
@@ -270,7 +282,7 @@ class Merges:
                         continue
                     known, ids, bits = self.by_length[span]
                     h = hashes[d, rows] - hashes[d - span, rows] * power[span]
-                    maybe = np.flatnonzero(bits[(h >> np.uint64(46)).astype(np.int64)])
+                    maybe = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
                     at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
                     hit = known[at] == h[maybe]
                     maybe, token = maybe[hit], ids[at[hit]]
@@ -421,29 +433,24 @@ class Merges:
         ids, ptr = self.encode_many(words)
         return ptr[np.append(0, np.cumsum(count))], ids
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, special tokens included."""
-        size = self.length[ids]
-        place = np.cumsum(size) - size
-        return self.flat[np.repeat(self.begin[ids] - place, size) + np.arange(int(size.sum()))].tobytes()
-
 
-_loaded: dict[str, Merges] = {}
+_loaded: dict[tuple, Vocabulary] = {}
 
 
-def _merges(file_text: str) -> Merges:
-    key = hashlib.sha256(file_text.encode()).hexdigest()
+def _once(kind: type, file_text: str) -> Vocabulary:
+    """The tables of one file, made once in a worker."""
+    key = (kind, hashlib.sha256(file_text.encode()).hexdigest())
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Merges(file_text)
+        _loaded[key] = kind(file_text)
     return _loaded[key]
 
 
 def _encode(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _merges(shared.value)
+        m = _once(Merges, shared.value)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 texts = part.column("text").fill_null("")
                 ids, edge = m.encode(texts)
                 column = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
@@ -454,9 +461,9 @@ def _encode(shared) -> callable:
 
 def _decode(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _merges(shared.value)
+        m = _once(Vocabulary, shared.value)
         for batch in batches:
-            for part in slices(batch, "ids", 2 << 20):
+            for part in slices(batch, "ids", 1 << 20):
                 data, off = raw(part.column("ids"))
                 ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
                 text = [m.decode(ids[a:b]).decode("utf-8", "replace") for a, b in zip((off[:-1] // 4).tolist(), (off[1:] // 4).tolist(), strict=True)]

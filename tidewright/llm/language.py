@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.spark_io import id_and_text
+from tidewright.llm.spark_io import id_and_text, smallest_hashes
 from tidewright.llm.text import raw, slices
 
 BINS, CLUSTERS, PER_LANGUAGE, REJECT = 4096, 4, 400, 0.25
@@ -124,8 +124,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS, reject: float = REJECT) -> Model:
     """A model of the labelled rows of docs (null languages are left out)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    chosen = smallest_hashes(rows.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_features, "lang string, tf binary")
     by: dict[str, list[np.ndarray]] = {}
     for r in sample.collect():

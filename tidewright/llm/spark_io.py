@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,20 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def id_remainder(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def smallest_hashes(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """The k rows of each group with the smallest hash of their key (ties by key).
+
+    A histogram of hashes (at most 65,536 bins a group, combined map-side) gives the bin in which the
+    k-th row lies; only rows up to that bin are shuffled, so a group of any size costs no task more
+    than k rows and one bin's. Groups must be few (one row for each is broadcast).
+    """
+    h = F.xxhash64(key)
+    own = rows.withColumn("_bin", F.shiftright(h, 48))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bin")) - F.col("_n")
+    bins = own.groupBy(group, "_bin").agg(F.count("*").alias("_n")).withColumn("_before", before)
+    cut = bins.filter(F.col("_before") < k).groupBy(group).agg(F.max("_bin").alias("_cut"))
+    near = own.join(F.broadcast(cut), group).filter("_bin <= _cut")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
+    return near.withColumn("_place", place).filter(F.col("_place") <= k).select(*rows.columns)

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.spark_io import id_and_text
+from tidewright.llm.spark_io import id_and_text, smallest_hashes
 from tidewright.llm.text import ALNUM, slices, words
 
 SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 2_500, 0.3, 4.0, 4.0, 1e-3
@@ -160,8 +160,7 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, **how) -> Model:
     """A model of the documents that labels marks; one label per id (the larger, if they differ)."""
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "toxic")
+    chosen = smallest_hashes(marks, "toxic", "doc_id", sample)
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     found = sorted((r.words, r.toxic) for r in rows.mapInArrow(_features, "toxic int, words binary").toLocalIterator())
     if not found:

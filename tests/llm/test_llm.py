@@ -10,11 +10,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 from tidewright.llm import bpe, chat, decontaminate, jaccard, language, licenses, media, quality, queries, sharding, toxicity
+from tidewright.llm.spark_io import smallest_hashes
 
 SCHEMA = "doc_id long, text string, lang string, node long, members string"
 
@@ -250,3 +252,14 @@ def test_pipeline_equals_its_steps(spark, tmp_path):
     assert {r.doc_id for r in pipeline.run(spark, folder).collect()} == left
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), folder).columns == docs.columns, name
+
+
+def test_smallest_hashes_equal_a_sort(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', if(id = 1, null, 'b')) AS g")
+    got = {(r.g, r.doc_id) for r in smallest_hashes(rows.filter("g is not null"), "g", "doc_id", 40).collect()}
+    want = set()
+    for g in "ab":
+        own = rows.filter(F.col("g") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(40)
+        want |= {(g, r.doc_id) for r in own.collect()}
+    assert got == want and len(got) == 80
+    assert smallest_hashes(rows.limit(0), "g", "doc_id", 40).count() == 0

@@ -1,21 +1,18 @@
 """Quality classifier: interpolated modified Kneser-Ney model on trusted text, and perplexity limits.
 
-The model is of characters: text bytes are mapped to 40 symbols (letters without case, blank, digit,
-stop, other signs, edge of text, and eight classes of bytes beyond ASCII), n-grams have four symbols.
-Counts of all trusted documents are summed map-side and then by n-gram; continuation counts, context
-totals and the discounts (from counts of counts, three per order) are Spark aggregations and joins
-sharded by context or suffix. The table of all 40**4 log-probabilities has a fixed size, so it is
-broadcast, and every document's perplexity comes from one pass over its text without a shuffle.
+The model is of words (see `wordmodel`): its counts grow with the trusted text, are sharded by n-gram,
+and every document's n-grams are joined with them; n_symbols is the number of words.
 
-A word model was ruled out: its documents' n-grams would have to be shuffled to the sharded counts,
-about eight bytes for each word of the corpus, which is more than the disk allowed for this operator.
+`fit` is a model of characters that is kept beside it and not used by `classify`: text bytes are
+mapped to 40 symbols, n-grams have four, and the table of 40**4 log-probabilities has a fixed size,
+so its counts do not grow with the corpus.
 
 Limits are quantiles of the trusted documents' perplexity by language; a document is kept if its
 perplexity is at most its language's limit (times `slack`), or the limit over all trusted documents
 where its language has none.
 
-Edge cases: null or empty text has no symbols, perplexity null, and is not kept; without trusted
-text the model is uniform and everything with text is kept; null languages are one language (`und`);
+Edge cases: null text and text without words have no symbols, perplexity null, and is not kept; without trusted
+text the model is uniform and everything with words is kept; null languages are one language (`und`);
 repeated rows are each scored; other columns are ignored.
 """
 
@@ -28,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import wordmodel
 from tidewright.llm.spark_io import kept
 from tidewright.llm.text import raw, slices
 
@@ -120,20 +118,6 @@ def fit(trusted: DataFrame, *, text_col: str = "text") -> np.ndarray:
     return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def _score(shared) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                g, off = grams(part.column("text"))
-                sums = np.append(0.0, np.cumsum(table[g].astype(np.float64)))
-                n = np.diff(off)
-                mean = (sums[off[1:]] - sums[off[:-1]]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("trusted"), pa.array(n), pa.array(np.where(n > 0, np.exp(-mean), np.nan)).filter(pa.array(np.ones(len(n), bool)))], ["doc_id", "lang", "trusted", "n_symbols", "perplexity"])
-
-    return run
-
-
 def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """One row per document row: doc_id, lang, n_symbols, perplexity, limit, keep.
 
@@ -142,10 +126,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id",
     marks = trusted_ids.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     # Marks grow with the documents, so texts meet them in one shuffle at every size, never by a broadcast.
-    table = fit(source.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left_semi"))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    scored = source.withColumn("trusted", F.lit(False)).mapInArrow(_score(shared), "doc_id long, lang string, trusted boolean, n_symbols long, perplexity double")
-    scored = kept(scored.drop("trusted").withColumn("perplexity", F.nanvl("perplexity", F.lit(None))).join(marks, "doc_id", "left"), "scored")
+    model = wordmodel.fit(source.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left_semi"))
+    scored = kept(wordmodel.score(source, model).join(marks, "doc_id", "left"), "scored")
     own = scored.filter("trusted and perplexity is not null")
     at = lambda: F.percentile_approx("perplexity", quantile, 10_000)
     limits = kept(own.groupBy("lang").agg(at().alias("own")), "limits")

@@ -214,14 +214,30 @@ def hard_negatives(spark, d):
 dr AS (SELECT DISTINCT user_id, first_value(j) OVER (PARTITION BY user_id, i ORDER BY j) AS j, i FROM (SELECT user_id, j, ('0x' || substr(md5(user_id || ':' || j), 1, 12))::BIGINT % m AS i FROM (SELECT DISTINCT user_id FROM inter), range(64) t(j), c)),
 ok AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k FROM dr JOIN ix USING (i) WHERE item_id > 0 AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM seen)) SELECT user_id, string_agg(item_id, ',' ORDER BY k) AS negatives FROM ok WHERE k <= 5 GROUP BY user_id""")
 def random_negatives(spark, d):
-    """Seeded draws (64 for a user) looked up by place in the catalogue; the first five unseen ones."""
+    """Seeded draws (64 for a user) looked up by place in the catalogue; the first five unseen ones.
+
+    Users whose draws hold fewer get the rest from all other unseen items by seeded hash (all, if few).
+    They have seen most of the catalogue, so pairing them with it makes about as many rows as they have.
+    """
     own, cat = A.interactions(spark, d), A.items(spark, d).select("item_id")
     m = cat.count()
     ix = cat.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("i"))
-    draws = own.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")).withColumn("i", F.conv(F.substring(F.md5(F.concat_ws(":", "user_id", "j")), 1, 12), 16, 10).cast("long") % m)
-    draws = draws.groupBy("user_id", "i").agg(F.min("j").alias("j")).join(ix, "i").filter("item_id > 0").join(own.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    first = draws.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("j"))).filter("k <= 5")
-    return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item_id"))), lambda x: x["item_id"].cast("string")), ",").alias("negatives"))
+    users, seen = own.select("user_id").distinct(), own.select("user_id", "item_id").distinct()
+    draws = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")).withColumn("i", F.conv(F.substring(F.md5(F.concat_ws(":", "user_id", "j")), 1, 12), 16, 10).cast("long") % m)
+    draws = draws.groupBy("user_id", "i").agg(F.min("j").alias("j")).join(ix, "i").filter("item_id > 0").join(seen, ["user_id", "item_id"], "left_anti")
+
+    def five(rows, name, *by):
+        top = rows.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(*by))).filter("k <= 5")
+        return top.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item_id"))), lambda x: x["item_id"]).alias(name))
+
+    none = F.array().cast("array<long>")
+    first = users.join(five(draws, "drawn", "j"), "user_id", "left").select("user_id", F.coalesce("drawn", none).alias("drawn"))
+    # Places of the whole catalogue in blocks, so that no task makes all pairs of a user.
+    blocks = first.filter(F.size("drawn") < 5).select("user_id", "drawn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m // 1024).cast("long"))).alias("b")).repartition("user_id", "b")
+    rest = blocks.select("user_id", "drawn", F.explode(F.sequence(F.col("b") * 1024, F.col("b") * 1024 + 1023)).alias("i")).join(ix, "i").filter("item_id > 0 and not array_contains(drawn, item_id)").join(seen, ["user_id", "item_id"], "left_anti")
+    rest = five(rest, "more", F.md5(F.concat_ws(":", "user_id", F.lit("rest"), "item_id")), "item_id")
+    both = first.join(rest, "user_id", "left").select("user_id", F.slice(F.concat("drawn", F.coalesce("more", none)), 1, 5).alias("n")).filter(F.size("n") > 0)
+    return both.select("user_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("negatives"))
 
 
 # Rubric and judging

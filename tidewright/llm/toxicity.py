@@ -3,9 +3,10 @@
 Features of a document are its distinct words and the beginnings of its words (4, 6 and 8 bytes),
 each present in one word or in two or more different ones. Features enter the model when their share
 of toxic training documents differs clearly from the overall share (a z-score), and identity terms
-always do. Training minimises weighted logistic loss, an L2 term and a counterfactual term: in
-labelled documents identity terms are swapped for one another (or put in, where there is none), and
-the squared change of the score is penalised, so that a neutral mention of a group moves no score.
+always do. Training minimises weighted logistic loss, an L2 term and a counterfactual term: in all
+documents of the training sample identity terms are swapped for one another (or put in, where there
+is none), and the squared change of the score is penalised, so that a neutral mention of a group
+moves no score.
 
 Training takes at most `sample` labelled documents of each label (those with the smallest hash of
 their id, whole texts), weighted back to the labels' shares: that is the documented bound of the
@@ -32,8 +33,6 @@ SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 2_500, 0.3, 4.0, 4.0, 1e-3
 #: Lengths, in bytes, of the word beginnings that are features.
 HEADS = (4, 6, 8)
 _BINS = 1 << 20
-#: Features besides the identity terms: those that stand out most.
-FEATURES = 512
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 #: Identity terms whose swaps leave a text's toxicity as it is.
 IDENTITY_TERMS = [
@@ -96,7 +95,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None = None, *, z: float = Z, features: int = FEATURES, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 400) -> Model:
+def swap_gram(n: int, terms: int, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sum of outer products of the counterfactual differences of n documents, and how many there are.
+
+    row, term: which documents hold which terms, by row. In every document a term is swapped for the
+    next ones, or put in where there is none, four times.
+    """
+    gram, ptr = np.zeros((terms, terms)), np.searchsorted(row, np.arange(n + 1))
+    for r in range(n):
+        present = term[ptr[r] : ptr[r + 1]]
+        for k in range(4):
+            put = (7 * r + 13 * k) % terms
+            out = present[k % len(present)] if len(present) else put
+            gram[put, put] += 1
+            if len(present):
+                gram[out, out] += 1
+                gram[put, out] -= 1
+                gram[out, put] -= 1
+    return gram, 4 * n
+
+
+def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None = None, *, z: float = Z, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 400) -> Model:
     """Fits the model to feature sets and 0/1 labels; weight: of each document."""
     n, ones = len(toxic), int(toxic.sum())
     weight = np.ones(n) if weight is None else weight / weight.mean()
@@ -105,10 +124,9 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     share = ones / n
 
-    def unlikely(hits: np.ndarray, df: np.ndarray, most: int | None = None) -> np.ndarray:
+    def unlikely(hits: np.ndarray, df: np.ndarray) -> np.ndarray:
         score = np.abs(hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-        good = (score >= z) & (np.maximum(hits, df - hits) >= 2)
-        return good & (score >= np.sort(score[good])[-most]) if most and good.sum() > most else good
+        return (score >= z) & (np.maximum(hits, df - hits) >= 2)
 
     # Counts in a hashed table of fixed size first; only features of bins that stand out are gathered.
     bin_df, bin_hits = np.zeros(_BINS, np.int64), np.zeros(_BINS, np.int64)
@@ -125,32 +143,23 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
     values, inverse, df = np.unique(every, return_inverse=True, return_counts=True)
     hits = np.bincount(inverse, toxic[owner], minlength=len(values))
     begun = np.concatenate(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM, HEADS).heads)  # their beginnings stay out
-    chosen = unlikely(hits, df, features) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
+    chosen = unlikely(hits, df) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
     known = np.union1d(values[chosen], terms)
     is_term = np.isin(known, terms)
     at = np.minimum(np.searchsorted(known, every), len(known) - 1)
     hit = known[at] == every if len(every) else np.zeros(0, bool)
-    x = np.zeros((n, len(known)), np.float32)
-    x[owner[hit], at[hit]] = 1
-    # Counterfactual differences: a term swapped for the next ones, or put in where there is none.
+    row, at = owner[hit], at[hit]  # the matrix of documents and features, sparse: all its entries are one
     own_terms = np.flatnonzero(is_term)
-    swaps = []
-    for r in range(min(n, 2000)):
-        present = own_terms[x[r, own_terms] > 0]
-        for k in range(4):
-            d = np.zeros(len(known), np.float32)
-            d[own_terms[(7 * r + 13 * k) % len(own_terms)]] += 1
-            if len(present):
-                d[present[k % len(present)]] -= 1
-            swaps.append(d)
-    gram = np.array(swaps).T @ np.array(swaps) * (len(own_terms) / len(swaps))  # each term weighs about one
+    gram, n_swaps = swap_gram(n, len(own_terms), row[is_term[at]], np.searchsorted(own_terms, at[is_term[at]]))
+    gram *= len(own_terms) / n_swaps  # each term weighs about one
     w, b, y = np.zeros(len(known)), float(np.log((weight * toxic).sum() / (weight * (1 - toxic)).sum())), toxic.astype(np.float64)
     mw, mb = np.zeros(len(known)), 0.0
-    step = 4.0 / (0.25 * max(1.0, float((x**2).sum(1).mean())) + 3 * penalty + ridge)
+    step = 4.0 / (0.25 * max(1.0, len(at) / n) + 3 * penalty + ridge)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], minlength=n) + b, -30, 30)))
         off = weight * (p - y)
-        gw = x.T @ off / n + ridge * w + penalty * (gram @ w)
+        gw = np.bincount(at, off[row], minlength=len(w)) / n + ridge * w
+        gw[own_terms] += penalty * (gram @ w[own_terms])
         gb = float(off.mean())
         mw, mb = 0.9 * mw + gw, 0.9 * mb + gb
         w, b = w - 0.1 * step * mw, b - 0.1 * step * mb

@@ -4,8 +4,8 @@ Features are hashed byte trigrams of the lower-cased text, white space, digits a
 taken as one blank; weights are log(1 + count) times inverse document frequency, normalised to
 length one. The centroids of a language are spherical k-means clusters of its training documents.
 A document gets the language of the nearest centroid. It is rejected if it has no letter or lies
-further from it than `reject` says: the share of the distance at which the furthest training
-documents lie.
+further from it than `reject` says: its cosine is below that share of a low quantile (1 %) of the
+cosines of the language's training documents.
 
 The model is fitted on at most `per_language` documents of each language (those with the smallest
 hash of their id, whole texts); `per_language` is the documented bound of the training sample, and
@@ -30,6 +30,9 @@ from tidewright.llm.spark_io import id_and_text, smallest_hashes
 from tidewright.llm.text import raw, slices
 
 BINS, CLUSTERS, PER_LANGUAGE, REJECT = 4096, 4, 400, 0.25
+#: Share of training documents below the cosine that `reject` is a share of, and least share of a
+#: cluster: junk among them sets no limit and makes no centroid.
+LOW = 0.01
 #: Trigrams below which the least cosine is lowered.
 SHORT = 200
 UNKNOWN = "und"
@@ -142,9 +145,12 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
         v = v[np.linalg.norm(v, axis=1) > 0.5]
         if len(v):
             c = fit_centroids(v, clusters)
+            near = (v @ c.T).argmax(1)
+            large = np.bincount(near, minlength=len(c)) >= LOW * len(v)
+            c, v = c[large], v[large[near]]  # a few documents unlike all others make no centroid and set no limit
             centroids.append(c)
             owner += [i] * len(c)
-            least.append(reject * float((v @ c.T).max(1).min()))
+            least.append(reject * float(np.quantile((v @ c.T).max(1), LOW, method="higher")))
         else:
             least.append(0.0)
     model.centroids, model.owner, model.least = np.concatenate(centroids).astype(np.float32), np.array(owner), np.array(least)

@@ -7,7 +7,8 @@ sf_dir under the same rules as the single queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, jaccard, language, queries, toxicity
 from tidewright.llm.spark_io import kept
@@ -25,9 +26,24 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    others = jaccard.join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id (null ids last), then text hash.
+
+    Rows are told apart by id and text, so one id on two texts is two rows, each decided by itself, and
+    rows without an id are rows like others; of rows equal in both, one is kept.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    rows = docs.select(key.alias("key"), "doc_id", "text")
+    groups = jaccard.join(rows, id_col="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    named = kept(rows.groupBy("key", "doc_id").agg(F.count("*").alias("n")).join(groups, "key"), "rows")
+    first = named.groupBy("group").agg(F.min(place).alias("first")).select("first.key")
+    repeated = named.filter("n > 1").select("key")
+    gone = named.select("key").join(first, "key", "left_anti").unionByName(repeated).distinct()
+    marked = docs.withColumn("_key", key)
+    single = marked.join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti")
+    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    again = marked.join(repeated.join(first, "key", "left_semi").withColumnRenamed("key", "_key"), "_key", "left_semi").withColumn("_n", one).filter("_n = 1")
+    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

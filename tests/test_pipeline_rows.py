@@ -1,0 +1,13 @@
+"""near_duplicates decides by row: repeated ids, one id on two texts, null ids."""
+
+import corpus_pipeline as pipeline
+
+
+def test_near_duplicates_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (1, text(1)), (2, text(1)), (2, text(2)), (None, text(1)), (None, text(3)), (None, text(3)), (4, text(4)), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = pipeline.distinct_texts(spark, docs, "")
+    assert got.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    assert found == sorted([(1, text(1)), (2, text(2)), (None, text(3)), (4, text(4)), (5, ""), (6, None)], key=repr)

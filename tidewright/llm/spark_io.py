@@ -10,20 +10,42 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (local runs)."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidewright-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read again: lineage ends here."""
+    """The rows written once to the shared folder and read again: lineage ends here.
+
+    The table goes with `dropped`, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own, system = _hadoop(spark, path)
+    system.deleteOnExit(own)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._kept_path = path
+    return found
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the tables of frames made by `kept` that nothing reads any more."""
+    for df in frames:
+        own, system = _hadoop(df.sparkSession, df._kept_path)
+        system.delete(own, True)
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

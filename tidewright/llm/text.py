@@ -70,12 +70,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts together stay near size bytes (one row at least)."""
+def slices(batch: pa.RecordBatch, name: str, size: int = SLICE, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most so many rows, whose texts together stay near size bytes (one row at least)."""
     _, off = raw(batch.column(name))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
     trim()

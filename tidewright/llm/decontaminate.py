@@ -8,15 +8,19 @@ window). A window is contained in a document only if its rarest shingle is, so:
 2. look up only each window's rarest shingle (its prefix, of length one for full containment) in
    the documents; the shingle's place in the window gives the only start the window can have there,
    and that start must leave the window inside the document (positional and length bounds);
-3. compare every word of the window at that start.
+3. compare the 64-bit hashes of all words of the window at that start.
 
 The documents are never shuffled and results are made row by row, so hot passages, copies and
 repeated rows need no special case. The benchmark is taken in blocks of at most `block_windows`
-windows; only one block is broadcast at a time, so its size has a bound whatever the table's size.
+windows. Each block's hits are written before the next block is broadcast (the last one's are left
+lazy), so one block is held at a time and its size has a bound whatever the table's size. Each block
+costs two more passes over the documents. Counts of a block's shingles, which are as bounded as the
+block, come to the driver as packed arrays, one row for each partition of sums.
 
 Edge cases: null or empty text has no words, no hits and is not contaminated; items without words
-have no window; an empty benchmark hits nothing; equal items all count; repeated document rows each
-get a row; other columns are ignored.
+have no window; an item without an id marks words as hit but is neither counted nor listed; an empty
+benchmark hits nothing; equal items all count; repeated document rows each get a row; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.spark_io import id_and_text, kept
+from tidewright.llm.spark_io import dropped, id_and_text, kept
 from tidewright.llm.text import ALNUM, Words, fold, slices, words
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 3, 200_000
@@ -39,7 +43,7 @@ _HITS = "n_words long, starts array<int>, stops array<int>, items array<long>"
 class Block:
     """Distinct windows of some items, the shingles they hold and, once counted, their prefixes."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], window: int, shingle: int):
         seen: dict[bytes, int] = {}
         rows, owners = [], []
         for item, w in items:
@@ -50,10 +54,11 @@ class Block:
                 if k == len(rows):
                     rows.append(own)
                     owners.append(set())
-                owners[k].add(item)
+                if item is not None:
+                    owners[k].add(item)
         self.rows, self.window = rows, window
         self.owner_ptr = np.cumsum([0, *map(len, owners)])
-        self.owners = np.array([x for o in owners for x in sorted(o)], np.int64)
+        self.owners = np.array([x for o in owners for x in sorted(o)], np.int64)  # windows of items without id have none
         self.sizes = np.array([len(r) for r in rows], np.int64)
         self.matrix = np.zeros((len(rows), window), np.uint64)
         for k, r in enumerate(rows):
@@ -113,6 +118,12 @@ def _count(block) -> callable:
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch as one, with packed columns."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("size", "at", "n")], ["size", "at", "n"])
+
+
 def _verified(w: Words, b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Start (a place among all words) and window of every occurrence."""
     rows = np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr))
@@ -224,17 +235,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         source = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = T.StructType(source.schema.fields + T.StructType.fromDDL(_HITS).fields)
     items = kept(id_and_text(benchmark, item_col, item_text_col).mapInArrow(_items, "item_id long, words array<long>"), "items")
-    found = source
+    found, shared, before = source, None, None
     for own in _blocks(items, window, block_windows):
+        if shared is not None:  # the block before this one is done with
+            now = kept(found, "found")
+            shared.destroy()
+            if before is not None:
+                dropped(before)
+            found = before = now
         block = Block(own, window, shingle)
-        shared = spark.sparkContext.broadcast(block)
-        counts = source.select("doc_id", "text").mapInArrow(_count(shared), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
+        counted = spark.sparkContext.broadcast(block)
+        counts = source.select("doc_id", "text").mapInArrow(_count(counted), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
         by = {s: np.zeros(len(block.grams[s]), np.int64) for s in block.orders}
-        for r in counts:
-            by[r["size"]][r["at"]] = r["n"]
-        shared.unpersist()
+        for r in counts.mapInArrow(_sums, "size binary, at binary, n binary").toLocalIterator():
+            size, at, n = (np.frombuffer(r[c], np.int64) for c in ("size", "at", "n"))
+            for s in block.orders:
+                by[s][at[size == s]] = n[size == s]
+        counted.destroy()
         block.set_prefixes(by)
-        found = found.mapInArrow(_find(spark.sparkContext.broadcast(block)), hits)
+        shared = spark.sparkContext.broadcast(block)
+        found = found.mapInArrow(_find(shared), hits)
     if found is source:
         nothing = Block([], window, shingle)
         nothing.prefix = {}

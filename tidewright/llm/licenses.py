@@ -4,14 +4,18 @@ All rolling word 2-gram hashes of every document are joined, in Spark, to the pl
 hashes in a fixed set of templates (a few hundred rows, so the template side is broadcast). A match
 votes for the diagonal (document place minus template place); a template standing word for word
 puts all its votes on one diagonal, insertions and deletions spread them over neighbouring ones.
-Votes are summed by (document, template, diagonal), neighbouring diagonals of the approximate
-templates are merged, and a span is verified by the share of the template's places that it covers.
-Exact templates (the base phrases) are verified by having every place on one diagonal.
+Votes are summed by (document, template, diagonal). Exact templates (the base phrases) are verified
+by having every place on one diagonal. For the approximate ones, diagonals that lie at most `DRIFT`
+apart are merged, whichever they are, so a merged span is at most that much longer than its template.
+It is verified by its matches: the places of the template that stand in order in the text, on
+those diagonals, must cover a share of the template. (Equality of words rests on 64-bit hashes of
+2-grams.)
 
 Only matches are shuffled, never texts. A sentinel hash put before each document's grams matches
 one template row, so documents without any match keep their row and the table is read once. A
 frequent 2-gram adds map-side work in proportion to its occurrences and no more: votes are combined
-before the shuffle.
+before the shuffle. A document's diagonals come sorted and are streamed, so a task holds `DRIFT + 1`
+of them, however long the document is.
 
 Edge cases: null or empty text has no words, no labels and score 0; a one-word text has no 2-gram;
 repeated rows are kept apart by a row number given at the scan; other columns are ignored.
@@ -19,7 +23,9 @@ repeated rows are kept apart by a row number given at the scan; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +49,8 @@ TEMPLATES = {
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
 
-#: Merged diagonals lie this close; a verified span covers this share of its template's 2-grams.
-NEIGHBOUR, COVERED = 3, 0.7
+#: Merged diagonals lie at most so far apart; a verified span covers this share of its template's 2-grams.
+DRIFT, COVERED = 3, 0.7
 _SENTINEL = -1
 
 
@@ -71,6 +77,8 @@ def templates(spark: SparkSession) -> tuple[DataFrame, list[tuple[str, int, bool
     rows, about = [(_SENTINEL, -1, 0)], []
     for k, (label, t, exact) in enumerate(texts):
         n = len(t.split()) - 1
+        if not 0 < n < 64:
+            raise ValueError(f"a template has 2 to 64 words: {t}")
         about.append((label, n, exact))
     at, h = w.grams(2)
     owner = np.searchsorted(w.ptr, at, "right") - 1
@@ -78,54 +86,71 @@ def templates(spark: SparkSession) -> tuple[DataFrame, list[tuple[str, int, bool
     return spark.createDataFrame(rows, "gram long, template int, place int"), about
 
 
+def in_order(run: Sequence[tuple[int, int]]) -> int:
+    """The most places of a template that stand in order in the text.
+
+    run: (diagonal, bits of the places matched there) of neighbouring diagonals; a place's spot in
+    the text is its diagonal and the place.
+    """
+    ends: list[int] = []  # of the longest chains by length: the earliest spot that a chain of it ends at
+    for place in range(max(bits.bit_length() for _, bits in run)):
+        spots = sorted((d + place for d, bits in run if bits >> place & 1), reverse=True)  # a place counts once
+        for spot in spots:
+            at = bisect_left(ends, spot)
+            ends[at : at + 1] = [spot]
+    return len(ends)
+
+
 def _judge(about: list[tuple[str, int, bool]]):
-    exact = np.array([x[2] for x in about])
-    grams = np.array([x[1] for x in about])
-    labels = [x[0] for x in about]
-
-    def spans(votes: list[dict]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, float]]]:
-        base, others = [], []
-        loose: dict[int, list[tuple[int, int, int, int]]] = {}
-        for v in votes:
-            k = v["template"]
-            if k < 0:
-                continue
-            if exact[k]:
-                if v["votes"] == grams[k]:
-                    base.append((labels[k], v["diagonal"], int(grams[k]) + 1))
-            else:
-                loose.setdefault(k, []).append((v["diagonal"], v["places"]))
-        for k, own in loose.items():
-            own.sort()
-            run: list[tuple[int, int]] = []
-            for d in [*own, None]:
-                if run and (d is None or d[0] - run[-1][0] > NEIGHBOUR):
-                    mask = 0
-                    for _, places in run:
-                        mask |= places
-                    share = mask.bit_count() / int(grams[k])
-                    if share >= COVERED:
-                        others.append((labels[k], run[0][0], share))
-                    run = []
-                if d is not None:
-                    run.append(d)
-        return base, others
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (uid, doc_id, n_words, template, diagonal, votes, places), sorted; one row for each uid comes out."""
+        uid, template, state, rows = None, None, None, []
+        near: deque[tuple[int, int]] = deque()
+
+        def row() -> tuple:
+            doc_id, n_words, n, first, last, base, others, score = state
+            return (doc_id, n_words, n, first, last, ",".join(sorted(base)), ",".join(sorted(base | others)), score)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            out = {c: [] for c in ("n_base", "first_word", "last_word", "base_labels", "labels", "score")}
-            for votes in batch.column("votes").to_pylist():
-                base, others = spans(votes)
-                starts = [s for _, s, _ in base]
-                out["n_base"].append(len(base))
-                out["first_word"].append(min(starts, default=None))
-                out["last_word"].append(max(starts, default=None))
-                own = {x for x, _, _ in base}
-                out["base_labels"].append(",".join(sorted(own)))
-                out["labels"].append(",".join(sorted(own | {x for x, _, _ in others})))
-                out["score"].append(max([1.0] * bool(base) + [min(1.0, x) for _, _, x in others], default=0.0))
-            kinds = {"n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "score": pa.float64()}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(v, kinds.get(c, pa.string())) for c, v in out.items())], ["doc_id", "n_words", *out])
+            for own, doc_id, n_words, k, diagonal, votes, places in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "n_words", "template", "diagonal", "votes", "places")), strict=True):
+                if own != uid:
+                    if state is not None:
+                        rows.append(row())
+                    uid, template, state = own, None, [doc_id, n_words, 0, None, None, set(), set(), 0.0]
+                if k < 0:
+                    continue
+                label, grams, exact = about[k]
+                if exact:
+                    if votes == grams:
+                        state[2] += 1
+                        state[3], state[4] = diagonal if state[3] is None else min(state[3], diagonal), diagonal if state[4] is None else max(state[4], diagonal)
+                        state[5].add(label)
+                        state[7] = 1.0
+                    continue
+                if k != template:
+                    template = k
+                    near.clear()
+                near.append((diagonal, places))
+                while diagonal - near[0][0] > DRIFT:
+                    near.popleft()
+                mask = 0
+                for _, bits in near:
+                    mask |= bits
+                if mask.bit_count() >= COVERED * grams and (share := in_order(near) / grams) >= COVERED:
+                    state[6].add(label)
+                    state[7] = max(state[7], share)
+            if len(rows) > 5000:
+                yield out()
+                rows = []
+        if state is not None:
+            rows.append(row())
+            yield out()
 
     return run
 
@@ -142,5 +167,5 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         .groupBy("uid", "doc_id", "n_words", "template", "diagonal")
         .agg(F.count("*").cast("int").alias("votes"), F.bit_or("bit").alias("places"))
     )
-    by_doc = diagonal.groupBy("uid", "doc_id", "n_words").agg(F.collect_list(F.struct("template", "diagonal", "votes", "places")).alias("votes"))
+    by_doc = diagonal.repartition("uid").sortWithinPartitions("uid", "template", "diagonal")
     return by_doc.mapInArrow(_judge(about), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

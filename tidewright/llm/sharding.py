@@ -5,15 +5,16 @@ large for a shard is cut by doc_id. Splitters are found without sorting: each ro
 all partitions, the exact bytes and rows below a fixed number of candidate keys, keeps for each
 splitter the two probes around its target and puts new probes between them, until every splitter
 is exact: the first key at which the bytes below reach the target, so that the error is less than
-the bytes of one key. Then the rows are exchanged once, by cells between neighbouring probes: many
-small cells per shard, so the last step is as parallel as the data and a shard needs no single task.
+the bytes of one key. Cells between neighbouring probes that hold more than `cell_rows` rows (or a
+sixteenth of a shard's, if that is less) are probed on in the same way, until each holds fewer or is
+a single key. Then the rows are exchanged once, by these cells, so a shard needs no single task.
 A row's slot is the number of rows in earlier cells of its shard plus its place in its cell.
 
 Only per-partition histograms (a fixed number of probes) are shuffled before the exchange, and rows
 are narrow from the first step on; texts never move.
 
 Edge cases: null text has size 8, crc 0; empty shards may arise when there are fewer keys than
-shards; rows that repeat both id and text are one key and stay in one shard; a null doc_id sorts
+shards; rows that repeat both id and text are one key and stay in one cell and shard; a null doc_id sorts
 before all others; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.spark_io import id_and_text, kept
 
-SHARDS, PROBES = 24, 96
+SHARDS, PROBES, CELL_ROWS = 24, 96, 1 << 20
 _HALF = 1 << 63
 
 
@@ -85,14 +86,14 @@ def _counted(rows: DataFrame, keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return n, b
 
 
-def splitters(rows: DataFrame, shards: int, probes: int) -> tuple[list[int], list[int]]:
-    """Keys (crc << 64 | shifted id) at which shards 1, 2, ... begin, and all keys that were probed.
+def splitters(rows: DataFrame, shards: int, probes: int, cell_rows: int = CELL_ROWS) -> tuple[list[int], list[int], np.ndarray]:
+    """Keys (crc << 64 | shifted id) at which shards 1, 2, ... begin, all keys that were probed, and the rows between them.
 
     Shard s begins at the first key with at least s / shards of all bytes below the next key's start.
     """
     low, high, total = rows.agg(F.min("ord"), F.max("ord"), F.sum("size")).first()
     if total is None:
-        return [], []
+        return [], [], np.zeros(1, np.int64)
     low, span = low + _HALF, high - low + 1
     # Keys are numbered densely: crc * span + (id - smallest id), so that rounds halve no empty room.
     dense = lambda x: (x // span) << 64 | (low + x % span)
@@ -119,7 +120,17 @@ def splitters(rows: DataFrame, shards: int, probes: int) -> tuple[list[int], lis
     for s, p in enumerate(bracket, 1):
         near = min(p, key=lambda x: abs(below.get(x, 0 if x == 0 else total) * shards - s * total))
         cut.append(max(near, cut[-1] if cut else 0))
-    return [dense(x) for x in cut], [dense(x) for x in sorted(tried | set(cut))]
+    # Cells that are still large: more probes inside, as many as a cell of evenly spread keys needs.
+    while True:
+        own = sorted(tried | set(cut))
+        n, _ = _counted(rows, [dense(x) for x in own])
+        edges = [0, *own, top]
+        most = max(1, min(cell_rows, int(n.sum()) // (16 * shards)))
+        more = {a + (b - a) * i // k for a, b, k in ((edges[j], edges[j + 1], min(probes, 2 + 2 * int(n[j]) // most)) for j in np.flatnonzero(n > most).tolist()) for i in range(1, k) if b - a > 1}
+        more -= {0, *own}
+        if not more:
+            return [dense(x) for x in cut], [dense(x) for x in own], n
+        tried |= more
 
 
 def _assign(probes: np.ndarray) -> callable:
@@ -131,12 +142,11 @@ def _assign(probes: np.ndarray) -> callable:
     return run
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, probes: int = PROBES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, *, shards: int = SHARDS, probes: int = PROBES, cell_rows: int = CELL_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     spark = docs.sparkSession
     rows = kept(sizes(docs, id_col=id_col, text_col=text_col), "sizes")
-    cut, tried = splitters(rows, shards, probes)
-    n, _ = _counted(rows, tried)
+    cut, tried, n = splitters(rows, shards, probes, cell_rows)
     owner = np.searchsorted(np.array(cut, object), np.array([0, *tried], object), "right") if cut else np.zeros(1, np.int64)
     first = np.cumsum(n) - n
     begin = {int(s): int(first[np.flatnonzero(owner == s)[0]]) for s in np.unique(owner)}

@@ -36,6 +36,8 @@ LOW = 0.01
 #: Trigrams below which the least cosine is lowered.
 SHORT = 200
 UNKNOWN = "und"
+#: Rows whose counts (BINS numbers each) are held at once.
+ROWS = 512
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -119,7 +121,7 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", 1 << 20, ROWS):
             tf = np.minimum(counts(part.column("text")), 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in tf], pa.binary())], ["lang", "tf"])
 
@@ -128,7 +130,8 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     """A model of the labelled rows of docs (null languages are left out)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     chosen = smallest_hashes(rows.select("doc_id", "lang"), "lang", "doc_id", per_language).distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_features, "lang string, tf binary")
+    # One text of an id that is repeated, so that the sample's bound holds whatever the ids are.
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text").mapInArrow(_features, "lang string, tf binary")
     by: dict[str, list[np.ndarray]] = {}
     for r in sample.collect():
         by.setdefault(r.lang, []).append(np.frombuffer(r.tf, np.uint16).astype(np.float32))
@@ -173,7 +176,7 @@ def _judged(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nd
 def _predict(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 20, ROWS):
                 lang, score, rejected = _judged(shared.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -192,7 +195,7 @@ def recognised(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col, 1 << 20, ROWS):
                 yield part.filter(pa.array(~_judged(shared.value, part.column(text_col))[2]))
 
     return docs.mapInArrow(run, docs.schema)

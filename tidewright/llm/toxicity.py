@@ -170,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """A model of the documents that labels marks; one label per id (the larger, if they differ)."""
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = smallest_hashes(marks, "toxic", "doc_id", sample)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    # One text of an id that is repeated, so that the sample's bound holds whatever the ids are.
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     found = sorted((r.words, r.toxic) for r in rows.mapInArrow(_features, "toxic int, words binary").toLocalIterator())
     if not found:
         return train([np.zeros(0, np.uint64)], np.zeros(1, np.int64), **how)

@@ -7,7 +7,8 @@ vocabulary for which the encoding of what stands before it ends in a token that
 list with each word's common prefix with the one before; last-token states are carried from each
 node to its children, so a prefix shared by many words is worked out once, and a word's tokens are
 read off by stepping back along its path. All branches advance together, byte by byte, in numpy;
-the few words longer than `WIDTH` bytes are walked depth first, one after another, with a stack.
+words longer than `WIDTH` bytes, which share little, are walked by themselves: the vocabulary's tokens
+that end at each byte are found in numpy, and the states then follow byte after byte.
 
 Texts are cut first at single blanks between other characters, since such a blank always begins a
 piece; each distinct chunk of a slice is then cut by the ByteLevel pattern. Special tokens that
@@ -24,12 +25,12 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.spark_io import id_and_text
 from tidewright.llm.text import _ODD, PIECE, mix, raw, slices
@@ -90,6 +91,9 @@ class Merges(Vocabulary):
     def __init__(self, file_text: str):
         super().__init__(file_text)
         spec = json.loads(file_text)
+        cut = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("the tokenizer file isn't a plain byte-level BPE: texts would be cut otherwise than here")
         back = byte_alphabet()
         of = lambda s: bytes(back[c] for c in s)
         vocab = spec["model"]["vocab"]
@@ -122,7 +126,7 @@ class Merges(Vocabulary):
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths: dict[int, list[int]] = {}
         for b, i in self.id.items():
-            if len(b) <= WIDTH and self.whole(i):
+            if self.whole(i):
                 lengths.setdefault(len(b), []).append(i)
         for n, own in lengths.items():
             m = np.frombuffer(b"".join(self.bytes[i] for i in own), np.uint8).reshape(-1, n)
@@ -246,8 +250,8 @@ class Merges(Vocabulary):
                 out.append(np.array([self.special[span]], "<u4").tobytes())
             else:
                 pieces = self.pattern.findall(span)
-                self.encode_words(sorted({p for p in pieces if p not in self.words}))
-                out += map(self.words.__getitem__, pieces)
+                self.encode_words(sorted({p for p in pieces if len(p) <= WIDTH and p not in self.words}))
+                out += [self.words[p] if len(p) <= WIDTH else self._long(p.encode()) for p in pieces]
                 if len(self.words) > CACHE:
                     self.words.clear()
         return b"".join(out)
@@ -317,12 +321,42 @@ class Merges(Vocabulary):
         return out, np.append(0, ends)
 
     def _long(self, word: bytes) -> bytes:
-        text = word.decode()
-        if text not in self.words:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            self.encode_words([text])
-        return self.words[text]
+        """Ids of one word of any length."""
+        data = np.frombuffer(word, np.uint8)
+        n, block = len(word), 1 << 18
+        last = np.full(n + 1, -1, np.int32)
+        spans = sorted(self.by_length)
+        for low in range(0, n, block):  # ends in (low, high]
+            high, start = min(n, low + block), max(0, low - spans[-1] + 1)
+            v = self.value[data[start:high]]
+            h, ends, tokens, sizes = np.zeros(len(v), np.uint64), [], [], []
+            for span in range(1, min(spans[-1], high) + 1):
+                h = h[: len(v) - span + 1] * self.base + v[span - 1 :]
+                if span in self.by_length:
+                    known, ids, bits = self.by_length[span]
+                    maybe = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
+                    maybe = maybe[maybe + start + span > low]
+                    at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+                    hit = known[at] == h[maybe]
+                    ends.append(maybe[hit] + start + span)
+                    tokens.append(ids[at[hit]])
+                    sizes.append(np.full(int(hit.sum()), span))
+            end, token, size = map(np.concatenate, (ends, tokens, sizes))
+            order = np.lexsort((-size, end))
+            state = last[: low + 1][-spans[-1] :].tolist()  # of the places before, up to the longest token
+            offset = low + 1 - len(state)
+            for e, t, z in zip(end[order].tolist(), token[order].tolist(), size[order].tolist(), strict=True):
+                at = e - offset
+                if len(state) <= at and (e == z or self.stays(state[at - z], t)):
+                    state.append(t)
+            if len(state) != high + 1 - offset:
+                raise ValueError("the vocabulary lacks a byte")
+            last[offset : high + 1] = state
+        out, at = [], n
+        while at:
+            out.append(int(last[at]))
+            at -= int(self.length[out[-1]])
+        return np.array(out[::-1], "<u4").tobytes()
 
     def _chunks(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins of all chunks and their hashes."""
@@ -484,6 +518,16 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     return id_and_text(docs, id_col, text_col).mapInArrow(_encode(shared), "doc_id long, ids binary")
 
 
+def counter(spark: SparkSession, tokenizer: str) -> Callable[[pa.Array], np.ndarray]:
+    """A function from a column of texts to their numbers of tokens, to be called in tasks."""
+    shared = spark.sparkContext.broadcast(tokenizer)
+
+    def count(texts: pa.Array) -> np.ndarray:
+        return np.diff(_once(Merges, shared.value).encode(texts)[1])
+
+    return count
+
+
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids and the decoded text."""
     shared = encoded.sparkSession.sparkContext.broadcast(tokenizer)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +10,8 @@ from tidewright.llm import bpe, chat, decontaminate, jaccard, language, licenses
 from tidewright.llm.spark_io import id_remainder
 from tidewright.sources.tables import table
 
-#: Tokenizer file of op3; the environment may name another.
-TOKENIZER = os.environ.get("TIDEWRIGHT_BPE_FILE", "/opt/tokenizers/byte_bpe_50k.json")
+#: Tokenizer file of op3.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Conversation -7 of op1.
 EXAMPLE = r"\### Assistant: </turn> ok"
 
@@ -20,7 +19,7 @@ EXAMPLE = r"\### Assistant: </turn> ok"
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", EXAMPLE), (-7, 1, "assistant", EXAMPLE)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_chats(turns.unionByName(extra)))
+    return chat.digests(chat.format_chats(turns.unionByName(extra), count=bpe.counter(spark, bpe.tokenizer_text(TOKENIZER))))
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> language.Model:

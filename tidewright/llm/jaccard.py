@@ -19,20 +19,30 @@ triangle inequality two members link only if their distances to the pivot differ
 distance at most, so the rest meets only the core's boundary, and falls into parts wherever the
 distances leave a wider gap; each part is joined recursively around a new pivot, and at last, where
 a pivot no longer divides it, by counting common shingles of all its members at once. Regions that
-have the same first pivot document are joined as one. Regions larger than `region` members are dealt
-as pairs of blocks, so one task never holds more; only links that join two components are given out.
+have the same first pivot document are joined as one.
+
+Regions of more than `region` members are divided in Spark by the same rule, round after round: all
+members meet their region's pivot in a join (the pivot's side salted, so no task has a region's
+members), the core is linked and left, and what remains is dealt into rings as wide as the link
+distance by distance from the pivot, each member into its own ring and the next, so that any two
+that may link share a ring. Rings are regions of the next round. Where a round leaves more than half
+of a region's members in a ring (many unrelated documents that share frequent passages), the ring
+is dealt as pairs of blocks instead, so one task never holds more than `region` members; only links
+that join two components are given out.
 
 Shuffles. Node and pivot hashes travel in packed arrays, one row per batch and target partition.
 Nodes that share a region with another are first compared by sketches (bitmaps that bound how much
 two sets can share, about a thirtieth of a set's size); sets are built from the text and sent only
 for nodes that are left, in the regions where they are left. Components
 are found by large-star and small-star steps over the links, in Spark, each step written to the
-shared folder; nothing that grows with the documents comes to the driver.
+shared folder; nothing that grows with the documents comes to the driver. What is still one task's:
+the 22-byte entries of one pivot shingle, distinct sets only, while its region is formed.
 
 Edge cases: null, empty or blank text has an empty set, no links and itself as component; fewer
-words than a shingle make one shingle; repeated rows are rows like others (equal texts link); ties
-between pivots of equal rank are broken by hash; an empty table gives no rows; other columns are
-ignored.
+words than a shingle make one shingle; repeated rows are rows like others (equal texts link); a null
+id is the largest: rows without one link like others, and their component is null where no row in it
+has an id; ties between pivots of equal rank are broken by hash; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +61,7 @@ from tidewright.llm.text import SPACED, Words, fold, mix, slices, trim, words
 SHINGLE, PERCENT = 5, 75
 #: Counters of the table that orders pivots; entries aimed at per join partition; largest region held at once.
 COUNTERS, ENTRIES, REGION = 1 << 22, 700_000, 2048
-_PARTS, _UNIT, _SKETCHED = 64, 16384, 128
+_PARTS, _UNIT, _SKETCHED, _SALTS = 64, 16384, 128, 16
 _PACKED = ("pivots", "nodes", "sizes", "reaches")
 
 
@@ -77,11 +87,11 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _measure(shingle: int) -> callable:
-    """Rows of documents (part -1: doc_id, n_shingles, node) and, last, of the task's counter table."""
+    """Rows of documents (part -1: doc_id, key, n_shingles, node) and, last, of the task's counter table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, np.uint32)
-        names = ["part", "doc_id", "n_shingles", "node", "counts"]
+        names = ["part", "doc_id", "key", "n_shingles", "node", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(words(part.column("text"), SPACED), shingle)
@@ -89,12 +99,12 @@ def _measure(shingle: int) -> callable:
                 table += np.bincount((every >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, -1, np.int32)), part.column("doc_id"), pa.array(np.array(list(map(len, sets)), np.int64)), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.binary())], names
+                    [pa.array(np.full(n, -1, np.int32)), part.column("doc_id"), part.column("key"), pa.array(np.array(list(map(len, sets)), np.int64)), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.binary())], names
                 )
         if table.any():
             blocks = table.reshape(_PARTS, -1)
             none = pa.nulls(_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PARTS, dtype=np.int32)), none, none, none, pa.array([_packed(b) for b in blocks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PARTS, dtype=np.int32)), none, none, none, none, pa.array([_packed(b) for b in blocks], pa.binary())], names)
 
     return run
 
@@ -271,18 +281,26 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _texts(shared, shingle: int, whole: bool) -> callable:
-    """Node and set (or sketch) of documents whose id may be wanted, by a bitmap of fixed size."""
+    """Node and set (or sketch) of documents whose key may be wanted, by a bitmap of fixed size; copies mostly once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8))
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = wanted[(mix(ids.view(np.uint64)) % np.uint64(len(wanted))).astype(np.int64)] > 0
+            keys = batch.column("key").to_numpy()
+            keep = wanted[(mix(keys.view(np.uint64)) % np.uint64(len(wanted))).astype(np.int64)] > 0
             own = batch.filter(pa.array(keep))
             for part in slices(own, "text"):
                 sets = shingle_sets(words(part.column("text"), SPACED), shingle)
+                named = [(k, node_of(s)) if len(s) else None for k, s in zip(part.column("key").to_pylist(), sets, strict=True)]
+                fresh = []
+                for i, x in enumerate(named):
+                    if x is not None and x not in seen:
+                        fresh.append(i)
+                        if len(seen) < 200_000:
+                            seen.add(x)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() if whole else sketch(s) for s in sets], pa.binary())], ["doc_id", "node", "members"]
+                    [pa.array([named[i][0] for i in fresh], pa.int64()), pa.array([named[i][1] for i in fresh], pa.int64()), pa.array([sets[i].tobytes() if whole else sketch(sets[i]) for i in fresh], pa.binary())], ["key", "node", "members"]
                 )
 
     return run
@@ -294,7 +312,7 @@ def _wanted(source: DataFrame, nodes: DataFrame, shingle: int, whole: bool) -> D
     for r in nodes.mapInArrow(_bitmap(len(bits)), "bits binary").toLocalIterator():
         bits |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
     shared = source.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-    return source.mapInArrow(_texts(shared, shingle, whole), "doc_id long, node long, members binary").join(nodes, ["node", "doc_id"]).select("node", "n_shingles", "members")
+    return source.mapInArrow(_texts(shared, shingle, whole), "key long, node long, members binary").join(nodes, ["node", "key"]).select("node", "n_shingles", "members")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -317,6 +335,53 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _distances(percent: int) -> callable:
+    """(lead, node, near, d) of members (lead, node, members) that stand beside their region's pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch.column("members"), batch.column("pivot"), strict=True)):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                union = len(a) + len(b) - common
+                near[i], far[i] = 100 * common >= percent * union, 1 - common / union
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("node"), pa.array(near), pa.array(far)], ["lead", "node", "near", "d"])
+
+    return run
+
+
+def divided(members: DataFrame, sets_of, region: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, regions, stubborn): what large regions come to when they are divided around pivots.
+
+    members (lead, node): regions of more than `region` members, each with its lead; sets_of gives
+    node, n_shingles and members of the nodes of a frame. regions and stubborn (lead, node) are what is left:
+    regions of at most `region` members, and larger ones that pivots don't divide.
+    """
+    reach, spark = 1 - percent / 100, members.sparkSession
+    links, small, stubborn = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "lead long, node long"), spark.createDataFrame([], "lead long, node long")
+    now, sets = members, kept(sets_of(members.select("node").distinct()).select("node", "members"), "sets")
+    while True:
+        salted = now.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)))
+        pivots = now.groupBy("lead").agg(F.count("*").alias("before")).join(sets.select(F.col("node").alias("lead"), F.col("members").alias("pivot")), "lead")
+        beside = salted.join(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), ["lead", "salt"])
+        seen = kept(beside.select("lead", "node", "members", "pivot").mapInArrow(_distances(percent), "lead long, node long, near boolean, d double"), "distances")
+        links = links.unionByName(seen.filter("near and lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+        edge = seen.groupBy("lead").agg(F.min(F.when(~F.col("near"), F.col("d"))).alias("first"), F.count("*").alias("before"))
+        left = seen.join(edge.filter("first is not null"), "lead").filter((F.col("node") != F.col("lead")) & (~F.col("near") | (F.col("d") >= F.col("first") - reach - 1e-9)))
+        ring = F.floor(F.col("d") / (reach + 1e-9))
+        rings = left.select("lead", "node", "d", "near", "before", F.explode(F.array(ring, ring + 1)).alias("ring"))
+        # A ring's pivot is its member nearest to the ring's middle that isn't in the core, so that it divides.
+        named = rings.groupBy("lead", "ring").agg(F.count("*").alias("n"), F.max("before").alias("before"), F.max_by("node", F.struct(~F.col("near"), -F.abs(F.col("d") - F.col("ring") * reach), "node")).alias("next"), F.count_if(~F.col("near")).alias("out")).filter("n > 1 and out > 0")
+        dealt = kept(rings.select("lead", "node", "ring").join(named.drop("before").join(edge.select("lead", "before"), "lead"), ["lead", "ring"]).select(F.xxhash64("lead", "ring", "next").alias("id"), "next", "node", "n", "before"), "rings")
+        small = small.unionByName(dealt.filter(F.col("n") <= region).select(F.col("id").alias("lead"), "node"))
+        stubborn = stubborn.unionByName(dealt.filter((F.col("n") > region) & (2 * F.col("n") > F.col("before"))).select(F.col("id").alias("lead"), "node"))
+        # Rings with the same next pivot are joined as one region.
+        now = dealt.filter((F.col("n") > region) & (2 * F.col("n") <= F.col("before"))).select(F.col("next").alias("lead"), "node").distinct()
+        if now.isEmpty():
+            return links, small, stubborn
+
+
 def _by_region(rows: DataFrame) -> DataFrame:
     return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
 
@@ -437,7 +502,7 @@ def _join(percent: int) -> callable:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) for all nodes of links (a, b).
+    """node and root (the smallest node of its component, which is its own) for all nodes of links (a, b).
 
     Large-star and small-star steps until nothing changes; each step is a group-by with map-side
     minima and a join on the grouped node, so a node with very many links is no single task's group.
@@ -458,44 +523,54 @@ def components(links: DataFrame) -> DataFrame:
         if (n, total) == before or n == 0:
             break
         before = (n, total)
-    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    found = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, region: int = REGION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    source = id_and_text(docs, id_col, text_col)
-    measured = kept(source.mapInArrow(_measure(shingle), "part int, doc_id long, n_shingles long, node long, counts binary"), "measured")
-    meta = measured.filter("part = -1").select("doc_id", "n_shingles", "node")
+    # Sets are built again from one row of each node, found by its key: the id, or the text's hash where there is none.
+    source = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    measured = kept(source.mapInArrow(_measure(shingle), "part int, doc_id long, key long, n_shingles long, node long, counts binary"), "measured")
+    meta = measured.filter("part = -1").select("doc_id", "key", "n_shingles", "node")
     table = np.zeros(COUNTERS, np.int64).reshape(_PARTS, -1)
     for r in measured.filter("part >= 0").select("part", "counts").mapInArrow(_add_tables, "part int, counts binary").repartition("part").mapInArrow(_add_tables, "part int, counts binary").collect():
         table[r.part] += _unpacked(r.counts)
     ranks = spark.sparkContext.broadcast(pivot_ranks(table.reshape(-1)))
     entries = meta.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // ENTRIES))
-    dealt = source.mapInArrow(_deal(ranks, shingle, percent, parts), "part int, pivots binary, nodes binary, sizes binary, reaches binary").repartition(parts, "part")
+    dealt = source.select("text").mapInArrow(_deal(ranks, shingle, percent, parts), "part int, pivots binary, nodes binary, sizes binary, reaches binary").repartition(parts, "part")
     members = kept(dealt.mapInArrow(_regions(percent), "lead long, node long").distinct(), "members")
 
-    nodes = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
-    sketches = _wanted(source, kept(members.select("node").distinct().join(nodes, "node"), "wanted"), shingle, False)
+    nodes = meta.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min("n_shingles").alias("n_shingles"))
+    keyed = nodes.select("node", "key", "n_shingles")
+    large = members.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > region).select("lead")
+    sketches = _wanted(source, kept(members.select("node").distinct().join(keyed, "node"), "wanted"), shingle, False)
+    links = spark.createDataFrame([], "a long, b long")
+    if not large.isEmpty():
+        sets_of = lambda some: _wanted(source, kept(some.join(keyed, "node"), "wanted"), shingle, True)
+        links, divided_up, stubborn = divided(members.join(large, "lead", "left_semi"), sets_of, region, percent)
+        members = members.join(large, "lead", "left_anti").unionByName(divided_up).unionByName(stubborn)
     left = kept(_by_region(dealt_blocks(members, region).join(sketches, "node")).mapInArrow(_prune(percent), "lead long, i int, j int, node long"), "left")
-    sets = _wanted(source, kept(left.select("node").distinct().join(nodes, "node"), "wanted"), shingle, True)
-    links = _by_region(left.join(sets, "node").select("lead", "i", "j", "node", "members")).mapInArrow(_join(percent), "a long, b long")
-    found = components(links)
-
-    named = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.join(smallest, "root").select("node", "component_id")
-    out = meta.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+    sets = _wanted(source, kept(left.select("node").distinct().join(keyed, "node"), "wanted"), shingle, True)
+    inside = _by_region(left.join(sets, "node").select("lead", "i", "j", "node", "members")).mapInArrow(_join(percent), "a long, b long")
+    found = components(links.unionByName(inside))
+
+    # Only linked nodes have a root other than themselves; the roots' side is salted, so a large component is no task's group.
+    linked = nodes.select("node", "doc_id").join(found, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)))
+    smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    by_root = linked.join(smallest, ["root", "salt"]).select("node", F.col("component_id").alias("linked_id"))
+    by_node = nodes.select("node", F.col("doc_id").alias("same_id")).join(by_root, "node", "left").select("node", F.coalesce("linked_id", "same_id").alias("component_id"))
+    some = meta.filter("node is not null").join(by_node, "node").select("doc_id", "n_shingles", "component_id")
+    return some.unionByName(meta.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _bitmap(size: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            bits[(mix(ids.view(np.uint64)) % np.uint64(size)).astype(np.int64)] = True
+            bits[(mix(batch.column("key").to_numpy().view(np.uint64)) % np.uint64(size)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     return run

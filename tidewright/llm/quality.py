@@ -3,13 +3,13 @@
 The model is of words (see `wordmodel`): its counts grow with the trusted text, are sharded by n-gram,
 and every document's n-grams are joined with them; n_symbols is the number of words.
 
-`fit` is a model of characters that is kept beside it and not used by `classify`: text bytes are
-mapped to 40 symbols, n-grams have four, and the table of 40**4 log-probabilities has a fixed size,
-so its counts do not grow with the corpus.
+One trusted document in `held_out` (by a hash of its id) is kept out of the counts. Limits are
+quantiles of the perplexity of those by language, so they are not of text that the model has seen; a
+document is kept if its perplexity is at most its language's limit (times `slack`), or the limit over
+all of them where its language has none.
 
-Limits are quantiles of the trusted documents' perplexity by language; a document is kept if its
-perplexity is at most its language's limit (times `slack`), or the limit over all trusted documents
-where its language has none.
+Texts meet the marks of trusted documents in a join. Marks grow with the documents and aren't
+broadcast; a bitmap of bounded size, made from their ids, first leaves most other texts out at the scan.
 
 Edge cases: null text and text without words have no symbols, perplexity null, and is not kept; without trusted
 text the model is uniform and everything with words is kept; null languages are one language (`und`);
@@ -26,115 +26,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import wordmodel
-from tidewright.llm.spark_io import kept
-from tidewright.llm.text import raw, slices
-
-SYMBOLS, ORDER, QUANTILE, SLACK = 40, 4, 0.995, 1.05
-EDGE = 0
-#: Languages up to which their limits are broadcast; beyond, they are joined by a shuffle.
-LANGUAGES = 4096
-
-
-def _symbols() -> np.ndarray:
-    table = np.full(256, 30, np.uint8)
-    table[[0x20, *range(9, 14)]] = 1
-    table[65:91] = table[97:123] = np.arange(2, 28)
-    table[48:58] = 28
-    table[[*b".,;:!?"]] = 29
-    table[[*b"'\"-()"]] = 31
-    table[128:] = 32 + np.arange(128) % 8
-    return table
-
-
-_SYMBOL = _symbols()
-
-
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram numbers of all symbols (each with the three before it, edges first) and the rows' bounds."""
-    data, off = raw(column)
-    n = len(off) - 1
-    padded = np.full(len(data) + n * (ORDER - 1), EDGE, np.int32)
-    row = np.repeat(np.arange(1, n + 1), np.diff(off))
-    padded[np.arange(len(data)) + row * (ORDER - 1)] = _SYMBOL[data]
-    at = np.arange(len(data)) + row * (ORDER - 1)
-    g = np.zeros(len(data), np.int32)
-    for k in range(ORDER - 1, -1, -1):
-        g = g * SYMBOLS + padded[at - k]
-    return g, off
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(SYMBOLS**ORDER, np.int64)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sums += np.bincount(grams(part.column("text"))[0], minlength=len(sums))
-    at = np.flatnonzero(sums)
-    for lo in range(0, len(at), 100_000):
-        own = at[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(sums[own])], ["gram", "n"])
-
-
-def _level(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """Each n-gram's discounted share in its context, the context's left-over weight, and discounts."""
-    of = counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).first()
-    y = of.n1 / (of.n1 + 2 * of.n2) if of.n1 + of.n2 else 0.5
-    discount = {}
-    for k in (1, 2, 3):
-        own, more = of[f"n{k}"], of[f"n{k + 1}"]
-        discount[k] = min(max(k - (k + 1) * y * more / own, 0.0), float(k)) if own else 0.5 * k
-    d = F.when(F.col("n") == 1, discount[1]).when(F.col("n") == 2, discount[2]).otherwise(discount[3])
-    context = (
-        counts.groupBy((F.col("gram") / SYMBOLS).cast("long").alias("context"))
-        .agg(F.sum("n").alias("total"), F.sum(d).alias("taken"))
-        .select("context", "total", (F.col("taken") / F.col("total")).alias("rest"))
-    )
-    shares = counts.withColumn("context", (F.col("gram") / SYMBOLS).cast("long")).join(context, "context").select("gram", "context", ((F.col("n") - d) / F.col("total")).alias("share"), "rest")
-    return shares, discount
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch as one row of packed columns: what reaches the driver is bounded by 40**4 n-grams."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("gram", "share", "rest")], ["gram", "share", "rest"])
-
-
-def fit(trusted: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """Log-probability of each n-gram's last symbol after the others, for all 40**4 n-grams."""
-    text = trusted.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''")
-    counts = kept(text.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    levels = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        levels.append(kept(levels[-1].groupBy((F.col("gram") % SYMBOLS**order).alias("gram")).agg(F.count("*").alias("n")), f"counts{order}"))
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for order, level in enumerate(reversed(levels), 1):
-        shares, _ = _level(level)
-        share, rest = np.zeros(SYMBOLS**order), np.ones(SYMBOLS ** (order - 1))
-        for r in shares.select("gram", "share", "rest").mapInArrow(_pack, "gram binary, share binary, rest binary").toLocalIterator():
-            g = np.frombuffer(r.gram, np.int64)
-            share[g] = np.frombuffer(r.share, np.float64)
-            rest[g // SYMBOLS] = np.frombuffer(r.rest, np.float64)
-        lower = p if order == 1 else np.tile(p, SYMBOLS)
-        p = share + np.repeat(rest, SYMBOLS) * lower
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
-
-
-def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+from tidewright.llm.spark_io import id_remainder, kept
+from tidewright.llm.text import mix
+
+QUANTILE, SLACK, HELD_OUT = 0.995, 1.05, 5
+#: Bits of the bitmap for each mark, and the most bits that it has (16 MB).
+BITS, MOST_BITS = 16, 1 << 27
+
+
+def _places(ids: pa.Array, size: int) -> np.ndarray:
+    return (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def _marked(size: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[_places(batch.column("doc_id"), size)] = True
+        at = np.flatnonzero(np.packbits(bits))
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([np.packbits(bits)[at].tobytes()], pa.binary())], ["at", "bits"])
+
+    return run
+
+
+def possible(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose doc_id may stand in marks: all that do, and few others."""
+    spark = rows.sparkSession
+    size = min(MOST_BITS, max(1 << 16, 1 << (BITS * marks.count()).bit_length()))
+    packed = np.zeros(size // 8, np.uint8)
+    for r in marks.select("doc_id").coalesce(64).mapInArrow(_marked(size), "at binary, bits binary").toLocalIterator():
+        packed[np.frombuffer(r.at, np.int32)] |= np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(packed.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = _places(batch.column("doc_id"), size)
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, held_out: int = HELD_OUT) -> DataFrame:
     """One row per document row: doc_id, lang, n_symbols, perplexity, limit, keep.
 
     trusted_ids: ids of the documents whose text is trusted.
     """
-    marks = trusted_ids.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
+    held = id_remainder("doc_id", held_out) == 0
+    marks = kept(trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("held", held), "marks")
+    learnt, limiting = marks.filter("not held").select("doc_id"), marks.filter("held").select("doc_id", F.lit(True).alias("limiting"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    # Marks grow with the documents, so texts meet them in one shuffle at every size, never by a broadcast.
-    model = wordmodel.fit(source.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left_semi"))
-    scored = kept(wordmodel.score(source, model).join(marks, "doc_id", "left"), "scored")
-    own = scored.filter("trusted and perplexity is not null")
+    model = wordmodel.fit(possible(source.select("doc_id", "text"), learnt).join(learnt.hint("merge"), "doc_id", "left_semi"))
+    scored = kept(wordmodel.score(source, model).join(limiting, "doc_id", "left"), "scored")
+    own = scored.filter("limiting and perplexity is not null")
     at = lambda: F.percentile_approx("perplexity", quantile, 10_000)
     limits = kept(own.groupBy("lang").agg(at().alias("own")), "limits")
-    # One row a language: broadcast if they are few, so that a frequent language's rows stay where they are.
-    few = limits.count() <= LANGUAGES
     return (
-        scored.join(F.broadcast(limits) if few else limits, "lang", "left")
+        scored.join(limits, "lang", "left")
         .join(F.broadcast(own.agg(at().alias("all"))))
         .withColumn("limit", F.coalesce("own", "all", F.lit(float("inf"))) * slack)
         .select("doc_id", "lang", "n_symbols", "perplexity", "limit", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(False)).alias("keep"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.spark_io import kept
+from tidewright.llm.spark_io import dropped, kept
 from tidewright.llm.text import ALNUM, fold, slices, words
 
 ORDER = 3
@@ -60,8 +60,12 @@ def grams(h: np.ndarray, row: np.ndarray, order: int, k: int) -> tuple[np.ndarra
     return at, fold([h[at - k + 1 + i] for i in range(k)]) if k else np.zeros(len(at), np.uint64)
 
 
+def _columns(order: int) -> list[str]:
+    return ["n"] + [f"{name}{k}" for k in range(order, 0, -1) for name in ("key", "context")]
+
+
 def _count(order: int) -> callable:
-    """(level, key, context, suffix, n) of each slice's n-grams; n counts only at the highest level."""
+    """Each slice's distinct n-grams: n, and key and context of the n-gram and of its ends of fewer words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,16 +73,15 @@ def _count(order: int) -> callable:
                 h, row, _ = padded(part.column("text"), order)
                 if not len(h):
                     continue
-                for k in range(1, order + 1):
-                    at, _ = grams(h, row, order, order)  # tokens only: edges are never predicted
-                    key = fold([h[at - k + 1 + i] for i in range(k)])
-                    key, first, n = np.unique(key, return_index=True, return_counts=True)
-                    at = at[first]
-                    context = fold([h[at - k + 1 + i] for i in range(k - 1)]) if k > 1 else np.zeros(len(at), np.uint64)
-                    suffix = fold([h[at - k + 2 + i] for i in range(k - 1)]) if k > 1 else np.zeros(len(at), np.uint64)
-                    columns = [np.full(len(at), k, np.int32), key.view(np.int64), context.view(np.int64), suffix.view(np.int64), n if k == order else np.zeros(len(at), np.int64)]
-                    for lo in range(0, len(at), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], ["level", "key", "context", "suffix", "n"])
+                at, key = grams(h, row, order, order)  # tokens only: edges are never predicted
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                at = at[first]
+                columns = [n]
+                for k in range(order, 0, -1):
+                    words_ = [h[at - k + 1 + i] for i in range(k)]
+                    columns += [fold(words_).view(np.int64), fold(words_[:-1]).view(np.int64) if k > 1 else np.zeros(len(at), np.int64)]
+                for lo in range(0, len(at), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], _columns(order))
 
     return run
 
@@ -91,14 +94,18 @@ def _discounts(level: DataFrame) -> list[float]:
 
 
 def fit(trusted: DataFrame, *, text_col: str = "text", order: int = ORDER) -> tuple[DataFrame, float, int]:
-    """The values (key, value; a key may stand twice), the log-probability of an unknown word, and the number of rows."""
+    """The values (key, value; a key may stand twice; order is at most nine), the log-probability of an unknown word, and the number of rows."""
     text = trusted.select(F.col(text_col).cast("string").alias("text")).filter("text <> ''")
-    seen = text.mapInArrow(_count(order), "level int, key long, context long, suffix long, n long")
-    seen = kept(seen.groupBy("level", "key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n")), "grams")
-    levels = {order: seen.filter(F.col("level") == order).drop("level")}
-    for k in range(order - 1, 0, -1):
-        ends = levels[k + 1].groupBy(F.col("suffix").alias("key")).agg(F.count("*").alias("n"))
-        levels[k] = kept(seen.filter(F.col("level") == k).drop("level", "n").join(ends, "key"), f"level{k}")
+    names = _columns(order)
+    seen = text.mapInArrow(_count(order), ", ".join(f"{c} long" for c in names))
+    # Of n-grams that end alike, counts are distinct n-grams one word longer; their other columns are the same.
+    levels, tables = {}, []
+    for k in range(order, 0, -1):
+        rest = [c for c in names[1:] if int(c[-1]) <= k and c != f"key{k}"]
+        n = F.sum("n") if k == order else F.count("*")
+        seen = kept(seen.groupBy(f"key{k}").agg(n.alias("n"), *[F.first(c).alias(c) for c in rest]), f"grams{k}")
+        tables.append(seen)
+        levels[k] = seen.select(F.col(f"key{k}").alias("key"), F.col(f"context{k}").alias("context"), F.col(f"key{k - 1}").alias("suffix") if k > 1 else F.lit(0).cast("long").alias("suffix"), "n")
     values, lower, unknown = [], None, 0.0
     for k in range(1, order + 1):
         own = levels[k]
@@ -107,13 +114,15 @@ def fit(trusted: DataFrame, *, text_col: str = "text", order: int = ORDER) -> tu
         if k == 1:  # one context, without words; an unknown word has its left-over weight's share
             whole = own.agg(F.sum("n").alias("total"), F.sum(d).alias("taken"), F.count("*").alias("v")).first()
             if not whole.v:
-                return own.select("key", F.lit(0.0).alias("value")), 0.0, 0
+                dropped(*tables)
+                return own.sparkSession.createDataFrame([], "key long, value double"), 0.0, 0
             unknown = float(np.log(whole.taken / whole.total / (whole.v + 1)))
             now = own.select("key", F.log((F.col("n") - d) / whole.total + F.exp(F.lit(unknown))).alias("logp"))
             gain = now.select("key", (F.col("logp") - unknown).alias("value"))
         else:
             context = own.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(d) / F.sum("n")).alias("rest"))
             context = kept(context, f"contexts{k}")
+            tables.append(context)
             now = own.join(context, "context").select("key", "suffix", ((F.col("n") - d) / F.col("total")).alias("share"), "rest")
             now = now.join(lower.select(F.col("key").alias("suffix"), F.col("logp").alias("below")), "suffix")
             now = now.select("key", F.log(F.col("share") + F.col("rest") * F.exp("below")).alias("logp"), "rest", "below")
@@ -122,9 +131,11 @@ def fit(trusted: DataFrame, *, text_col: str = "text", order: int = ORDER) -> tu
         lower = now.select("key", "logp")
         if k < order:
             lower = kept(now, f"probabilities{k}")
+            tables.append(lower)
             gain = lower.select("key", (F.col("logp") - unknown if k == 1 else F.col("logp") - F.log("rest") - F.col("below")).alias("value"))
         values.append(gain)
     table = kept(reduce(DataFrame.unionByName, values), "values")
+    dropped(*tables)
     return table, unknown, table.count()
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tidewright.llm import bpe, chat, decontaminate, jaccard, language, licenses, media, quality, queries, sharding, toxicity
+from tidewright.llm import bitmap, bpe, chat, decontaminate, jaccard, language, licenses, media, quality, queries, sharding, toxicity
 from tidewright.llm.spark_io import smallest_hashes
 
 SCHEMA = "doc_id long, text string, lang string, node long, members string"
@@ -233,7 +233,7 @@ def test_quality(spark, docs, none):
     assert len(got) == len(DOCS)
     assert all((r.perplexity is None) == (r.n_symbols == 0) and (r.keep or r.n_symbols == 0 or r.perplexity > r.limit) for r in got)
     assert quality.classify(none, trusted).count() == 0
-    assert {r.doc_id for r in quality.possible(docs.select("doc_id", "text"), trusted.distinct()).collect()} >= {i for i, _ in DOCS if i > 20}
+    assert {r.doc_id for r in bitmap.possible(docs.select("doc_id", "text"), "doc_id", trusted, 70).collect()} >= {i for i, _ in DOCS if i > 20}
 
 
 def test_pipeline_equals_its_steps(spark, tmp_path):

@@ -54,6 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.bitmap import among, bitmap
 from tidewright.llm.spark_io import id_and_text, kept
 from tidewright.llm.text import SPACED, Words, fold, mix, slices, trim, words
 
@@ -281,15 +282,12 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _texts(shared, shingle: int, whole: bool) -> callable:
-    """Node and set (or sketch) of documents whose key may be wanted, by a bitmap of fixed size; copies mostly once a task."""
+    """Node and set (or sketch) of documents whose key may be wanted, by a bitmap; copies mostly once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8))
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            keep = wanted[(mix(keys.view(np.uint64)) % np.uint64(len(wanted))).astype(np.int64)] > 0
-            own = batch.filter(pa.array(keep))
+            own = batch.filter(among(shared.value, batch.column("key")))
             for part in slices(own, "text"):
                 sets = shingle_sets(words(part.column("text"), SPACED), shingle)
                 named = [(k, node_of(s)) if len(s) else None for k, s in zip(part.column("key").to_pylist(), sets, strict=True)]
@@ -308,10 +306,7 @@ def _texts(shared, shingle: int, whole: bool) -> callable:
 
 def _wanted(source: DataFrame, nodes: DataFrame, shingle: int, whole: bool) -> DataFrame:
     """node, n_shingles and set (or sketch) of the given nodes, built from one document of each."""
-    bits = np.zeros(1 << 22, bool)
-    for r in nodes.mapInArrow(_bitmap(len(bits)), "bits binary").toLocalIterator():
-        bits |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    shared = source.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    shared = source.sparkSession.sparkContext.broadcast(bitmap(nodes, "key", nodes.count()))
     return source.mapInArrow(_texts(shared, shingle, whole), "key long, node long, members binary").join(nodes, ["node", "key"]).select("node", "n_shingles", "members")
 
 
@@ -564,13 +559,3 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, reg
     by_node = nodes.select("node", F.col("doc_id").alias("same_id")).join(by_root, "node", "left").select("node", F.coalesce("linked_id", "same_id").alias("component_id"))
     some = meta.filter("node is not null").join(by_node, "node").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(meta.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _bitmap(size: int) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            bits[(mix(batch.column("key").to_numpy().view(np.uint64)) % np.uint64(size)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    return run

@@ -32,6 +32,8 @@ from tidewright.llm.spark_io import id_and_text
 from tidewright.llm.text import raw, slices
 
 UNIT, SIDE, MAX_LINES = 192, 8, 8191
+#: Restart intervals coded or decoded side by side, so that a long text needs few times its size of memory.
+LANES = 1 << 14
 #: Fixed values of the JPEG format: scan order of an 8x8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8) if (i // 8 + i % 8) % 2 else i % 8)), np.int64)
 _TAG = b"payload "
@@ -74,7 +76,8 @@ def encode_batch(payloads: list[bytes | np.ndarray], real: list[int]) -> list[by
         across, down = grid(len(own) // UNIT)
         if (fill := across * down * UNIT - len(own)) > 0:
             own = np.concatenate([own, np.full(fill, 32, np.uint8)])
-        mcus = np.packbits(_CODE_BITS[own].reshape(len(own) // UNIT, UNIT * 9), axis=1)
+        units = own.reshape(-1, UNIT)
+        mcus = np.concatenate([np.packbits(_CODE_BITS[units[lo : lo + LANES]].reshape(-1, UNIT * 9), axis=1) for lo in range(0, len(units), LANES)])
         restart = np.empty((len(mcus), 2), np.uint8)
         restart[:, 0] = 0xFF
         restart[:, 1] = 0xD0 + np.arange(len(mcus)) % 8
@@ -245,9 +248,13 @@ def decode_batch(files: list[bytes]) -> list[tuple[Header, np.ndarray]]:
             lanes += got
             step = h.interval or h.mcus
             count += [min(step, h.mcus - j * step) for j in range(len(got))]
-        sizes = np.array([len(x) for x in lanes], np.int64)
-        stream = np.concatenate([*lanes, np.full(16, 255, np.uint8)])
-        got = decode_coefficients(stream, np.cumsum(sizes) - sizes, np.array(count), key)
+        got = np.zeros((len(lanes), max(count), len(key), 64), np.int16)
+        for lo in range(0, len(lanes), LANES):
+            some = lanes[lo : lo + LANES]
+            sizes = np.array([len(x) for x in some], np.int64)
+            stream = np.concatenate([*some, np.full(16, 255, np.uint8)])
+            part = decode_coefficients(stream, np.cumsum(sizes) - sizes, np.array(count[lo : lo + LANES]), key)
+            got[lo : lo + LANES, : part.shape[1]] = part
         for i, a, b in zip(own, first, [*first[1:], len(lanes)], strict=True):
             out[i] = (heads[i], got[a:b].reshape(-1, len(key), 64)[: heads[i].mcus] if got.shape[1] > 1 and b - a > 1 else got[a:b].reshape(-1, len(key), 64)[: heads[i].mcus])
     return out

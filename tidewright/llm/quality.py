@@ -18,53 +18,14 @@ repeated rows are each scored; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import wordmodel
+from tidewright.llm.bitmap import possible
 from tidewright.llm.spark_io import id_remainder, kept
-from tidewright.llm.text import mix
 
 QUANTILE, SLACK, HELD_OUT = 0.995, 1.05, 5
-#: Bits of the bitmap for each mark, and the most bits that it has (16 MB).
-BITS, MOST_BITS = 16, 1 << 27
-
-
-def _places(ids: pa.Array, size: int) -> np.ndarray:
-    return (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
-
-
-def _marked(size: int) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            bits[_places(batch.column("doc_id"), size)] = True
-        at = np.flatnonzero(np.packbits(bits))
-        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([np.packbits(bits)[at].tobytes()], pa.binary())], ["at", "bits"])
-
-    return run
-
-
-def possible(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows whose doc_id may stand in marks: all that do, and few others."""
-    spark = rows.sparkSession
-    size = min(MOST_BITS, max(1 << 16, 1 << (BITS * marks.count()).bit_length()))
-    packed = np.zeros(size // 8, np.uint8)
-    for r in marks.select("doc_id").coalesce(64).mapInArrow(_marked(size), "at binary, bits binary").toLocalIterator():
-        packed[np.frombuffer(r.at, np.int32)] |= np.frombuffer(r.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(packed.tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            at = _places(batch.column("doc_id"), size)
-            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
-
-    return rows.mapInArrow(run, rows.schema)
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, held_out: int = HELD_OUT) -> DataFrame:
@@ -76,7 +37,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id",
     marks = kept(trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("held", held), "marks")
     learnt, limiting = marks.filter("not held").select("doc_id"), marks.filter("held").select("doc_id", F.lit(True).alias("limiting"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    model = wordmodel.fit(possible(source.select("doc_id", "text"), learnt).join(learnt.hint("merge"), "doc_id", "left_semi"))
+    model = wordmodel.fit(possible(source.select("doc_id", "text"), "doc_id", learnt, learnt.count()).join(learnt.hint("merge"), "doc_id", "left_semi"))
     scored = kept(wordmodel.score(source, model).join(limiting, "doc_id", "left"), "scored")
     own = scored.filter("limiting and perplexity is not null")
     at = lambda: F.percentile_approx("perplexity", quantile, 10_000)

@@ -86,4 +86,25 @@ QUERIES = {
     for f in (op1_chat_formatting, op2_language_id, op3_bpe_encoding, op4_ngram_jaccard_join, op5_toxicity, op6_sharding, op7_media_columns, op8_benchmark_decontamination, op9_license_scans, op10_quality_classifier)
 }
 
-ORACLES: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: SQL where it can say a query's rows. The others' are tested against brute force or held-out labels.
+ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard_join": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM d),
+m AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS node, s FROM s),
+nodes AS (SELECT node, any_value(s) AS s, min(doc_id) AS low, any_value(n) AS n FROM m WHERE node IS NOT NULL GROUP BY node), sh AS (SELECT node, n, unnest(s) AS t FROM nodes),
+pairs AS (SELECT a.node AS x, b.node AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM sh a JOIN sh b ON a.t = b.t AND a.node < b.node GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 100 * c >= 75 * (na + nb - c)), ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, other) AS (SELECT node, node FROM nodes UNION SELECT reach.node, ways.y FROM reach JOIN ways ON ways.x = reach.other),
+comp AS (SELECT reach.node, min(o.low) AS component_id FROM reach JOIN nodes o ON o.node = reach.other GROUP BY reach.node)
+SELECT doc_id, n AS n_shingles, CASE WHEN m.node IS NULL THEN doc_id ELSE component_id END AS component_id FROM m LEFT JOIN comp ON comp.node = m.node""",
+    "op8_benchmark_decontamination": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win)),
+hits AS (SELECT r, i, places.n, item_id FROM places JOIN win ON win.n = places.n AND win.k = array_to_string(w[i : i + places.n - 1], ' ')),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+own AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)""",
+}

@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with all their
 columns; the last returns the digests of the encoded documents. Models are fitted on the tables of
 sf_dir under the same rules as the single queries.
+
+Edge cases of all stages: an empty table gives an empty table with the same columns; other columns
+are kept as they are, whatever their names; rows are decided one by one, so repeated rows and null
+ids, languages or sources are rows like others (but for near duplicates, see there).
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ from tidewright.sources.tables import table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised; null, empty and letterless texts go."""
     return language.recognised(docs, queries.language_model(spark, sf_dir))
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not scored as toxic."""
+    """Documents that are not scored as toxic; null and empty texts have the base score and stay."""
     return toxicity.civil(docs, queries.toxicity_model(spark, sf_dir))
 
 
@@ -29,7 +33,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One row of each group of near duplicates: that with the smallest id (null ids last), then text hash.
 
     Rows are told apart by id and text, so one id on two texts is two rows, each decided by itself, and
-    rows without an id are rows like others; of rows equal in both, one is kept.
+    rows without an id are rows like others; of rows equal in both, one is kept. Null, empty and blank
+    texts have no shingles and are no copies of each other, but for rows equal in id and text.
     """
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = docs.select(key.alias("key"), "doc_id", "text")
@@ -39,20 +44,20 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     first = named.groupBy("group").agg(F.min(place).alias("first")).select("first.key")
     repeated = named.filter("n > 1").select("key")
     gone = named.select("key").join(first, "key", "left_anti").unionByName(repeated).distinct()
-    marked = docs.withColumn("_key", key)
-    single = marked.join(gone.withColumnRenamed("key", "_key"), "_key", "left_anti")
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    again = marked.join(repeated.join(first, "key", "left_semi").withColumnRenamed("key", "_key"), "_key", "left_semi").withColumn("_n", one).filter("_n = 1")
-    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
+    whole = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    single = whole.join(gone, "key", "left_anti")
+    one = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    again = whole.join(repeated.join(first, "key", "left_semi"), "key", "left_semi").withColumn("n", one).filter("n = 1")
+    return single.select("row.*").unionByName(again.select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark; texts without words stay, an empty benchmark hits nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the remaining documents."""
+    """Token counts and digests of the remaining documents, one row each; null texts have no tokens."""
     return queries.bpe_round_trip(docs)
 
 

@@ -141,3 +141,10 @@ def test_models_take_one_text_of_a_repeated_id(spark):
     assert model.languages == ["de", "en"] and len(model.centroids) == 2
     labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0)], "doc_id long, toxic int")
     assert 0 < toxicity.fit(rows, labels).score(pa.array(["nothing known"]))[0] < 1
+
+
+def test_bpe_round_trip_is_decode_of_encode(spark):
+    docs = spark.createDataFrame([(1, "hello world <|endoftext|> é"), (None, None), (1, "")], "doc_id long, text string")
+    text = bpe.tokenizer_text(queries.TOKENIZER)
+    rows = lambda df: sorted(((r.doc_id, bytes(r.ids), r.decoded) for r in df.collect()), key=repr)
+    assert rows(bpe.round_trip(docs, text)) == rows(bpe.decode(bpe.encode(docs, text), text)) and rows(bpe.round_trip(docs, text))[0][2] in ("", "hello world <|endoftext|> é")

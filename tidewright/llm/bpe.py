@@ -472,12 +472,13 @@ _loaded: dict[tuple, Vocabulary] = {}
 
 
 def _once(kind: type, file_text: str) -> Vocabulary:
-    """The tables of one file, made once in a worker."""
-    key = (kind, hashlib.sha256(file_text.encode()).hexdigest())
-    if key not in _loaded:
+    """The tables of one file, made once in a worker; those for encoding serve for decoding too."""
+    name = hashlib.sha256(file_text.encode()).hexdigest()
+    found = _loaded.get((Merges, name)) or _loaded.get((kind, name))
+    if found is None:
         _loaded.clear()
-        _loaded[key] = kind(file_text)
-    return _loaded[key]
+        found = _loaded[kind, name] = kind(file_text)
+    return found
 
 
 def _encode(shared) -> callable:
@@ -506,6 +507,15 @@ def _decode(shared) -> callable:
     return run
 
 
+def _round_trip(shared) -> callable:
+    """Ids of texts and what they decode to, in one worker: the ids are read back as decode reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _decode(shared)(_encode(shared)(batches))
+
+    return run
+
+
 def tokenizer_text(path: str | os.PathLike) -> str:
     """The tokenizer file, read on the driver; its size is fixed by the vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -532,3 +542,9 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids and the decoded text."""
     shared = encoded.sparkSession.sparkContext.broadcast(tokenizer)
     return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), "doc_id long, ids binary, decoded string")
+
+
+def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and the text decoded from them: `decode` of `encode`, with one worker for both."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    return id_and_text(docs, id_col, text_col).mapInArrow(_round_trip(shared), "doc_id long, ids binary, decoded string")

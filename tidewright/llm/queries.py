@@ -38,8 +38,7 @@ def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
-    tokenizer = bpe.tokenizer_text(TOKENIZER)
-    return bpe.decode(bpe.encode(docs, tokenizer), tokenizer).select(
+    return bpe.round_trip(docs, bpe.tokenizer_text(TOKENIZER)).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import islice
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions import rubric as R
-from tidewright.functions.text import first_truthy
+from tidewright.functions.text import first_truthy, strip
 
 #: Makes a function from a list of inputs to a list of outputs of the same length.
 Factory = Callable[[], Callable[[Sequence[dict]], Sequence]]
@@ -82,39 +83,68 @@ def judge_payload(history: Column, reasoning: Column) -> Column:
 
 
 def envelope_text(envelope: Column) -> Column:
-    """The text of a chat completion: the message's content, else its reasoning content."""
+    """The text of a chat completion: the message's content, else its reasoning content. (For scores see envelope_score.)"""
     at = "$.choices[0].message."
     return first_truthy(F.get_json_object(envelope, at + "content"), F.get_json_object(envelope, at + "reasoning_content"))
 
 
+def mock_envelope(payload: Column) -> Column:
+    """A judge's payload as the message of a chat completion."""
+    message = F.struct(F.lit("assistant").alias("role"), payload.alias("content"), F.lit("").alias("reasoning_content"))
+    choice = F.struct(F.lit(0).alias("index"), message.alias("message"), F.lit("stop").alias("finish_reason"))
+    return F.to_json(F.struct(F.lit("mock").alias("id"), F.array(choice).alias("choices")))
+
+
+def _struct(dims: list[Column], comment: Column, mode: str) -> Column:
+    total = sum(dims, F.lit(0)).cast("int")
+    return F.struct(*[d.cast("int").alias(n) for d, n in zip(dims, R.DIMENSIONS, strict=True)], total.alias("total"), (total / F.lit(25.0)).alias("score_norm"), F.left(comment, F.lit(500)).alias("comment"), F.lit(mode).alias("mode"))
+
+
+def _whole(dims: list[Column], comment: Column, mode: str) -> Column:
+    """The score if all five dimensions are there. Each is worked out once: the expressions are long."""
+    return R.let(
+        F.struct(*[c.alias(d) for c, d in zip(dims, R.DIMENSIONS, strict=True)]),
+        lambda s: F.when(reduce(lambda a, b: a & b, [s[d].isNotNull() for d in R.DIMENSIONS]), _struct([s[d] for d in R.DIMENSIONS], comment, mode)),
+    )
+
+
+def json_score(text: Column) -> Column:
+    """A score given as a JSON object; null unless all dimensions are there."""
+    return R.let(R.judged(text), lambda obj: _whole([R.judged_dimension(obj, d) for d in R.DIMENSIONS], F.coalesce(F.try_variant_get(obj, "$.comment", "string"), F.lit("")), "json"))
+
+
+def prose_score(text: Column) -> Column:
+    """A score given in prose; the comment is what stands after the dimensions' names, line by line."""
+    lines = [F.nullif(F.regexp_extract(text, rf"(?i){d}[^\n\r]{{0,500}}", 0), F.lit("")) for d in R.DIMENSIONS]
+    said = F.nullif(F.concat_ws(" | ", *[F.nullif(strip(x), F.lit("")) for x in lines]), F.lit(""))
+    return _whole([R.free_text_dimension(text, d) for d in R.DIMENSIONS], F.coalesce(F.left(said, F.lit(500)), F.lit("scores extracted from free-text judge response")), "prose")
+
+
 def judged_score(payload: Column, fallback: Column | None = None) -> Column:
-    """Struct of the five dimensions, total, score_norm and mode.
+    """Struct of the five dimensions, total, score_norm, comment and mode.
 
     The payload as JSON, else as prose; all five dimensions must be found. Otherwise the fallback (a
     struct with the dimensions) with mode `rules`; null if there is none.
     """
-
-    def struct(dims: list[Column], mode: str) -> Column:
-        total = sum(dims, F.lit(0)).cast("int")
-        return F.struct(*[d.cast("int").alias(n) for d, n in zip(dims, R.DIMENSIONS, strict=True)], total.alias("total"), (total / F.lit(25.0)).alias("score_norm"), F.lit(mode).alias("mode"))
-
-    def whole(dims: list[Column], mode: str) -> Column:
-        good = F.lit(True)
-        for d in dims:
-            good = good & d.isNotNull()
-        return F.when(good, struct(dims, mode))
-
-    # Each part is worked out once: the expressions are long, and dimensions stand in several places.
-    bound = lambda dims, f: R.let(F.struct(*[c.alias(d) for c, d in zip(dims, R.DIMENSIONS, strict=True)]), lambda s: f([s[d] for d in R.DIMENSIONS]))
-    found = [
-        R.let(R.judged(payload), lambda obj: bound([R.judged_dimension(obj, d) for d in R.DIMENSIONS], lambda dims: whole(dims, "json"))),
-        bound([R.free_text_dimension(payload, d) for d in R.DIMENSIONS], lambda dims: whole(dims, "prose")),
-    ]
+    found = [json_score(payload), prose_score(payload)]
     if fallback is not None:
-        found.append(R.let(fallback, lambda s: struct([s[d] for d in R.DIMENSIONS], "rules")))
+        found.append(R.let(fallback, lambda s: _struct([s[d] for d in R.DIMENSIONS], F.lit(""), "rules")))
     return F.coalesce(*found)
 
 
+def envelope_score(envelope: Column) -> Column:
+    """The score in a chat completion: JSON in the content or else in the reasoning content, then prose in the one or the other."""
+    at = "$.choices[0].message."
+    texts = F.array(*[F.coalesce(F.get_json_object(envelope, at + f), F.lit("")) for f in ("content", "reasoning_content")])
+    return R.let(texts, lambda t: F.coalesce(json_score(t[0]), json_score(t[1]), prose_score(t[0]), prose_score(t[1])))
+
+
+def stored_score(total: Column, norm: Column) -> Column:
+    """Struct of total and score_norm (from the total where it is missing); null without a numeric total."""
+    own = total.try_cast("double")
+    return F.when(own.isNotNull() & ~F.isnan(own), F.struct(own.alias("total"), F.coalesce(norm.try_cast("double"), own / 25.0).alias("score_norm")))
+
+
 def format_reward(has_tags: Column, think: Column, answer: Column) -> Column:
     return F.when(has_tags & (think != "") & (answer != ""), 1.0).otherwise(0.0)
 

@@ -11,10 +11,25 @@ WORD = r"[A-Za-z0-9][A-Za-z0-9'-]*"
 _WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 REASONING_TAGS = ("analysis", "think", "thinking", "thoughts")
 ANSWER_TAGS = ("recommendation", "answer")
+OLD_REASONING_TAGS, OLD_ANSWER_TAGS = ("analysis", "thinking", "thoughts"), ("recommendation",)
+HIDDEN_TAGS = ("hidden_reasoning", "reasoning", "analysis", "think", "thinking", "thoughts")
+DEFAULT_ANSWER = "Use the grounded reasoning above as a concise user preference profile."
+REASONING_HEADER = "Recommendation reasoning:"
 _R, _A = "|".join(REASONING_TAGS), "|".join(ANSWER_TAGS)
 BLOCKS = rf"(?is)<(?:{_R})>(.*?)</(?:{_R})>\s*<(?:{_A})>(.*?)</(?:{_A})>"
 INNER = rf"(?i)</?(?:{_R}|{_A})>"
 
+#: Tags and marks that are taken out of answers, and labels before them.
+MARKS = r"(?is)</?(?:think|answer|thinking|thoughts|hidden_reasoning|reasoning|analysis)>|</?tool_call>|```.*?```"
+LABEL = r"(?i)^(?:recommendation|answer|final answer|final)\s*[:：]\s*"
+_HIDDEN = "|".join(HIDDEN_TAGS)
+BLOCK = rf"<\s*(?:{_HIDDEN})\s*>.*?<\s*/\s*(?:{_HIDDEN})\s*>"
+
+
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
 
 def blank(x: Column) -> Column:
     return x.isNull() | (x == "")
@@ -78,20 +93,30 @@ def blocks(x: Column) -> Column:
 def canonical_tags(x: Column) -> Column:
     """Synonym tags made canonical, tool-call tags dropped."""
     own = F.coalesce(x, F.lit(""))
-    for names, tag in ((REASONING_TAGS, "think"), (ANSWER_TAGS, "answer")):
+    for names, tag in ((OLD_REASONING_TAGS, "think"), (OLD_ANSWER_TAGS, "answer")):
         own = F.regexp_replace(own, rf"(?i)<\s*(?:{'|'.join(names)})\s*>", f"<{tag}>")
         own = F.regexp_replace(own, rf"(?i)<\s*/\s*(?:{'|'.join(names)})\s*>", f"</{tag}>")
     return strip(F.regexp_replace(own, "(?i)</?tool_call>", ""))
 
 
+def without_marks(x: Column) -> Column:
+    """Tags and fenced code taken out."""
+    return strip(F.regexp_replace(F.coalesce(x, F.lit("")), MARKS, ""))
+
+
+def inside_answer(x: Column) -> Column:
+    """Text after the last answer tag, up to the first end tag after it."""
+    return F.regexp_replace(F.regexp_extract(x, r"(?is)^.*<answer>(.*)$", 1), r"(?is)</answer>.*$", "")
+
+
 def answer_of(x: Column) -> Column:
-    """Text after the last answer tag up to its end, else the text without reasoning and label."""
-    own = canonical_tags(x)
-    tail = F.regexp_extract(own, r"(?is)^.*<answer>(.*)$", 1)
-    inside = strip(F.regexp_replace(F.regexp_replace(tail, r"(?is)</answer>.*$", ""), INNER, ""))
-    outside = strip(F.regexp_replace(F.regexp_replace(own, r"(?is)<think>.*?</think>", ""), INNER, ""))
-    outside = strip(F.regexp_replace(outside, r"(?i)^(?:recommendation|answer|final answer|final)\s*[:：]\s*", ""))
-    return F.when(own.rlike("(?is)<answer>"), inside).otherwise(outside)
+    """Text in the last answer tag; without one, the text without reasoning blocks and label."""
+
+    def of(own: Column) -> Column:
+        outside = strip(F.regexp_replace(without_marks(F.regexp_replace(own, f"(?is){BLOCK}", "")), LABEL, ""))
+        return F.when(own.rlike("(?i)<answer>"), without_marks(inside_answer(own))).otherwise(outside)
+
+    return let(canonical_tags(x), of)
 
 
 def tagged_assistant(x: Column, fallback: str = "") -> Column:
@@ -99,16 +124,36 @@ def tagged_assistant(x: Column, fallback: str = "") -> Column:
     b = blocks(strip(x))
     clean = lambda c: strip(F.regexp_replace(c, INNER, ""))
     form = lambda t, a: F.concat(F.lit("<think>\n"), t, F.lit("\n</think>\n<answer>\n"), a, F.lit("\n</answer>"))
-    default = fallback.strip() or "Use the grounded reasoning above as a concise user preference profile."
+    default = fallback.strip() or DEFAULT_ANSWER
     good = b["has_tags"] & (clean(b["think"]) != "") & (clean(b["answer"]) != "")
     return F.when(good, form(clean(b["think"]), clean(b["answer"]))).otherwise(form(clean(strip(x)), F.lit(default)))
 
 
 def number(x: Column) -> Column:
-    """A rating in its shortest form: 5, 4.5."""
-    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """A number with six digits in its shortest form: 5, 4.5, 0.333333, 1e+06."""
+    science = F.format_string("%.5e", x.cast("double"))
+    v = science.cast("double")
+    plain = F.regexp_replace(v.cast("decimal(20,10)").cast("string"), r"0+$", "")
+    return F.when(x.isNull(), None).when(v == 0, "0").when((F.abs(v) >= 1e6) | (F.abs(v) < 1e-4), F.regexp_replace(science, r"\.?0+e", "e")).when(v == F.floor(v), v.cast("long").cast("string")).otherwise(plain)
+
+
+def block_cut(x: Column, limit: int) -> Column:
+    """Trimmed; over the limit, cut with a marker on a line of its own (limit 0: whole). White space stays."""
+    return truncated(strip(x), limit, 16, "\n[TRUNCATED]")
+
+
+def file_safe(x: Column, root: str = "") -> Column:
+    """A path as a name for files: its root goes, slashes become two underscores, blanks and colons one."""
+    own = F.when(x.startswith(f"{root}/"), F.substr(x, F.lit(len(root) + 2))).otherwise(x) if root else x
+    return F.translate(F.replace(own, F.lit("/"), F.lit("__")), " :", "__")
+
+
+def shortened(x: Column, limit: int) -> Column:
+    """For messages: over the limit, cut with a marker on a line of its own."""
+    own = F.coalesce(x, F.lit(""))
+    return F.when(F.length(own) <= limit, own).otherwise(F.concat(F.left(own, F.lit(limit)), F.lit("\n...[truncated]")))
 
 
 def with_reasoning(history: Column, reasoning: Column) -> Column:
     r = strip(reasoning)
-    return F.when(r == "", strip(history)).otherwise(F.concat(strip(history), F.lit("\n\nRecommendation reasoning:\n"), r))
+    return F.when(r == "", strip(history)).otherwise(F.concat(strip(history), F.lit(f"\n\n{REASONING_HEADER}\n"), r))

@@ -31,6 +31,12 @@ def histories(events: DataFrame, key: str, position: str, values: list[str], las
     return grouped.select(key, *[F.col("_rows")[F.size("_rows") - 1][v].alias(f"target_{v}") for v in values], *[F.transform(past, field(v)).alias(f"history_{v}") for v in values])
 
 
+def last_rows(events: DataFrame, key: str, position: str, last: int) -> DataFrame:
+    """The last rows of each key by position; map-side, a key sends at most so many rows from each task."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(position)))
+    return events.withColumn("_n", place).filter(F.col("_n") <= last).drop("_n")
+
+
 def tail(a: Column, n: int) -> Column:
     return F.slice(a, F.greatest(F.size(a) - n, F.lit(0)) + 1, n)
 
@@ -41,6 +47,21 @@ def hash_shard(key: Column, n: int) -> Column:
     return F.when(key.isNotNull() & (key != ""), (whole % n).cast("int"))
 
 
+def position_shard(position: Column, n: int) -> Column:
+    """Shard of a row by its place from 1, round and round."""
+    return F.pmod(position - 1, F.lit(n)).cast("int")
+
+
+def in_shard(key: Column, n: int, shard: int) -> Column:
+    """Whether a key belongs to a hash shard; with one shard all do, blank keys too."""
+    return F.lit(True) if n <= 1 else F.coalesce(hash_shard(key, n) == shard, F.lit(False))
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: keys, and rows beyond the first of each."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+
+
 def merged(candidates: DataFrame, scores: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Candidates with their last score; candidates without one are dropped."""
     return candidates.join(last_wins(scores, keys, position).drop(position), keys)

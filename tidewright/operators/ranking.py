@@ -7,6 +7,11 @@ that shares no token with a query has score 0 and needs no row. Ranks are counts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,40 +42,71 @@ def collapsed(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, items.join(texts.select("text", "text_id"), "text").select("item_id", "text_id")
 
 
-def lexical_ranks(queries: DataFrame, items: DataFrame, key: str, target: str, masked: DataFrame | None = None) -> DataFrame:
-    """key, target, sim and rank_strict (1 and the number of better scores) of each query's target.
+def _against_target(queries: DataFrame, texts: DataFrame, of: DataFrame, key: str, target: str) -> DataFrame:
+    """key, item_id (the target), text_id, score, n and sim (the target's score) of all texts with a score, and one row without a text for each query.
+
+    The target's score is spread over its query's rows by a window, so the token join is made once.
+    """
+    scores = cosines(queries, texts, key, "text_id").join(texts.select("text_id", "n"), "text_id").select(key, "text_id", "score", "n")
+    aims = queries.select(key, F.col(target).alias("item_id")).join(of.withColumnRenamed("text_id", "_own"), "item_id", "left")
+    rows = aims.join(scores, key, "left")
+    sim = F.max(F.when(F.col("text_id") == F.col("_own"), F.col("score"))).over(Window.partitionBy(key))
+    return rows.select(key, "item_id", "text_id", "score", "n", F.coalesce(sim, F.lit(0.0)).alias("sim"), F.col("_own").isNotNull().alias("known"))
+
+
+def lexical_ranks(queries: DataFrame, items: DataFrame, key: str, target: str, masked: DataFrame | None = None, *, total: bool = False) -> DataFrame:
+    """key, target, sim, known and rank_strict (1 and the number of better scores) of each query's target.
 
-    queries: key, text, target (an item of the catalogue). masked: key, item_id of items left out
-    for a query (never its target).
+    queries: key (unique), text, target. A target that the catalogue lacks has similarity 0 and the rank
+    after all items. masked: key, item_id of items left out for a query (never its target). With total,
+    rank_total as well: equal scores of larger ids also come before the target.
     """
     texts, of = collapsed(items)
-    scores = cosines(queries, texts, key, "text_id").join(texts.select("text_id", "n"), "text_id")
-    aims = queries.select(key, F.col(target).alias("item_id")).join(of, "item_id")
-    own = aims.join(scores.select(key, "text_id", "score"), [key, "text_id"], "left").select(key, "item_id", F.coalesce("score", F.lit(0.0)).alias("sim"))
-    hidden = (masked if masked is not None else queries.select(key, F.lit(None).cast("long").alias("item_id")).limit(0)).join(of, "item_id")
-    hidden_n = hidden.groupBy(key, "text_id").agg(F.count("*").alias("gone"))
-    better = scores.join(own.select(key, "sim"), key).filter("score > sim").join(hidden_n, [key, "text_id"], "left")
-    above = better.groupBy(key).agg(F.sum(F.col("n") - F.coalesce("gone", F.lit(0))).alias("above"))
-    return own.join(above, key, "left").select(key, F.col("item_id").alias(target), "sim", (1 + F.coalesce("above", F.lit(0))).alias("rank_strict"))
+    rows = _against_target(queries, texts, of, key, target)
+    better = F.col("score") > F.col("sim")
+    if masked is not None:
+        hidden = masked.join(of, "item_id").groupBy(key, "text_id").agg(F.count("*").alias("gone"))
+        rows = rows.join(hidden, [key, "text_id"], "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
+    ranks = rows.groupBy(key, "item_id", "sim", "known").agg((1 + F.coalesce(F.sum(F.when(better, F.col("n"))), F.lit(0))).alias("rank_strict"))
+    if total:
+        ranks = ranks.join(_tied(rows, items, of, key), key).withColumn("rank_total", F.col("rank_strict") + F.col("tied")).drop("tied")
+    ranks = ranks.join(F.broadcast(items.agg((F.count("*") + 1).alias("_last"))))
+    last = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col("_last")).alias(c)
+    return ranks.select(key, F.col("item_id").alias(target), "sim", "known", *map(last, ["rank_strict", *(["rank_total"] if total else [])]))
 
 
 def total_ranks(strict: DataFrame, queries: DataFrame, items: DataFrame, key: str, target: str) -> DataFrame:
-    """Adds rank_total: equal scores of larger ids also come before the target.
+    """Adds rank_total to strict ranks: equal scores of larger ids also come before the target."""
+    texts, of = collapsed(items)
+    return strict.join(_tied(_against_target(queries, texts, of, key, target), items, of, key), key).withColumn("rank_total", F.col("rank_strict") + F.col("tied")).drop("tied")
 
-    Within a text the larger ids are counted in its sorted id list. A target with score 0 ties with
-    all texts without a score: all larger ids less those in texts with a score.
+
+def _tied(rows: DataFrame, items: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """key and how many items of larger ids have the target's score.
+
+    Within texts of that score the larger ids are counted. A target with score 0 ties with all texts
+    without a score: all larger ids less those in texts with a score.
     """
-    texts, of = collapsed(items)
-    scores = cosines(queries, texts, key, "text_id")
-    # Items with larger ids: those in later buckets of ids, and those later in the same bucket.
-    own = items.select("item_id", F.expr("item_id div 4096").alias("bucket"))
-    after = own.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy(F.desc("bucket"))) - F.col("n")).alias("after"))
-    rank_of = own.join(F.broadcast(after), "bucket").select("item_id", (F.col("after") + F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("item_id"))) - 1).alias("later"))
-    aim = strict.select(key, F.col(target).alias("item_id"), "sim").join(rank_of, "item_id").withColumnRenamed("item_id", "aim")
-    same = scores.join(aim, key).filter("score = sim or sim = 0").select(key, "text_id", "aim")
+    later = numbered(items.select("item_id"), "item_id", "place").join(F.broadcast(items.agg(F.count("*").alias("_all")))).select("item_id", (F.col("_all") - 1 - F.col("place")).alias("later"))
+    aims = rows.select(key, F.col("item_id").alias("aim"), "sim").distinct()
+    same = rows.filter("score = sim or (sim = 0 and score is not null)").select(key, "text_id", F.col("item_id").alias("aim"))
     count = same.join(of, "text_id").filter("item_id > aim").groupBy(key).agg(F.count("*").alias("k"))
-    tied = aim.join(count, key, "left").select(key, F.when(F.col("sim") > 0, F.coalesce("k", F.lit(0))).otherwise(F.col("later") - F.coalesce("k", F.lit(0))).alias("tied"))
-    return strict.join(tied, key).withColumn("rank_total", F.col("rank_strict") + F.col("tied")).drop("tied")
+    tied = F.when(F.col("sim") > 0, F.coalesce("k", F.lit(0))).otherwise(F.coalesce("later", F.lit(0)) - F.coalesce("k", F.lit(0)))
+    return aims.join(later.withColumnRenamed("item_id", "aim"), "aim", "left").join(count, key, "left").select(key, tied.alias("tied"))
+
+
+def numbered(rows: DataFrame, key: str, name: str, buckets: int = 4096) -> DataFrame:
+    """Adds the place from 0 by ascending key, a whole number, without sorting all in one task.
+
+    Keys are put into ranges of equal counts about (by approximate quantiles), so sparse keys don't make many ranges.
+    """
+    n = max(1, min(buckets, rows.count() // 1000))
+    edges = [x for x in (rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []) or []]
+    own = rows.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(key))) if edges else F.lit(0))
+    sizes = own.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_base"))  # at most one row a bucket
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    return own.withColumn("_place", place).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_base") + F.col("_place")).drop("_bucket", "_base", "_place")
 
 
 def metrics(ranks: DataFrame, rank: str, cutoffs: tuple[int, ...]) -> DataFrame:
@@ -82,3 +118,157 @@ def metrics(ranks: DataFrame, rank: str, cutoffs: tuple[int, ...]) -> DataFrame:
         cols.append(F.round(F.coalesce(F.avg(ndcg(r, k)), F.lit(0.0)), 6).alias(f"ndcg_{k}"))
     cols += [F.round(F.coalesce(F.avg(r), F.lit(0.0)), 6).alias("mean_rank"), F.expr(f"cast(percentile_disc(0.5) within group (order by {rank} desc) as long)").alias("median_rank")]
     return ranks.agg(*cols)
+
+
+def compared(metrics_of: dict[str, DataFrame]) -> DataFrame:
+    """One row of two runs' metrics and their differences: `<name>_<run>` and `delta_<name>` (second less first)."""
+    (a, first), (b, second) = metrics_of.items()
+    own = first.select(*[F.col(c).alias(f"{c}_{a}") for c in first.columns]).join(F.broadcast(second.select(*[F.col(c).alias(f"{c}_{b}") for c in second.columns])))
+    return own.select("*", *[(F.col(f"{c}_{b}") - F.col(f"{c}_{a}")).alias(f"delta_{c}") for c in first.columns])
+
+
+def pair_cosines(rows: DataFrame, key: str, left: str, right: str, name: str) -> DataFrame:
+    """key and the cosine of two texts of the same row (0 if one has no word): tokens of both are counted side by side."""
+    side = lambda c, a, b: rows.select(key, F.explode(word_list(F.lower(c))).alias("token"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    bag = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key, "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = bag.groupBy(key).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), (F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).cast("double").alias("size"))
+    found = sums.select(key, F.when(F.col("size") > 0, F.col("dot") / F.sqrt("size")).otherwise(0.0).alias(name))
+    return rows.select(key).join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def _fetched(rows: DataFrame, columns: list[str], block: int) -> Iterator[list[np.ndarray]]:
+    """The columns as arrays, in blocks of so many rows, one after another."""
+    rows, held = rows.select(*columns).toLocalIterator(), []
+    while held := list(islice(rows, block)):
+        yield [np.array(x) for x in zip(*held, strict=True)]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], vectors: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Item ids and the scores of all vectors with them, by matrix products over parts of the batches."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            part = batch.slice(lo, 4096)
+            own = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, -1)
+            yield part.column("item_id").to_numpy(), np.round(vectors @ own.T, places)
+
+
+def dense_top(queries: DataFrame, items: DataFrame, key: str, k: int, *, places: int = 6, block: int = 2048) -> DataFrame:
+    """key, item_id, score, rn: the k items of highest score (ties by id) of each query but itself.
+
+    queries: key, v; items: item_id, v. Blocks of queries are broadcast one after another; a task
+    multiplies them with its items and sends the best k of each query, so pairs are never rows.
+    """
+    spark, out = items.sparkSession, None
+    for own in _fetched(queries, [key, "v"], block):
+        shared = spark.sparkContext.broadcast(own)
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keys, vectors = shared.value
+            ids, top = np.zeros((len(keys), 0), np.int64), np.zeros((len(keys), 0))
+            for item, scores in _scored(batches, vectors, places):
+                now = np.concatenate([ids, np.broadcast_to(item, scores.shape)], axis=1)
+                both = np.concatenate([top, np.where(item[None, :] == keys[:, None], -np.inf, scores)], axis=1)
+                order = np.lexsort((now, -both), axis=1)[:, :k]
+                ids, top = np.take_along_axis(now, order, 1), np.take_along_axis(both, order, 1)
+            good = top > -np.inf
+            at = np.nonzero(good)[0]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[good]), pa.array(top[good])], [key, "item_id", "score"])
+
+        part = items.mapInArrow(best, f"{key} long, item_id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"{key} long, item_id long, score double, rn long")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "item_id"))
+    return out.withColumn("rn", place.cast("long")).filter(F.col("rn") <= k)
+
+
+def pool_size(pool: int, negatives: int, items: int) -> int:
+    """How many items the search for negatives looks at."""
+    return min(max(pool, negatives + 1), items)
+
+
+def first_allowed(pool: DataFrame, key: str, k: int, *also: str) -> DataFrame:
+    """key and the first k items of a pool (with rn) that is left after exclusions, as an array in their order."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("rn"))
+    own = pool.withColumn("_k", place).filter(F.col("_k") <= k)
+    return own.groupBy(key, *also).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "item_id"))), lambda x: x["item_id"]).alias("negatives"))
+
+
+def contrastive_loss(queries: DataFrame, items: DataFrame, key: str, label: str, item_label: str, temperature: float, *, places: int = 6, block: int = 2048) -> DataFrame:
+    """key and -log of the positive's share: the positive is the best other item of the same label.
+
+    Tasks send, for each query of a block, the best of its label and the sum of exp(score / temperature)
+    less the largest exponent, so sums don't overflow.
+    """
+    spark, out = items.sparkSession, None
+    for own in _fetched(queries, [key, "v", label], block):
+        shared = spark.sparkContext.broadcast(own)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keys, vectors, labels = shared.value
+            best, top, total = np.full(len(keys), -np.inf), np.full(len(keys), -np.inf), np.zeros(len(keys))
+            for batch in batches:
+                owned = batch.column(item_label).to_numpy(zero_copy_only=False)
+                for at, (item, scores) in enumerate(_scored(iter([batch]), vectors, places)):
+                    same = labels[:, None] == owned[at * 4096 : at * 4096 + len(item)][None, :]
+                    other = item[None, :] != keys[:, None]
+                    best = np.maximum(best, np.where(same & other, scores, -np.inf).max(1))
+                    now = np.maximum(top, np.where(other, scores, -np.inf).max(1))
+                    shift = np.where(np.isfinite(now), now, 0.0)
+                    total = total * np.exp(np.where(np.isfinite(top), top - shift, 0.0) / temperature) + np.where(other, np.exp((scores - shift[:, None]) / temperature), 0).sum(1)
+                    top = now
+            some = np.isfinite(top)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (keys, best, top, total)], [key, "best", "top", "total"])
+
+        part = items.mapInArrow(sums, f"{key} long, best double, top double, total double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"{key} long, loss double")
+    top = F.max("top").over(Window.partitionBy(key))
+    whole = out.withColumn("_t", top).groupBy(key, "_t").agg(F.max("best").alias("best"), F.sum(F.col("total") * F.exp((F.col("top") - F.col("_t")) / temperature)).alias("total"))
+    return whole.filter(F.col("best") > float("-inf")).select(key, (F.log("total") + (F.col("_t") - F.col("best")) / temperature).alias("loss"))
+
+
+def thirds(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """Adds cohort (1 to 3): thirds of the rows by value, ties by key, the first ones larger by one where they don't divide.
+
+    Places come from counts of the (few) values and from places within a value, so not all rows are sorted in one task.
+    """
+    sizes = rows.groupBy(value).agg(F.count("*").alias("_n"))
+    before = sizes.select(value, (F.sum("_n").over(Window.orderBy(value)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(value).orderBy(key)) - 1
+    own = rows.join(F.broadcast(before), value).withColumn("_place", place)
+    small, extra = F.floor(F.col("_all") / 3), F.col("_all") % 3
+    first = F.when(F.col("_place") < extra * (small + 1), F.floor(F.col("_place") / (small + 1))).otherwise(extra + F.floor((F.col("_place") - extra * (small + 1)) / F.greatest(small, F.lit(1))))
+    return own.withColumn("cohort", (first + 1).cast("int")).drop("_before", "_all", "_place")
+
+
+def dense_ranks(queries: DataFrame, items: DataFrame, key: str, target: str, *, places: int = 6, block: int = 2048) -> DataFrame:
+    """key, target, sim, rank (1 and the number of higher scores), known: of each query's target.
+
+    A target that isn't among the items has similarity 0 and the rank after all of them. The targets'
+    scores come first, by a join; then better items are counted block by block, as in `dense_top`.
+    """
+    spark = items.sparkSession
+    dot = F.aggregate(F.zip_with("v", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    aims = queries.join(items.select(F.col("item_id").alias(target), F.col("v").alias("_v")), target, "left").select(key, target, "v", F.round(dot, places).alias("sim"), F.col("_v").isNotNull().alias("known"))
+    out = None
+    for own in _fetched(aims.filter("known"), [key, "v", "sim"], block):
+        shared = spark.sparkContext.broadcast(own)
+
+        def above(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            keys, vectors, sims = shared.value
+            count = np.zeros(len(keys), np.int64)
+            for _, scores in _scored(batches, vectors, places):
+                count += (scores > sims[:, None]).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count)], [key, "above"])
+
+        part = items.mapInArrow(above, f"{key} long, above long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"{key} long, above long")
+    n = items.agg(F.count("*").alias("_n"))
+    better = out.groupBy(key).agg(F.sum("above").alias("above"))
+    rank = F.when(F.col("known"), 1 + F.coalesce("above", F.lit(0))).otherwise(F.col("_n") + 1)
+    return aims.join(better, key, "left").join(F.broadcast(n)).select(key, target, F.when(F.col("known"), F.col("sim")).otherwise(0.0).alias("sim"), rank.alias("rank"), "known")

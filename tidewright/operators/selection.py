@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,33 +18,55 @@ def selection_score(rubric: Column, gain: Column) -> Column:
     return F.coalesce(clean(rubric), F.lit(0.0)) * F.greatest(F.coalesce(clean(gain), F.lit(0.0)), F.lit(0.0))
 
 
+def _passes(min_rubric: float, min_gain: float) -> Column:
+    """Missing, infinite and undefined values pass no threshold."""
+    return F.coalesce((clean(F.col("rubric")) >= min_rubric) & (clean(F.col("gain")) >= min_gain), F.lit(False))
+
+
 def top_k(rows: DataFrame, group: str, k: int, min_rubric: float, min_gain: float, position: str, fallback: bool) -> DataFrame:
     """Adds selection_score, selection_rank, selected and fallback_selected.
 
     Ranks cover failing rows; the first k passing rows of a group are kept, or its first row where
-    none passes and fallback is on.
+    none passes and fallback is on. Values that aren't finite numbers count as missing: they come last.
     """
-    order = [F.desc("selection_score"), F.desc("rubric"), F.desc("gain"), F.asc(position)]
+    order = [F.desc("selection_score"), F.desc(clean(F.col("rubric"))), F.desc(clean(F.col("gain"))), F.asc(position)]
     w = Window.partitionBy(group)
-    scored = rows.withColumn("selection_score", selection_score(F.col("rubric"), F.col("gain"))).withColumn("_ok", (F.col("rubric") >= min_rubric) & (F.col("gain") >= min_gain))
+    scored = rows.withColumn("selection_score", selection_score(F.col("rubric"), F.col("gain"))).withColumn("_ok", _passes(min_rubric, min_gain))
     ranked = scored.withColumns({"selection_rank": F.row_number().over(w.orderBy(*order)), "_passed": F.sum(F.col("_ok").cast("int")).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), "_any": F.max(F.col("_ok").cast("int")).over(w)})
     fall = (F.col("_any") == 0) & (F.col("selection_rank") == 1) & F.lit(fallback and k > 0)
     return ranked.withColumn("fallback_selected", fall).withColumn("selected", fall | (F.col("_ok") & (F.col("_passed") <= k))).drop("_ok", "_passed", "_any")
 
 
-def top_share(rows: DataFrame, share: float, min_rubric: float, min_gain: float, position: str) -> DataFrame:
-    """The best ceil(n * share) of the n passing rows, by a distributed sort and limit."""
-    ok = rows.withColumn("selection_score", selection_score(F.col("rubric"), F.col("gain"))).filter((F.col("rubric") >= min_rubric) & (F.col("gain") >= min_gain))
-    from math import ceil
+def top_share(rows: DataFrame, share: float, min_rubric: float, min_gain: float, position: str, last: str | None = None) -> DataFrame:
+    """The best ceil(n * share) of the n passing rows, by a distributed sort and limit; last: one more key of the order."""
+    ok = rows.withColumn("selection_score", selection_score(F.col("rubric"), F.col("gain"))).filter(_passes(min_rubric, min_gain))
+    more = [F.desc(last)] if last else []
+    return ok.orderBy(F.desc("selection_score"), F.desc("rubric"), F.desc("gain"), *more, F.asc(position)).limit(ceil(ok.count() * share))
 
-    return ok.orderBy(F.desc("selection_score"), F.desc("rubric"), F.desc("gain"), F.asc(position)).limit(ceil(ok.count() * share))
 
+def final_gain(rows: DataFrame, gain: str, least: float) -> DataFrame:
+    """Rows whose gain is a finite number of at least so much."""
+    return rows.filter(clean(F.col(gain)) >= least)
 
-def summary(rows: DataFrame, value: str) -> DataFrame:
+
+def numeric_stats(rows: DataFrame, value: str) -> DataFrame:
+    """One row: count, min, max, mean, p50, p90, p95, p99 (interpolated), to two places; nulls but for the count of an empty input."""
     v = F.col(value)
+    at = lambda q: F.round(F.percentile(v, q), 2)
+    return rows.agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 2).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
+def rank_stats(rows: DataFrame, rank: str) -> DataFrame:
+    """One row: count, mean to two places, min, max and the upper median, of the ranks that aren't null."""
+    r = F.col(rank)
+    return rows.agg(F.count(r).alias("count"), F.round(F.avg(r), 2).alias("mean"), F.min(r).alias("min"), F.max(r).alias("max"), F.expr(f"percentile_disc(0.5) within group (order by {rank} desc)").cast("long").alias("p50"))
+
+
+def summary(rows: DataFrame, value: str) -> DataFrame:
+    v = clean(F.col(value))
     at = lambda p: F.round(F.percentile(v, p), 6)
     return rows.agg(
-        F.count("*").alias("n"), F.count_if(v.isNotNull()).alias("n_value"), F.count_if(v < 0).alias("n_negative"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"), F.round(F.avg(v), 6).alias("mean"),
+        F.count("*").alias("n"), F.count(v).alias("n_value"), F.count_if(v < 0).alias("n_negative"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"), F.round(F.avg(v), 6).alias("mean"),
         at(0.5).alias("median"), at(0.05).alias("p05"), at(0.25).alias("p25"), at(0.75).alias("p75"), at(0.95).alias("p95"),
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,12 @@ from tidewright.functions import rubric as R
 from tidewright.functions import text as T
 from tidewright.operators import core, ranking, selection
 from tidewright.plans import adapters as A
-from tidewright.sources.tables import table
+from tidewright.plans import files, items, reasoning, registry, training  # noqa: F401  (their queries are registered)
+from tidewright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from tidewright.sources.tables import table, written
 from tidewright.streaming import events as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-_WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_STRIP = lambda x: rf"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
-_COMPACT = lambda x: _STRIP(rf"regexp_replace({x}, '{_WS}+', ' ', 'g')")
-_WORDS = lambda x: rf"regexp_extract_all({x}, '[A-Za-z0-9][A-Za-z0-9''-]*')"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+_WS, _STRIP, _COMPACT, _WORDS = registry.WS, registry.strip, registry.compact, registry.word_list
 
 
 # Text
@@ -84,8 +69,8 @@ def history_text(spark, d):
 
 @query(f"WITH {A.INTER} SELECT user_id, array_to_string(list(item_id ORDER BY pos), ',') AS last_ids FROM inter WHERE pos > n - 5 GROUP BY user_id")
 def last_n_history(spark, d):
-    own = A.interactions(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("r"))
-    return own.select("user_id", F.array_join(core.tail(F.transform("r", lambda x: x["item_id"].cast("string")), 5), ",").alias("last_ids"))
+    own = core.last_rows(A.interactions(spark, d), "user_id", "pos", 5).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("r"))
+    return own.select("user_id", F.array_join(F.transform("r", lambda x: x["item_id"].cast("string")), ",").alias("last_ids"))
 
 
 @query(f"WITH {A.INTER}, t AS (SELECT user_id, coalesce(max(CASE WHEN rating >= 4 AND pos > 3 THEN pos END), max(pos)) AS target_pos FROM inter GROUP BY user_id) SELECT t.user_id, t.target_pos, count(i.item_id) AS n_before, coalesce(sum(i.item_id), 0)::BIGINT AS id_sum FROM t LEFT JOIN inter i ON i.user_id = t.user_id AND i.pos < t.target_pos AND i.pos >= t.target_pos - 10 GROUP BY 1, 2")
@@ -144,7 +129,8 @@ _NDCG = lambda r, k: f"CASE WHEN {r} <= {k} THEN 1.0::DOUBLE / log2({r} + 1.0::D
 
 
 def _queries(spark, d):
-    return A.examples(spark, d).select("user_id", "target_item_id", F.array_join("history_title", " ").alias("text"), "history_item_id")
+    """Written once: the ranking's branches would each make the histories again."""
+    return written(A.examples(spark, d).select("user_id", "target_item_id", F.array_join("history_title", " ").alias("text"), "history_item_id"), "queries")
 
 
 def _catalogue(spark, d):
@@ -166,8 +152,7 @@ def flagship_ranking_eval(spark, d):
 @query(f"WITH {_RANK} SELECT user_id, target_item_id, round(sim, 6) AS sim, 1 + count(*) FILTER (score > sim) AS rank_strict, 1 + count(*) FILTER (score > sim OR (score = sim AND item_id > target_item_id)) AS rank_total FROM full_sc GROUP BY user_id, target_item_id, sim")
 def lexical_ranks(spark, d):
     q, items = _queries(spark, d), _catalogue(spark, d)
-    strict = ranking.lexical_ranks(q, items, "user_id", "target_item_id")
-    return ranking.total_ranks(strict, q, items, "user_id", "target_item_id").withColumn("sim", F.round("sim", 6))
+    return ranking.lexical_ranks(q, items, "user_id", "target_item_id", total=True).drop("known").withColumn("sim", F.round("sim", 6))
 
 
 _DT = lambda t, k: f"{t}t AS (SELECT {k}, tok, count(*) AS tf FROM (SELECT {k}, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9][A-Za-z0-9''-]*')) AS tok FROM {t}) GROUP BY 1, 2), {t}n AS (SELECT {k}, sum(tf * tf) AS nn FROM {t}t GROUP BY 1)"
@@ -182,32 +167,47 @@ def lexical_cosine_pairs(spark, d):
 _VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT a.vec_id AS qid, b.vec_id AS vid, a.label AS ql, b.label AS vl, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"""
 
 
-def _dense(spark, d):
-    """All vectors against the query vectors (ids divisible by 50), rounded to six places."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("e").alias("qe"))
-    dot = F.aggregate(F.zip_with("qe", "e", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return v.join(q, F.col("qid") != F.col("vec_id")).select("qid", F.col("vec_id").alias("vid"), "ql", F.col("label").alias("vl"), F.round(dot, 6).alias("score"))
+def _vectors(spark, d):
+    """Query vectors (ids divisible by 50) and all vectors, with their labels."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return v.filter("item_id % 50 = 0").select(F.col("item_id").alias("qid"), F.col("label").alias("ql"), "v"), v
 
 
 @query(f"WITH {_VEC} SELECT qid, vid, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rn FROM pairs) WHERE rn <= 10")
 def dense_topk(spark, d):
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vid")
-    return _dense(spark, d).withColumn("rn", F.row_number().over(w).cast("long")).filter("rn <= 10").select("qid", "vid", "score", "rn")
+    q, v = _vectors(spark, d)
+    return ranking.dense_top(q, v, "qid", 10).withColumnRenamed("item_id", "vid")
 
 
 @query(f"WITH {_VEC}, t AS (SELECT qid, min(vid) AS tid FROM pairs WHERE ql = vl AND vid > qid GROUP BY qid), ts AS (SELECT qid, tid, score AS s FROM t JOIN pairs USING (qid) WHERE vid = tid) SELECT qid, tid, s AS sim, 1 + count(*) FILTER (score > s) AS rank FROM ts JOIN pairs USING (qid) GROUP BY 1, 2, 3")
 def dense_rank_target(spark, d):
-    p = _dense(spark, d)
-    own = p.filter("ql = vl and vid > qid").groupBy("qid").agg(F.min_by(F.struct(F.col("vid").alias("tid"), F.col("score").alias("sim")), "vid").alias("t")).select("qid", "t.*")
-    return p.join(own, "qid").groupBy("qid", "tid", "sim").agg((1 + F.count_if(F.col("score") > F.col("sim"))).alias("rank"))
+    """Targets are the next larger ids of the same label; a query itself isn't counted among the better ones."""
+    q, v = _vectors(spark, d)
+    following = F.lead("item_id").over(Window.partitionBy("label").orderBy("item_id"))
+    targets = v.select(F.col("item_id").alias("qid"), following.alias("tid")).filter("tid is not null")
+    own = q.withColumn("self", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6)).join(targets, "qid")
+    ranks = ranking.dense_ranks(own, v, "qid", "tid").join(own.select("qid", "self"), "qid")
+    return ranks.select("qid", "tid", "sim", (F.col("rank") - F.when(F.col("self") > F.col("sim"), 1).otherwise(0)).alias("rank"))
 
 
 @query(f"WITH {_VEC}, pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rn FROM pairs), neg AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rn) AS k FROM pool WHERE rn <= 50 AND ql <> vl) SELECT qid, string_agg(vid, ',' ORDER BY k) AS negatives FROM neg WHERE k <= 5 GROUP BY qid")
 def hard_negatives(spark, d):
-    pool = _dense(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))).filter("rn <= 50 and ql <> vl")
-    neg = pool.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("rn"))).filter("k <= 5")
-    return neg.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "vid"))), lambda x: x["vid"].cast("string")), ",").alias("negatives"))
+    """The first five of each query's pool of fifty with another label."""
+    q, v = _vectors(spark, d)
+    pool = ranking.dense_top(q, v, "qid", 50).join(v.select("item_id", "label"), "item_id").join(q.select("qid", "ql"), "qid")
+    neg = ranking.first_allowed(pool.filter("label <> ql"), "qid", 5)
+    return neg.select("qid", F.array_join(F.transform("negatives", lambda x: x.cast("string")), ",").alias("negatives"))
+
+
+@query(f"WITH {_VEC}, pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rn FROM pairs), t AS (SELECT qid, vid AS tid, score AS sim FROM pool WHERE rn = 12), neg AS (SELECT pool.*, tid, row_number() OVER (PARTITION BY qid ORDER BY rn) AS k FROM pool JOIN t USING (qid) WHERE rn <= 20 AND vid % 3 <> 0 AND vid <> tid AND score > sim) SELECT qid, any_value(tid) AS tid, string_agg(vid, ',' ORDER BY k) AS negatives FROM neg WHERE k <= 4 GROUP BY qid")
+def hard_negatives_above(spark, d):
+    """Negatives that beat the target, without a query's history (here ids divisible by three) and the target itself."""
+    q, v = _vectors(spark, d)
+    pool = ranking.dense_top(q, v, "qid", ranking.pool_size(20, 4, v.count()))
+    aim = pool.filter("rn = 12").select("qid", F.col("item_id").alias("tid"), F.col("score").alias("sim"))
+    hidden = pool.filter("item_id % 3 = 0").select("qid", "item_id")
+    neg = ranking.first_allowed(pool.join(aim, "qid").filter("item_id <> tid and score > sim").join(hidden, ["qid", "item_id"], "left_anti"), "qid", 4, "tid")
+    return neg.select("qid", "tid", F.array_join(F.transform("negatives", lambda x: x.cast("string")), ",").alias("negatives"))
 
 
 @query(f"""WITH {A.INTER}, seen AS (SELECT DISTINCT user_id, item_id FROM inter), c AS (SELECT count(*) AS m FROM part), ix AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part),
@@ -221,7 +221,7 @@ def random_negatives(spark, d):
     """
     own, cat = A.interactions(spark, d), A.items(spark, d).select("item_id")
     m = cat.count()
-    ix = cat.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("i"))
+    ix = ranking.numbered(cat, "item_id", "i")
     users, seen = own.select("user_id").distinct(), own.select("user_id", "item_id").distinct()
     draws = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")).withColumn("i", F.conv(F.substring(F.md5(F.concat_ws(":", "user_id", "j")), 1, 12), 16, 10).cast("long") % m)
     draws = draws.groupBy("user_id", "i").agg(F.min("j").alias("j")).join(ix, "i").filter("item_id > 0").join(seen, ["user_id", "item_id"], "left_anti")
@@ -364,7 +364,7 @@ def cohorts(spark, d):
 
     def of(kind: str, key: str) -> DataFrame:
         n = own.groupBy(key).agg(F.count("*").alias("c"), F.avg("rating").alias("r"))
-        return n.withColumn("cohort", F.ntile(3).over(Window.orderBy("c", key))).groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("events"), F.round(F.avg("r"), 6).alias("rating")).select(F.lit(kind).alias("kind"), "cohort", "n", "events", "rating")
+        return ranking.thirds(n, "c", key).groupBy("cohort").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("events"), F.round(F.avg("r"), 6).alias("rating")).select(F.lit(kind).alias("kind"), "cohort", "n", "events", "rating")
 
     return of("activity", "user_id").unionByName(of("popularity", "item_id"))
 
@@ -381,9 +381,9 @@ def pareto_selective(spark, d):
 
 @query(f"WITH {_VEC}, pos AS (SELECT qid, max(score) AS s FROM pairs WHERE ql = vl GROUP BY qid) SELECT p.qid, round(ln(sum(exp((score - s) / 0.05))), 4) AS loss FROM pairs p JOIN pos USING (qid) GROUP BY p.qid, s")
 def infonce_batch(spark, d):
-    p = _dense(spark, d)
-    best = p.filter("ql = vl").groupBy("qid").agg(F.max("score").alias("s"))
-    return p.join(best, "qid").groupBy("qid", "s").agg(F.round(F.ln(F.sum(F.exp((F.col("score") - F.col("s")) / 0.05))), 4).alias("loss")).select("qid", "loss")
+    """The loss of each query against all vectors of the batch, its best one of the same label being the positive."""
+    q, v = _vectors(spark, d)
+    return ranking.contrastive_loss(q, v, "qid", "ql", "label", 0.05).select("qid", F.round("loss", 4).alias("loss"))
 
 
 @query(f"""WITH {_RANK}, nd AS (SELECT count(*) AS m FROM documents), cot AS (SELECT q.user_id, q.target_item_id, q.text || chr(10) || chr(10) || 'Recommendation reasoning:' || chr(10) || {_STRIP('d.text')} AS text FROM q, nd, documents d WHERE d.doc_id = q.user_id % nd.m),

@@ -6,12 +6,14 @@ files don't count. Nulls are written, as are characters beyond ASCII.
 
 from __future__ import annotations
 
+from functools import reduce
 from html import escape
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.core import first_wins
+from tidewright.sources.jsonl import manifest_of
 
 
 def write_jsonl(df: DataFrame, path: str, *, mode: str = "overwrite") -> int:
@@ -32,15 +34,46 @@ def write_ordered(rows: DataFrame, order: DataFrame, path: str, *, key: str, pos
 
 
 def write_two_ways(rows: DataFrame, flag: Column, kept_path: str, other_path: str) -> tuple[int, int]:
-    """Rows with the flag to the first path, all others (null flags too) to the second."""
-    good = F.coalesce(flag, F.lit(False))
-    return write_jsonl(rows.filter(good), kept_path), write_jsonl(rows.filter(~good), other_path)
+    """Rows with the flag to the first path, all others (null flags too) to the second.
+
+    The input runs once: flagged rows are written beside the first path and read from there, so a
+    row stands in exactly one of the two, even where the flag isn't the same each time.
+    """
+    spark, whole = rows.sparkSession, f"{kept_path}.all"
+    rows.withColumn("_flag", F.coalesce(flag, F.lit(False))).write.mode("overwrite").parquet(whole)
+    once = spark.read.parquet(whole)
+    counts = write_jsonl(once.filter("_flag").drop("_flag"), kept_path), write_jsonl(once.filter("not _flag").drop("_flag"), other_path)
+    _remove(spark, whole)
+    return counts
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def write_with_failures(rows: DataFrame, path: str, *, error: str = "error") -> tuple[int, int]:
-    """Rows without an error to the path, the others to `<path>.failures` with the time of writing."""
-    bad = rows.filter(F.col(error).isNotNull()).withColumn("failed_at", F.current_timestamp())
-    return write_jsonl(rows.filter(F.col(error).isNull()).drop(error), path), write_jsonl(bad, f"{path}.failures")
+    """Rows without an error to the path, the others to `<path>.failures` with the time of writing; the input runs once."""
+    stamped = rows.withColumn("failed_at", F.when(F.col(error).isNotNull(), F.current_timestamp()))
+    spark, whole = rows.sparkSession, f"{path}.all"
+    stamped.write.mode("overwrite").parquet(whole)
+    once = spark.read.parquet(whole)
+    counts = write_jsonl(once.filter(F.col(error).isNull()).drop(error, "failed_at"), path), write_jsonl(once.filter(F.col(error).isNotNull()), f"{path}.failures")
+    _remove(spark, whole)
+    return counts
+
+
+def missing(order: DataFrame, rows: DataFrame, key: str) -> int:
+    """How many rows of the input have no row in what was made of it."""
+    return order.join(rows.select(key).distinct(), key, "left_anti").count()
+
+
+def reconciled(parts: list[DataFrame], expected: int | None = None) -> DataFrame:
+    """The rows of all shards; another number of them than expected raises."""
+    out = reduce(DataFrame.unionByName, parts)
+    if expected is not None and (n := out.count()) != expected:
+        raise ValueError(f"{n} rows in the shards, {expected} expected")
+    return out
 
 
 def checkpoint_rows(done: DataFrame, order: DataFrame, *, key: str, index: str, position: str, written: str) -> DataFrame:
@@ -49,6 +82,11 @@ def checkpoint_rows(done: DataFrame, order: DataFrame, *, key: str, index: str,
     return own.orderBy(F.asc_nulls_last(position), key, index).drop(position)
 
 
+def write_manifest(spark: SparkSession, values: dict, path: str) -> None:
+    """A run's manifest as one text file."""
+    spark.createDataFrame([(manifest_of(values),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row frame as one JSON object."""
     report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -81,6 +81,12 @@ def first_words(x: Column, n: int) -> Column:
     return F.when(F.size(own) <= n, x).otherwise(F.array_join(F.slice(own, 1, n), " "))
 
 
+def last_words(x: Column, n: int) -> Column:
+    """The last n runs, joined by blanks, if there are more; else the text itself: a prompt cut from the left."""
+    own = runs(x)
+    return F.when(F.size(own) <= n, x).otherwise(F.array_join(F.slice(own, F.greatest(F.size(own) - n, F.lit(0)) + 1, F.lit(n)), " ")) if n > 0 else x
+
+
 def blocks(x: Column) -> Column:
     """Struct of reasoning, answer and whether both tags stand in the text."""
     own = F.coalesce(x, F.lit(""))

@@ -44,6 +44,17 @@ def top_share(rows: DataFrame, share: float, min_rubric: float, min_gain: float,
     return ok.orderBy(F.desc("selection_score"), F.desc("rubric"), F.desc("gain"), *more, F.asc(position)).limit(ceil(ok.count() * share))
 
 
+def ranked_share(rows: DataFrame, share: float, min_rubric: float, min_gain: float, position: str, last: str | None = None) -> DataFrame:
+    """As top_share, with selection_rank: places in the kept rows' order (their number is a share of all, so ranks come from ranges)."""
+    kept = top_share(rows, share, min_rubric, min_gain, position, last)
+    place = F.struct((-F.col("selection_score")).alias("a"), (-clean(F.col("rubric"))).alias("b"), (-clean(F.col("gain"))).alias("c"), *([(-F.col(last)).alias("d")] if last else []), F.col(position).alias("e"))
+    ranged = kept.withColumn("_p", place).repartitionByRange("_p").withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_p")
+    ranged = ranged.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row for each partition
+    return ranged.join(F.broadcast(before), "_part").withColumn("selection_rank", (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_p", "_part", "_at", "_before")
+
+
 def final_gain(rows: DataFrame, gain: str, least: float) -> DataFrame:
     """Rows whose gain is a finite number of at least so much."""
     return rows.filter(clean(F.col(gain)) >= least)

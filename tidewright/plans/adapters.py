@@ -40,7 +40,7 @@ def rich_items(spark: SparkSession, d: str) -> DataFrame:
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return rows.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), (1 + F.floor("l_quantity") % 5).cast("int").alias("rating"), pos.alias("pos"))
 
 
@@ -68,7 +68,7 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 INTER = """inter AS (SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(1 + CAST(floor(l_quantity) AS BIGINT) % 5 AS INTEGER) AS rating,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos,
   count(*) OVER (PARTITION BY o_custkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 EXAMPLES = INTER + """, hist AS (SELECT user_id, item_id, rating, pos, p_name AS title FROM inter JOIN part ON p_partkey = item_id WHERE pos < n AND pos >= n - 20),
 aim AS (SELECT user_id, item_id AS target_item_id, p_name AS target_title FROM inter JOIN part ON p_partkey = item_id WHERE pos = n)"""

@@ -212,7 +212,10 @@ def hard_negatives_above(spark, d):
 
 @query(f"""WITH {A.INTER}, seen AS (SELECT DISTINCT user_id, item_id FROM inter), c AS (SELECT count(*) AS m FROM part), ix AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part),
 dr AS (SELECT DISTINCT user_id, first_value(j) OVER (PARTITION BY user_id, i ORDER BY j) AS j, i FROM (SELECT user_id, j, ('0x' || substr(md5(user_id || ':' || j), 1, 12))::BIGINT % m AS i FROM (SELECT DISTINCT user_id FROM inter), range(64) t(j), c)),
-ok AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k FROM dr JOIN ix USING (i) WHERE item_id > 0 AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM seen)) SELECT user_id, string_agg(item_id, ',' ORDER BY k) AS negatives FROM ok WHERE k <= 5 GROUP BY user_id""")
+ok AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k FROM dr JOIN ix USING (i) WHERE item_id > 0 AND (user_id, item_id) NOT IN (SELECT user_id, item_id FROM seen)),
+few AS (SELECT u.user_id, count(item_id) AS have FROM (SELECT DISTINCT user_id FROM inter) u LEFT JOIN ok USING (user_id) GROUP BY 1 HAVING count(item_id) < 5),
+rest AS (SELECT few.user_id, ix.item_id, have + row_number() OVER (PARTITION BY few.user_id ORDER BY md5(few.user_id || ':rest:' || ix.item_id), ix.item_id) AS k FROM few JOIN ix ON ix.item_id > 0 WHERE (few.user_id, ix.item_id) NOT IN (SELECT user_id, item_id FROM seen) AND (few.user_id, ix.item_id) NOT IN (SELECT user_id, item_id FROM ok)),
+picked AS (SELECT * FROM ok WHERE k <= 5 UNION ALL SELECT * FROM rest WHERE k <= 5) SELECT user_id, string_agg(item_id, ',' ORDER BY k) AS negatives FROM picked GROUP BY user_id""")
 def random_negatives(spark, d):
     """Seeded draws (64 for a user) looked up by place in the catalogue; the first five unseen ones.
 

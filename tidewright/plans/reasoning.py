@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import answers, prompts, providers, rewards
 from tidewright.functions import rubric as R
 from tidewright.functions import text as T
-from tidewright.operators import ranking
+from tidewright.operators import datasets, ranking
 from tidewright.plans import adapters as A
 from tidewright.plans.registry import compact, query, quoted, strip, word_list
 from tidewright.sources.tables import table
@@ -177,3 +177,23 @@ def mock_outputs(spark, d):
     """The stand-in of a text maker, the target's title masked where it stands in the text."""
     title = F.when(F.col("doc_id") % 2 == 0, "positive cues").otherwise("no such title")
     return table(spark, d, "documents").select("doc_id", F.md5(answers.mock_output(F.col("doc_id") % 3, title)).alias("said"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, list_filter(string_split({compact('text')}, ' '), lambda x: x <> '') AS w FROM documents) SELECT doc_id, md5(CASE WHEN len(w) <= 25 THEN text ELSE array_to_string(w[-25:], ' ') END) AS tail FROM w""")
+def prompt_tails(spark, d):
+    """Prompts cut from the left."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.last_words(F.col("text"), 25)).alias("tail"))
+
+
+@query(f"""WITH {A.SCORED}, {_HALF}, t AS (SELECT doc_id, d1, d2, d3, d4, d5, {_B} AS answer FROM halves JOIN scored USING (doc_id)) SELECT doc_id // 4 AS example_id, CAST(doc_id % 4 AS INTEGER) AS candidate_index, CASE WHEN doc_id % 3 = 0 THEN 'rules' ELSE 'json' END AS mode, CASE WHEN doc_id % 3 <> 0 THEN CAST(d1 + d2 + d3 + d4 + d5 AS INTEGER) END AS judged_total FROM t WHERE answer <> ''""")
+def judged_lists(spark, d):
+    """Candidate lists judged one by one: the judge's score where it sent one, else that of the rules."""
+    own = _halves(spark, d).join(A.scored(spark, d).select("doc_id", *[f"d{i}" for i in range(1, 6)]), "doc_id")
+    own = own.withColumns({"example_id": F.expr("doc_id div 4"), "candidate_index": (F.col("doc_id") % 4).cast("int"), "answer": F.col("b")})
+    lists = datasets.nested(own.select("example_id").distinct(), own.select("example_id", "candidate_index", "answer", "doc_id", *[f"d{i}" for i in range(1, 6)]), "example_id", 4)
+    tasks = datasets.limited_tasks(lists.drop("candidate_count"), "example_id", "candidates").select("example_id", "candidate.*")
+    payload = F.when(F.col("doc_id") % 3 != 0, F.to_json(F.struct(*[F.col(f"d{i}").alias(n) for i, n in enumerate(R.DIMENSIONS, 1)])))
+    sent = F.when(payload.isNotNull(), providers.mock_envelope(payload))
+    rules = R.rule_score(F.lit(""), F.col("answer"))
+    score = F.coalesce(providers.envelope_score(sent), providers.judged_score(F.lit("no score"), rules))
+    return tasks.select("example_id", "candidate_index", score.alias("s")).select("example_id", "candidate_index", "s.mode", F.when(F.col("s.mode") == "json", F.col("s.total")).alias("judged_total"))

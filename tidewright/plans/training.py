@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import convert, items
 from tidewright.functions import text as T
+from tidewright.functions.providers import stored_score
 from tidewright.functions.rubric import ndcg
 from tidewright.operators import core, datasets, ranking, selection
 from tidewright.plans import adapters as A
@@ -145,6 +146,22 @@ def excluded_prompts(spark, d):
     return out("keys", keyed).unionByName(out("histories", told))
 
 
+@query(f"WITH {_CHAT} SELECT conv_id FROM h WHERE conv_id % 7 <> 3 ORDER BY conv_id LIMIT 20")
+def limited_prompts(spark, d):
+    """A limit on what is left after the exclusion (the limit is the feature)."""
+    own = _chats(spark, d)
+    return datasets.excluded(own, own.filter("conv_id % 7 = 3")).orderBy("conv_id").limit(20).select("conv_id")
+
+
+@query("WITH s AS (SELECT doc_id, doc_id % 4 AS k, quality FROM labels) SELECT doc_id, CASE k WHEN 0 THEN 20.0 WHEN 1 THEN 10.0 + quality END::DOUBLE AS total, CASE k WHEN 0 THEN 0.9 WHEN 1 THEN (10.0 + quality) / 25.0 END::DOUBLE AS norm FROM s")
+def stored_scores(spark, d):
+    """Stored scores: a numeric total is needed, a missing share is worked out."""
+    k = F.col("doc_id") % 4
+    total = F.when(k == 0, "20").when(k == 1, (F.lit(10) + F.col("quality")).cast("string")).when(k == 2, "many")
+    own = table(spark, d, "labels").select("doc_id", stored_score(total, F.when(k == 0, 0.9)).alias("s"))
+    return own.select("doc_id", "s.total", F.col("s.score_norm").alias("norm"))
+
+
 # Ranks and statistics
 
 
@@ -196,6 +213,20 @@ def numeric_summaries(spark, d):
     return selection.numeric_stats(docs, "n_chars").join(F.broadcast(ranks))
 
 
+@query(f"WITH {A.SCORED}, s AS (SELECT *, rubric * greatest(gain, 0) AS sel, doc_id % 7 AS nd FROM scored WHERE rubric >= 12 AND gain >= 0), c AS (SELECT CAST(ceil(count(*) * 0.3::DOUBLE) AS BIGINT) AS k FROM s) SELECT doc_id, CAST(rn AS INTEGER) AS selection_rank FROM (SELECT *, row_number() OVER (ORDER BY sel DESC, rubric DESC, gain DESC, nd DESC, doc_id) AS rn FROM s), c WHERE rn <= k")
+def ranked_top_percent(spark, d):
+    """The best share of all rows with their ranks, NDCG being the last key before the place."""
+    own = A.scored(spark, d).withColumn("nd", F.col("doc_id") % 7)
+    return selection.ranked_share(own, 0.3, 12, 0, "doc_id", "nd").select("doc_id", "selection_rank")
+
+
+@query("WITH r AS (SELECT 1 + doc_id * 7 % 30 AS r FROM documents) SELECT " + ", ".join(f"round(avg((r <= {k})::INT::DOUBLE), 6) AS hr_{k}, round(avg(CASE WHEN r <= {k} THEN 1 / log2(r + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg_{k}" for k in (5, 10, 20)) + " FROM r")
+def cutoff_metrics(spark, d):
+    """Metrics at the cutoffs that a list in text names."""
+    ranks = table(spark, d, "documents").select((1 + F.col("doc_id") * 7 % 30).alias("rank"))
+    return ranking.metrics(ranks, "rank", tuple(convert.numbers_in("5, 10,,20"))).drop("n", "mean_rank", "median_rank")
+
+
 _HR = lambda r, k: f"round(avg(({r} <= {k})::INT::DOUBLE), 6)"
 
 

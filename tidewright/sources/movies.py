@@ -58,7 +58,7 @@ def movie_examples(tables: dict[str, DataFrame], *, split: str = "train", min_hi
     users = tables["users"] if split == "all" else tables["users"].join(tables["splits"].filter(F.col("split") == split).select("user_id").distinct(), "user_id", "left_semi")
     users = users.join(tables["user_ids"], "user_id")
     if max_users > 0:
-        users = users.orderBy(F.md5(F.col("user_id").cast("binary")), "user_id").limit(max_users)
+        users = users.orderBy(F.md5(F.col("user_id").cast("binary")), "user_id").limit(max_users).orderBy(F.col("user_id").try_cast("long"), "user_id")
     at = target_index(F.col("ratings"), min_history=min_history, min_rating=min_rating, allow_low=allow_low)
     own = users.join(tables["sequences"], "internal_id").withColumn("at", at).filter("at is not null").withColumn("start", F.greatest(F.col("at") - max_history, F.lit(0))).filter(F.col("at") - F.col("start") >= min_history)
     titled = lambda rows: rows.join(tables["titles"], "item_id", "left").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("item-"), F.col("item_id"))))

@@ -41,7 +41,8 @@ def first_truthy(*xs: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(F.coalesce(x, F.lit("")), rf"^{WHITE}+|{WHITE}+$", "")
+    """Without white space at both ends; only the ends are looked at, however long the text is."""
+    return F.btrim(F.coalesce(x, F.lit("")), F.lit(" " + _WHITE_CHARS))
 
 
 def compact(x: Column, limit: int = 0) -> Column:
@@ -54,7 +55,7 @@ def compact(x: Column, limit: int = 0) -> Column:
 def truncated(x: Column, limit: int, reserve: int, marker: str) -> Column:
     if limit <= 0:
         return x
-    cut = F.regexp_replace(F.substring(x, 1, limit - reserve), rf"{WHITE}+$", "")
+    cut = F.rtrim(F.substring(x, 1, limit - reserve), F.lit(" " + _WHITE_CHARS))
     return F.when(F.length(x) <= limit, x).otherwise(F.concat(cut, F.lit(marker)))
 
 

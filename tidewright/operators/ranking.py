@@ -29,8 +29,12 @@ def norms(bag: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def cosines(queries: DataFrame, texts: DataFrame, query_key: str, text_key: str, text: str = "text") -> DataFrame:
-    """Pairs with at least one common token: query_key, text_key, score."""
-    q, t = bags(queries, query_key, text), bags(texts, text_key, text)
+    """Pairs with at least one common token: query_key, text_key, score.
+
+    Queries are dealt by their key once, as texts; what is counted and summed by key after that needs
+    no further shuffle of tokens (the texts' side is joined as Catalyst finds best).
+    """
+    q, t = bags(queries.select(query_key, text).repartition(query_key), query_key, text), bags(texts, text_key, text)
     dots = q.join(t.withColumnRenamed("tf", "tf2"), "token").groupBy(query_key, text_key).agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"))
     both = dots.join(norms(q, query_key, "qn"), query_key).join(norms(t, text_key, "tn"), text_key)
     return both.select(query_key, text_key, (F.col("dot") / F.sqrt((F.col("qn") * F.col("tn")).cast("double"))).alias("score"))

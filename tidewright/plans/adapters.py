@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.core import histories
-from tidewright.sources.tables import table
+from tidewright.sources.tables import evenly, table
 
 LAST = 20
 
@@ -17,6 +17,11 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_type").alias("main_category"), F.col("p_brand").alias("store"), F.col("p_retailprice").alias("average_rating"), F.col("p_size").alias("rating_number"))
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Ids and texts, dealt to all cores: for functions that cost much by text."""
+    return evenly(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def rich_items(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue with made-up lists, details and gaps: item_id, name and a struct item."""
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -35,13 +40,16 @@ def rich_items(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(name, F.lit("\n"), F.col("p_type")), F.lit(""), F.repeat(F.concat(name, F.lit(" ")), 60))).alias("description"), details.alias("details"),
         F.when(k % 9 == 0, None).when(k % 9 == 1, 0.0).otherwise((F.col("p_size") % 9) / 2.0).alias("average_rating"), F.when((k % 9 < 2) | (k % 8 == 0), 0).otherwise(F.col("p_size")).alias("rating_number"),
     )
-    return table(spark, d, "part").select(k.alias("item_id"), name.alias("name"), item.alias("item"))
+    return evenly(table(spark, d, "part")).select(k.alias("item_id"), name.alias("name"), item.alias("item"))
 
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    return rows.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), (1 + F.floor("l_quantity") % 5).cast("int").alias("rating"), pos.alias("pos"))
+    order = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    # Named before the window, so that what groups by user_id later needs no second shuffle.
+    rows = rows.select(F.col("o_custkey").alias("user_id"), *order)
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    return rows.select("user_id", F.col("l_partkey").alias("item_id"), (1 + F.floor("l_quantity") % 5).cast("int").alias("rating"), pos.alias("pos"))
 
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +72,7 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut in two and put into synonym tags; odd ids stay without tags."""
     half = F.expr("cast(length(text) div 2 as int)")
     t = F.concat(F.lit("<Thinking> "), F.expr("left(text, cast(length(text) div 2 as int))"), F.lit("</thinking>\n<recommendation>"), F.substr("text", half + 1), F.lit(" </RECOMMENDATION>"))
-    return table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, t).otherwise(F.concat(F.lit("Final answer: "), F.col("text"))).alias("raw"))
+    return documents(spark, d).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, t).otherwise(F.concat(F.lit("Final answer: "), F.col("text"))).alias("raw"))
 
 
 INTER = """inter AS (SELECT o_custkey AS user_id, l_partkey AS item_id, CAST(1 + CAST(floor(l_quantity) AS BIGINT) % 5 AS INTEGER) AS rating,

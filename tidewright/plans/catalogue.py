@@ -23,19 +23,19 @@ _WS, _STRIP, _COMPACT, _WORDS = registry.WS, registry.strip, registry.compact, r
 @query(f"WITH c AS (SELECT doc_id, {_COMPACT('text')} AS t FROM documents) SELECT doc_id, md5(t) AS whole, length(t) AS n, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(left(t, 185), '{_WS}+$', '') || ' [TRUNCATED]' END AS cut FROM c")
 def text_compact_truncate(spark, d):
     t = T.compact(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("whole"), F.length(t).cast("long").alias("n"), T.compact(F.col("text"), 200).alias("cut"))
+    return A.documents(spark, d).select("doc_id", F.md5(t).alias("whole"), F.length(t).cast("long").alias("n"), T.compact(F.col("text"), 200).alias("cut"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, len({_WORDS('text')}) AS words, len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) AS runs FROM documents)
 SELECT doc_id, words, runs, CASE WHEN words BETWEEN 70 AND 220 THEN 5 WHEN words BETWEEN 45 AND 280 THEN 4 WHEN words BETWEEN 25 AND 360 THEN 3 WHEN words > 0 THEN 2 ELSE 1 END AS band FROM c""")
 def token_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(T.runs(F.col("text"))).cast("long").alias("runs")).withColumn("band", R.conciseness(F.col("words")))
+    return A.documents(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(T.runs(F.col("text"))).cast("long").alias("runs")).withColumn("band", R.conciseness(F.col("words")))
 
 
 @query(f"""WITH c AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, md5(CASE WHEN len(w) <= 30 THEN text ELSE array_to_string(w[1:30], ' ') END) AS cut FROM c""")
 def truncate_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.first_words(F.col("text"), 30)).alias("cut"))
+    return A.documents(spark, d).select("doc_id", F.md5(T.first_words(F.col("text"), 30)).alias("cut"))
 
 
 @query(f"""WITH {A.TAGGED}, b AS (SELECT doc_id, raw, regexp_matches(raw, '(?is)<(?:analysis|think|thinking|thoughts)>(.*?)</(?:analysis|think|thinking|thoughts)>\\s*<(?:recommendation|answer)>(.*?)</(?:recommendation|answer)>') AS has FROM tagged)
@@ -160,7 +160,7 @@ _DT = lambda t, k: f"{t}t AS (SELECT {k}, tok, count(*) AS tf FROM (SELECT {k},
 
 @query(f"WITH {_DT('documents', 'doc_id')}, {_DT('benchmark', 'item_id')}, p AS (SELECT doc_id, item_id, sum(a.tf * b.tf) AS dot FROM documentst a JOIN benchmarkt b USING (tok) GROUP BY 1, 2) SELECT doc_id, round(max(dot / sqrt((x.nn * y.nn)::DOUBLE)), 6) AS best, count(*) AS n FROM p JOIN documentsn x USING (doc_id) JOIN benchmarkn y USING (item_id) GROUP BY doc_id")
 def lexical_cosine_pairs(spark, d):
-    pairs = ranking.cosines(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id")
+    pairs = ranking.cosines(A.documents(spark, d).select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id")
     return pairs.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n"))
 
 
@@ -255,7 +255,7 @@ s AS (SELECT doc_id, greatest(1, 1 - lk) AS a, greatest(1, {_LAD('p', R.SPECIFIC
 SELECT doc_id, CAST(a AS INT) AS grounding, CAST(b AS INT) AS specificity, CAST(c AS INT) AS transitional, CAST(e AS INT) AS framing, CAST(f AS INT) AS conciseness, CAST(a + b + c + e + f AS INT) AS total, round((a + b + c + e + f) / 25.0::DOUBLE, 6) AS score_norm FROM s""")
 def rule_score(spark, d):
     s = R.rule_score(F.lit(""), F.col("text"))
-    own = table(spark, d, "documents").select("doc_id", s.alias("s"))
+    own = A.documents(spark, d).select("doc_id", s.alias("s"))
     return own.select("doc_id", *[F.col(f"s.{a}").alias(b) for a, b in zip(R.DIMENSIONS, ("grounding", "specificity", "transitional", "framing", "conciseness"), strict=True)], "s.total", F.round("s.score_norm", 6).alias("score_norm"))
 
 

@@ -32,7 +32,7 @@ def chat_prompts(spark, d):
     category = F.when(k % 3 == 0, "Video_Games").when(k % 3 == 1, "Books").otherwise("")
     target = F.when(k % 2 == 0, prompts.target_block(F.concat(F.lit("T"), k), F.lit("x"))).otherwise(prompts.target_block(F.lit("t"), F.lit("x"), False))
     query_ = prompts.instructed(T.with_reasoning(F.lit(" h "), F.col("text")), "find it")
-    return table(spark, d, "documents").select("doc_id", _said(prompts.maker_messages(F.col("text"), category)).alias("maker"), _said(prompts.judge_messages(F.lit(" h"), F.col("text"), target)).alias("judge"), F.md5(query_).alias("embedded"))
+    return A.documents(spark, d).select("doc_id", _said(prompts.maker_messages(F.col("text"), category)).alias("maker"), _said(prompts.judge_messages(F.lit(" h"), F.col("text"), target)).alias("judge"), F.md5(query_).alias("embedded"))
 
 
 @query(f"""WITH {A.RICH}, t AS (SELECT item_id, {compact('title', 300)} AS title, {compact("coalesce(store, '')", 300)} AS store, array_to_string(list_filter([trim(x) FOR x IN coalesce(categories, [])], lambda x: x <> '')[1:8], ' > ') AS cats, list_filter([{compact('x', 500)} FOR x IN description], lambda x: x <> '') AS parts,
@@ -48,7 +48,7 @@ _HALF = "halves AS (SELECT doc_id, doc_id % 6 AS k, left(text, length(text) // 2
 
 
 def _halves(spark, d):
-    own = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 6).alias("k"), F.expr("left(text, cast(length(text) div 2 as int))").alias("a"), F.expr("substr(text, cast(length(text) div 2 as int) + 1)").alias("b"))
+    own = A.documents(spark, d).select("doc_id", (F.col("doc_id") % 6).alias("k"), F.expr("left(text, cast(length(text) div 2 as int))").alias("a"), F.expr("substr(text, cast(length(text) div 2 as int) + 1)").alias("b"))
     a, b = F.col("a"), F.col("b")
     raw = (
         F.when(F.col("k") == 0, F.concat(F.lit("<Thinking> "), a, F.lit("</thinking>\n<recommendation>"), b, F.lit(" </RECOMMENDATION> tail")))
@@ -120,7 +120,7 @@ def rule_score_with_history(spark, d):
     w = F.slice(T.word_list(F.col("text")), 1, 3)
     at = lambda i, other: F.coalesce(F.try_element_at(w, F.lit(i)), F.lit(other))
     history = F.concat(at(1, "x"), F.lit(" "), at(2, "y"), F.lit(" (1999), 5 stars; Never Qqseen (2001), 1 stars; "), at(3, "z"), F.lit(" (2000), 2 stars"))
-    own = table(spark, d, "documents").select("doc_id", R.rule_score(history, F.col("text")).alias("s"))
+    own = A.documents(spark, d).select("doc_id", R.rule_score(history, F.col("text")).alias("s"))
     return own.select("doc_id", F.col("s.preference_grounding").alias("grounding"), F.col("s.discriminative_framing").alias("framing"), "s.total", F.col("s.mentioned_history_items").alias("named"), F.col("s.mentioned_positive_items").alias("good"), F.col("s.mentioned_low_items").alias("bad"))
 
 
@@ -182,7 +182,7 @@ def mock_outputs(spark, d):
 @query(f"""WITH w AS (SELECT doc_id, text, list_filter(string_split({compact('text')}, ' '), lambda x: x <> '') AS w FROM documents) SELECT doc_id, md5(CASE WHEN len(w) <= 25 THEN text ELSE array_to_string(w[-25:], ' ') END) AS tail FROM w""")
 def prompt_tails(spark, d):
     """Prompts cut from the left."""
-    return table(spark, d, "documents").select("doc_id", F.md5(T.last_words(F.col("text"), 25)).alias("tail"))
+    return A.documents(spark, d).select("doc_id", F.md5(T.last_words(F.col("text"), 25)).alias("tail"))
 
 
 @query(f"""WITH {A.SCORED}, {_HALF}, t AS (SELECT doc_id, d1, d2, d3, d4, d5, {_B} AS answer FROM halves JOIN scored USING (doc_id)) SELECT doc_id // 4 AS example_id, CAST(doc_id % 4 AS INTEGER) AS candidate_index, CASE WHEN doc_id % 3 = 0 THEN 'rules' ELSE 'json' END AS mode, CASE WHEN doc_id % 3 <> 0 THEN CAST(d1 + d2 + d3 + d4 + d5 AS INTEGER) END AS judged_total FROM t WHERE answer <> ''""")

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def evenly(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where a scan has fewer tasks than there are cores (a file of one large row group).
+
+    For what costs much more by row than a shuffle of the row does; scans of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local folder only where all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -529,11 +529,19 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
 
 def counter(spark: SparkSession, tokenizer: str) -> Callable[[pa.Array], np.ndarray]:
-    """A function from a column of texts to their numbers of tokens, to be called in tasks."""
+    """A function from a column of texts to their numbers of tokens, to be called in tasks.
+
+    A single text goes the way of rows with special tokens: for a short one numpy's passes cost more.
+    """
     shared = spark.sparkContext.broadcast(tokenizer)
+    held: list[Merges] = []  # of the task
 
     def count(texts: pa.Array) -> np.ndarray:
-        return np.diff(_once(Merges, shared.value).encode(texts)[1])
+        if not held:
+            held.append(_once(Merges, shared.value))
+        if len(texts) == 1:
+            return np.array([len(held[0].encode_text(texts[0].as_py() or "")) // 4])
+        return np.diff(held[0].encode(texts)[1])
 
     return count
 

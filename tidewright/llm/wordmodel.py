@@ -31,6 +31,8 @@ from tidewright.llm.text import ALNUM, fold, slices, words
 ORDER = 3
 #: N-grams of the model in one shard, about.
 SHARD = 1 << 20
+#: Places of a text whose n-grams are made at once.
+PLACES = 1 << 18
 #: Hashes that stand for an edge and for the end of a text.
 EDGE, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MODEL, _REQUEST, _HEAD = 0, 1, 2
@@ -52,12 +54,27 @@ def padded(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return out, row, n
 
 
-def grams(h: np.ndarray, row: np.ndarray, order: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (of the last word) and keys of the k-grams that a text's probability asks for."""
+def places(row: np.ndarray, order: int, k: int) -> np.ndarray:
+    """Places (of the last word) of the k-grams that a text's probability asks for: edges are never predicted."""
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-    inside = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-    at = np.flatnonzero(inside >= (order - 1 if k == order else order - 2))
-    return at, fold([h[at - k + 1 + i] for i in range(k)]) if k else np.zeros(len(at), np.uint64)
+    inside = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return np.flatnonzero(inside >= (order - 1 if k == order else order - 2))
+
+
+def keys(h: np.ndarray, at: np.ndarray, k: int, last: int = 0) -> np.ndarray:
+    """Keys of the k-grams that end `last` places before the given ones."""
+    return fold([h[at - last - k + 1 + i] for i in range(k)]) if k else np.zeros(len(at), np.uint64)
+
+
+def grams(h: np.ndarray, row: np.ndarray, order: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    at = places(row, order, k)
+    return at, keys(h, at, k)
+
+
+def _pieces(at: np.ndarray) -> Iterator[np.ndarray]:
+    """Places in parts, so that a long text needs little more memory than its words."""
+    for lo in range(0, len(at), PLACES):
+        yield at[lo : lo + PLACES]
 
 
 def _columns(order: int) -> list[str]:
@@ -71,17 +88,14 @@ def _count(order: int) -> callable:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, row, _ = padded(part.column("text"), order)
-                if not len(h):
-                    continue
-                at, key = grams(h, row, order, order)  # tokens only: edges are never predicted
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                at = at[first]
-                columns = [n]
-                for k in range(order, 0, -1):
-                    words_ = [h[at - k + 1 + i] for i in range(k)]
-                    columns += [fold(words_).view(np.int64), fold(words_[:-1]).view(np.int64) if k > 1 else np.zeros(len(at), np.int64)]
-                for lo in range(0, len(at), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], _columns(order))
+                for at in _pieces(places(row, order, order)):
+                    _, first, n = np.unique(keys(h, at, order), return_index=True, return_counts=True)
+                    at = at[first]
+                    columns = [n]
+                    for k in range(order, 0, -1):
+                        columns += [keys(h, at, k).view(np.int64), keys(h, at, k - 1, 1).view(np.int64)]
+                    for lo in range(0, len(at), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], _columns(order))
 
     return run
 
@@ -168,11 +182,11 @@ def _requests(bits: int, order: int) -> callable:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, row, n = padded(part.column("text"), order)
-                asked = [grams(h, row, order, k) for k in range(1, order + 1)]
-                keys, rows = np.concatenate([k for _, k in asked]), np.concatenate([row[at] for at, _ in asked]).astype(np.uint32)
-                out = [_row(s, _REQUEST, k.tobytes(), r.tobytes(), base) for s, k, r in _by_shard(keys, rows, bits)]
-                out.append(_row((base >> 40) % (1 << bits), _HEAD, base=base, ids=part.column("doc_id").to_pylist(), langs=part.column("lang").to_pylist(), n=n.tolist()))
-                yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                yield pa.RecordBatch.from_pylist([_row((base >> 40) % (1 << bits), _HEAD, base=base, ids=part.column("doc_id").to_pylist(), langs=part.column("lang").to_pylist(), n=n.tolist())], _SCHEMA)
+                for k in range(1, order + 1):
+                    for at in _pieces(places(row, order, k)):
+                        asked = _by_shard(keys(h, at, k), row[at].astype(np.uint32), bits)
+                        yield pa.RecordBatch.from_pylist([_row(s, _REQUEST, x.tobytes(), r.tobytes(), base) for s, x, r in asked], _SCHEMA)
                 base += len(n)
 
     return run

@@ -217,6 +217,8 @@ def _joined(unknown: float) -> callable:
                         continue
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     hit = known[at] == keys
+                    if not hit.any():
+                        continue
                     sums, some = np.bincount(rows[hit], value[at[hit]]), np.unique(rows[hit])
                     m = len(some)
                     columns = [pa.array(r["base"] + some.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(sums[some])]

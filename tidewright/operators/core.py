@@ -18,11 +18,13 @@ def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 
 def histories(events: DataFrame, key: str, position: str, values: list[str], last: int) -> DataFrame:
-    """Per key: the last row as target_*, the `last` rows before it as arrays history_*, in order."""
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = events.withColumn("_n", n).filter(F.col(position) >= F.col("_n") - last)
+    """Per key: the last row as target_*, the `last` rows before it as arrays history_*, in order.
+
+    Only the last rows of each key are brought together (tasks send at most so many of a key), so a
+    long log is no single task's group. position is anything that orders a key's rows, such as a struct.
+    """
     rows = F.array_sort(F.collect_list(F.struct(position, *values)))
-    grouped = ranked.groupBy(key, "_n").agg(rows.alias("_rows"))
+    grouped = last_rows(events, key, position, last + 1).groupBy(key).agg(rows.alias("_rows"))
     past = F.slice("_rows", 1, F.size("_rows") - 1)
 
     def field(name: str):

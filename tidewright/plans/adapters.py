@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.core import histories
+from tidewright.operators.core import histories, last_rows
 from tidewright.sources.tables import evenly, table
 
 LAST = 20
@@ -43,22 +43,29 @@ def rich_items(spark: SparkSession, d: str) -> DataFrame:
     return evenly(table(spark, d, "part")).select(k.alias("item_id"), name.alias("name"), item.alias("item"))
 
 
-def interactions(spark: SparkSession, d: str) -> DataFrame:
+ORDER = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, item_id, rating and what orders a user's rows."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    order = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    # Named before the window, so that what groups by user_id later needs no second shuffle.
-    rows = rows.select(F.col("o_custkey").alias("user_id"), *order)
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
-    return rows.select("user_id", F.col("l_partkey").alias("item_id"), (1 + F.floor("l_quantity") % 5).cast("int").alias("rating"), pos.alias("pos"))
+    # Named before any window, so that what groups by user_id later needs no second shuffle.
+    return rows.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), (1 + F.floor("l_quantity") % 5).cast("int").alias("rating"), *ORDER)
+
+
+def interactions(spark: SparkSession, d: str) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
+    return _log(spark, d).select("user_id", "item_id", "rating", pos.alias("pos"))
 
 
-def titled(spark: SparkSession, d: str) -> DataFrame:
-    return interactions(spark, d).join(items(spark, d).select("item_id", "title"), "item_id")
+def recent(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """The last n interactions of each user: user_id, item_id, rating and at, which orders them."""
+    return last_rows(_log(spark, d).select("user_id", "item_id", "rating", F.struct(*ORDER).alias("at")), "user_id", "at", n)
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
     """user_id, target_item_id, target_title, history_item_id[], history_title[], history_rating[]"""
-    return histories(titled(spark, d), "user_id", "pos", ["item_id", "title", "rating"], LAST)
+    return histories(recent(spark, d, LAST + 1).join(items(spark, d).select("item_id", "title"), "item_id"), "user_id", "at", ["item_id", "title", "rating"], LAST)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

@@ -69,7 +69,7 @@ def history_text(spark, d):
 
 @query(f"WITH {A.INTER} SELECT user_id, array_to_string(list(item_id ORDER BY pos), ',') AS last_ids FROM inter WHERE pos > n - 5 GROUP BY user_id")
 def last_n_history(spark, d):
-    own = core.last_rows(A.interactions(spark, d), "user_id", "pos", 5).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("r"))
+    own = A.recent(spark, d, 5).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "item_id"))).alias("r"))
     return own.select("user_id", F.array_join(F.transform("r", lambda x: x["item_id"].cast("string")), ",").alias("last_ids"))
 
 

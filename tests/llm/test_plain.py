@@ -1,13 +1,16 @@
-"""Sharding and language ID against plain versions, row by row."""
+"""Sharding, language ID and toxicity against plain versions, row by row."""
 
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from tidewright.llm import language, sharding
+from tidewright.llm import language, sharding, toxicity
+from tidewright.llm.text import ALNUM, words
 
 
 def _rows():
@@ -91,3 +94,31 @@ def test_languages_equal_a_plain_nearest_centroid(spark):
 def test_ties_between_centroids_go_to_the_first_language(spark):
     model = language.fit(spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a")], "doc_id long, text string, lang string"))
     assert language.identify(spark.createDataFrame([(1, "same words")], "doc_id long, text string"), model).first().lang_pred == "a"
+
+
+def test_toxicity_scores_equal_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.known.tolist(), model.weight.tolist(), strict=True))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-1, None), (-2, ""), (-3, "idiots Idiot idiotic, muslim MUSLIM men"), (None, "women women")]
+    got = sorted(((r.doc_id, r.score, r.predicted) for r in toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()), key=repr)
+
+    def hashed(word):
+        w = words(pa.array([word]), ALNUM, toxicity.HEADS)
+        return int(w.hash[0]), [int(h[0]) for h in w.heads]
+
+    known: dict = {}
+    want = []
+    for i, text in rows:
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        found = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+        known |= {w: hashed(w) for w in found - set(known)}
+        own = {w: known[w] for w in found}
+        heads = Counter(h for _, hs in own.values() for h in hs if h)
+        features = {h for h, _ in own.values()} | set(heads) | {h ^ int(toxicity._TWICE) for h, n in heads.items() if n > 1}
+        score = 1 / (1 + math.exp(-(model.base + sum(weight.get(f, 0.0) for f in features))))
+        want.append((i, score, int(score >= 0.3)))
+    for a, b in zip(got, sorted(want, key=repr), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) and (a[2] == b[2] or abs(b[1] - 0.3) < 1e-9)
+    assert 0 < sum(x[2] for x in got) < len(rows) / 2

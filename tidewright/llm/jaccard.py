@@ -557,5 +557,7 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, reg
     smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     by_root = linked.join(smallest, ["root", "salt"]).select("node", F.col("component_id").alias("linked_id"))
     by_node = nodes.select("node", F.col("doc_id").alias("same_id")).join(by_root, "node", "left").select("node", F.coalesce("linked_id", "same_id").alias("component_id"))
+    # Written, so that both sides of the join are plain shuffles, of which Spark splits the partition of a text with very many copies.
+    by_node = kept(by_node, "by_node")
     some = meta.filter("node is not null").join(by_node, "node").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(meta.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -106,6 +106,8 @@ def test_odd_gains_are_never_selected(spark):
 def test_rewards_at_the_gate(spark):
     at = lambda q, g, known=True: one(spark, rewards.gated(F.col("q"), F.col("g"), F.lit(known)), "q double, g double", q=q, g=g)
     assert at(0.45, 0.5) == 0.225 and at(0.449, 0.5) == at(0.5, 0.0) == at(0.5, 0.5, False) == at(None, 0.5) == -0.05
+    assert at(0.5, float("nan")) == -0.05 and at(0.5, float("inf")) == float("inf")
+    assert one(spark, providers.gated_gain(F.col("q"), F.col("g"), least=0.45, penalty=-0.05), "q double, g double", q=0.5, g=float("nan")) == -0.05
     with pytest.raises(NotImplementedError):
         rewards.quality("clf", F.lit(""), F.lit(""))
     with pytest.raises(ValueError, match="unknown scorer"):
@@ -210,3 +212,12 @@ def test_stages_run_where_their_output_is_missing(spark, tmp_path):
 
 def test_shards_of_blank_keys(spark):
     assert one(spark, core.in_shard(F.col("a"), 1, 0), a="") and not one(spark, core.in_shard(F.col("a"), 4, 0), a="")
+
+
+def test_lists_that_do_not_fit_raise_whatever_is_read(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], [1.0, 2.0], 5.0), (2, ["a"], [], 1.0), (3, ["a", "b"], [1.0], 5.0)], "k long, t array<string>, r array<double>, own double")
+    kept = lambda df: datasets.eligible(df, "t", "r", "own", least_history=1, least_rating=4)
+    assert [r.k for r in kept(rows.filter("k < 3")).collect()] == [1]
+    for read in (lambda df: df.select("k").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="ratings don't fit titles"):
+            read(kept(rows))

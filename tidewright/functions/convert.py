@@ -62,3 +62,8 @@ def masked_mean(rows: Column, mask: Column) -> Column:
 def cache_key(**parts: Column) -> Column:
     """md5 of the parts as a JSON object with its keys in order; the same for the same parts."""
     return F.md5(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}))
+
+
+def above_zero(x: Column) -> Column:
+    """Whether a number is above 0; undefined ones aren't (Spark orders NaN after all others)."""
+    return (x > 0) & ~F.isnan(x.cast("double"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions import rubric as R
+from tidewright.functions.convert import above_zero
 from tidewright.functions.text import first_truthy, strip
 
 #: Makes a function from a list of inputs to a list of outputs of the same length.
@@ -151,7 +152,7 @@ def format_reward(has_tags: Column, think: Column, answer: Column) -> Column:
 
 def gated_gain(quality: Column, gain: Column, *, least: float, penalty: float) -> Column:
     """quality x gain where the quality suffices and the gain is positive, else the penalty."""
-    return F.when((quality >= least) & (gain > 0), quality * gain).otherwise(F.lit(penalty))
+    return F.when((quality >= least) & above_zero(gain), quality * gain).otherwise(F.lit(penalty))
 
 
 def weighted(parts: dict[str, tuple[Column, float]]) -> Column:

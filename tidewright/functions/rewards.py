@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.convert import above_zero
 from tidewright.functions.rubric import rule_score
 
 #: The gate's defaults and the scorers' names.
@@ -34,7 +35,7 @@ def quality(scorer: str, history: Column, reasoning: Column, judged: Column | No
 
 def gated(score: Column, gain: Column, known: Column, *, least: float = LEAST, penalty: float = PENALTY) -> Column:
     """score x gain where the score suffices, the target is known and the gain is above 0; else the penalty."""
-    return F.when(F.coalesce((score >= least) & known & (gain > 0), F.lit(False)), score * gain).otherwise(F.lit(penalty))
+    return F.when(F.coalesce((score >= least) & known & above_zero(gain), F.lit(False)), score * gain).otherwise(F.lit(penalty))
 
 
 def ndcg_reward(score: Column, baseline: Column, with_reasoning: Column, target_id: Column, target_text: Column, **how) -> Column:

@@ -30,10 +30,13 @@ def beside(rows: DataFrame, key: str, ids: str, items: DataFrame, columns: list[
 
 
 def eligible(rows: DataFrame, titles: str, ratings: str, rating: str, *, least_history: int, least_rating: float) -> DataFrame:
-    """Rows with enough history and a good enough target; lists of different lengths raise."""
-    own = rows.filter((F.size(titles) >= least_history) & (F.coalesce(F.col(rating), F.lit(0.0)) >= least_rating))
-    fits = F.size(titles) == F.size(ratings)
-    return own.withColumn(ratings, F.when(fits, F.col(ratings)).otherwise(F.raise_error(F.lit("ratings don't fit titles")).cast(own.schema[ratings].dataType)))
+    """Rows with enough history and a good enough target; lists of different lengths raise.
+
+    The check is part of the filter, so it holds whatever columns are read later.
+    """
+    enough = (F.size(titles) >= least_history) & (F.coalesce(F.col(rating), F.lit(0.0)) >= least_rating)
+    fits = F.when(F.size(titles) == F.size(ratings), True).otherwise(F.raise_error(F.lit("ratings don't fit titles")).cast("boolean"))
+    return rows.filter(F.when(enough, fits).otherwise(False))
 
 
 def composite_key(*parts: Column) -> Column:

@@ -1,8 +1,6 @@
-"""Lexical ranking of whole catalogues, and its metrics.
+"""Ranking of whole catalogues by words and by vectors, and its metrics.
 
-Items with equal texts have equal scores, so the catalogue is collapsed to distinct texts with
-counts; scores come from a token join between queries and texts, never from a cross join. A text
-that shares no token with a query has score 0 and needs no row. Ranks are counts of better items.
+Ranks are counts of better items; no row is made for a query and an item.
 """
 
 from __future__ import annotations
@@ -17,86 +15,21 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.rubric import ndcg
 from tidewright.functions.text import word_list
+from tidewright.operators import postings
 
 
-def bags(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, tf"""
-    return df.select(key, F.explode(word_list(F.lower(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+def lexical_ranks(queries: DataFrame, items: DataFrame | postings.Catalogue, key: str, target: str, masked: DataFrame | None = None, *, total: bool = False) -> DataFrame:
+    """key, target, sim, known and rank_strict of each query's target, see `postings.ranks`.
 
-
-def norms(bag: DataFrame, key: str, name: str) -> DataFrame:
-    return bag.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
-
-
-def cosines(queries: DataFrame, texts: DataFrame, query_key: str, text_key: str, text: str = "text") -> DataFrame:
-    """Pairs with at least one common token: query_key, text_key, score.
-
-    Queries are dealt by their key once, as texts; what is counted and summed by key after that needs
-    no further shuffle of tokens (the texts' side is joined as Catalyst finds best).
-    """
-    q, t = bags(queries.select(query_key, text).repartition(query_key), query_key, text), bags(texts, text_key, text)
-    dots = q.join(t.withColumnRenamed("tf", "tf2"), "token").groupBy(query_key, text_key).agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"))
-    both = dots.join(norms(q, query_key, "qn"), query_key).join(norms(t, text_key, "tn"), text_key)
-    return both.select(query_key, text_key, (F.col("dot") / F.sqrt((F.col("qn") * F.col("tn")).cast("double"))).alias("score"))
-
-
-def collapsed(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(text_id, text, n) of distinct texts, and item_id with its text_id."""
-    texts = items.groupBy("text").agg(F.min("item_id").alias("text_id"), F.count("*").alias("n"))
-    return texts, items.join(texts.select("text", "text_id"), "text").select("item_id", "text_id")
-
-
-def _against_target(queries: DataFrame, texts: DataFrame, of: DataFrame, key: str, target: str) -> DataFrame:
-    """key, item_id (the target), text_id, score, n and sim (the target's score) of all texts with a score, and one row without a text for each query.
-
-    The target's score is spread over its query's rows by a window, so the token join is made once.
+    items: item_id and text, or a catalogue that is packed once for several rankings.
     """
-    scores = cosines(queries, texts, key, "text_id").join(texts.select("text_id", "n"), "text_id").select(key, "text_id", "score", "n")
-    aims = queries.select(key, F.col(target).alias("item_id")).join(of.withColumnRenamed("text_id", "_own"), "item_id", "left")
-    rows = aims.join(scores, key, "left")
-    sim = F.max(F.when(F.col("text_id") == F.col("_own"), F.col("score"))).over(Window.partitionBy(key))
-    return rows.select(key, "item_id", "text_id", "score", "n", F.coalesce(sim, F.lit(0.0)).alias("sim"), F.col("_own").isNotNull().alias("known"))
+    found = items if isinstance(items, postings.Catalogue) else postings.catalogue(items)
+    return postings.ranks(queries, found, key, target, masked, total=total)
 
 
-def lexical_ranks(queries: DataFrame, items: DataFrame, key: str, target: str, masked: DataFrame | None = None, *, total: bool = False) -> DataFrame:
-    """key, target, sim, known and rank_strict (1 and the number of better scores) of each query's target.
-
-    queries: key (unique), text, target. A target that the catalogue lacks has similarity 0 and the rank
-    after all items. masked: key, item_id of items left out for a query (never its target). With total,
-    rank_total as well: equal scores of larger ids also come before the target.
-    """
-    texts, of = collapsed(items)
-    rows = _against_target(queries, texts, of, key, target)
-    better = F.col("score") > F.col("sim")
-    if masked is not None:
-        hidden = masked.join(of, "item_id").groupBy(key, "text_id").agg(F.count("*").alias("gone"))
-        rows = rows.join(hidden, [key, "text_id"], "left").withColumn("n", F.col("n") - F.coalesce("gone", F.lit(0)))
-    ranks = rows.groupBy(key, "item_id", "sim", "known").agg((1 + F.coalesce(F.sum(F.when(better, F.col("n"))), F.lit(0))).alias("rank_strict"))
-    if total:
-        ranks = ranks.join(_tied(rows, items, of, key), key).withColumn("rank_total", F.col("rank_strict") + F.col("tied")).drop("tied")
-    ranks = ranks.join(F.broadcast(items.agg((F.count("*") + 1).alias("_last"))))
-    last = lambda c: F.when(F.col("known"), F.col(c)).otherwise(F.col("_last")).alias(c)
-    return ranks.select(key, F.col("item_id").alias(target), "sim", "known", *map(last, ["rank_strict", *(["rank_total"] if total else [])]))
-
-
-def total_ranks(strict: DataFrame, queries: DataFrame, items: DataFrame, key: str, target: str) -> DataFrame:
+def total_ranks(strict: DataFrame, queries: DataFrame, items: DataFrame | postings.Catalogue, key: str, target: str) -> DataFrame:
     """Adds rank_total to strict ranks: equal scores of larger ids also come before the target."""
-    texts, of = collapsed(items)
-    return strict.join(_tied(_against_target(queries, texts, of, key, target), items, of, key), key).withColumn("rank_total", F.col("rank_strict") + F.col("tied")).drop("tied")
-
-
-def _tied(rows: DataFrame, items: DataFrame, of: DataFrame, key: str) -> DataFrame:
-    """key and how many items of larger ids have the target's score.
-
-    Within texts of that score the larger ids are counted. A target with score 0 ties with all texts
-    without a score: all larger ids less those in texts with a score.
-    """
-    later = numbered(items.select("item_id"), "item_id", "place").join(F.broadcast(items.agg(F.count("*").alias("_all")))).select("item_id", (F.col("_all") - 1 - F.col("place")).alias("later"))
-    aims = rows.select(key, F.col("item_id").alias("aim"), "sim").distinct()
-    same = rows.filter("score = sim or (sim = 0 and score is not null)").select(key, "text_id", F.col("item_id").alias("aim"))
-    count = same.join(of, "text_id").filter("item_id > aim").groupBy(key).agg(F.count("*").alias("k"))
-    tied = F.when(F.col("sim") > 0, F.coalesce("k", F.lit(0))).otherwise(F.coalesce("later", F.lit(0)) - F.coalesce("k", F.lit(0)))
-    return aims.join(later.withColumnRenamed("item_id", "aim"), "aim", "left").join(count, key, "left").select(key, tied.alias("tied"))
+    return strict.join(lexical_ranks(queries, items, key, target, total=True).select(key, "rank_total"), key)
 
 
 def numbered(rows: DataFrame, key: str, name: str, buckets: int = 4096) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import convert
 from tidewright.functions import rubric as R
 from tidewright.functions import text as T
-from tidewright.operators import core, ranking, selection
+from tidewright.operators import core, postings, ranking, selection
 from tidewright.plans import adapters as A
 from tidewright.plans import files, items, reasoning, registry, training  # noqa: F401  (their queries are registered)
 from tidewright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -160,8 +161,9 @@ _DT = lambda t, k: f"{t}t AS (SELECT {k}, tok, count(*) AS tf FROM (SELECT {k},
 
 @query(f"WITH {_DT('documents', 'doc_id')}, {_DT('benchmark', 'item_id')}, p AS (SELECT doc_id, item_id, sum(a.tf * b.tf) AS dot FROM documentst a JOIN benchmarkt b USING (tok) GROUP BY 1, 2) SELECT doc_id, round(max(dot / sqrt((x.nn * y.nn)::DOUBLE)), 6) AS best, count(*) AS n FROM p JOIN documentsn x USING (doc_id) JOIN benchmarkn y USING (item_id) GROUP BY doc_id")
 def lexical_cosine_pairs(spark, d):
-    pairs = ranking.cosines(A.documents(spark, d).select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id")
-    return pairs.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n"))
+    """The best cosine of each document with an item, and how many items share a word with it."""
+    found = postings.best_scores(A.documents(spark, d).select("doc_id", "text"), postings.catalogue(table(spark, d, "benchmark").select("item_id", "text")), "doc_id")
+    return found.select("doc_id", F.round("best", 6).alias("best"), "n")
 
 
 _VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT a.vec_id AS qid, b.vec_id AS vid, a.label AS ql, b.label AS vl, round(list_dot_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"""
@@ -331,7 +333,7 @@ def first_and_last_wins(spark, d):
 
 @query(f"WITH {A.SCORED}, r AS (SELECT *, (d1 > 2)::INT::DOUBLE AS fmt, CASE WHEN norm < 0.45 THEN -0.05 WHEN gain > 0 THEN norm * gain ELSE -0.05 END AS gated FROM scored) SELECT doc_id, round(gated, 6) AS gated, round(0.2 * fmt + 0.3 * norm + gated, 6) AS total, round((gated - avg(gated) OVER w) / nullif(stddev_samp(gated) OVER w, 0), 4) AS advantage FROM r WINDOW w AS (PARTITION BY example_id)")
 def gated_reward(spark, d):
-    gated = F.when(F.col("norm") < 0.45, -0.05).when(F.col("gain") > 0, F.col("norm") * F.col("gain")).otherwise(-0.05)
+    gated = F.when(F.col("norm") < 0.45, -0.05).when(convert.above_zero(F.col("gain")), F.col("norm") * F.col("gain")).otherwise(-0.05)
     own = A.scored(spark, d).withColumn("gated", gated).withColumn("fmt", (F.col("d1") > 2).cast("double"))
     w = Window.partitionBy("example_id")
     adv = (F.col("gated") - F.avg("gated").over(w)) / F.nullif(F.stddev_samp("gated").over(w), F.lit(0.0))
@@ -395,7 +397,7 @@ co AS (SELECT c.user_id, coalesce(score, 0.0::DOUBLE) AS sim FROM cot c JOIN par
 cnt AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), br AS (SELECT own.user_id, sim, 1 + coalesce((SELECT sum(n) FROM sc JOIN cnt USING (p_name) WHERE sc.user_id = own.user_id AND sc.score > own.sim), 0) AS r FROM own), cr AS (SELECT co.user_id, sim, 1 + coalesce((SELECT sum(n) FROM cs JOIN cnt USING (p_name) WHERE cs.user_id = co.user_id AND cs.score > co.sim), 0) AS r FROM co)
 SELECT b.user_id, CAST(b.r AS BIGINT) AS baseline_rank, CAST(c.r AS BIGINT) AS cot_rank, round({_NDCG('c.r', 100)} - ({_NDCG('b.r', 100)}), 6) AS cot_gain, round(c.sim - b.sim, 6) AS sim_gain FROM br b JOIN cr c USING (user_id)""")
 def gain_ndcg(spark, d):
-    q, items, docs = _queries(spark, d), _catalogue(spark, d), table(spark, d, "documents").select("doc_id", F.col("text").alias("cot"))
+    q, items, docs = _queries(spark, d), postings.catalogue(_catalogue(spark, d)), table(spark, d, "documents").select("doc_id", F.col("text").alias("cot"))
     n = docs.count()
     more = q.withColumn("doc_id", F.col("user_id") % n).join(docs, "doc_id").withColumn("text", T.with_reasoning(F.col("text"), F.col("cot")))
     base, cot = (ranking.lexical_ranks(x.select("user_id", "target_item_id", "text"), items, "user_id", "target_item_id") for x in (q, more))

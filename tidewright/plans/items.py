@@ -99,9 +99,10 @@ def history_rewrite(spark, d):
     return own.select("user_id", n.cast("long").alias("n"), told.cast("long").alias("told"), source.alias("source"), F.round(F.aggregate(checked, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 6).alias("total"))
 
 
-@query(f"""WITH {A.EXAMPLES}, {A.RICH}, g AS (SELECT user_id, list(item_id ORDER BY pos) AS ids, count(*) AS n FROM hist GROUP BY user_id)
-SELECT 'Parts:train:' || target_item_id || ':' || g.user_id AS example_id, md5(CASE WHEN target_item_id % 10 = 9 THEN {compact('name', 300)} ELSE {compact(f"concat_ws(' ', nullif({compact('title', 300)}, ''), main_category, nullif({compact("coalesce(store, '')", 300)}, ''), {_CATS(6)}, {_LABEL('Features: ', _JOIN(_LIST('features', 8), '; '))}, {_LABEL('Description: ', _JOIN(_LIST('description', 2), ' '))})", 300)} END) AS target_text, CAST(least(g.n, 5) AS INTEGER) AS history_item_count, array_to_string(ids[-least(g.n, 5):], ',') AS ids
-FROM g JOIN aim USING (user_id) JOIN inter i ON i.user_id = g.user_id AND i.pos = i.n JOIN rich ON rich.item_id = target_item_id WHERE g.n >= 3 AND i.rating >= 2""")
+@query(f"""WITH {A.EXAMPLES.replace('inter AS (', 'inter AS MATERIALIZED (')}, {A.RICH}, texts AS MATERIALIZED (SELECT item_id, md5(CASE WHEN item_id % 10 = 9 THEN {compact('name', 300)} ELSE {compact(f"concat_ws(' ', nullif({compact('title', 300)}, ''), main_category, nullif({compact("coalesce(store, '')", 300)}, ''), {_CATS(6)}, {_LABEL('Features: ', _JOIN(_LIST('features', 8), '; '))}, {_LABEL('Description: ', _JOIN(_LIST('description', 2), ' '))})", 300)} END) AS text FROM rich),
+g AS MATERIALIZED (SELECT user_id, list(item_id ORDER BY pos) AS ids, count(*) AS n FROM hist GROUP BY user_id), t AS MATERIALIZED (SELECT user_id, target_item_id, rating FROM aim JOIN (SELECT user_id, rating FROM inter WHERE pos = n) USING (user_id))
+SELECT 'Parts:train:' || target_item_id || ':' || user_id AS example_id, texts.text AS target_text, CAST(least(g.n, 5) AS INTEGER) AS history_item_count, array_to_string(ids[-least(g.n, 5):], ',') AS ids
+FROM g JOIN t USING (user_id) JOIN texts ON texts.item_id = target_item_id WHERE g.n >= 3 AND rating >= 2""")
 def example_rows(spark, d):
     """Examples with enough history and a good target: keys, target text (left join on the target), last ids."""
     own = A.examples(spark, d).withColumn("rating", F.col("target_rating").cast("double"))

@@ -14,7 +14,7 @@ from tidewright.plans.registry import compact, query, quoted, strip
 from tidewright.sources.tables import table
 
 _NL = "chr(10)"
-_PARTS = """parts AS (SELECT doc_id, doc_id // 4 AS example_id, CAST(doc_id % 4 AS INTEGER) AS idx, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 40) END AS think, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 41, 40) END AS answer, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE substr(text, 81, 40) END AS cot FROM documents)"""
+_PARTS = """parts AS (SELECT doc_id, doc_id // 4 AS example_id, CAST(doc_id % 4 AS INTEGER) AS idx, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, length(text) // 3) END AS think, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, length(text) // 3 + 1, length(text) // 3) END AS answer, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE substr(text, 2 * (length(text) // 3) + 1) END AS cot FROM documents)"""
 _S = {c: strip(f"coalesce({c}, '')") for c in ("think", "answer", "cot")}
 _TAGGED = f"'<think>' || {_NL} || {_S['think']} || {_NL} || '</think>' || {_NL} || '<answer>' || {_NL} || {_S['answer']} || {_NL} || '</answer>'"
 _FIRST = lambda *names: "coalesce(" + ", ".join(f"nullif({_S[n]}, '')" for n in names) + ")"
@@ -23,8 +23,8 @@ _FIRST = lambda *names: "coalesce(" + ", ".join(f"nullif({_S[n]}, '')" for n in
 def _parts(spark, d):
     k = F.col("doc_id")
     return table(spark, d, "documents").select(
-        "doc_id", F.expr("doc_id div 4").alias("example_id"), (k % 4).cast("int").alias("candidate_index"), F.concat(F.lit("c"), k).alias("candidate_id"), F.when(k % 3 == 0, "").otherwise(F.left("text", F.lit(40))).alias("think"),
-        F.when(k % 5 == 0, "").otherwise(F.substring("text", 41, 40)).alias("answer"), F.when(k % 2 != 0, F.substring("text", 81, 40)).alias("cot"),
+        "doc_id", F.expr("doc_id div 4").alias("example_id"), (k % 4).cast("int").alias("candidate_index"), F.concat(F.lit("c"), k).alias("candidate_id"), F.when(k % 3 == 0, "").otherwise(F.expr("left(text, cast(length(text) div 3 as int))")).alias("think"),
+        F.when(k % 5 == 0, "").otherwise(F.expr("substr(text, cast(length(text) div 3 as int) + 1, cast(length(text) div 3 as int))")).alias("answer"), F.when(k % 2 != 0, F.expr("substr(text, 2 * cast(length(text) div 3 as int) + 1)")).alias("cot"),
     )
 
 
@@ -45,21 +45,21 @@ def _lists(spark, d):
 
 
 _PAIRS = f"""{_PARTS}, n AS (SELECT example_id, 'history ' || example_id AS history, CASE WHEN example_id % 2 = 0 THEN 'target ' || example_id ELSE 'item ' || example_id END AS positive FROM (SELECT DISTINCT example_id FROM parts WHERE idx < 3) WHERE example_id % 5 <> 0),
-pairs AS (SELECT example_id, example_id || ':history' AS pair_id, 'history' AS query_type, NULL AS idx, history AS query, positive FROM n UNION ALL SELECT example_id, example_id || ':cot:1', 'history_plus_cot_answer', 1, history || {_NL} || {_NL} || 'Recommendation reasoning:' || {_NL} || t, positive FROM (SELECT n.*, {compact(f"coalesce({_FIRST('answer', 'cot', 'think')}, '')", 36)} AS t FROM n JOIN parts USING (example_id) WHERE idx = 1) WHERE t <> '')"""
+pairs AS (SELECT example_id, example_id || ':history' AS pair_id, 'history' AS query_type, NULL AS idx, history AS query, positive FROM n UNION ALL SELECT example_id, example_id || ':cot:1', 'history_plus_cot_answer', 1, history || {_NL} || {_NL} || 'Recommendation reasoning:' || {_NL} || t, positive FROM (SELECT n.*, {compact(f"coalesce({_FIRST('answer', 'cot', 'think')}, '')", 1200)} AS t FROM n JOIN parts USING (example_id) WHERE idx = 1) WHERE t <> '')"""
 
 
 @query(f"WITH {_PAIRS} SELECT example_id, pair_id, query_type, CAST(idx AS INTEGER) AS candidate_index, md5(query) AS query, positive FROM pairs")
 def embedder_rows(spark, d):
     """Pairs for an embedder: one of each history, one of each chosen candidate with a text."""
     rows = _lists(spark, d).withColumn("target", datasets.target_text(F.col("own"), F.col("positive"), F.col("looked_up"))).withColumnRenamed("example_id", "source")
-    pairs = datasets.embedder_pairs(rows, key="source", history=F.col("history"), positive=F.col("target"), candidates="candidates", index=1, limit=36)
+    pairs = datasets.embedder_pairs(rows, key="source", history=F.col("history"), positive=F.col("target"), candidates="candidates", index=1, limit=1200)
     return pairs.select(F.col("source_example_id").alias("example_id"), F.col("example_id").alias("pair_id"), "query_type", "candidate_index", F.md5("query").alias("query"), "positive")
 
 
 @query(f"WITH {_PAIRS} SELECT (SELECT count(DISTINCT example_id) FROM parts WHERE idx < 3) AS source_rows, count(*) FILTER (query_type = 'history') AS history_pairs, count(*) FILTER (query_type <> 'history') AS cot_pairs, (SELECT count(DISTINCT example_id) FROM parts WHERE idx < 3) - count(*) FILTER (query_type = 'history') AS skipped FROM pairs")
 def embedder_counts(spark, d):
     rows = _lists(spark, d).withColumn("target", F.lit("t")).withColumnRenamed("example_id", "source")
-    return datasets.pair_counts(rows, datasets.embedder_pairs(rows, key="source", history=F.col("history"), positive=F.col("target"), candidates="candidates", index=1, limit=36), "source")
+    return datasets.pair_counts(rows, datasets.embedder_pairs(rows, key="source", history=F.col("history"), positive=F.col("target"), candidates="candidates", index=1, limit=1200), "source")
 
 
 @query(f"WITH {_PARTS} SELECT example_id, count(*) FILTER (idx < 3) AS candidate_count, string_agg('c' || doc_id, ',' ORDER BY idx) FILTER (idx < 3) AS ids FROM parts GROUP BY 1 HAVING count(*) FILTER (idx < 3) > 0")

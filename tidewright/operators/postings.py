@@ -3,8 +3,7 @@
 The catalogue is collapsed to distinct texts with their ids (a text with very many ids becomes several
 entries) and cut by range of text into shards of about `SHARD` entries. Each shard is one packed row:
 for every token its postings, in blocks of `BLOCK` entries, with the largest score that the token can
-give within the block. Queries are rows that meet each shard once, dealt by shard and salt, so a shard
-is worked on by several tasks and no task holds more than one shard and one batch of queries.
+give within the block. Queries are rows that meet each shard once (see `shards`).
 
 For a query, the sum of its tokens' largest scores bounds every score of a block. Blocks that can't
 reach the target's score are skipped; in the others the exact cosines are worked out and counted. What
@@ -16,7 +15,6 @@ numbers, so equal texts have equal scores.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import word_list
+from tidewright.operators import shards
+from tidewright.operators.shards import CELLS
 from tidewright.sources.tables import written
 
 #: Entries of a shard and of a block of postings, and ids of an entry.
 SHARD, BLOCK, IDS = 1 << 14, 64, 4096
-#: What is worked out at once: cells of scores (and postings), and tokens of queries (one query at least).
-CELLS, TOKENS = 1 << 21, 1 << 16
+#: Tokens of queries that are worked on at once (one query at least).
+TOKENS = 1 << 16
 #: Bounds are sums of doubles in any order: they count as reached within this share.
 SLACK = 1e-9
 
@@ -72,14 +72,11 @@ class Shard(NamedTuple):
     places: np.ndarray  # entry * len(ids) + place of the id in ids, sorted
 
     def packed(self) -> bytes:
-        out = io.BytesIO()
-        np.savez_compressed(out, **self._asdict())
-        return out.getvalue()
+        return shards.pack(self._asdict())
 
     @staticmethod
     def unpacked(data: bytes) -> Shard:
-        with np.load(io.BytesIO(data), allow_pickle=False) as z:
-            return Shard(**{k: z[k] for k in Shard._fields})
+        return Shard(**shards.unpack(data))
 
 
 def shard_of(lists: pa.Array, ids: pa.Array, block: int = BLOCK) -> Shard:
@@ -222,38 +219,13 @@ def catalogue(items: DataFrame, *, entries: int = SHARD, ids: int = IDS) -> Cata
     part = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n") / ids))
     own = items.join(texts, "text").groupBy("text", part.alias("part")).agg(F.collect_list("item_id").alias("ids"))
     ranged = own.repartitionByRange(n, "text", "part").withColumn("s", F.spark_partition_id()).sortWithinPartitions("text", "part")
-    shards = ranged.select("s", token_hashes(F.col("text")).alias("tokens"), F.transform("ids", lambda x: x.cast("long")).alias("ids")).mapInArrow(_packed(BLOCK), "s int, shard binary")
-    return Catalogue(written(shards, "shards"), n, sizes.items or 0, items)
-
-
-def _dealt(rows: DataFrame, found: Catalogue, columns: list[str]) -> DataFrame:
-    """Query rows and shards side by side, a shard before the queries that meet it, dealt by shard and salt."""
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-2 * tasks // found.n))
-    asked = rows.select(F.explode(F.sequence(F.lit(0), F.lit(found.n - 1))).alias("s"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("shard"), *columns)
-    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns]
-    shards = found.shards.select("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "shard", *none)
-    return shards.unionByName(asked).repartition(max(tasks, min(salts * found.n, 1 << 16)), "s", "salt").sortWithinPartitions("s", "salt", "kind")
+    rows = ranged.select("s", token_hashes(F.col("text")).alias("tokens"), F.transform("ids", lambda x: x.cast("long")).alias("ids")).mapInArrow(_packed(BLOCK), "s int, shard binary")
+    return Catalogue(written(rows, "postings"), n, sizes.items or 0, items)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, pa.RecordBatch]]:
-    """Each shard with the runs of query rows that follow it."""
-    shard, at = None, None
-    for batch in batches:
-        kind, s = batch.column("kind").to_numpy(), batch.column("s").to_numpy()
-        salt = batch.column("salt").to_numpy()
-        size = np.append(0, np.cumsum(pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy()))
-        cut = np.flatnonzero(np.append(True, (kind[1:] == 0) | (kind[:-1] == 0) | (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])))
-        for lo, hi in zip(cut, np.append(cut[1:], batch.num_rows), strict=True):
-            if kind[lo] == 0:
-                shard, at = Shard.unpacked(batch.column("shard")[int(lo)].as_py()), (s[lo], salt[lo])
-            elif at == (s[lo], salt[lo]):
-                step, own = max(1, CELLS // max(1, len(shard.square))), int(lo)
-                while own < hi:
-                    to = max(own + 1, min(int(hi), own + step, int(np.searchsorted(size, size[own] + TOKENS, "right")) - 1))
-                    yield shard, batch.slice(own, to - own)
-                    own = to
+    size = lambda batch: pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy()
+    return shards.met(batches, Shard.unpacked, lambda x: len(x.square), size, TOKENS)
 
 
 def _ranked(total: bool) -> callable:
@@ -286,7 +258,7 @@ def ranks(queries: DataFrame, found: Catalogue, key: str, target: str, masked: D
         rows = rows.withColumn("hidden", F.lit(None).cast("array<long>"))
     prepared = rows.mapInArrow(_dots, "key long, target long, known boolean, tokens array<long>, hidden array<long>, sim double")
     prepared = written(prepared, "asked")
-    counts = _dealt(prepared.filter("known"), found, ["key", "target", "tokens", "hidden", "sim"]).mapInArrow(_ranked(total), "key long, better long, tied long")
+    counts = shards.dealt(prepared.filter("known"), found.shards, found.n, ["key", "target", "tokens", "hidden", "sim"]).mapInArrow(_ranked(total), "key long, better long, tied long")
     sums = counts.groupBy("key").agg(F.sum("better").alias("better"), F.sum("tied").alias("tied"))
     place = lambda c: F.when(F.col("known"), 1 + c).otherwise(found.items + 1)
     better, tied = F.coalesce("better", F.lit(0)), F.coalesce("tied", F.lit(0))
@@ -310,5 +282,5 @@ def _bests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def best_scores(queries: DataFrame, found: Catalogue, key: str) -> DataFrame:
     """key, best (the largest cosine) and n (items with a common token) of the queries that have any. queries: key, text."""
     rows = queries.select(F.col(key).cast("long").alias("key"), token_hashes(F.coalesce("text", F.lit(""))).alias("tokens"))
-    parts = _dealt(rows, found, ["key", "tokens"]).mapInArrow(_bests, "key long, best double, n long")
+    parts = shards.dealt(rows, found.shards, found.n, ["key", "tokens"]).mapInArrow(_bests, "key long, best double, n long")
     return parts.groupBy(F.col("key").alias(key)).agg(F.max("best").alias("best"), F.sum("n").alias("n"))

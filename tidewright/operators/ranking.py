@@ -5,17 +5,12 @@ Ranks are counts of better items; no row is made for a query and an item.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.rubric import ndcg
 from tidewright.functions.text import word_list
-from tidewright.operators import postings
+from tidewright.operators import dense, postings
 
 
 def lexical_ranks(queries: DataFrame, items: DataFrame | postings.Catalogue, key: str, target: str, masked: DataFrame | None = None, *, total: bool = False) -> DataFrame:
@@ -73,51 +68,9 @@ def pair_cosines(rows: DataFrame, key: str, left: str, right: str, name: str) ->
     return rows.select(key).join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def _fetched(rows: DataFrame, columns: list[str], block: int) -> Iterator[list[np.ndarray]]:
-    """The columns as arrays, in blocks of so many rows, one after another."""
-    rows, held = rows.select(*columns).toLocalIterator(), []
-    while held := list(islice(rows, block)):
-        yield [np.array(x) for x in zip(*held, strict=True)]
-
-
-def _scored(batches: Iterator[pa.RecordBatch], vectors: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Item ids and the scores of all vectors with them, by matrix products over parts of the batches."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            own = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, -1)
-            yield part.column("item_id").to_numpy(), np.round(vectors @ own.T, places)
-
-
-def dense_top(queries: DataFrame, items: DataFrame, key: str, k: int, *, places: int = 6, block: int = 2048) -> DataFrame:
-    """key, item_id, score, rn: the k items of highest score (ties by id) of each query but itself.
-
-    queries: key, v; items: item_id, v. Blocks of queries are broadcast one after another; a task
-    multiplies them with its items and sends the best k of each query, so pairs are never rows.
-    """
-    spark, out = items.sparkSession, None
-    for own in _fetched(queries, [key, "v"], block):
-        shared = spark.sparkContext.broadcast(own)
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, vectors = shared.value
-            ids, top = np.zeros((len(keys), 0), np.int64), np.zeros((len(keys), 0))
-            for item, scores in _scored(batches, vectors, places):
-                now = np.concatenate([ids, np.broadcast_to(item, scores.shape)], axis=1)
-                both = np.concatenate([top, np.where(item[None, :] == keys[:, None], -np.inf, scores)], axis=1)
-                order = np.lexsort((now, -both), axis=1)[:, :k]
-                ids, top = np.take_along_axis(now, order, 1), np.take_along_axis(both, order, 1)
-            good = top > -np.inf
-            at = np.nonzero(good)[0]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(ids[good]), pa.array(top[good])], [key, "item_id", "score"])
-
-        part = items.mapInArrow(best, f"{key} long, item_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"{key} long, item_id long, score double, rn long")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "item_id"))
-    return out.withColumn("rn", place.cast("long")).filter(F.col("rn") <= k)
+def dense_top(queries: DataFrame, items: DataFrame, key: str, k: int, *, places: int = 6, block: int = 0) -> DataFrame:
+    """key, item_id, score, rn: the k best items of each query but itself, see `dense.top`."""
+    return dense.top(queries, dense.vectors(items, block=block), key, k, places=places)
 
 
 def pool_size(pool: int, negatives: int, items: int) -> int:
@@ -132,39 +85,9 @@ def first_allowed(pool: DataFrame, key: str, k: int, *also: str) -> DataFrame:
     return own.groupBy(key, *also).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "item_id"))), lambda x: x["item_id"]).alias("negatives"))
 
 
-def contrastive_loss(queries: DataFrame, items: DataFrame, key: str, label: str, item_label: str, temperature: float, *, places: int = 6, block: int = 2048) -> DataFrame:
-    """key and -log of the positive's share: the positive is the best other item of the same label.
-
-    Tasks send, for each query of a block, the best of its label and the sum of exp(score / temperature)
-    less the largest exponent, so sums don't overflow.
-    """
-    spark, out = items.sparkSession, None
-    for own in _fetched(queries, [key, "v", label], block):
-        shared = spark.sparkContext.broadcast(own)
-
-        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, vectors, labels = shared.value
-            best, top, total = np.full(len(keys), -np.inf), np.full(len(keys), -np.inf), np.zeros(len(keys))
-            for batch in batches:
-                owned = batch.column(item_label).to_numpy(zero_copy_only=False)
-                for at, (item, scores) in enumerate(_scored(iter([batch]), vectors, places)):
-                    same = labels[:, None] == owned[at * 4096 : at * 4096 + len(item)][None, :]
-                    other = item[None, :] != keys[:, None]
-                    best = np.maximum(best, np.where(same & other, scores, -np.inf).max(1))
-                    now = np.maximum(top, np.where(other, scores, -np.inf).max(1))
-                    shift = np.where(np.isfinite(now), now, 0.0)
-                    total = total * np.exp(np.where(np.isfinite(top), top - shift, 0.0) / temperature) + np.where(other, np.exp((scores - shift[:, None]) / temperature), 0).sum(1)
-                    top = now
-            some = np.isfinite(top)
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (keys, best, top, total)], [key, "best", "top", "total"])
-
-        part = items.mapInArrow(sums, f"{key} long, best double, top double, total double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"{key} long, loss double")
-    top = F.max("top").over(Window.partitionBy(key))
-    whole = out.withColumn("_t", top).groupBy(key, "_t").agg(F.max("best").alias("best"), F.sum(F.col("total") * F.exp((F.col("top") - F.col("_t")) / temperature)).alias("total"))
-    return whole.filter(F.col("best") > float("-inf")).select(key, (F.log("total") + (F.col("_t") - F.col("best")) / temperature).alias("loss"))
+def contrastive_loss(queries: DataFrame, items: DataFrame, key: str, label: str, item_label: str, temperature: float, *, places: int = 6, block: int = 0) -> DataFrame:
+    """key and the loss of each query against all other items, see `dense.contrastive_loss`."""
+    return dense.contrastive_loss(queries, dense.vectors(items, label=item_label, block=block), key, label, temperature, places=places)
 
 
 def thirds(rows: DataFrame, value: str, key: str) -> DataFrame:
@@ -181,31 +104,6 @@ def thirds(rows: DataFrame, value: str, key: str) -> DataFrame:
     return own.withColumn("cohort", (first + 1).cast("int")).drop("_before", "_all", "_place")
 
 
-def dense_ranks(queries: DataFrame, items: DataFrame, key: str, target: str, *, places: int = 6, block: int = 2048) -> DataFrame:
-    """key, target, sim, rank (1 and the number of higher scores), known: of each query's target.
-
-    A target that isn't among the items has similarity 0 and the rank after all of them. The targets'
-    scores come first, by a join; then better items are counted block by block, as in `dense_top`.
-    """
-    spark = items.sparkSession
-    dot = F.aggregate(F.zip_with("v", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    aims = queries.join(items.select(F.col("item_id").alias(target), F.col("v").alias("_v")), target, "left").select(key, target, "v", F.round(dot, places).alias("sim"), F.col("_v").isNotNull().alias("known"))
-    out = None
-    for own in _fetched(aims.filter("known"), [key, "v", "sim"], block):
-        shared = spark.sparkContext.broadcast(own)
-
-        def above(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, vectors, sims = shared.value
-            count = np.zeros(len(keys), np.int64)
-            for _, scores in _scored(batches, vectors, places):
-                count += (scores > sims[:, None]).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count)], [key, "above"])
-
-        part = items.mapInArrow(above, f"{key} long, above long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"{key} long, above long")
-    n = items.agg(F.count("*").alias("_n"))
-    better = out.groupBy(key).agg(F.sum("above").alias("above"))
-    rank = F.when(F.col("known"), 1 + F.coalesce("above", F.lit(0))).otherwise(F.col("_n") + 1)
-    return aims.join(better, key, "left").join(F.broadcast(n)).select(key, target, F.when(F.col("known"), F.col("sim")).otherwise(0.0).alias("sim"), rank.alias("rank"), "known")
+def dense_ranks(queries: DataFrame, items: DataFrame, key: str, target: str, masked: DataFrame | None = None, *, places: int = 6, block: int = 0) -> DataFrame:
+    """key, target, sim, rank, known of each query's target, see `dense.ranks`."""
+    return dense.ranks(queries, items, key, target, masked, places=places, block=block)

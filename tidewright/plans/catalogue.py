@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import convert
 from tidewright.functions import rubric as R
 from tidewright.functions import text as T
-from tidewright.operators import core, postings, ranking, selection
+from tidewright.operators import core, dense, postings, ranking, selection
 from tidewright.plans import adapters as A
 from tidewright.plans import files, items, reasoning, registry, training  # noqa: F401  (their queries are registered)
 from tidewright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -183,13 +183,19 @@ def dense_topk(spark, d):
 
 @query(f"WITH {_VEC}, t AS (SELECT qid, min(vid) AS tid FROM pairs WHERE ql = vl AND vid > qid GROUP BY qid), ts AS (SELECT qid, tid, score AS s FROM t JOIN pairs USING (qid) WHERE vid = tid) SELECT qid, tid, s AS sim, 1 + count(*) FILTER (score > s) AS rank FROM ts JOIN pairs USING (qid) GROUP BY 1, 2, 3")
 def dense_rank_target(spark, d):
-    """Targets are the next larger ids of the same label; a query itself isn't counted among the better ones."""
+    """Targets are the next larger ids of the same label; a query itself is left out."""
     q, v = _vectors(spark, d)
-    following = F.lead("item_id").over(Window.partitionBy("label").orderBy("item_id"))
-    targets = v.select(F.col("item_id").alias("qid"), following.alias("tid")).filter("tid is not null")
-    own = q.withColumn("self", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6)).join(targets, "qid")
-    ranks = ranking.dense_ranks(own, v, "qid", "tid").join(own.select("qid", "self"), "qid")
-    return ranks.select("qid", "tid", "sim", (F.col("rank") - F.when(F.col("self") > F.col("sim"), 1).otherwise(0)).alias("rank"))
+    own = q.join(_following(v), "qid")
+    return ranking.dense_ranks(own, v, "qid", "tid", own.select("qid", F.col("qid").alias("item_id"))).select("qid", "tid", "sim", "rank")
+
+
+def _following(v):
+    """qid and tid, the next larger id of the same label: from blocks of ids, then from the next block that has any."""
+    block = F.col("item_id").bitwiseAND(F.lit(-1024))
+    own = v.select("label", "item_id", block.alias("b"))
+    first = own.groupBy("label", "b").agg(F.min("item_id").alias("first")).withColumn("next", F.lead("first").over(Window.partitionBy("label").orderBy("b")))
+    inside = own.withColumn("inside", F.lead("item_id").over(Window.partitionBy("label", "b").orderBy("item_id")))
+    return inside.join(first, ["label", "b"]).select(F.col("item_id").alias("qid"), F.coalesce("inside", "next").alias("tid")).filter("tid is not null")
 
 
 @query(f"WITH {_VEC}, pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid) AS rn FROM pairs), neg AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rn) AS k FROM pool WHERE rn <= 50 AND ql <> vl) SELECT qid, string_agg(vid, ',' ORDER BY k) AS negatives FROM neg WHERE k <= 5 GROUP BY qid")
@@ -245,6 +251,26 @@ def random_negatives(spark, d):
     return both.select("user_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("negatives"))
 
 
+_GAIN_HIDDEN = "hidden AS (SELECT qid, unnest([qid, qid - 1, qid - 2, qid - 3, 0]) AS vid FROM (SELECT vec_id AS qid FROM v WHERE vec_id % 50 = 0))"
+
+
+@query(f"""WITH {_VEC.split(', pairs AS')[0]}, {_GAIN_HIDDEN}, t AS (SELECT a.vec_id AS qid, CASE WHEN a.vec_id % 200 = 0 THEN a.vec_id + 1000000 ELSE min(b.vec_id) END AS tid FROM v a JOIN v b ON a.label = b.label AND b.vec_id > a.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, a.vec_id),
+q AS (SELECT t.qid, t.tid, a.e, list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] + 0.25 * coalesce(b.e[i], 0.0)) AS c FROM t JOIN v a ON a.vec_id = t.qid LEFT JOIN v b ON b.vec_id = t.tid),
+s AS (SELECT qid, tid, vec_id AS vid, round(list_dot_product(q.e, v.e), 6) AS bs, round(list_dot_product(q.c, v.e), 6) AS cs FROM q CROSS JOIN v), o AS (SELECT qid, bs AS ob, cs AS oc FROM s WHERE vid = tid),
+r AS (SELECT s.qid, any_value(s.tid) AS tid, any_value(ob) IS NOT NULL AS known, any_value(ob) AS ob, any_value(oc) AS oc, 1 + count(*) FILTER (bs > ob AND hidden.vid IS NULL) AS br, 1 + count(*) FILTER (cs > oc AND hidden.vid IS NULL) AS cr FROM s LEFT JOIN o USING (qid) LEFT JOIN hidden ON hidden.qid = s.qid AND hidden.vid = s.vid AND hidden.vid <> s.tid GROUP BY s.qid),
+f AS (SELECT qid, tid, known, coalesce(ob, 0) AS baseline_sim, coalesce(oc, 0) AS cot_sim, CASE WHEN known THEN br ELSE n + 1 END AS baseline_rank, CASE WHEN known THEN cr ELSE n + 1 END AS cot_rank FROM r, (SELECT count(*) AS n FROM v))
+SELECT qid, tid, known, baseline_sim, cot_sim, baseline_rank, cot_rank, round(CASE WHEN known THEN ({_NDCG('cot_rank', 100)}) - ({_NDCG('baseline_rank', 100)}) ELSE 0.0 END, 6) AS cot_gain, round(cot_sim - baseline_sim, 6) AS sim_gain FROM f""")
+def dense_gain(spark, d):
+    """Vectors before and after reasoning (here a quarter of the target's is added) against all items in one pass; the history and the pad item are left out, some targets are unknown."""
+    q, v = _vectors(spark, d)
+    own = q.join(_following(v), "qid").withColumn("aim", F.when(F.col("qid") % 200 == 0, F.col("qid") + 1000000).otherwise(F.col("tid")))
+    own = own.join(v.select(F.col("item_id").alias("aim"), F.col("v").alias("w")), "aim", "left")
+    own = own.withColumn("reasoned", F.when(F.col("w").isNull(), F.col("v")).otherwise(F.zip_with("v", "w", lambda a, b: a + 0.25 * b)))
+    hidden = own.select("qid", F.explode(F.array(F.col("qid"), F.col("qid") - 1, F.col("qid") - 2, F.col("qid") - 3, F.lit(0).cast("long"))).alias("item_id"))
+    out = dense.gains(own, v, "qid", "aim", "v", "reasoned", hidden)
+    return out.select("qid", F.col("aim").alias("tid"), "known", "baseline_sim", "cot_sim", "baseline_rank", "cot_rank", F.round("cot_gain", 6).alias("cot_gain"), F.round("sim_gain", 6).alias("sim_gain"))
+
+
 # Rubric and judging
 
 

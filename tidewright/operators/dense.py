@@ -95,10 +95,10 @@ def _at(ids: np.ndarray, wanted: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
     return rows[here], place[here]
 
 
-def top(queries: DataFrame, items: Vectors, key: str, k: int, *, places: int = 6) -> DataFrame:
-    """key, item_id, score, rn: the k items of highest score (ties by id) of each query but itself. queries: key, v."""
+def best_of(k: int, places: int) -> callable:
+    """The k best items of a shard for each query that meets it, but itself: (key, item_id, score)."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, part, scores in _scored(batches, places):
             keys, ids = part.column("key").to_numpy(), shard["ids"]
             scores[_at(ids, keys, np.arange(len(keys)))] = -np.inf
@@ -107,12 +107,16 @@ def top(queries: DataFrame, items: Vectors, key: str, k: int, *, places: int = 6
             s = scores[row, at]
             order = np.lexsort((ids[at], -s, row))
             row, at, s = row[order], at[order], s[order]
-            first = np.searchsorted(row, row)
-            keep = np.arange(len(row)) - first < k
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
             yield pa.RecordBatch.from_arrays([pa.array(keys[row[keep]]), pa.array(ids[at[keep]]), pa.array(s[keep])], ["key", "item_id", "score"])
 
+    return run
+
+
+def top(queries: DataFrame, items: Vectors, key: str, k: int, *, places: int = 6) -> DataFrame:
+    """key, item_id, score, rn: the k items of highest score (ties by id) of each query but itself. queries: key, v."""
     rows = queries.select(F.col(key).cast("long").alias("key"), F.col("v").cast("array<double>").alias("v"))
-    found = shards.dealt(rows, items.shards, items.n, ["key", "v"]).mapInArrow(best, "key long, item_id long, score double")
+    found = shards.dealt(rows, items.shards, items.n, ["key", "v"]).mapInArrow(best_of(k, places), "key long, item_id long, score double")
     by = [F.desc("score"), F.asc("item_id")]
     part = F.row_number().over(Window.partitionBy("key", F.pmod(F.xxhash64("item_id"), F.lit(SALTS))).orderBy(*by))
     place = F.row_number().over(Window.partitionBy("key").orderBy(*by))

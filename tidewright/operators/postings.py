@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.functions.text import word_list
 from tidewright.operators import shards
@@ -191,6 +192,14 @@ def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sim)], [*names, "sim"])
 
 
+def row_cosines(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """The rows with the cosine of two of their texts (0 if one has no word) instead of these; nothing is shuffled."""
+    rest = [c for c in rows.columns if c not in (left, right)]
+    asked = rows.select(*rest, token_hashes(F.coalesce(left, F.lit(""))).alias("tokens"), token_hashes(F.coalesce(right, F.lit(""))).alias("own"))
+    schema = T.StructType([*[f for f in asked.schema.fields if f.name not in ("own",)], T.StructField("sim", T.DoubleType())])
+    return asked.mapInArrow(_dots, schema).drop("tokens").withColumnRenamed("sim", name)
+
+
 def _packed(block: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # about SHARD entries

@@ -5,12 +5,12 @@ Ranks are counts of better items; no row is made for a query and an item.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.rubric import ndcg
-from tidewright.functions.text import word_list
-from tidewright.operators import dense, postings
+from tidewright.operators import dense, order, postings
+from tidewright.sources.tables import written
 
 
 def lexical_ranks(queries: DataFrame, items: DataFrame | postings.Catalogue, key: str, target: str, masked: DataFrame | None = None, *, total: bool = False) -> DataFrame:
@@ -41,15 +41,24 @@ def numbered(rows: DataFrame, key: str, name: str, buckets: int = 4096) -> DataF
     return own.withColumn("_place", place).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_base") + F.col("_place")).drop("_bucket", "_base", "_place")
 
 
-def metrics(ranks: DataFrame, rank: str, cutoffs: tuple[int, ...]) -> DataFrame:
-    """n, HR and NDCG at the cutoffs, mean rank and upper median; zeros for an empty input."""
+def _metrics(rank: str, cutoffs: tuple[int, ...]) -> list[Column]:
     r = F.col(rank)
     cols = [F.count("*").alias("n")]
     for k in cutoffs:
         cols.append(F.round(F.coalesce(F.avg((r <= k).cast("double")), F.lit(0.0)), 6).alias(f"hr_{k}"))
         cols.append(F.round(F.coalesce(F.avg(ndcg(r, k)), F.lit(0.0)), 6).alias(f"ndcg_{k}"))
-    cols += [F.round(F.coalesce(F.avg(r), F.lit(0.0)), 6).alias("mean_rank"), F.expr(f"cast(percentile_disc(0.5) within group (order by {rank} desc) as long)").alias("median_rank")]
-    return ranks.agg(*cols)
+    return [*cols, F.round(F.coalesce(F.avg(r), F.lit(0.0)), 6).alias("mean_rank")]
+
+
+def metrics(ranks: DataFrame, rank: str, cutoffs: tuple[int, ...]) -> DataFrame:
+    """n, HR and NDCG at the cutoffs, mean rank and upper median; zeros for an empty input."""
+    own = written(ranks.select(rank), "ranks")
+    return own.agg(*_metrics(rank, cutoffs), F.lit(order.upper_median(own, F.col(rank))).cast("long").alias("median_rank"))
+
+
+def metrics_by(ranks: DataFrame, groups: list[str], rank: str, cutoffs: tuple[int, ...]) -> DataFrame:
+    """The metrics of each group, without medians."""
+    return ranks.groupBy(*groups).agg(*_metrics(rank, cutoffs))
 
 
 def compared(metrics_of: dict[str, DataFrame]) -> DataFrame:
@@ -60,12 +69,8 @@ def compared(metrics_of: dict[str, DataFrame]) -> DataFrame:
 
 
 def pair_cosines(rows: DataFrame, key: str, left: str, right: str, name: str) -> DataFrame:
-    """key and the cosine of two texts of the same row (0 if one has no word): tokens of both are counted side by side."""
-    side = lambda c, a, b: rows.select(key, F.explode(word_list(F.lower(c))).alias("token"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    bag = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(key, "token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sums = bag.groupBy(key).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), (F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).cast("double").alias("size"))
-    found = sums.select(key, F.when(F.col("size") > 0, F.col("dot") / F.sqrt("size")).otherwise(0.0).alias(name))
-    return rows.select(key).join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    """key and the cosine of two texts of the same row (0 if one has no word)."""
+    return postings.row_cosines(rows.select(key, left, right), left, right, name)
 
 
 def dense_top(queries: DataFrame, items: DataFrame, key: str, k: int, *, places: int = 6, block: int = 0) -> DataFrame:
@@ -91,17 +96,8 @@ def contrastive_loss(queries: DataFrame, items: DataFrame, key: str, label: str,
 
 
 def thirds(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """Adds cohort (1 to 3): thirds of the rows by value, ties by key, the first ones larger by one where they don't divide.
-
-    Places come from counts of the (few) values and from places within a value, so not all rows are sorted in one task.
-    """
-    sizes = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    before = sizes.select(value, (F.sum("_n").over(Window.orderBy(value)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(value).orderBy(key)) - 1
-    own = rows.join(F.broadcast(before), value).withColumn("_place", place)
-    small, extra = F.floor(F.col("_all") / 3), F.col("_all") % 3
-    first = F.when(F.col("_place") < extra * (small + 1), F.floor(F.col("_place") / (small + 1))).otherwise(extra + F.floor((F.col("_place") - extra * (small + 1)) / F.greatest(small, F.lit(1))))
-    return own.withColumn("cohort", (first + 1).cast("int")).drop("_before", "_all", "_place")
+    """Adds cohort (1 to 3): thirds of the rows by value, ties by key, see `order.parts`."""
+    return order.parts(rows, value, key, 3, "cohort")
 
 
 def dense_ranks(queries: DataFrame, items: DataFrame, key: str, target: str, masked: DataFrame | None = None, *, places: int = 6, block: int = 0) -> DataFrame:

@@ -7,6 +7,9 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators import order
+from tidewright.sources.tables import written
+
 
 def clean(x: Column) -> Column:
     """A finite number, or null."""
@@ -60,26 +63,28 @@ def final_gain(rows: DataFrame, gain: str, least: float) -> DataFrame:
     return rows.filter(clean(F.col(gain)) >= least)
 
 
+def _told(found: list[float | None], names: list[str], places: int) -> list[Column]:
+    return [F.round(F.lit(x).cast("double"), places).alias(n) for x, n in zip(found, names, strict=True)]
+
+
 def numeric_stats(rows: DataFrame, value: str) -> DataFrame:
     """One row: count, min, max, mean, p50, p90, p95, p99 (interpolated), to two places; nulls but for the count of an empty input."""
-    v = F.col(value)
-    at = lambda q: F.round(F.percentile(v, q), 2)
-    return rows.agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 2).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    v, own = F.col(value), written(rows.select(value), "values")
+    at = _told(order.quantiles(own, v, [0.5, 0.9, 0.95, 0.99]), ["p50", "p90", "p95", "p99"], 2)
+    return own.agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 2).alias("mean"), *at)
 
 
 def rank_stats(rows: DataFrame, rank: str) -> DataFrame:
     """One row: count, mean to two places, min, max and the upper median, of the ranks that aren't null."""
-    r = F.col(rank)
-    return rows.agg(F.count(r).alias("count"), F.round(F.avg(r), 2).alias("mean"), F.min(r).alias("min"), F.max(r).alias("max"), F.expr(f"percentile_disc(0.5) within group (order by {rank} desc)").cast("long").alias("p50"))
+    r, own = F.col(rank), written(rows.select(rank), "ranks")
+    return own.agg(F.count(r).alias("count"), F.round(F.avg(r), 2).alias("mean"), F.min(r).alias("min"), F.max(r).alias("max"), F.lit(order.upper_median(own, r)).cast("long").alias("p50"))
 
 
 def summary(rows: DataFrame, value: str) -> DataFrame:
-    v = clean(F.col(value))
-    at = lambda p: F.round(F.percentile(v, p), 6)
-    return rows.agg(
-        F.count("*").alias("n"), F.count(v).alias("n_value"), F.count_if(v < 0).alias("n_negative"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"), F.round(F.avg(v), 6).alias("mean"),
-        at(0.5).alias("median"), at(0.05).alias("p05"), at(0.25).alias("p25"), at(0.75).alias("p75"), at(0.95).alias("p95"),
-    )
+    own = written(rows.select(clean(F.col(value)).alias("v")), "values")
+    v = F.col("v")
+    at = _told(order.quantiles(own, v, [0.5, 0.05, 0.25, 0.75, 0.95]), ["median", "p05", "p25", "p75", "p95"], 6)
+    return own.agg(F.count("*").alias("n"), F.count(v).alias("n_value"), F.count_if(v < 0).alias("n_negative"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"), F.round(F.avg(v), 6).alias("mean"), *at)
 
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:

@@ -30,12 +30,15 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def dealt(rows: DataFrame, shards: DataFrame, n: int, columns: list[str]) -> DataFrame:
-    """Query rows (key and other columns) and the n shards (s, shard) side by side, by shard and salt."""
+def dealt(rows: DataFrame, shards: DataFrame, n: int, columns: list[str], to: str | None = None) -> DataFrame:
+    """Query rows (key and other columns) and the n shards (s, shard) side by side, by shard and salt.
+
+    to: an array column of the shards that a row meets; all without.
+    """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = max(1, -(-2 * tasks // n))
     salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt")
-    asked = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s"), salt, F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("shard"), *columns)
+    asked = rows.select(F.explode(to or F.sequence(F.lit(0), F.lit(n - 1))).alias("s"), salt, F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("shard"), *columns)
     none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns]
     repeated = shards.select("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "shard", *none)
     return repeated.unionByName(asked).repartition(max(tasks, min(salts * n, 1 << 16)), "s", "salt").sortWithinPartitions("s", "salt", "kind")

@@ -46,7 +46,7 @@ def rich_items(spark: SparkSession, d: str) -> DataFrame:
 ORDER = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
+def log(spark: SparkSession, d: str) -> DataFrame:
     """user_id, item_id, rating and what orders a user's rows."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     # Named before any window, so that what groups by user_id later needs no second shuffle.
@@ -55,12 +55,12 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
-    return _log(spark, d).select("user_id", "item_id", "rating", pos.alias("pos"))
+    return log(spark, d).select("user_id", "item_id", "rating", pos.alias("pos"))
 
 
 def recent(spark: SparkSession, d: str, n: int) -> DataFrame:
     """The last n interactions of each user: user_id, item_id, rating and at, which orders them."""
-    return last_rows(_log(spark, d).select("user_id", "item_id", "rating", F.struct(*ORDER).alias("at")), "user_id", "at", n)
+    return last_rows(log(spark, d).select("user_id", "item_id", "rating", F.struct(*ORDER).alias("at")), "user_id", "at", n)
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:

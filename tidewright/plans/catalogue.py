@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions import convert
+from tidewright.functions import convert, rewards
 from tidewright.functions import rubric as R
 from tidewright.functions import text as T
-from tidewright.operators import core, dense, postings, ranking, selection
+from tidewright.operators import core, dense, order, postings, ranking, selection, vectors
+from tidewright.operators import rewards as stage
 from tidewright.plans import adapters as A
 from tidewright.plans import files, items, reasoning, registry, training  # noqa: F401  (their queries are registered)
 from tidewright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -251,6 +252,20 @@ def random_negatives(spark, d):
     return both.select("user_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("negatives"))
 
 
+@query("WITH e AS (SELECT label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM e), s AS (SELECT label, i, sum(x) AS x, count(*) AS n FROM p GROUP BY 1, 2) SELECT label, n, CAST(i AS INTEGER) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS value FROM s")
+def label_centroids(spark, d):
+    """The centroid of each label's vectors, brought to length one, by position."""
+    found = vectors.centroids(table(spark, d, "embeddings").select("label", "embedding"), "label", "embedding")
+    return found.select("label", "n", F.posexplode("centroid").alias("place", "value")).select("label", "n", (F.col("place") + 1).alias("place"), F.round("value", 6).alias("value"))
+
+
+@query()
+def ivf_topk(spark, d):
+    """The ten best vectors of each query by the inverted-file index; the tests measure its recall against `dense_topk`."""
+    q, v = _vectors(spark, d)
+    return vectors.near(q, vectors.index(v), "qid", 10).withColumnRenamed("item_id", "vid")
+
+
 _GAIN_HIDDEN = "hidden AS (SELECT qid, unnest([qid, qid - 1, qid - 2, qid - 3, 0]) AS vid FROM (SELECT vec_id AS qid FROM v WHERE vec_id % 50 = 0))"
 
 
@@ -278,8 +293,13 @@ _LIST = lambda terms: " + ".join(f"(contains(low, '{t}'))::INT" for t in terms)
 _LAD = lambda x, s: "(1 + " + " + ".join(f"(({x}) >= {k})::INT" for k in s) + ")"
 
 
-@query(f"""WITH c AS (SELECT doc_id, {_COMPACT('lower(text)')} AS low, len({_WORDS('text')}) AS wc FROM documents), h AS (SELECT *, {_LIST(R.PREFERENCE)} AS p, {_LIST(R.TRANSITION)} AS t, {_LIST(R.DISCRIMINATIVE)} AS di, {_LIST(R.LEAKAGE)} AS lk, {_LIST(R.GENERIC)} AS g FROM c),
-s AS (SELECT doc_id, greatest(1, 1 - lk) AS a, greatest(1, {_LAD('p', R.SPECIFICITY_LADDER)} - g) AS b, {_LAD('t', R.LADDER)} AS c, greatest(1, {_LAD('di', R.LADDER)} - lk) AS e, greatest(1, CASE WHEN wc BETWEEN 70 AND 220 THEN 5 WHEN wc BETWEEN 45 AND 280 THEN 4 WHEN wc BETWEEN 25 AND 360 THEN 3 WHEN wc > 0 THEN 2 ELSE 1 END - 1) AS f FROM h)
+def rules_sql(rows: str, key: str = "doc_id") -> str:
+    """SQL tables of the rules' five dimensions (a, b, c, e, f) of rows (key, text) that name no title of a history and have no tags."""
+    return f"""c AS (SELECT {key}, {_COMPACT('lower(text)')} AS low, len({_WORDS('text')}) AS wc FROM {rows}), h AS (SELECT *, {_LIST(R.PREFERENCE)} AS p, {_LIST(R.TRANSITION)} AS t, {_LIST(R.DISCRIMINATIVE)} AS di, {_LIST(R.LEAKAGE)} AS lk, {_LIST(R.GENERIC)} AS g FROM c),
+s AS (SELECT {key}, greatest(1, 1 - lk) AS a, greatest(1, {_LAD('p', R.SPECIFICITY_LADDER)} - g) AS b, {_LAD('t', R.LADDER)} AS c, greatest(1, {_LAD('di', R.LADDER)} - lk) AS e, greatest(1, CASE WHEN wc BETWEEN 70 AND 220 THEN 5 WHEN wc BETWEEN 45 AND 280 THEN 4 WHEN wc BETWEEN 25 AND 360 THEN 3 WHEN wc > 0 THEN 2 ELSE 1 END - 1) AS f FROM h)"""
+
+
+@query(f"""WITH {rules_sql('documents')}
 SELECT doc_id, CAST(a AS INT) AS grounding, CAST(b AS INT) AS specificity, CAST(c AS INT) AS transitional, CAST(e AS INT) AS framing, CAST(f AS INT) AS conciseness, CAST(a + b + c + e + f AS INT) AS total, round((a + b + c + e + f) / 25.0::DOUBLE, 6) AS score_norm FROM s""")
 def rule_score(spark, d):
     s = R.rule_score(F.lit(""), F.col("text"))
@@ -368,15 +388,10 @@ def gated_reward(spark, d):
 
 @query(f"WITH {A.SCORED}, u AS (UNPIVOT scored ON d1, d2, d3, d4, d5 INTO NAME dim VALUE v), k AS (SELECT dim, v, gain, rank() OVER (PARTITION BY dim ORDER BY v) + (count(*) OVER (PARTITION BY dim, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY dim ORDER BY gain) + (count(*) OVER (PARTITION BY dim, gain) - 1) / 2.0 AS rg FROM u) SELECT dim, round(corr(v, gain), 6) AS pearson, round(corr(rv, rg), 6) AS spearman FROM k GROUP BY dim")
 def corr_dims_gain(spark, d):
-    """Ranks come from counts of distinct values, so no dimension is sorted in one task."""
+    """Average ranks over ranges of (dimension, value), so that neither a dimension nor a frequent value is one task's sort."""
     own = A.scored(spark, d)
-    u = own.select("gain", F.expr("stack(5, 'd1', d1, 'd2', d2, 'd3', d3, 'd4', d4, 'd5', d5) as (dim, v)"))
-
-    def ranks(value: str, name: str) -> DataFrame:
-        n = u.groupBy("dim", value).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("dim").orderBy(value)) - F.col("n")
-        return n.select("dim", value, (before + 1 + (F.col("n") - 1) / 2.0).alias(name))
-
+    u = written(own.select("gain", F.expr("stack(5, 'd1', d1, 'd2', d2, 'd3', d3, 'd4', d4, 'd5', d5) as (dim, v)")), "dimensions")
+    ranks = lambda value, name: order.average_ranks(u, "dim", value, name)
     both = u.join(ranks("v", "rv"), ["dim", "v"]).join(ranks("gain", "rg"), ["dim", "gain"])
     return both.groupBy("dim").agg(F.round(F.corr(F.col("v").cast("double"), "gain"), 6).alias("pearson"), F.round(F.corr("rv", "rg"), 6).alias("spearman"))
 
@@ -391,7 +406,7 @@ def selection_strategies(spark, d):
 
 @query(f"WITH {A.INTER}, u AS (SELECT user_id, count(*) AS c, avg(rating) AS r FROM inter GROUP BY 1), t AS (SELECT *, ntile(3) OVER (ORDER BY c, user_id) AS cohort FROM u) SELECT 'activity' AS kind, CAST(cohort AS INT) AS cohort, count(*) AS n, round(avg(c), 6) AS events, round(avg(r), 6) AS rating FROM t GROUP BY cohort UNION ALL SELECT 'popularity', CAST(cohort AS INT), count(*), round(avg(c), 6), round(avg(r), 6) FROM (SELECT *, ntile(3) OVER (ORDER BY c, item_id) AS cohort FROM (SELECT item_id, count(*) AS c, avg(rating) AS r FROM inter GROUP BY 1)) GROUP BY cohort")
 def cohorts(spark, d):
-    own = A.interactions(spark, d)
+    own = A.log(spark, d)
 
     def of(kind: str, key: str) -> DataFrame:
         n = own.groupBy(key).agg(F.count("*").alias("c"), F.avg("rating").alias("r"))
@@ -400,6 +415,23 @@ def cohorts(spark, d):
     return of("activity", "user_id").unionByName(of("popularity", "item_id"))
 
 
+@query(f"""WITH {_RANK}, hm AS (SELECT DISTINCT user_id, item_id FROM hist), r AS (SELECT f.user_id, any_value(f.target_item_id) AS item, 1 + count(*) FILTER (f.score > f.sim AND f.item_id <> 0 AND hm.item_id IS NULL) AS rank FROM full_sc f LEFT JOIN hm ON hm.user_id = f.user_id AND hm.item_id = f.item_id GROUP BY f.user_id),
+u AS (SELECT user_id, ntile(3) OVER (ORDER BY c, user_id) AS cohort FROM (SELECT user_id, count(*) AS c FROM inter GROUP BY 1)), i AS (SELECT item_id, ntile(3) OVER (ORDER BY c, item_id) AS cohort FROM (SELECT item_id, count(*) AS c FROM inter GROUP BY 1)),
+x AS (SELECT 'activity' AS kind, cohort, rank FROM r JOIN u USING (user_id) UNION ALL SELECT 'popularity', cohort, rank FROM r JOIN i ON i.item_id = r.item)
+SELECT kind, CAST(cohort AS INTEGER) AS cohort, count(*) AS n, round(avg((rank <= 10)::INT::DOUBLE), 6) AS hr_10, round(avg({_NDCG('rank', 10)}), 6) AS ndcg_10, round(avg((rank <= 100)::INT::DOUBLE), 6) AS hr_100, round(avg({_NDCG('rank', 100)}), 6) AS ndcg_100, round(avg(rank), 6) AS mean_rank FROM x GROUP BY 1, 2""")
+def cohort_metrics(spark, d):
+    """HR and NDCG of the masked ranks by thirds of users (by activity) and of targets (by popularity)."""
+    q = _queries(spark, d)
+    ranks = written(ranking.lexical_ranks(q, _catalogue(spark, d), "user_id", "target_item_id", _masked(q)).select("user_id", F.col("target_item_id").alias("item_id"), "rank_strict"), "ranks")
+    log = A.log(spark, d).select("user_id", "item_id")
+
+    def of(kind: str, key: str) -> DataFrame:
+        cohort = ranking.thirds(log.groupBy(key).agg(F.count("*").alias("c")), "c", key).select(key, "cohort")
+        return ranks.join(cohort, key).select(F.lit(kind).alias("kind"), "cohort", "rank_strict")
+
+    return ranking.metrics_by(of("activity", "user_id").unionByName(of("popularity", "item_id")), ["kind", "cohort"], "rank_strict", (10, 100))
+
+
 @query(f"WITH {A.SCORED}, b AS (SELECT CAST(floor(gain * 50) AS INT) AS band, count(*) AS n, sum(gain) AS g FROM scored GROUP BY 1), c AS (SELECT band, sum(n) OVER (ORDER BY band DESC) AS n, sum(g) OVER (ORDER BY band DESC) AS g FROM b) SELECT band, round(n / (SELECT count(*) FROM scored)::DOUBLE, 6) AS share, round(g, 4) AS gained FROM c")
 def pareto_selective(spark, d):
     """Share of calls made against gain kept, over bands of gain from high to low."""
@@ -431,6 +463,62 @@ def gain_ndcg(spark, d):
     return both.select("user_id", "baseline_rank", "cot_rank", F.round(R.ndcg(F.col("cot_rank"), 100) - R.ndcg(F.col("baseline_rank"), 100), 6).alias("cot_gain"), F.round(F.col("c") - F.col("b"), 6).alias("sim_gain"))
 
 
+_RULES = f"{rules_sql('documents')}, rules AS (SELECT doc_id, (a + b + c + e + f) / 25.0::DOUBLE AS norm FROM s)"
+_EX = f"""{_RULES}, ex AS (SELECT doc_id, doc_id // 4 AS example_id, text FROM documents), hi AS (SELECT example_id, arg_min(left(text, length(text) // 3), doc_id) AS history FROM ex GROUP BY 1), nb AS (SELECT count(*) AS nb FROM benchmark),
+row_ AS (SELECT doc_id, example_id, history, {_STRIP('history')} || CASE WHEN {_STRIP('ex.text')} = '' THEN '' ELSE chr(10) || chr(10) || 'Recommendation reasoning:' || chr(10) || {_STRIP('ex.text')} END AS reasoned, CASE WHEN example_id % 9 = 8 THEN '' ELSE b.text END AS told, CASE WHEN doc_id % 3 = 0 THEN 0.1::DOUBLE END AS given, CASE WHEN doc_id % 5 = 0 THEN 0.8::DOUBLE END AS judged
+  FROM ex JOIN hi USING (example_id), nb, benchmark b WHERE b.item_id = example_id % nb)"""
+_COS = lambda name, side: f"""{name}x AS (SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower({side}), '[A-Za-z0-9][A-Za-z0-9''-]*')) AS tok FROM row_) GROUP BY 1, 2), {name}d AS (SELECT doc_id, sum(a.n * b.n) AS d FROM {name}x a JOIN tx b USING (doc_id, tok) GROUP BY 1), {name}q AS (SELECT doc_id, sum(n * n) AS q FROM {name}x GROUP BY 1),
+{name}c AS (SELECT doc_id, coalesce(d / sqrt(({name}q.q * tq.q)::DOUBLE), 0.0::DOUBLE) AS {name}s FROM row_ LEFT JOIN {name}d USING (doc_id) LEFT JOIN {name}q USING (doc_id) LEFT JOIN tq USING (doc_id))"""
+
+
+@query(f"""WITH {_EX}, tx AS (SELECT doc_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(told), '[A-Za-z0-9][A-Za-z0-9''-]*')) AS tok FROM row_) GROUP BY 1, 2), tq AS (SELECT doc_id, sum(n * n) AS q FROM tx GROUP BY 1), {_COS('h', 'history')}, {_COS('r', 'reasoned')},
+w AS (SELECT doc_id, example_id, coalesce(judged, norm) AS quality, CASE WHEN judged IS NULL THEN 'fallback_rules' ELSE 'api_success' END AS source, coalesce(given, hs) AS baseline, rs AS similarity, told FROM row_ JOIN rules USING (doc_id) JOIN hc USING (doc_id) JOIN rc USING (doc_id)),
+z AS (SELECT *, CASE WHEN quality >= 0.45 AND told <> '' AND similarity - baseline > 0 THEN quality * (similarity - baseline) ELSE -0.05::DOUBLE END AS reward FROM w)
+SELECT doc_id, round(quality, 6) AS quality, source, round(baseline, 6) AS baseline, round(similarity, 6) AS similarity, round(reward, 6) AS reward, round((reward - avg(reward) OVER g) / nullif(stddev_samp(reward) OVER g, 0), 4) AS advantage FROM z WINDOW g AS (PARTITION BY example_id)""")
+def text_rewards(spark, d):
+    """Rewards from texts: documents are completions of their example (four each), whose history is a third of its first text; a judge scored every fifth, the rules the rest."""
+    docs, bench = A.documents(spark, d), table(spark, d, "benchmark")
+    own = docs.withColumn("example_id", F.expr("doc_id div 4"))
+    history = own.groupBy("example_id").agg(F.min_by(F.expr("left(text, cast(length(text) div 3 as int))"), "doc_id").alias("history"))
+    told = bench.select(F.col("item_id").alias("_item"), F.col("text").alias("told"))
+    rows = own.join(history, "example_id").withColumn("_item", F.col("example_id") % F.lit(bench.count())).join(told, "_item")
+    rows = rows.withColumns({"told": F.when(F.col("example_id") % 9 == 8, "").otherwise(F.col("told")), "given": F.when(F.col("doc_id") % 3 == 0, 0.1), "judged": F.when(F.col("doc_id") % 5 == 0, 0.8)})
+    out = stage.lexical_rewards(rows, key="doc_id", history="history", completion="text", target="told", given="given", judged="judged", scorer="api")
+    out = stage.advantages(out.withColumn("example_id", F.expr("doc_id div 4")), "example_id")
+    return out.select("doc_id", "source", *[F.round(c, 6).alias(c) for c in ("quality", "baseline", "similarity", "reward")], F.round("advantage", 4).alias("advantage"))
+
+
+@query(f"""WITH {_RANK}, {_RULES}, hm AS (SELECT DISTINCT user_id, item_id FROM hist UNION SELECT DISTINCT user_id, 0 FROM aim), nd AS (SELECT count(*) AS m FROM documents), cot AS (SELECT q.user_id, q.target_item_id, d.doc_id, q.text || chr(10) || chr(10) || 'Recommendation reasoning:' || chr(10) || {_STRIP('d.text')} AS text FROM q, nd, documents d WHERE d.doc_id = q.user_id % nd.m),
+{_DT('cot', 'user_id')}, cs AS (SELECT user_id, p_name, dot / sqrt((nn * tn)::DOUBLE) AS score FROM (SELECT user_id, p_name, sum(a.tf * b.tf) AS dot FROM cott a JOIN it b USING (tok) GROUP BY 1, 2) JOIN cotn USING (user_id) JOIN itn USING (p_name)),
+co AS (SELECT c.user_id, coalesce(score, 0.0::DOUBLE) AS sim FROM cot c JOIN part ON p_partkey = c.target_item_id LEFT JOIN cs USING (user_id, p_name)), cnt AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1),
+mask AS (SELECT hm.user_id, p_name, count(*) AS gone FROM hm JOIN part ON p_partkey = item_id JOIN aim USING (user_id) WHERE item_id <> target_item_id GROUP BY 1, 2),
+br AS (SELECT own.user_id, 1 + coalesce(sum(n - coalesce(gone, 0)) FILTER (sc.score > own.sim), 0) AS r FROM own LEFT JOIN sc USING (user_id) LEFT JOIN cnt USING (p_name) LEFT JOIN mask USING (user_id, p_name) GROUP BY 1),
+cr AS (SELECT co.user_id, 1 + coalesce(sum(n - coalesce(gone, 0)) FILTER (cs.score > co.sim), 0) AS r FROM co LEFT JOIN cs USING (user_id) LEFT JOIN cnt USING (p_name) LEFT JOIN mask USING (user_id, p_name) GROUP BY 1),
+z AS (SELECT user_id, norm AS quality, br.r AS b, cr.r AS c, {_NDCG('cr.r', 100)} - ({_NDCG('br.r', 100)}) AS gain, {_NDCG('br.r', 100)} AS bn FROM cot JOIN rules USING (doc_id) JOIN br USING (user_id) JOIN cr USING (user_id))
+SELECT user_id, round(quality, 6) AS quality, round(bn, 6) AS baseline_ndcg, CAST(c AS BIGINT) AS cot_rank, round(CASE WHEN quality >= 0.45 AND gain > 0 THEN quality * gain ELSE -0.05 END, 6) AS reward FROM z""")
+def ranked_rewards(spark, d):
+    """Rewards from ranks over the catalogue: the last item of each user, its history as query and mask, a document as reasoning, the rules as scorer."""
+    q, docs = _queries(spark, d), table(spark, d, "documents").select("doc_id", F.col("text").alias("cot"))
+    n = docs.count()
+    rows = q.withColumn("doc_id", F.col("user_id") % n).join(docs, "doc_id").withColumn("told", F.lit("told"))
+    out = stage.ranked_rewards(rows, postings.catalogue(_catalogue(spark, d)), key="user_id", history="text", completion="cot", target_id="target_item_id", target="told", hidden="history_item_id")
+    return out.select("user_id", "cot_rank", *[F.round(c, 6).alias(c) for c in ("quality", "baseline_ndcg", "reward")])
+
+
+@query(f"""WITH {_VEC.split(', pairs AS')[0]}, {_RULES}, t AS (SELECT vec_id, e, label, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS tid FROM v), x AS (SELECT t.vec_id, t.e, b.e AS g, list_transform(range(1, len(t.e) + 1), lambda i: t.e[i] + 0.25 * b.e[i]) AS c FROM t JOIN v b ON b.vec_id = t.tid),
+w AS (SELECT vec_id, norm AS quality, CASE WHEN vec_id % 3 = 0 OR vec_id % 2 = 1 THEN round(list_dot_product(e, g), 6) ELSE 0.2::DOUBLE END AS baseline, round(list_dot_product(c, g), 6) AS similarity, vec_id % 11 <> 0 AS told FROM x JOIN rules ON doc_id = vec_id)
+SELECT vec_id, round(quality, 6) AS quality, baseline, similarity, round(CASE WHEN quality >= 0.45 AND told AND similarity - baseline > 0 THEN quality * (similarity - baseline) ELSE -0.05 END, 6) AS reward FROM w""")
+def dense_rewards(spark, d):
+    """Rewards from vectors: some baselines are given, some by another embedder; the text of the same number is scored by the rules."""
+    _, v = _vectors(spark, d)
+    k = F.col("qid")
+    aims = v.select(F.col("item_id").alias("qid"), "v").join(_following(v), "qid").join(v.select(F.col("item_id").alias("tid"), F.col("v").alias("w")), "tid")
+    scores = A.documents(spark, d).select(F.col("doc_id").alias("qid"), rewards.quality("rules", F.lit(""), F.col("text"))["score"].alias("quality"))
+    rows = aims.join(scores, "qid").withColumns({"reasoned": F.zip_with("v", "w", lambda a, b: a + 0.25 * b), "given": F.when(k % 3 != 0, 0.2), "by": F.when(k % 2 == 0, "dense").otherwise("lexical"), "told": F.when(k % 11 != 0, "told").otherwise("")})
+    out = stage.dense_rewards(rows, key="qid", base="v", reasoned="reasoned", target="w", told="told", quality="quality", given="given", given_by="by", embedder="dense")
+    return out.select(k.alias("vec_id"), F.round("quality", 6).alias("quality"), "baseline", "similarity", F.round("reward", 6).alias("reward"))
+
+
 # Events
 
 

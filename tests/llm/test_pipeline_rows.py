@@ -21,8 +21,8 @@ def test_stages_keep_rows_and_columns_of_any_name(spark):
     good = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang = 'en' and n_chars > 500").orderBy("doc_id").first().text[:500] + " "
     rows = [(i, good + f"number {i} " + " ".join(f"w{i}x{k}" for k in range(30)), None if i % 2 else "en", None, i) for i in range(6)]
     rows += [rows[0], (None, rows[1][1] + " more", None, None, None), (7, None, None, None, 7), (8, "", "en", "s", 8), (9, good * 500, None, "s", None)]
-    names = ["doc_id", "text", "lang", "source", "n_chars", "key", "n", "row", "group", "node", "part", "doc", "n_words", "starts", "items", "score", "_key", "rejected", "uid"]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names[5:])
+    names = ["doc_id", "text", "lang", "source", "n_chars", "key", "n", "row", "group", "node", "part", "doc", "n_words", "starts", "items", "score", "_key", "rejected", "uid", "a.b", "c`d", "e f"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names[5:])
     docs = spark.createDataFrame([(*r, *["clash"] * (len(names) - 5)) for r in rows], schema).repartition(2)
     every = sorted(((r.doc_id, r.text, r.n_chars) for r in docs.collect()), key=repr)
     left = {name: sorted(((r.doc_id, r.text, r.n_chars) for r in stage(spark, docs, FOLDER).collect()), key=repr) for name, stage in pipeline.STAGES[:-1]}

@@ -29,3 +29,23 @@ def test_swaps_are_made_for_every_document():
             d[(1, 4)[k % 2]] -= 1
             want += np.outer(d, d)
     assert swaps == 4 * n and np.array_equal(gram, want)
+
+
+def test_no_feature_is_lost_in_a_large_vocabulary():
+    """Far more words than any fixed table has room for: all that stand out by plain counts are in the model."""
+    rng = np.random.default_rng(8)
+    n = 2400
+    toxic = (np.arange(n) % 8 == 0).astype(np.int64)
+    marks = [f"mark{i}zz" for i in range(300)]
+    texts = [" ".join([f"w{x:x}" for x in rng.integers(0, 1 << 40, 500)] + [f"c{x}" for x in rng.integers(0, 3000, 60)] + (list(rng.choice(marks, 12)) if t else [])) for t in toxic]
+    sets = toxicity.feature_sets(pa.array(texts))
+    every, owner = np.concatenate(sets), np.repeat(np.arange(n), list(map(len, sets)))
+    values, at, df = np.unique(every, return_inverse=True, return_counts=True)
+    assert len(values) > 1 << 20
+    hits, share = np.bincount(at, toxic[owner], minlength=len(values)), toxic.mean()
+    out = (np.abs(hits - df * share) / np.sqrt(df * share * (1 - share)) >= toxicity.Z) & (np.maximum(hits, df - hits) >= 2)
+    model = toxicity.train(sets, toxic, rounds=2)
+    assert out.sum() > 300 and set(values[out].tolist()) <= set(model.known.tolist())
+    for part in (1 << 16, 1 << 30):
+        got = [np.concatenate(x) for x in zip(*toxicity.counted(sets, toxic, part), strict=True)]
+        assert np.array_equal(got[0], values) and np.array_equal(got[1], hits) and np.array_equal(got[2], df)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.spark_io import dropped, id_and_text, kept
+from tidewright.llm.spark_io import dropped, id_and_text, kept, quoted
 from tidewright.llm.text import ALNUM, Words, fold, slices, words
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 3, 200_000
@@ -232,7 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col)
     if keep_row:
-        source = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        source = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = T.StructType(source.schema.fields + T.StructType.fromDDL(_HITS).fields)
     items = kept(id_and_text(benchmark, item_col, item_text_col).mapInArrow(_items, "item_id long, words array<long>"), "items")
     found, shared, before = source, None, None

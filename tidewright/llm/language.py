@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.spark_io import id_and_text, smallest_hashes
+from tidewright.llm.spark_io import filtered, id_and_text, smallest_hashes
 from tidewright.llm.text import raw, slices
 
 BINS, CLUSTERS, PER_LANGUAGE, REJECT = 4096, 4, 400, 0.25
@@ -198,4 +198,4 @@ def recognised(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
             for part in slices(batch, text_col, 1 << 20, ROWS):
                 yield part.filter(pa.array(~_judged(shared.value, part.column(text_col))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run, text_col)

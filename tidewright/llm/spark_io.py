@@ -48,6 +48,17 @@ def dropped(*frames: DataFrame) -> None:
         system.delete(own, True)
 
 
+def quoted(column: str) -> str:
+    """A column's name as F.col takes it, whatever signs it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def filtered(docs: DataFrame, run, text_col: str) -> DataFrame:
+    """mapInArrow that keeps the schema, whatever the columns are called: all but the text have plain names meanwhile."""
+    plain = docs.toDF(*[c if c == text_col else f"_c{k}" for k, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns with fixed names, whatever else the table holds."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

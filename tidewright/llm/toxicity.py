@@ -2,8 +2,8 @@
 
 Features of a document are its distinct words and the beginnings of its words (4, 6 and 8 bytes),
 each present in one word or in two or more different ones. Features enter the model when their share
-of toxic training documents differs clearly from the overall share (a z-score), and identity terms
-always do. Training minimises weighted logistic loss, an L2 term and a counterfactual term: in all
+of toxic training documents differs clearly from the overall share (a z-score of exact counts), and
+identity terms always do. Training minimises weighted logistic loss, an L2 term and a counterfactual term: in all
 documents of the training sample identity terms are swapped for one another (or put in, where there
 is none), and the squared change of the score is penalised, so that a neutral mention of a group
 moves no score.
@@ -14,7 +14,8 @@ training sample. Scoring is row by row without a shuffle.
 
 Edge cases: null or empty text has no words and gets the base score; without labelled rows, or with
 labels of one kind only, scores are the smoothed share of label 1; labels other than 0 and 1 and null
-labels are left out; repeated rows are each scored; other columns are ignored.
+labels are left out; a score at the threshold is predicted as 1; repeated rows and rows without an id are
+each scored; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.spark_io import id_and_text, smallest_hashes
+from tidewright.llm.spark_io import filtered, id_and_text, smallest_hashes
 from tidewright.llm.text import ALNUM, slices, words
 
 SAMPLE, THRESHOLD, Z, PENALTY, RIDGE = 2_500, 0.3, 4.0, 4.0, 1e-3
 #: Lengths, in bytes, of the word beginnings that are features.
 HEADS = (4, 6, 8)
-_BINS = 1 << 20
+#: Entries whose features are counted at once, about.
+_PART = 1 << 21
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 #: Identity terms whose swaps leave a text's toxicity as it is.
 IDENTITY_TERMS = [
@@ -115,6 +117,17 @@ def swap_gram(n: int, terms: int, row: np.ndarray, term: np.ndarray) -> tuple[np
     return gram, 4 * n
 
 
+def counted(sets: list[np.ndarray], toxic: np.ndarray, part: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features in order, how many toxic documents and how many documents hold each: exact, by ranges of hashes of about `part` entries."""
+    parts = max(1, -(-sum(map(len, sets)) // (part or _PART)))
+    edges = np.array([k * (1 << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(own, edges), [len(own)]]).astype(np.int64) for own in sets]
+    for k in range(parts):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        values, inverse, df = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        yield values, np.bincount(inverse, np.repeat(toxic, list(map(len, own))), minlength=len(values)), df
+
+
 def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None = None, *, z: float = Z, penalty: float = PENALTY, ridge: float = RIDGE, rounds: int = 400) -> Model:
     """Fits the model to feature sets and 0/1 labels; weight: of each document."""
     n, ones = len(toxic), int(toxic.sum())
@@ -128,27 +141,14 @@ def train(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray | None =
         score = np.abs(hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
         return (score >= z) & (np.maximum(hits, df - hits) >= 2)
 
-    # Counts in a hashed table of fixed size first; only features of bins that stand out are gathered.
-    bin_df, bin_hits = np.zeros(_BINS, np.int64), np.zeros(_BINS, np.int64)
-    for own, t in zip(sets, toxic.tolist(), strict=True):
-        b = (own >> np.uint64(44)).astype(np.int64)
-        bin_df[b] += 1
-        bin_hits[b] += t
-    some = unlikely(bin_hits, bin_df)
     terms = np.unique(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM).hash)
-    some[(terms >> np.uint64(44)).astype(np.int64)] = True
-    sets = [own[some[(own >> np.uint64(44)).astype(np.int64)]] for own in sets]
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), list(map(len, sets)))
-    values, inverse, df = np.unique(every, return_inverse=True, return_counts=True)
-    hits = np.bincount(inverse, toxic[owner], minlength=len(values))
     begun = np.concatenate(words(pa.array([" ".join(IDENTITY_TERMS)]), ALNUM, HEADS).heads)  # their beginnings stay out
-    chosen = unlikely(hits, df) & ~np.isin(values, np.concatenate([terms, begun, begun ^ _TWICE]))
-    known = np.union1d(values[chosen], terms)
+    some = np.concatenate([v[unlikely(hits, df)] for v, hits, df in counted(sets, toxic)])
+    known = np.union1d(np.setdiff1d(some, np.concatenate([terms, begun, begun ^ _TWICE])), terms)
     is_term = np.isin(known, terms)
-    at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-    hit = known[at] == every if len(every) else np.zeros(0, bool)
-    row, at = owner[hit], at[hit]  # the matrix of documents and features, sparse: all its entries are one
+    # The matrix of documents and features, sparse: all its entries are one.
+    at = [np.flatnonzero(np.isin(known, own, assume_unique=True)) for own in sets]
+    row, at = np.repeat(np.arange(n), list(map(len, at))), np.concatenate(at)
     own_terms = np.flatnonzero(is_term)
     gram, n_swaps = swap_gram(n, len(own_terms), row[is_term[at]], np.searchsorted(own_terms, at[is_term[at]]))
     gram *= len(own_terms) / n_swaps  # each term weighs about one
@@ -206,4 +206,4 @@ def civil(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, text_c
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(shared.value.score(part.column(text_col)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run, text_col)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, jaccard, language, queries, toxicity
-from tidewright.llm.spark_io import kept
+from tidewright.llm.spark_io import kept, quoted
 from tidewright.sources.tables import table
 
 
@@ -44,7 +44,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     first = named.groupBy("group").agg(F.min(place).alias("first")).select("first.key")
     repeated = named.filter("n > 1").select("key")
     gone = named.select("key").join(first, "key", "left_anti").unionByName(repeated).distinct()
-    whole = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = docs.select(key.alias("key"), F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("row"))
     single = whole.join(gone, "key", "left_anti")
     one = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
     again = whole.join(repeated.join(first, "key", "left_semi"), "key", "left_semi").withColumn("n", one).filter("n = 1")

@@ -44,7 +44,7 @@ from tidewright.llm.text import _LOWER, Words, _word_table, mix, raw, slices, wo
 LETTERS = _word_table([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 MIN_DOCS, TOP, SCALE = 3, 200, 10**9
 #: Text bytes counted at once, pairs of postings summed at once, and parts in which a group's terms are first ranked.
-SLICE, PAIRS, SALTS = 16 << 20, 1 << 20, 64
+SLICE, PAIRS, SALTS = 8 << 20, 1 << 20, 64
 
 
 def spans(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

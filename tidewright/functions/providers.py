@@ -39,15 +39,34 @@ def _attempt(call: Callable, rows: list[dict], retries: int, pause: float) -> tu
     return [None] * len(rows), problem
 
 
-def provide(df: DataFrame, factory: Factory, inputs: list[str], output: str, kind: str, *, batch: int = 32, retries: int = 2, pause: float = 0.0) -> DataFrame:
+def paced(call: Callable, rate: float, now: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Callable:
+    """The call, begun at most `rate` times a second: each waits until its turn."""
+    turn = [now()]
+
+    def run(rows: list[dict]) -> Sequence:
+        if (left := turn[0] - now()) > 0:
+            wait(left)
+        turn[0] = max(turn[0], now()) + 1 / rate
+        return call(rows)
+
+    return run
+
+
+def provide(df: DataFrame, factory: Factory, inputs: list[str], output: str, kind: str, *, batch: int = 32, retries: int = 2, pause: float = 0.0, rate: float = 0.0, slots: int = 0) -> DataFrame:
     """Adds the output column and `error` (null where the call went well).
 
+    rate: calls a second of the whole stage (0: as fast as they go), shared by `slots` tasks: rows are dealt
+    to so many partitions, and each keeps to its share, retries included.
+
     A batch that fails is tried row by row, so one bad row doesn't take others with it.
     """
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"{output} {kind}, error string").fields])
 
+    if rate > 0 and slots < 1:
+        raise ValueError("a rate needs the number of slots that share it")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = factory()
+        call = paced(factory(), rate / slots) if rate > 0 else factory()
         for frame in frames:
             given = frame[inputs].astype(object)
             rows = iter(given.where(given.notna(), None).to_dict("records"))
@@ -63,7 +82,7 @@ def provide(df: DataFrame, factory: Factory, inputs: list[str], output: str, kin
                     errors += [problem] * len(part)
             yield frame.assign(**{output: pd.Series(found, index=frame.index, dtype=object), "error": pd.Series(errors, index=frame.index, dtype=object)})
 
-    return df.mapInPandas(run, schema)
+    return (df.repartition(slots) if rate > 0 else df).mapInPandas(run, schema)
 
 
 def provide_once(df: DataFrame, factory: Factory, inputs: list[str], output: str, kind: str, **how) -> DataFrame:

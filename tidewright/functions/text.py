@@ -126,14 +126,15 @@ def answer_of(x: Column) -> Column:
     return let(canonical_tags(x), of)
 
 
-def tagged_assistant(x: Column, fallback: str = "") -> Column:
-    """Exactly one reasoning and one answer block."""
+def tagged_assistant(x: Column, fallback: str | Column = "") -> Column:
+    """Exactly one reasoning and one answer block; without both, the whole text and the fallback (the row's own, or a fixed one)."""
     b = blocks(strip(x))
     clean = lambda c: strip(F.regexp_replace(c, INNER, ""))
     form = lambda t, a: F.concat(F.lit("<think>\n"), t, F.lit("\n</think>\n<answer>\n"), a, F.lit("\n</answer>"))
-    default = fallback.strip() or DEFAULT_ANSWER
+    own = strip(F.coalesce(fallback if isinstance(fallback, Column) else F.lit(fallback), F.lit("")))
+    default = F.when(own == "", DEFAULT_ANSWER).otherwise(own)
     good = b["has_tags"] & (clean(b["think"]) != "") & (clean(b["answer"]) != "")
-    return F.when(good, form(clean(b["think"]), clean(b["answer"]))).otherwise(form(clean(strip(x)), F.lit(default)))
+    return F.when(good, form(clean(b["think"]), clean(b["answer"]))).otherwise(form(clean(strip(x)), default))
 
 
 def number(x: Column) -> Column:

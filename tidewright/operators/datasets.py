@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.answers import first_user, history_of, tagged
-from tidewright.functions.text import compact, first_truthy, let, strip, tagged_assistant, with_reasoning
+from tidewright.functions.text import blocks, compact, first_truthy, let, strip, tagged_assistant, with_reasoning
+from tidewright.operators import order
 from tidewright.operators.core import first_wins, tail, without
 
-#: Columns of a candidate that an example doesn't have, and diagnostics that a conversation keeps.
+#: Columns of a candidate that an example doesn't have, of a conversation, and diagnostics that a conversation keeps.
 CANDIDATE_COLUMNS = ["candidate_id", "candidate_index", "temperature", "think", "answer", "cot", "source_answer", "rubric", "rubric_total", "rubric_score_norm", "judge_mode", "judge_api_provider", "judge_model", "judge_used_target", "judge_meta", "judge_raw", "generation_timing", "generation_api_meta"]
+CONVERSATION_COLUMNS = ["example_id", "user_id", "interaction_id", "candidate_id", "dataset", "category", "target_item_id", "history_item_ids", "rubric_total", "cot_gain", "selection_score"]
 DIAGNOSTICS = ["gain_mode", "embedder_mode", "baseline_sim", "cot_sim", "sim_gain", "baseline_rank", "cot_rank", "baseline_ndcg", "cot_ndcg", "ndcg_k", "masked_history_items", "masked_pad_item", "selection_rank", "fallback_selected"]
 
 
@@ -99,10 +101,38 @@ def target_text(own: Column, positive: Column, looked_up: Column) -> Column:
 
 
 def conversation_rows(rows: DataFrame, reasoning: str, prompt: Column, maker: str) -> DataFrame:
-    """Rows with messages (system, user, assistant with one reasoning and one answer block); diagnostics stay where there are any."""
-    kept = [c for c in rows.columns if c not in CANDIDATE_COLUMNS or c in ("candidate_id", "rubric_total")]
+    """Rows of fixed columns with messages: system, user, and assistant with one reasoning and one answer block.
+
+    A text without both blocks is the reasoning, and its answer is the text's answer or else the row's
+    source_answer. Columns that the rows lack are null; diagnostics are there where the rows have them.
+    """
+    have = set(rows.columns)
+    of = lambda c: F.col(c) if c in have else F.lit(None).cast("string").alias(c)
+    ids = [F.col(c).cast("array<long>") for c in ("history_item_ids", "history_item_id") if c in have]
+    answer = first_truthy(blocks(F.col(reasoning))["answer"], *([F.col("source_answer")] if "source_answer" in have else [F.lit("")]))
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    return rows.select(*kept, F.array(message("system", F.lit(maker)), message("user", prompt), message("assistant", tagged_assistant(F.col(reasoning)))).alias("messages"))
+    return rows.select(
+        *[F.coalesce(*ids, F.array().cast("array<long>")).alias(c) if c == "history_item_ids" else of(c) for c in CONVERSATION_COLUMNS], *[c for c in DIAGNOSTICS if c in have],
+        F.array(message("system", F.lit(maker)), message("user", prompt), message("assistant", tagged_assistant(F.col(reasoning), answer))).alias("messages"),
+    )
+
+
+def first_pairs(rows: DataFrame, query: Column, positive: Column, *, category: Column, split: str, position: str, last: int) -> DataFrame:
+    """Pairs of the first phase, without reasoning: query, positive and what tells the interaction apart.
+
+    rows: user_id, item_id, item_title, rating and history_item_id. Their interaction_id counts, or else
+    the row's place in its category by `position`.
+    """
+    own = rows.withColumns({"category": category, "query": query, "positive": positive})
+    if "interaction_id" not in rows.columns:
+        start = own.groupBy("category").agg(F.count("*").alias("_n"))
+        start = start.select("category", (F.sum("_n").over(Window.orderBy("category")) - F.col("_n")).alias("_start"))  # one row a category
+        own = order.running(own, [F.col("category"), F.col(position)]).join(start, "category").withColumn("interaction_id", F.col("before") - F.col("_start"))
+    ids = last_columns(own, ["history_item_id"], last)
+    return ids.select(
+        "query", "positive", "category", F.lit(split).alias("split"), F.col("user_id").cast("string").alias("user_id"), F.col("interaction_id").cast("long").alias("interaction_id"), F.col("item_id").alias("target_item_id"),
+        F.coalesce("item_title", F.lit("")).alias("target_item_title"), F.coalesce(F.col("rating").cast("double"), F.lit(0.0)).alias("target_rating"), F.col("history_item_id").alias("history_item_ids"), F.size("history_item_id").alias("history_item_count"),
+    )
 
 
 def row_history(rows: DataFrame) -> Column:

@@ -11,7 +11,9 @@ from tidewright.functions.rubric import ndcg
 from tidewright.operators import core, datasets, ranking, selection
 from tidewright.plans import adapters as A
 from tidewright.plans.registry import compact, query, quoted, strip
-from tidewright.sources.tables import table
+from tidewright.sources.memo import Memo
+from tidewright.sources.tables import scratch, table
+from tidewright.streaming import resumable
 
 _NL = "chr(10)"
 _PARTS = """parts AS (SELECT doc_id, doc_id // 4 AS example_id, CAST(doc_id % 4 AS INTEGER) AS idx, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(text, length(text) // 3) END AS think, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, length(text) // 3 + 1, length(text) // 3) END AS answer, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE substr(text, 2 * (length(text) // 3) + 1) END AS cot FROM documents)"""
@@ -111,13 +113,63 @@ def duplicate_scores(spark, d):
 
 
 @query(f"""WITH {A.TAGGED}, p AS (SELECT doc_id, {strip("regexp_extract(raw, '(?is)<thinking>(.*?)</thinking>', 1)")} AS th, {strip("regexp_extract(raw, '(?is)<recommendation>(.*?)</recommendation>', 1)")} AS an, {strip('raw')} AS whole FROM tagged)
-SELECT doc_id, CAST(doc_id % 9 AS INTEGER) AS cot_rank, md5('assistant:' || CASE WHEN th <> '' AND an <> '' THEN '<think>' || {_NL} || th || {_NL} || '</think>' || {_NL} || '<answer>' || {_NL} || an || {_NL} || '</answer>' ELSE '<think>' || {_NL} || {strip("regexp_replace(whole, '(?i)</?(analysis|think|thinking|thoughts|recommendation|answer)>', '', 'g')")} || {_NL} || '</think>' || {_NL} || '<answer>' || {_NL} || {quoted(T.DEFAULT_ANSWER)} || {_NL} || '</answer>' END) AS last_message, CAST(3 AS INTEGER) AS n FROM p""")
+SELECT doc_id, CAST(doc_id % 9 AS INTEGER) AS cot_rank, md5('assistant:' || CASE WHEN th <> '' AND an <> '' THEN '<think>' || {_NL} || th || {_NL} || '</think>' || {_NL} || '<answer>' || {_NL} || an || {_NL} || '</answer>' ELSE '<think>' || {_NL} || {strip("regexp_replace(whole, '(?i)</?(analysis|think|thinking|thoughts|recommendation|answer)>', '', 'g')")} || {_NL} || '</think>' || {_NL} || '<answer>' || {_NL} || coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN an ELSE whole END, ''), nullif(CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'given ' || doc_id END, ''), {quoted(T.DEFAULT_ANSWER)}) || {_NL} || '</answer>' END) AS last_message, CAST(3 AS INTEGER) AS n, 'c' || doc_id AS candidate_id, CAST(NULL AS VARCHAR) AS dataset, doc_id || ',' || (doc_id + 1) AS history FROM p""")
 def sft_conversations(spark, d):
-    """Conversations of three messages with the diagnostics that are there."""
-    own = A.tagged(spark, d).withColumns({"cot_rank": (F.col("doc_id") % 9).cast("int"), "judge_raw": F.lit("x")})
+    """Conversations of three messages with fixed columns and the diagnostics that are there; untagged texts fall back to their own answer."""
+    k = F.col("doc_id")
+    own = A.tagged(spark, d).withColumns({"cot_rank": (k % 9).cast("int"), "judge_raw": F.lit("x"), "example_id": k, "candidate_id": F.concat(F.lit("c"), k), "history_item_id": F.array(k, k + 1), "source_answer": F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("given "), k))})
     rows = datasets.conversation_rows(own, "raw", F.lit("prompt"), "system text")
     last = F.element_at("messages", -1)
-    return rows.select("doc_id", "cot_rank", F.md5(F.concat(last["role"], F.lit(":"), last["content"])).alias("last_message"), F.size("messages").alias("n"))
+    return rows.select(F.col("example_id").alias("doc_id"), "cot_rank", F.md5(F.concat(last["role"], F.lit(":"), last["content"])).alias("last_message"), F.size("messages").alias("n"), "candidate_id", "dataset", F.array_join(F.transform("history_item_ids", lambda x: x.cast("string")), ",").alias("history"))
+
+
+@query(f"""WITH {A.EXAMPLES}, g AS (SELECT user_id, string_agg(title || ' (' || rating || ' stars)', '; ' ORDER BY pos) AS listed, list(item_id ORDER BY pos) AS ids, count(*) AS m FROM hist GROUP BY 1), l AS (SELECT user_id, rating FROM inter WHERE pos = n),
+x AS (SELECT user_id, aim.target_item_id, aim.target_title, l.rating, listed, ids, m, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM aim JOIN g USING (user_id) JOIN l USING (user_id) WHERE m >= 3 AND l.rating >= 2)
+SELECT md5(listed || '.') AS query, {compact("'Item: ' || target_title")} AS positive, category, 'train' AS split, CAST(user_id AS VARCHAR) AS user_id, row_number() OVER (PARTITION BY category ORDER BY user_id) - 1 AS interaction_id, target_item_id, target_title AS target_item_title, CAST(rating AS DOUBLE) AS target_rating, array_to_string(ids[-least(m, 5):], ',') AS history_item_ids, CAST(least(m, 5) AS INTEGER) AS history_item_count FROM x""")
+def first_phase_pairs(spark, d):
+    """Pairs of history and target before any reasoning, numbered within their category."""
+    own = A.examples(spark, d).withColumns({"rating": F.col("target_rating").cast("double"), "item_id": F.col("target_item_id"), "item_title": F.col("target_title")})
+    own = datasets.eligible(own, "history_title", "history_rating", "rating", least_history=3, least_rating=2)
+    entry = lambda r: F.concat(r["history_title"], F.lit(" ("), T.number(r["history_rating"].cast("double")), F.lit(" stars)"))
+    listed = F.concat(F.array_join(F.transform(F.arrays_zip("history_title", "history_rating"), entry), "; "), F.lit("."))
+    category = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
+    rows = datasets.first_pairs(own, F.md5(listed), T.compact(F.concat(F.lit("Item: "), "target_title")), category=category, split="train", position="user_id", last=5)
+    return rows.withColumn("history_item_ids", F.array_join(F.transform("history_item_ids", lambda x: x.cast("string")), ","))
+
+
+@query("SELECT doc_id, lang, (SELECT count(DISTINCT lang || '-' || (doc_id % 7)) FROM documents WHERE doc_id % 2 = 0) AS first_asked, (SELECT count(DISTINCT lang || '-' || (doc_id % 7)) FROM documents) - (SELECT count(DISTINCT lang || '-' || (doc_id % 7)) FROM documents WHERE doc_id % 2 = 0) AS then_asked, length(lang || '-' || (doc_id % 7)) * 2 AS value FROM documents WHERE lang IS NOT NULL")
+def lasting_memo(spark, d):
+    """Two runs over a store: the first asks for the keys of even documents, the second only for the rest."""
+    docs = table(spark, d, "documents").filter("lang is not null").select("doc_id", "lang", F.concat_ws("-", "lang", (F.col("doc_id") % 7).cast("string")).alias("key"))
+    store = Memo(spark, scratch(spark, "memo"), "key", "value long")
+    compute = lambda rows: rows.select("key", (F.length("key") * 2).cast("long").alias("value"))
+    store.values(docs.filter("doc_id % 2 = 0"), compute)
+    first = store.read().count()
+    out = store.values(docs, compute)
+    then = store.read().count() - first
+    return out.select("doc_id", "lang", F.lit(first).cast("long").alias("first_asked"), F.lit(then).cast("long").alias("then_asked"), "value")
+
+
+@query("SELECT doc_id, md5(text) AS made FROM documents")
+def resumed_stage(spark, d):
+    """A stage over files that fails after the first ones and is run again: every row comes once."""
+    source, out, docs = scratch(spark, "tasks"), scratch(spark, "done"), table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(4, "doc_id").write.json(source)
+    runs = []
+
+    def made(batch):
+        runs.append(1)
+        if len(runs) == 3:
+            raise RuntimeError("stopped on purpose")
+        return batch.select("doc_id", F.md5("text").alias("made"))
+
+    try:
+        resumable.run_stage(spark, source, "doc_id long, text string", made, out)
+    except Exception as e:  # noqa: BLE001  (the stop comes wrapped)
+        if "stopped on purpose" not in str(e):
+            raise
+    resumable.run_stage(spark, source, "doc_id long, text string", made, out)
+    return resumable.stage_rows(spark, out).select("doc_id", "made")
 
 
 _CHAT = f"""u AS (SELECT conv_id, CASE WHEN conv_id % 6 <> 0 THEN CAST(conv_id AS VARCHAR) END AS example_id, conv_id % 5 AS user_id, conv_id AS interaction_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS said FROM conversations GROUP BY conv_id),

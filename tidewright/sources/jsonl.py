@@ -1,7 +1,7 @@
 """JSON-lines sources: strict and tolerant scans in file order, splits, categories, lookups.
 
-Every scan can carry the physical line number of each row. It is worked out without a global sort:
-lines are numbered inside their file block (a task's own input), blocks by a sum over blocks.
+Every scan can carry the physical line number of each row. It is worked out without a sort or a shuffle
+of lines: they are numbered inside their file block (a task's own input), blocks by a sum over blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidewright.functions.text import blank, compact, first_truthy, strip
 from tidewright.operators.core import first_wins, last_wins
+from tidewright.sources.tables import written
 
 SPLITS = ("train", "valid", "test")
 _BAD = "_corrupt_record"
@@ -26,15 +27,17 @@ def _schema(schema: T.StructType | str) -> T.StructType:
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """value, file and line_no (from 1, blank lines counted) of every physical line."""
-    raw = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid")
-    )
-    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    """value, file and line_no (from 1, blank lines counted) of every physical line; lines aren't shuffled.
+
+    A first scan counts the lines of each file block and finds where the block begins in its task; the
+    second numbers lines where they are read. The table between them has one row a block and is
+    written, so Catalyst knows its size and broadcasts it only where it is small.
+    """
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("mid"))
-    return raw.withColumn("place", place).join(starts, ["file", "block"]).select("value", "file", (F.col("base") + F.col("place")).alias("line_no"))
+    starts = written(blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("base")), "blocks")
+    return raw.join(starts, ["file", "block"]).select("value", "file", (F.col("base") + F.col("mid")).alias("line_no"))
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, *, limit: int = 0, position: str | None = None) -> DataFrame:

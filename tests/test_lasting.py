@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,25 @@ def test_conversations_fall_back_to_the_rows_own_answer(spark):
     got = {r.example_id: r.messages[2].content for r in out.collect()}
     form = lambda t, a: f"<think>\n{t}\n</think>\n<answer>\n{a}\n</answer>"
     assert got == {1: form("t", "a"), 2: form("plain", "plain"), 3: form("", "given"), 4: form("", text.DEFAULT_ANSWER)}
+
+
+def test_vectors_come_in_batches(spark):
+    def model():
+        return lambda texts: np.array([[len(t), t.count("a"), 0.5] for t in texts])
+
+    rows = spark.createDataFrame([(i, None if i == 3 else "ba" * i) for i in range(10)], "i long, t string").coalesce(2)
+    got = {r.i: r.v for r in providers.embed(rows, model, "t", "v", batch=3).collect()}
+    assert got == {i: [0.0, 0.0, 0.5] if i == 3 else [2.0 * i, float(i), 0.5] for i in range(10)}
+
+
+def test_pairs_as_examples_carry_their_texts(spark):
+    rows = spark.createDataFrame([(7, "u", None, "q1", "p1", "Books"), (9, None, 4, "q2", "p2", None), (8, "w", None, "q3", None, "Books")], "k long, user_id string, interaction_id long, query string, positive string, category string")
+    got = {r.user_history: (r.example_id, r.target_item_text, r.target_rating, r.dataset) for r in datasets.pair_examples(rows, dataset="d", position="k").collect()}
+    assert got == {"q1": ("Books:train:0:u", "p1", 0.0, "d"), "q2": ("CDs_and_Vinyl:train:4:", "p2", 0.0, "d"), "q3": ("Books:train:1:w", "", 0.0, "d")}
+
+
+def test_rewards_by_name(spark):
+    row = spark.createDataFrame([(0.9, 0.1, 0.4)], "q double, b double, n double")
+    c = F.col
+    made = providers.REWARDS["gated_ndcg"](c("q"), c("b"), c("n"), F.lit(1), F.lit("t")), providers.REWARDS["gated_lexical"](c("q"), F.lit(None).cast("double"), c("b"), c("n"), F.lit(""))
+    assert [round(x, 6) for x in row.select(*made).first()] == [0.27, -0.05]

@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.functions import rewards
 from tidewright.functions import rubric as R
 from tidewright.functions.convert import above_zero
 from tidewright.functions.text import first_truthy, strip
@@ -85,6 +88,28 @@ def provide(df: DataFrame, factory: Factory, inputs: list[str], output: str, kin
     return (df.repartition(slots) if rate > 0 else df).mapInPandas(run, schema)
 
 
+def embed(df: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarray]], text: str, output: str, *, batch: int = 64) -> DataFrame:
+    """Adds the vectors (array<float>) of a column of texts, null ones as empty.
+
+    The model is made once for each task and called with lists of texts; its matrix goes to Spark as one
+    Arrow column, without a Python object for each number.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = factory()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                part = whole.slice(lo, batch)
+                found = np.ascontiguousarray(call([x or "" for x in part.column(text).to_pylist()]), np.float32)
+                if len(found) != part.num_rows:
+                    raise ValueError(f"{len(found)} vectors for {part.num_rows} texts")
+                at = np.arange(part.num_rows + 1, dtype=np.int32) * found.shape[1]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, found.reshape(-1))], [*part.schema.names, output])
+
+    return df.mapInArrow(run, schema)
+
+
 def provide_once(df: DataFrame, factory: Factory, inputs: list[str], output: str, kind: str, **how) -> DataFrame:
     """As provide, but equal inputs are asked about once and share the answer; nulls equal nulls."""
     asked = provide(df.select(*inputs).distinct(), factory, inputs, output, kind, **how)
@@ -180,4 +205,6 @@ def weighted(parts: dict[str, tuple[Column, float]]) -> Column:
 
 
 #: Rewards by name: column expressions, applied to batches of an outside trainer or to whole tables.
-REWARDS: dict[str, Callable[..., Column]] = {"format": format_reward, "gated_gain": gated_gain, "total": weighted}
+REWARDS: dict[str, Callable[..., Column]] = {
+    "format": format_reward, "gated_gain": gated_gain, "total": weighted, "quality": rewards.quality, "gated_ndcg": rewards.ndcg_reward, "gated_dense": rewards.dense_reward, "gated_lexical": rewards.lexical_reward,
+}

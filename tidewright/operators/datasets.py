@@ -135,6 +135,30 @@ def first_pairs(rows: DataFrame, query: Column, positive: Column, *, category: C
     )
 
 
+def pair_examples(pairs: DataFrame, *, dataset: str, position: str) -> DataFrame:
+    """Pairs of the first phase as examples: a key of category, split, interaction and user, the texts as they are.
+
+    Missing categories and splits have the defaults, a missing interaction_id is the row's place by `position`.
+    """
+    have = set(pairs.columns)
+    of = lambda c, other: F.coalesce(F.col(c), other) if c in have else other
+    own = order.running(pairs, [F.col(position)]).withColumns({
+        "category": of("category", F.lit("CDs_and_Vinyl")), "split": of("split", F.lit("train")), "interaction_id": of("interaction_id", F.col("before")), "user_id": of("user_id", F.lit("").cast(pairs.schema["user_id"].dataType) if "user_id" in have else F.lit("")),
+    })
+    text = lambda c: of(c, F.lit("")).alias
+    return own.select(
+        composite_key(*map(F.col, ("category", "split", "interaction_id", "user_id"))).alias("example_id"), F.lit(dataset).alias("dataset"), "category", "split", "user_id", "interaction_id", of("target_item_id", F.lit(None).cast("long")).alias("target_item_id"),
+        text("target_item_title")("target_item_title"), text("positive")("target_item_text"), of("target_rating", F.lit(0.0)).alias("target_rating"), of("history_item_count", F.lit(0)).alias("history_item_count"), text("query")("user_history"),
+    )
+
+
+def stage_counts(rows: DataFrame, kept: Column, *groups: str, **more: Column) -> DataFrame:
+    """What a stage reports of its input: source_rows, written and skipped (a null condition skips), and counts of other conditions."""
+    sure = F.coalesce(kept, F.lit(False))
+    counts = [F.count("*").alias("source_rows"), F.count_if(sure).alias("written"), F.count_if(~sure).alias("skipped"), *[F.count_if(c).alias(n) for n, c in more.items()]]
+    return rows.groupBy(*groups).agg(*counts) if groups else rows.agg(*counts)
+
+
 def row_history(rows: DataFrame) -> Column:
     """The normalised history of a row: user_history, else source_prompt, else its first user message."""
     own = [F.col(c) for c in ("user_history", "source_prompt") if c in rows.columns]

@@ -55,7 +55,7 @@ def catalogue_files(spark, d):
     k = F.col("item_id").cast("long") % 4
     rows = rows.withColumns({"summary": F.when(k == 0, F.lit(None).cast("string")).otherwise(F.col("summary")), "description_summary": F.when(k > 1, "late").otherwise(F.col("description_summary"))})
     bad = spark.createDataFrame([("x1", 0, "bad", "bad", "")], rows.schema)
-    rows.unionByName(bad).orderBy("v", "item_id").coalesce(1).drop("v").write.json(at)
+    rows.unionByName(bad).orderBy("v", "item_id").drop("v").write.json(at)
     read = jsonl.read_jsonl(spark, at, "item_id string, title string, summary string, description_summary string", position="line_no")
     found = jsonl.item_map(read).select("item_id", "title")
     return found.join(jsonl.summary_map(read), "item_id", "left").select("item_id", "title", "summary")
@@ -109,7 +109,7 @@ def checkpoint_files(spark, d):
     done = docs.select("key", F.lit(0).alias("idx"), F.lit(1).alias("at")).unionByName(docs.filter("id % 5 = 0").select("key", F.lit(0).alias("idx"), F.lit(2).alias("at")))
     order = docs.filter("id % 2 = 0").select("key", (-F.col("id")).alias("pos"))
     rows = sinks.checkpoint_rows(done, order, key="key", index="idx", position="pos", written="at")
-    rows.coalesce(1).write.json(path)
+    rows.write.json(path)
     return jsonl.read_jsonl(spark, path, "key string", position="line").select("key", F.col("line").cast("long").alias("line"))
 
 
@@ -120,11 +120,7 @@ def ordered_files(spark, d):
     made, order = docs.filter("doc_id % 3 <> 0"), docs.withColumn("pos", -F.col("doc_id"))
     sinks.write_ordered(made, order, path, key="doc_id", position="pos")
     lost = sinks.missing(order, made, "doc_id")
-    rows = jsonl.numbered_lines(spark, path).select("file", "line_no", F.from_json("value", "doc_id long").alias("r"))
-    # Lines are numbered by file; files are in order by name, and few.
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy(F.col("a.file").alias("file")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return rows.join(before, "file").select("r.doc_id", (F.col("before") + F.col("line_no")).alias("line"), F.lit(lost).cast("long").alias("missing"))
+    return jsonl.read_jsonl(spark, path, "doc_id long", position="line").select("doc_id", "line", F.lit(lost).cast("long").alias("missing"))
 
 
 @query("SELECT lang AS source, count(*) AS n, FALSE AS again FROM documents GROUP BY lang")
@@ -145,7 +141,7 @@ def reasoning_files(spark, d):
     late = labels.filter("cast(example_id as long) % 3 = 0").withColumn("reasoning", F.lit("late"))
     blank = labels.withColumn("reasoning", F.lit(" ")).unionByName(labels.withColumn("example_id", F.lit("")))
     rows = labels.withColumn("v", F.lit(0)).unionByName(late.withColumn("v", F.lit(1))).unionByName(blank.withColumn("v", F.lit(2)))
-    rows.orderBy("v").coalesce(1).drop("v").write.json(path)
+    rows.orderBy("v").drop("v").write.json(path)
     read = jsonl.read_jsonl(spark, path, "example_id string, reasoning string", position="line_no")
     return jsonl.reasoning_map(read).select(F.col("example_id").cast("long").alias("doc_id"), "reasoning")
 

@@ -11,6 +11,7 @@ from tidewright.functions.rubric import ndcg
 from tidewright.operators import core, datasets, ranking, selection
 from tidewright.plans import adapters as A
 from tidewright.plans.registry import compact, query, quoted, strip
+from tidewright.sources import jsonl
 from tidewright.sources.memo import Memo
 from tidewright.sources.tables import scratch, table
 from tidewright.streaming import resumable
@@ -351,7 +352,27 @@ def reasoning_lookup(spark, d):
 def pairs_to_examples(spark, d):
     """Training pairs as examples: keys from parts, missing interactions numbered by place."""
     k = F.col("conv_id")
-    own = table(spark, d, "conversations").select("conv_id").distinct().withColumn("item_id", k)
-    own = ranking.numbered(own, "item_id", "place").select(F.when(k % 2 != 0, "Books").alias("category"), F.when(k % 3 != 0, k).alias("interaction_id"), F.when(k % 4 != 0, k % 5).alias("user_id"), F.concat(F.lit("p"), k).alias("positive"), "place")
-    key = datasets.composite_key(F.coalesce("category", F.lit("CDs_and_Vinyl")), F.lit("train"), F.coalesce("interaction_id", "place"), F.col("user_id"))
-    return own.select(key.alias("example_id"), F.col("positive").alias("target_item_text"))
+    own = table(spark, d, "conversations").select("conv_id").distinct()
+    own = own.select(k, F.when(k % 2 != 0, "Books").alias("category"), F.when(k % 3 != 0, k).alias("interaction_id"), F.when(k % 4 != 0, (k % 5).cast("string")).alias("user_id"), F.concat(F.lit("p"), k).alias("positive"))
+    return datasets.pair_examples(own, dataset="made", position="conv_id").select("example_id", "target_item_text")
+
+
+@query("SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part")
+def item_positions(spark, d):
+    """The place of each item by its id."""
+    return jsonl.item_index(table(spark, d, "part").select(F.col("p_partkey").alias("item_id"))).select("item_id", "position")
+
+
+@query(f"WITH {A.EXAMPLES}, g AS (SELECT user_id, count(*) AS m FROM hist GROUP BY 1), x AS (SELECT user_id, rating, coalesce(m, 0) AS m FROM (SELECT user_id, rating FROM inter WHERE pos = n) LEFT JOIN g USING (user_id)) SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, count(*) AS source_rows, count(*) FILTER (m >= 3 AND rating >= 2) AS written, count(*) FILTER (NOT (m >= 3 AND rating >= 2)) AS skipped, count(*) FILTER (m < 3) AS short FROM x GROUP BY 1")
+def example_statistics(spark, d):
+    """What the making of examples reports: rows read, written and skipped by category, and histories that are too short."""
+    own = A.examples(spark, d).withColumn("category", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    enough = (F.size("history_title") >= 3) & (F.col("target_rating") >= 2)
+    return datasets.stage_counts(own, enough, "category", short=F.size("history_title") < 3)
+
+
+@query(f"WITH {A.SCORED}, r AS (SELECT example_id, count(*) AS n, count(*) FILTER (rubric >= 15 AND gain >= 0.01) AS ok FROM scored GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS source_rows, CAST(sum(CASE WHEN ok = 0 THEN 1 ELSE least(ok, 2) END) AS BIGINT) AS written, CAST(sum(n) - sum(CASE WHEN ok = 0 THEN 1 ELSE least(ok, 2) END) AS BIGINT) AS skipped, count(*) FILTER (ok = 0) AS fallback FROM r")
+def selection_statistics(spark, d):
+    """What a selection reports: candidates read, selected and left, and examples whose best failing one was taken."""
+    own = selection.top_k(A.scored(spark, d), "example_id", 2, 15, 0.01, "doc_id", True)
+    return datasets.stage_counts(own, F.col("selected"), fallback=F.col("fallback_selected"))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidewright.functions.text import blank, compact, first_truthy, strip
 from tidewright.operators.core import first_wins, last_wins
+from tidewright.operators.order import running
 from tidewright.sources.tables import written
 
 SPLITS = ("train", "valid", "test")
@@ -27,7 +28,9 @@ def _schema(schema: T.StructType | str) -> T.StructType:
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """value, file and line_no (from 1, blank lines counted) of every physical line; lines aren't shuffled.
+    """value, file, line_no (from 1 in each file, blank lines counted) and place (from 1 over all files, by name) of every physical line.
+
+    Lines aren't shuffled.
 
     A first scan counts the lines of each file block and finds where the block begins in its task; the
     second numbers lines where they are read. The table between them has one row a block and is
@@ -35,15 +38,16 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
     blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("base")), "blocks")
-    return raw.join(starts, ["file", "block"]).select("value", "file", (F.col("base") + F.col("mid")).alias("line_no"))
+    sums = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first") + 1
+    starts = written(blocks.select("file", "block", sums(Window.partitionBy("file").orderBy("block")).alias("base"), sums(Window.orderBy("file", "block")).alias("all")), "blocks")
+    return raw.join(starts, ["file", "block"]).select("value", "file", (F.col("base") + F.col("mid")).alias("line_no"), (F.col("all") + F.col("mid")).alias("place"))
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, *, limit: int = 0, position: str | None = None) -> DataFrame:
     """Strict scan: blank lines are skipped, a malformed line fails the query.
 
-    limit counts physical lines of each file, blank ones included; position names a column for them.
+    limit counts physical lines of each file, blank ones included; position names a column for the place
+    of a line over all files by name (in one file, its line number).
     """
     own = _schema(schema)
     if not limit and position is None:
@@ -53,7 +57,7 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
         if limit:
             rows = rows.filter(F.col("line_no") <= limit)
     parsed = rows.filter(strip(F.col("value")) != "").withColumn("_row", F.from_json("value", own, {"mode": "FAILFAST"}))
-    return parsed.select("_row.*", *([F.col("line_no").alias(position)] if position else []))
+    return parsed.select("_row.*", *([F.col("place").alias(position)] if position else []))
 
 
 def read_jsonl_tolerant(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, *, required: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +121,9 @@ def summary_map(rows: DataFrame, *, key: str = "item_id", position: str = "line_
     return last_wins(own.filter(F.col(key).isNotNull() & (F.col("summary") != "")), [key], position).drop(position)
 
 
-def item_index(items: DataFrame, *, key: str = "item_id", buckets: int = 4096) -> DataFrame:
-    """Items with their dense position by ascending id (from 0), without sorting all in one task."""
-    own = items.withColumn("_bucket", F.expr(f"{key} div {buckets}"))
-    sizes = own.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    return own.withColumn("_place", place).join(before, "_bucket").withColumn("position", F.col("_base") + F.col("_place")).drop("_bucket", "_base", "_place")
+def item_index(items: DataFrame, *, key: str = "item_id") -> DataFrame:
+    """Items with their dense position by ascending id (from 0): places come from ranges of ids, not from one task's sort."""
+    return running(items, [F.col(key)]).withColumnRenamed("before", "position")
 
 
 def example_key(*names: str) -> Column:

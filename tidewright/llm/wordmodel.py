@@ -8,7 +8,8 @@ collected or broadcast but its discounts, totals and vocabulary size, so it grow
 The log-probability of a word is a sum over the n-grams that end at it and the contexts before it:
 what an n-gram adds to its suffix, and each context's left-over weight. So each n-gram has one value,
 and a document's log-probability is the sum of the values of its n-grams: documents are cut into
-packed lists of (n-gram, row), dealt by hash to the model's shards, joined there and summed by row.
+packed lists of distinct n-grams with their rows, dealt by hash to the model's shards, joined there and
+summed by row. A bitmap of the model's n-grams, of bounded size, leaves most others out before.
 
 N-grams are 64-bit hashes.
 """
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.bitmap import among, bitmap
 from tidewright.llm.spark_io import dropped, kept
 from tidewright.llm.text import ALNUM, fold, slices, words
 
@@ -36,8 +38,8 @@ PLACES = 1 << 18
 #: Hashes that stand for an edge and for the end of a text.
 EDGE, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MODEL, _REQUEST, _HEAD = 0, 1, 2
-_PACKED = "shard int, kind int, keys binary, data binary, base long, ids array<long>, langs array<string>, n array<long>"
-_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("base", pa.int64()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+_PACKED = "shard int, kind int, keys binary, many binary, data binary, base long, ids array<long>, langs array<string>, n array<long>"
+_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("many", pa.binary()), ("data", pa.binary()), ("base", pa.int64()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
 
 def padded(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,8 +155,8 @@ def fit(trusted: DataFrame, *, text_col: str = "text", order: int = ORDER) -> tu
     return table, unknown, table.count()
 
 
-def _row(shard: int, kind: int, keys: bytes | None = None, data: bytes | None = None, base: int | None = None, ids=None, langs=None, n=None) -> dict:
-    return {"shard": shard, "kind": kind, "keys": keys, "data": data, "base": base, "ids": ids, "langs": langs, "n": n}
+def _row(shard: int, kind: int, keys: bytes | None = None, data: bytes | None = None, base: int | None = None, ids=None, langs=None, n=None, many: bytes | None = None) -> dict:
+    return {"shard": shard, "kind": kind, "keys": keys, "many": many, "data": data, "base": base, "ids": ids, "langs": langs, "n": n}
 
 
 def _by_shard(keys: np.ndarray, data: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -176,7 +178,16 @@ def _pack(bits: int) -> callable:
     return run
 
 
-def _requests(bits: int, order: int) -> callable:
+def _asked(keys: np.ndarray, rows: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By shard: distinct keys, how many rows each has, and these rows (a number inside the slice, once for each occurrence)."""
+    for shard, k, r in _by_shard(keys, rows.astype(np.uint16), bits):
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        yield shard, k[first], np.diff(np.append(first, len(k))).astype(np.uint32), r
+
+
+def _requests(bits: int, order: int, shared) -> callable:
+    """The documents' n-grams that the model may know (by its bitmap): others add nothing to a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -185,8 +196,10 @@ def _requests(bits: int, order: int) -> callable:
                 yield pa.RecordBatch.from_pylist([_row((base >> 40) % (1 << bits), _HEAD, base=base, ids=part.column("doc_id").to_pylist(), langs=part.column("lang").to_pylist(), n=n.tolist())], _SCHEMA)
                 for k in range(1, order + 1):
                     for at in _pieces(places(row, order, k)):
-                        asked = _by_shard(keys(h, at, k), row[at].astype(np.uint32), bits)
-                        yield pa.RecordBatch.from_pylist([_row(s, _REQUEST, x.tobytes(), r.tobytes(), base) for s, x, r in asked], _SCHEMA)
+                        own = keys(h, at, k)
+                        known = among(shared.value, pa.array(own.view(np.int64))).to_numpy(zero_copy_only=False)
+                        asked = _asked(own[known], row[at[known]], bits)
+                        yield pa.RecordBatch.from_pylist([_row(s, _REQUEST, x.tobytes(), r.tobytes(), base, many=m.tobytes()) for s, x, m, r in asked], _SCHEMA)
                 base += len(n)
 
     return run
@@ -212,14 +225,15 @@ def _joined(unknown: float) -> callable:
                     n = np.array(r["n"], np.int64)
                     columns = [pa.array(r["base"] + np.arange(len(n))), pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), pa.array(n), pa.array((n + 1) * unknown)]
                 else:
-                    keys, rows = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["data"], np.uint32)
+                    keys, many, rows = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["many"], np.uint32), np.frombuffer(r["data"], np.uint16)
                     if not len(known):
                         continue
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     hit = known[at] == keys
                     if not hit.any():
                         continue
-                    sums, some = np.bincount(rows[hit], value[at[hit]]), np.unique(rows[hit])
+                    whose = rows[np.repeat(hit, many)]
+                    sums, some = np.bincount(whose, np.repeat(value[at[hit]], many[hit])), np.unique(whose)
                     m = len(some)
                     columns = [pa.array(r["base"] + some.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(sums[some])]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -230,8 +244,9 @@ def _joined(unknown: float) -> callable:
 def score(docs: DataFrame, model: tuple[DataFrame, float, int], *, order: int = ORDER) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, lang, n_symbols (words), perplexity (null without words)."""
     table, unknown, size = model
-    bits = max(5, int(np.ceil(np.log2(max(size, 1) / SHARD))))
-    asked = docs.select("doc_id", "text", "lang").mapInArrow(_requests(bits, order), _PACKED)
+    bits = max(6, int(np.ceil(np.log2(max(size, 1) / SHARD))))
+    shared = table.sparkSession.sparkContext.broadcast(bitmap(table, "key", size))
+    asked = docs.select("doc_id", "text", "lang").mapInArrow(_requests(bits, order, shared), _PACKED)
     both = table.select("key", "value").mapInArrow(_pack(bits), _PACKED).unionByName(asked)
     parts = both.repartition(1 << bits, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_joined(unknown), "row long, doc_id long, lang string, n long, logp double")
     rows = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.max("n").alias("n_symbols"), F.sum("logp").alias("logp"))

@@ -1,14 +1,16 @@
-"""Wall-clock seconds of the headline queries; one JSON line."""
+"""Wall-clock seconds of the headline queries; one JSON line. Short queries run three times, and their median counts."""
 
 import importlib.util
 import json
 import os
 import time
+from statistics import median
 
 from pyspark.sql import SparkSession
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-NAMES = ["flagship_ranking_eval", "lexical_ranks", "gain_ndcg", "rule_score", "select_topk_per_group", "dense_topk", "lexical_cosine_pairs", "history_text", "events_sessions"]
+NAMES = ["flagship_ranking_eval", "lexical_ranks", "gain_ndcg", "rule_score", "select_topk_per_group", "dense_topk", "lexical_cosine_pairs", "history_text", "events_sessions", "dense_gain", "text_rewards", "ranked_rewards", "cohort_metrics"]
+SHORT_S = 10
 
 
 def main() -> None:
@@ -21,9 +23,12 @@ def main() -> None:
     queries = entry.queries()
     took = {}
     for name in NAMES + [q for q in queries if q.startswith("op") or q == "pipeline"]:
-        began = time.time()
-        queries[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - began, 3)
+        runs = []
+        while not runs or (name in NAMES and len(runs) < 3 and runs[0] < SHORT_S):
+            began = time.time()
+            queries[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - began)
+        took[name] = round(median(runs), 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(FOLDER.rstrip("/"))}))
 
 

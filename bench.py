@@ -9,7 +9,7 @@ from statistics import median
 from pyspark.sql import SparkSession
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-NAMES = ["flagship_ranking_eval", "lexical_ranks", "gain_ndcg", "rule_score", "select_topk_per_group", "dense_topk", "lexical_cosine_pairs", "history_text", "events_sessions", "dense_gain", "text_rewards", "ranked_rewards", "cohort_metrics"]
+NAMES = ["flagship_ranking_eval", "lexical_ranks", "gain_ndcg", "rule_score", "select_topk_per_group", "dense_topk", "lexical_cosine_pairs", "history_text", "events_sessions", "dense_gain", "text_rewards"]
 SHORT_S = 10
 
 

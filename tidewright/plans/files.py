@@ -13,6 +13,7 @@ from tidewright.operators.stages import stage_enabled
 from tidewright.plans import adapters as A
 from tidewright.plans.registry import compact, query, strip
 from tidewright.sources import jsonl, movies, sinks
+from tidewright.sources.objects import member, write_objects
 from tidewright.sources.tables import scratch, table
 
 _DOC = "doc_id long, lang string, text string"
@@ -154,32 +155,28 @@ _OPEN = "'" + movies.PREAMBLE.replace("'", "''") + "'"
 SELECT CAST(user_id AS VARCHAR) AS user_id, 'u' || user_id AS internal_user_id, 'r' || item_id AS target_item_raw_id, rating AS target_rating, CAST(m AS INTEGER) AS history_item_count, md5({compact(f"CASE WHEN user_id % 2 = 0 THEN 'Given  user ' || user_id || ', ' || {_MARK} ELSE {_OPEN} END || ' ' || listed || '.'")}) AS user_history,
 concat_ws(' ', CASE WHEN item_id % 6 = 0 THEN 'item-' || item_id ELSE p_name || ' (1999)' END, CASE WHEN item_id % 4 <> 0 THEN 'known ' || p_brand END) AS target_item_text FROM t JOIN inter i USING (user_id) JOIN h USING (user_id) JOIN part ON p_partkey = item_id WHERE i.pos = goal AND user_id % 5 <> 4""")
 def movie_files(spark, d):
-    """A movie folder of five files made from the orders (each file is one JSON object), and its examples."""
+    """A movie folder made from the orders (every file is one JSON object, written by tasks and read by blocks), and its examples."""
     root = scratch(spark, "movies")
     own, part = A.interactions(spark, d), table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), "p_name", "p_brand")
     users = own.select(F.col("user_id").cast("string").alias("u")).distinct()
     number = F.col("u").cast("long")
 
     def put(rows, key, value, name: str):
-        """The pairs as one JSON object, which is one row whatever its size."""
-        rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("value")).write.text(f"{root}/{name}")
+        write_objects(rows.select(member(key, value).alias("member")), f"{root}/{name}")
 
-    no = F.lit(None).cast("struct<k:string,v:string>")
-    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
     u, k = F.col("u"), F.col("k")
-    maps = users.select(pair(u, F.concat(F.lit("u"), u)).alias("user"), no.alias("title"), no.alias("raw")).unionByName(
-        part.select(no.alias("user"), F.when(k.cast("long") % 6 != 0, pair(k, F.concat("p_name", F.lit(" (1999)")))).alias("title"), pair(k, F.concat(F.lit("r"), k)).alias("raw"))
-    )
-    listed = lambda c: F.map_from_entries(F.collect_list(c))
-    maps.agg(listed("user").alias("user2id"), listed("title").alias("itemid2title"), listed("raw").alias("id2item")).select(F.to_json(F.struct("user2id", "itemid2title", "id2item")).alias("value")).coalesce(1).write.text(f"{root}/proc_data/datamaps.json")
+    maps = users.select(F.lit("user2id").alias("parent"), member(u, F.concat(F.lit("u"), u)).alias("member"))
+    maps = maps.unionByName(part.filter("cast(k as long) % 6 <> 0").select(F.lit("itemid2title").alias("parent"), member(k, F.concat("p_name", F.lit(" (1999)"))).alias("member")))
+    maps = maps.unionByName(part.select(F.lit("id2item").alias("parent"), member(k, F.concat(F.lit("r"), k)).alias("member")))
+    write_objects(maps, f"{root}/proc_data/datamaps.json", nested=True)
     prompt = F.when(number % 2 == 0, F.concat(F.lit("Given  user "), "u", F.lit(", "), F.lit(movies.MARKER), F.lit(" old list."))).otherwise("no marker")
     put(users, u, F.struct(prompt.alias("prompt"), F.lit("a").alias("ans")), "knowledge/user.klg")
     put(part.filter("cast(k as long) % 4 <> 0"), F.concat(F.lit("r"), k), F.struct(F.concat(F.lit("known "), "p_brand").alias("ans")), "knowledge/item.klg")
     rows = F.array_sort(F.collect_list(F.struct("pos", F.col("item_id").cast("string").alias("i"), F.col("rating").cast("string").alias("r"))))
     sequence = own.groupBy("user_id").agg(rows.alias("s")).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("k"), F.array(F.transform("s", lambda x: x["i"]), F.transform("s", lambda x: x["r"])).alias("v"))
     put(sequence, F.col("k"), F.col("v"), "proc_data/sequential_data.json")
-    split = users.groupBy(F.when(number % 5 == 4, "test").otherwise("train").alias("s")).agg(F.collect_list("u").alias("ids"))
-    put(split, F.col("s"), F.col("ids"), "proc_data/train_test_split.json")
+    split = users.select(F.when(number % 5 == 4, "test").otherwise("train").alias("parent"), F.to_json(F.array("u")).alias("member"))
+    write_objects(split.withColumn("member", F.expr("substr(member, 2, length(member) - 2)")), f"{root}/proc_data/train_test_split.json", nested=True, arrays=True)
     made = movies.movie_examples(movies.read_movies(spark, root), split="train")
     return made.select("user_id", "internal_user_id", "target_item_raw_id", "target_rating", "history_item_count", F.md5("user_history").alias("user_history"), "target_item_text")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import compact, strip
+from tidewright.operators.core import last_wins
+from tidewright.sources.objects import json_members
 
 #: The sentence that ends a prompt's preamble, and the preamble of prompts without it.
 MARKER = "this user's movie viewing history over time is listed below."
@@ -13,17 +15,15 @@ PREAMBLE = "This user's movie viewing history over time is listed below."
 
 
 def _map_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """key, value of a file that is one JSON object."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{kind}>", {"mode": "FAILFAST"}).alias("m"))
-    return parsed.select(F.explode("m").alias("key", "value"))
+    """key, value of a file (or a folder of files) that is one JSON object; of a key that stands twice the last."""
+    return last_wins(json_members(spark, path, kind), ["key"], "place").drop("place")
 
 
 def read_movies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """users, items, user_ids, titles, raw_ids, sequences and splits."""
-    maps = spark.read.text(f"{root}/proc_data/datamaps.json", wholetext=True).select(
-        F.from_json("value", "struct<user2id:map<string,string>,itemid2title:map<string,string>,id2item:map<string,string>>", {"mode": "FAILFAST"}).alias("m")
-    )
-    pairs = lambda name, key, value: maps.select(F.explode(f"m.{name}").alias(key, value))
+    """users, items, user_ids, titles, raw_ids, sequences and splits; each file is read by its blocks."""
+    maps = ["user2id", "itemid2title", "id2item"]
+    members = last_wins(json_members(spark, f"{root}/proc_data/datamaps.json", "string", nested=True, parents=maps), ["parent", "key"], "place")
+    pairs = lambda name, key, value: members.filter(F.col("parent") == name).select(F.col("key").alias(key), F.col("value").alias(value))
     said = lambda name, key: _map_file(spark, f"{root}/knowledge/{name}.klg", "struct<prompt:string,ans:string>").select(F.col("key").alias(key), F.coalesce("value.prompt", F.lit("")).alias("prompt"), F.coalesce("value.ans", F.lit("")).alias("ans"))
     return {
         "users": said("user", "user_id"),
@@ -34,7 +34,7 @@ def read_movies(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "sequences": _map_file(spark, f"{root}/proc_data/sequential_data.json", "array<array<string>>").select(
             F.col("key").alias("internal_id"), F.col("value")[0].alias("items"), F.transform(F.col("value")[1], lambda r: r.cast("int")).alias("ratings")
         ),
-        "splits": _map_file(spark, f"{root}/proc_data/train_test_split.json", "array<string>").select(F.col("key").alias("split"), F.explode("value").alias("user_id")),
+        "splits": json_members(spark, f"{root}/proc_data/train_test_split.json", "string", nested=True, arrays=True).select(F.col("parent").alias("split"), F.col("value").alias("user_id")),
     }
 
 

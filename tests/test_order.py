@@ -62,3 +62,21 @@ def test_statistics_of_nothing(spark):
     none = spark.createDataFrame([], "v double")
     assert tuple(selection.numeric_stats(none, "v").first()) == (0, *[None] * 7)
     assert selection.summary(none, "v").first().median is None and selection.rank_stats(none, "v").first().p50 is None
+
+
+def test_places_within_groups(spark):
+    """Half of the rows are one group, which lies in several ranges."""
+    rows = [("hot", (i * 7919) % 1009, f"x{i}") for i in range(1009)] + [(None if i % 50 == 0 else f"g{i % 97}", i * 31 % 997, f"y{i}") for i in range(997)]
+    table = spark.createDataFrame(rows, "g string, k int, own string").repartition(5)
+    # Without merging small ranges, as at sizes where ranges are large.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.own: r.place for r in order.places_within(table, "g", [F.col("k")], "place").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in {r[0] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1):
+            want[r[2]] = place
+    assert got == want
+    assert order.places_within(table.limit(0), "g", [F.col("k")], "place").count() == 0

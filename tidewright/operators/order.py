@@ -33,6 +33,21 @@ def running(rows: DataFrame, by: list[Column], weight: Column | None = None) ->
     return out.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_by", "_w", "_part", "_inside", "_earlier")
 
 
+def places_within(rows: DataFrame, group: str, by: list[Column], name: str) -> DataFrame:
+    """Adds name: the place (from 1) of each row among those of its group (null is one) in the order of `by`, which should tell a group's rows apart.
+
+    A large group lies in many ranges. Only the first group of a range can have begun before it, so at
+    most one row for each range is carried over and broadcast.
+    """
+    ranged = written(rows.withColumn("_by", F.struct(F.col(group).alias("g"), *[c.alias(f"k{i}") for i, c in enumerate(by)])).repartitionByRange("_by").withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at")) - F.col("_n")
+    carried = counts.withColumn("_earlier", earlier).filter("_earlier > 0").drop("_n")
+    inside = ranged.withColumn("_inside", F.row_number().over(Window.partitionBy("_part", group).orderBy("_by")))
+    out = inside.join(F.broadcast(carried), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")), "left")
+    return out.withColumn(name, F.coalesce("_earlier", F.lit(0).cast("long")) + F.col("_inside")).drop("_by", "_part", "_group", "_at", "_earlier", "_inside")
+
+
 def average_ranks(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """group, value and its average rank (from 1, ties share the mean of their ranks) for all distinct values of each group."""
     n = rows.groupBy(group, value).agg(F.count("*").alias("n"))

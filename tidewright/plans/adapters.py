@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.core import histories, last_rows
+from tidewright.operators.order import places_within
 from tidewright.sources.tables import evenly, table
 
 LAST = 20
@@ -54,8 +55,9 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
-    return log(spark, d).select("user_id", "item_id", "rating", pos.alias("pos"))
+    """user_id, item_id, rating and pos, the place in the user's log; a long log is numbered by many tasks."""
+    own = places_within(log(spark, d), "user_id", [F.col(c) for c in ORDER], "pos")
+    return own.select("user_id", "item_id", "rating", F.col("pos").cast("int").alias("pos"))
 
 
 def recent(spark: SparkSession, d: str, n: int) -> DataFrame:

@@ -231,7 +231,7 @@ def random_negatives(spark, d):
     Users whose draws hold fewer get the rest from all other unseen items by seeded hash (all, if few).
     They have seen most of the catalogue, so pairing them with it makes about as many rows as they have.
     """
-    own, cat = A.interactions(spark, d), A.items(spark, d).select("item_id")
+    own, cat = A.log(spark, d), A.items(spark, d).select("item_id")
     m = cat.count()
     ix = ranking.numbered(cat, "item_id", "i")
     users, seen = own.select("user_id").distinct(), own.select("user_id", "item_id").distinct()

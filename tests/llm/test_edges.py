@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from tidewright.llm import bpe, chat, decontaminate, jaccard, language, licenses, queries, sharding, toxicity
+from tidewright.llm import bpe, chat, decontaminate, jaccard, language, licenses, media, quality, queries, sharding, toxicity
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -148,3 +148,33 @@ def test_bpe_round_trip_is_decode_of_encode(spark):
     text = bpe.tokenizer_text(queries.TOKENIZER)
     rows = lambda df: sorted(((r.doc_id, bytes(r.ids), r.decoded) for r in df.collect()), key=repr)
     assert rows(bpe.round_trip(docs, text)) == rows(bpe.decode(bpe.encode(docs, text), text)) and rows(bpe.round_trip(docs, text))[0][2] in ("", "hello world <|endoftext|> é")
+
+
+def _operators(spark):
+    """The operators that give one row for each document row."""
+    taught = spark.createDataFrame([(i, f"das ist ein kleiner text {i}" if i % 2 else f"this is a small text {i}", "de" if i % 2 else "en") for i in range(20)], "doc_id long, text string, lang string")
+    model = language.fit(taught)
+    items = spark.createDataFrame([(1, "mit license words")], "item_id long, text string")
+    return {
+        "bpe": queries.bpe_round_trip,
+        "language": lambda docs: language.identify(docs, model),
+        "licenses": licenses.scan,
+        "media": lambda docs: media.read_media(media.to_media(docs)),
+        "decontaminate": lambda docs: decontaminate.digest(decontaminate.contamination(docs, items)),
+        "quality": lambda docs: quality.classify(docs, taught.select("doc_id")),
+    }
+
+
+def test_empty_tables_and_rows_without_an_id(spark):
+    rows = [(None, "mit license words", "en"), (None, "mit license words", "en"), (None, None, None), (3, "", "en"), (3, "one", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    for name, run in _operators(spark).items():
+        assert sorted((r.doc_id for r in run(docs).collect()), key=str) == [3, 3, None, None, None], name
+        assert run(docs.limit(0)).count() == 0, name
+
+
+def test_ids_are_whole_numbers(spark):
+    digits = spark.createDataFrame([("7", "mit license")], "doc_id string, text string")
+    assert [(r.doc_id, r.n_base) for r in licenses.scan(digits).collect()] == [(7, 1)]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        licenses.scan(digits.withColumn("doc_id", F.lit("x1"))).collect()

@@ -15,8 +15,8 @@ piece; each distinct chunk of a slice is then cut by the ByteLevel pattern. Spec
 stand in a text are taken out before, as the tokenizer file orders. Work is row by row: no shuffle,
 no group, memory bounded by a slice of rows (or one row, if that is longer).
 
-Edge cases: null is taken as empty, with no ids; repeated rows are each encoded; other columns are
-ignored.
+Edge cases: null is taken as empty, with no ids; repeated rows and rows without an id are each
+encoded; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

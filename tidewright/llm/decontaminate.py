@@ -19,8 +19,8 @@ block, come to the driver as packed arrays, one row for each partition of sums.
 
 Edge cases: null or empty text has no words, no hits and is not contaminated; items without words
 have no window; an item without an id marks words as hit but is neither counted nor listed; an empty
-benchmark hits nothing; equal items all count; repeated document rows each get a row; other columns
-are ignored.
+benchmark hits nothing; equal items all count; repeated document rows and those without an id each
+get a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ hash of their id, whole texts); `per_language` is the documented bound of the tr
 the model's size is fixed by the number of languages. Prediction is row by row without a shuffle.
 
 Edge cases: null, empty or letterless text is `und`, score 0, rejected; without training documents
-everything is `und`; ties go to the language first in alphabetical order; repeated rows are each
-predicted; other columns are ignored.
+everything is `und`; ties go to the language first in alphabetical order; repeated rows and rows
+without an id are each predicted; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ before the shuffle. A document's diagonals come sorted and are streamed, so a ta
 of them, however long the document is.
 
 Edge cases: null or empty text has no words, no labels and score 0; a one-word text has no 2-gram;
-repeated rows are kept apart by a row number given at the scan; other columns are ignored.
+repeated rows and rows without an id are kept apart by a row number given at the scan; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

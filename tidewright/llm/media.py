@@ -14,7 +14,8 @@ pixel per block) is rebuilt from the Y blocks' DC terms and hashed.
 
 Edge cases: null is taken as empty, and an empty payload is one unit of blanks; images wider than
 one MCU arise where a column would exceed 65,535 lines, filled up with blank MCUs; the number of
-payload bytes stands in a comment segment. Equal payloads give equal files. Other columns are ignored.
+payload bytes stands in a comment segment. Equal payloads give equal files. Repeated
+rows and rows without an id each get a file; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

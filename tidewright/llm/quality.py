@@ -13,7 +13,7 @@ broadcast; a bitmap of bounded size, made from their ids, first leaves most othe
 
 Edge cases: null text and text without words have no symbols, perplexity null, and is not kept; without trusted
 text the model is uniform and everything with words is kept; null languages are one language (`und`);
-repeated rows are each scored; other columns are ignored.
+repeated rows and rows without an id are each scored; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

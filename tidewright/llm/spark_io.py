@@ -60,7 +60,7 @@ def filtered(docs: DataFrame, run, text_col: str) -> DataFrame:
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two columns with fixed names, whatever else the table holds."""
+    """Two columns with fixed names, whatever else the table holds; ids are whole numbers (or their digits), any other text as an id stops the query."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

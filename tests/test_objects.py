@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators.core import last_wins
+from tidewright.sources import jsonl
 from tidewright.sources import objects as O
 
 
@@ -98,3 +99,17 @@ def test_objects_written_by_tasks(spark, tmp_path):
     assert {r.key: r.value for r in flat} == want and len(flat) == 80
     assert {(r.parent, r.key) for r in nested} == {("even" if len(k) % 2 == 0 else 'odd "]', k) for k in want} and len(nested) == 80
     assert sorted(r.value[0] for r in lists) == sorted(want)
+
+
+def test_other_blocks_than_before_fail(spark, tmp_path):
+    """Numbers and beginnings learnt of some blocks aren't used for others; the session keeps its blocks when cores come and go."""
+    (tmp_path / "a.json").write_text(json.dumps(_awkward(30)))
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(500)))
+    with _blocks(spark, 1 << 20):
+        members, lines = O.json_members(spark, str(tmp_path / "a.json"), "array<string>"), jsonl.numbered_lines(spark, str(tmp_path / "a.txt"))
+        assert spark.conf.get("spark.sql.files.minPartitionNum") is not None
+        assert members.count() == 30 and [r.line_no for r in lines.orderBy("line_no").collect()] == list(range(1, 501))
+    with _blocks(spark, 211):
+        for late in (members, lines.select("line_no"), lines.select("place")):
+            with pytest.raises(Exception, match="other blocks"):
+                late.collect()

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tidewright.functions.text import blank, compact, first_truthy, strip
 from tidewright.operators.core import first_wins, last_wins
 from tidewright.operators.order import running
-from tidewright.sources.tables import written
+from tidewright.sources.tables import fixed_splits, written
 
 SPLITS = ("train", "valid", "test")
 _BAD = "_corrupt_record"
@@ -30,17 +30,20 @@ def _schema(schema: T.StructType | str) -> T.StructType:
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """value, file, line_no (from 1 in each file, blank lines counted) and place (from 1 over all files, by name) of every physical line.
 
-    Lines aren't shuffled.
+    Lines aren't shuffled. Both scans must cut the files alike (`fixed_splits`): a line of a block that
+    the first scan didn't see fails the query.
 
     A first scan counts the lines of each file block and finds where the block begins in its task; the
     second numbers lines where they are read. The table between them has one row a block and is
     written, so Catalyst knows its size and broadcasts it only where it is small.
     """
+    fixed_splits(spark)
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
     blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
     sums = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first") + 1
     starts = written(blocks.select("file", "block", sums(Window.partitionBy("file").orderBy("block")).alias("base"), sums(Window.orderBy("file", "block")).alias("all")), "blocks")
-    return raw.join(starts, ["file", "block"]).select("value", "file", (F.col("base") + F.col("mid")).alias("line_no"), (F.col("all") + F.col("mid")).alias("place"))
+    from_block = lambda c: (F.coalesce(c, F.raise_error(F.lit("files are cut into other blocks than before")).cast("long")) + F.col("mid"))
+    return raw.join(starts, ["file", "block"], "left").select("value", "file", from_block("base").alias("line_no"), from_block("all").alias("place"))
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, *, limit: int = 0, position: str | None = None) -> DataFrame:

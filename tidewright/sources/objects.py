@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.core import last_wins
-from tidewright.sources.tables import written
+from tidewright.sources.tables import fixed_splits, written
 
 _BLOCK = "file long, block long, inside int, quotes long, delta long, cuts map<long,long>, opens map<long,long>"
 _BLOCK_SCHEMA = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("inside", pa.int32()), ("quotes", pa.int64()), ("delta", pa.int64()), ("cuts", pa.map_(pa.int64(), pa.int64())), ("opens", pa.map_(pa.int64(), pa.int64()))])
@@ -100,6 +100,8 @@ def _pieces(shared, depth: int) -> callable:
             if now is not None and key != now:
                 yield tail()
             if key != now:
+                if key[1] and key not in shared.value:
+                    raise ValueError("files are cut into other blocks than before")
                 inside, level, number, gap = shared.value[key] if key[1] else (0, 0, 0, 0)
                 now, rest, whole = key, [], key[1] == 0
             at, kind, quotes = _signs(data)
@@ -151,6 +153,7 @@ def json_members(spark: SparkSession, path: str, kind: str, *, nested: bool = Fa
     if arrays and not nested:
         raise ValueError("elements of arrays are nested members")
     depth = 2 if nested else 1
+    fixed_splits(spark)
     raw = spark.read.text(path, lineSep=",").select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     starts = written(_starts(raw, depth), "starts")
     if starts.groupBy("file").agg(F.sum("quotes").alias("q"), F.sum("delta").alias("d")).filter("q % 2 <> 0 or d <> 0").limit(1).count():

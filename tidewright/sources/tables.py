@@ -21,6 +21,16 @@ def evenly(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fixed_splits(spark: SparkSession) -> None:
+    """From now on this session cuts files alike in each scan; else Spark counts the cores anew, and executors come and go.
+
+    For what learns about file blocks in one scan and reads them again in another.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local folder only where all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -99,3 +99,21 @@ def test_empty_catalogue_and_no_queries(spark):
     q = spark.createDataFrame([(1, "a", 5)], "user long, text string, target long")
     assert [tuple(r) for r in ranking.lexical_ranks(q, items, "user", "target").collect()] == [(1, 5, 0.0, False, 1)]
     assert ranking.lexical_ranks(q.limit(0), spark.createDataFrame([(5, "a")], "item_id long, text string"), "user", "target").count() == 0
+
+
+def test_ids_are_in_no_shard_and_a_popular_target_is_many_ranges(spark):
+    rng = random.Random(5)
+    items = [(7 * i, f"w{i % 11} w{i % 3}") for i in range(20_000)]
+    ask = [(k, f"w{rng.randrange(12)} w{rng.randrange(12)}", 7 * (5 if k % 4 else rng.randrange(20_000))) for k in range(300)]
+    masked = [(k, 7 * rng.randrange(40)) for k in range(300)]
+    found = postings.catalogue(spark.createDataFrame(items, "item_id long, text string"), ids=500)
+    assert max(len(r.shard) for r in found.shards.collect()) < 20_000  # an id is eight bytes
+    q = spark.createDataFrame(ask, "user long, text string, target long")
+    queries, shards = postings._by_range(q.select(q.user.alias("key"), "target"), found)
+    dealt = [r["count"] for r in queries.groupBy("salt").count().collect()]
+    assert max(dealt) < 60 and queries.count() == 300
+    held = [len(r.range_ids) for r in shards.collect()]
+    assert sum(held) == 20_000 and max(held) < 4_000
+    got = {r.user: (r.rank_strict, r.rank_total) for r in postings.ranks(q, found, "user", "target", spark.createDataFrame(masked, "user long, item_id long"), total=True).collect()}
+    some = [r for r in ask if r[0] % 30 < 2]
+    assert {k: got[k] for k, *_ in some} == {r[0]: r[4:] for r in _plain(items, some, masked)}

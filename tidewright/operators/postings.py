@@ -1,9 +1,14 @@
 """Counting better items by packed postings: lexical ranks of whole catalogues without pair rows.
 
-The catalogue is collapsed to distinct texts with their ids (a text with very many ids becomes several
-entries) and cut by range of text into shards of about `SHARD` entries. Each shard is one packed row:
-for every token its postings, in blocks of `BLOCK` entries, with the largest score that the token can
-give within the block. Queries are rows that meet each shard once (see `shards`).
+The catalogue is collapsed to distinct texts and the numbers of their ids, and cut by range of text into
+shards of about `SHARD` entries. Each shard is one packed row: for every token its postings, in blocks of
+`BLOCK` entries, with the largest score that the token can give within the block. Queries are rows that
+meet each shard once (see `shards`).
+
+Ids are needed only for ties, and are in no shard: queries are then dealt by ranges of their targets' ids
+instead of salts, and what comes beside a shard in such a range is the ids within the range and, for each
+entry, how many lie beyond. So an id goes to one task, however often shards are repeated. Masked items
+come with their query, as entries.
 
 For a query, the sum of its tokens' largest scores bounds every score of a block. Blocks that can't
 reach the target's score are skipped; in the others the exact cosines are worked out and counted. What
@@ -30,10 +35,13 @@ from tidewright.operators import shards
 from tidewright.operators.shards import CELLS
 from tidewright.sources.tables import written
 
-#: Entries of a shard and of a block of postings, and ids of an entry.
-SHARD, BLOCK, IDS = 1 << 14, 64, 4096
+#: Entries of a shard and of a block of postings, and ids of a range, about.
+SHARD, BLOCK, IDS = 1 << 14, 64, 1 << 16
 #: Tokens of queries that are worked on at once (one query at least).
 TOKENS = 1 << 16
+#: Bits of an entry's number within its shard, where both are one number.
+_ENTRY = 32
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bounds are sums of doubles in any order: they count as reached within this share.
 SLACK = 1e-9
 
@@ -67,10 +75,7 @@ class Shard(NamedTuple):
     entry: np.ndarray
     tf: np.ndarray
     square: np.ndarray  # of an entry: |text|**2
-    ids: np.ndarray  # all ids, sorted
-    owner: np.ndarray  # the entry of each of them
-    held: np.ndarray  # ids of entry e: held[e] to held[e + 1] of `places`
-    places: np.ndarray  # entry * len(ids) + place of the id in ids, sorted
+    held: np.ndarray  # of an entry: how many ids
 
     def packed(self) -> bytes:
         return shards.pack(self._asdict())
@@ -81,7 +86,7 @@ class Shard(NamedTuple):
 
 
 def shard_of(lists: pa.Array, ids: pa.Array, block: int = BLOCK) -> Shard:
-    """A shard of entries given by their token lists and lists of item ids."""
+    """A shard of entries given by their token lists and their ids (lists, or only how many)."""
     entry, token, tf = _counted(lists)
     square = np.zeros(len(lists), np.int64)
     np.add.at(square, entry, tf * tf)
@@ -90,17 +95,37 @@ def shard_of(lists: pa.Array, ids: pa.Array, block: int = BLOCK) -> Shard:
     first = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (entry[1:] // block != entry[:-1] // block))) if len(token) else np.zeros(0, np.int64)
     share = tf / np.sqrt(square[entry])
     known, runs = np.unique(token[first], return_index=True)
-    flat, n = ids.flatten().to_numpy(), pc.list_value_length(ids).to_numpy()
-    by_id = np.argsort(flat, kind="stable")
-    owner = np.repeat(np.arange(len(lists)), n)[by_id]
+    held = (pc.list_value_length(ids) if pa.types.is_list(ids.type) else ids).to_numpy().astype(np.int64)
     return Shard(
         known, np.append(runs, len(first)), entry[first] // block, np.maximum.reduceat(share, first) if len(first) else share, np.append(first, len(token)),
-        entry.astype(np.int32), tf.astype(np.int32), square, flat[by_id], owner, np.append(0, np.cumsum(n)), np.sort(owner * len(flat) + np.arange(len(flat))),
+        entry.astype(np.int32), tf.astype(np.int32), square, held,
     )
 
 
+class Range(NamedTuple):
+    """Ids of a shard from a range of ids on."""
+
+    ids: np.ndarray  # those within the range, sorted
+    ends: np.ndarray  # of entry e: the end of its run in places
+    places: np.ndarray  # entry * len(ids) + place of the id in ids, sorted
+    beyond: np.ndarray  # of an entry: ids after the range
+
+    @staticmethod
+    def of(entry: np.ndarray, ids: np.ndarray, beyond: np.ndarray) -> Range:
+        by_id = np.argsort(ids, kind="stable")
+        owner = entry[by_id].astype(np.int64)
+        return Range(ids[by_id], np.cumsum(np.bincount(owner, minlength=len(beyond))), np.sort(owner * len(ids) + np.arange(len(ids))), beyond)
+
+    def later(self, target: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """How many ids of an entry are larger than the target of a row."""
+        return self.beyond[entry] + self.ends[entry] - np.searchsorted(self.places, entry * len(self.ids) + np.searchsorted(self.ids, target, "right")[row])
+
+    def all_later(self, target: np.ndarray) -> np.ndarray:
+        return self.beyond.sum() + len(self.ids) - np.searchsorted(self.ids, target, "right")
+
+
 class Asked(NamedTuple):
-    """Queries: their tokens (row, token, tf), |q|**2, targets, the targets' scores and masks (row, item id)."""
+    """Queries: their tokens (row, token, tf), |q|**2, targets, the targets' scores and masks (row, and twice the entry, plus one for an id after the target)."""
 
     row: np.ndarray
     token: np.ndarray
@@ -144,32 +169,26 @@ def cosines(shard: Shard, q: Asked, least: np.ndarray) -> tuple[np.ndarray, np.n
     return row, entry, dot[pair] / np.sqrt((q.square[row] * shard.square[entry]).astype(np.float64)), int(n.sum())
 
 
-def counted(shard: Shard, q: Asked, total: bool) -> tuple[np.ndarray, np.ndarray]:
-    """How many of a shard's items are better than each query's target, and (with total) how many later ids equal it."""
-    m, queries = len(shard.ids), len(q.square)
+def counted(shard: Shard, q: Asked, ids: Range | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a shard's items are better than each query's target, and (with ids) how many later ids equal it."""
+    queries = len(q.square)
     row, entry, score, _ = cosines(shard, q, q.sim)
-    after = np.searchsorted(shard.ids, q.target, "right")  # places of larger ids begin here
-    held = np.diff(shard.held)
-    later = lambda r, e: shard.held[e + 1] - np.searchsorted(shard.places, e * m + after[r])
     up = score > q.sim[row]
-    better = _sums(row[up], held[entry[up]], queries)
+    better = _sums(row[up], shard.held[entry[up]], queries)
     tied = np.zeros(queries, np.int64)
-    if total:
+    if ids is not None:
         zero = q.sim == 0
         same = (score == q.sim[row]) | zero[row]
-        count = _sums(row[same], later(row[same], entry[same]), queries)
-        tied = np.where(zero, m - after - count, count)
-    if len(q.mask_id) and m:  # masked items that were counted go
-        at = np.minimum(np.searchsorted(shard.ids, q.mask_id), m - 1)
-        here = (shard.ids[at] == q.mask_id) & (q.mask_id != q.target[q.mask_row])
-        who, item = q.mask_row[here], at[here]
-        own = shard.owner[item]
-        pair = np.minimum(np.searchsorted(row * len(held) + entry, who * len(held) + own), max(0, len(row) - 1))
+        count = _sums(row[same], ids.later(q.target, row[same], entry[same]), queries)
+        tied = np.where(zero, ids.all_later(q.target) - count, count)
+    if len(q.mask_id):  # masked items that were counted go
+        who, own = q.mask_row, q.mask_id >> 1
+        pair = np.minimum(np.searchsorted(row * len(shard.held) + entry, who * len(shard.held) + own), max(0, len(row) - 1))
         found = (row[pair] == who) & (entry[pair] == own) if len(row) else np.zeros(len(who), bool)
         s = np.where(found, score[pair], 0.0) if len(row) else np.zeros(len(who))
         better -= _sums(who, (s > q.sim[who]).astype(np.int64), queries)
-        if total:
-            tied -= _sums(who, ((s == q.sim[who]) & (item >= after[who])).astype(np.int64), queries)
+        if ids is not None:
+            tied -= _sums(who, (s == q.sim[who]) & (q.mask_id & 1 == 1), queries)
     return better, tied
 
 
@@ -200,74 +219,138 @@ def row_cosines(rows: DataFrame, left: str, right: str, name: str) -> DataFrame:
     return asked.mapInArrow(_dots, schema).drop("tokens").withColumnRenamed("sim", name)
 
 
-def _packed(block: int) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # about SHARD entries
-        if held:
-            tokens, ids = (pa.concat_arrays([b.column(c) for b in held]) for c in ("tokens", "ids"))
-            yield pa.RecordBatch.from_arrays([held[0].column("s").slice(0, 1), pa.array([shard_of(tokens, ids, block).packed()], pa.binary())], ["s", "shard"])
-
-    return run
+def _packed(table: pa.Table) -> pa.Table:
+    own = table.combine_chunks().sort_by("e")  # about SHARD entries
+    tokens, n = (pa.concat_arrays(own.column(c).chunks) for c in ("tokens", "n"))
+    return pa.table({"s": own.column("s").slice(0, 1), "shard": pa.array([shard_of(tokens, n).packed()], pa.binary())})
 
 
 class Catalogue(NamedTuple):
-    """The packed shards (s, shard), the number of shards and of items, and the items' texts."""
+    """The packed shards (s, shard), the number of shards and of items, the items' texts, the entries (text, s, e) and the ids aimed at in a range."""
 
     shards: DataFrame
     n: int
     items: int
     texts: DataFrame
+    entries: DataFrame
+    ids: int
+
+    def places(self) -> DataFrame:
+        """item_id, s and e of all items that have a text."""
+        return self.texts.join(self.entries, "text").select(F.col("item_id").cast("long").alias("item_id"), "s", "e")
 
 
 def catalogue(items: DataFrame, *, entries: int = SHARD, ids: int = IDS) -> Catalogue:
     """Items (item_id, text) as packed shards, written once and read by every ranking."""
     texts = items.groupBy("text").agg(F.count("*").alias("n"))
-    sizes = texts.agg(F.sum(F.ceil(F.col("n") / ids)).alias("entries"), F.sum("n").alias("items")).first()
-    n = max(1, -(-(sizes.entries or 0) // entries))
-    # A text with many ids is several entries; which one an id is in follows from its hash.
-    part = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n") / ids))
-    own = items.join(texts, "text").groupBy("text", part.alias("part")).agg(F.collect_list("item_id").alias("ids"))
-    ranged = own.repartitionByRange(n, "text", "part").withColumn("s", F.spark_partition_id()).sortWithinPartitions("text", "part")
-    rows = ranged.select("s", token_hashes(F.col("text")).alias("tokens"), F.transform("ids", lambda x: x.cast("long")).alias("ids")).mapInArrow(_packed(BLOCK), "s int, shard binary")
-    return Catalogue(written(rows, "postings"), n, sizes.items or 0, items)
+    sizes = texts.agg(F.count("*").alias("entries"), F.sum("n").alias("items")).first()
+    n = max(1, -(-sizes.entries // entries))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = texts.filter("text is not null").repartitionByRange(n, "text").sortWithinPartitions("text").select("text", "n", F.spark_partition_id().alias("s"), place.alias("e"))
+    named = written(ranged, "entries")
+    rows = named.select("s", "e", "n", token_hashes(F.col("text")).alias("tokens")).groupBy("s").applyInArrow(_packed, "s int, shard binary")
+    return Catalogue(written(rows, "postings"), n, sizes.items or 0, items, named.select("text", "s", "e"), ids)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Shard, pa.RecordBatch]]:
+def _met(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Shards, each with its columns besides, and the queries that they meet."""
     size = lambda batch: pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy()
-    return shards.met(batches, Shard.unpacked, lambda x: len(x.square), size, TOKENS)
+    return shards.met(batches, lambda data, *besides: (Shard.unpacked(data), *besides), lambda x: len(x[0].square), size, TOKENS, more)
+
+
+_RANGE = ("range_entries", "range_ids", "beyond")
 
 
 def _ranked(total: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, part in _met(batches):
+        last, own = None, None
+        for met, part in _met(batches, _RANGE if total else ()):
+            if total and met is not last:
+                last, own = met, Range.of(*(x.values.to_numpy() for x in met[1:3]), np.frombuffer(met[3].as_py(), np.int64))
             row, token, tf, square = _row_sums(part.column("tokens"))
             hidden = part.column("hidden")
-            mask = np.repeat(np.arange(part.num_rows), pc.list_value_length(hidden).fill_null(0).to_numpy())
-            asked = Asked(row, token, tf, square, part.column("target").to_numpy(), part.column("sim").to_numpy(), mask, hidden.flatten().to_numpy())
-            better, tied = counted(shard, asked, total)
+            mask, code = np.repeat(np.arange(part.num_rows), pc.list_value_length(hidden).fill_null(0).to_numpy()), hidden.flatten().to_numpy()
+            here = code >> (_ENTRY + 1) == part.column("s")[0].as_py()
+            asked = Asked(row, token, tf, square, part.column("target").to_numpy(), part.column("sim").to_numpy(), mask[here], code[here] & ((1 << (_ENTRY + 1)) - 1))
+            better, tied = counted(met[0], asked, own)
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(better), pa.array(tied)], ["key", "better", "tied"])
 
     return run
 
 
+def _edges(rows: DataFrame, column: str, n: int) -> list[int]:
+    """About n - 1 values that cut a column into ranges of equal counts."""
+    return (rows.agg(F.percentile_approx(column, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None) or []
+
+
+def _beyond(ranges: int) -> callable:
+    """The rows of one shard (s, range, e, n): for each range, how many ids of each entry lie in later ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at, e, n, entries = (table.column(c).to_numpy() for c in ("range", "e", "n", "entries"))
+        counts = np.zeros((ranges + 1, int(entries[0])), np.int64)
+        counts[at, e] = n
+        left = counts[::-1].cumsum(axis=0)[::-1][1:]
+        return pa.table({"s": pa.array(np.full(ranges, table.column("s")[0].as_py(), np.int32)), "salt": pa.array(np.arange(ranges, dtype=np.int32)), "beyond": pa.array([x.tobytes() for x in left], pa.binary())})
+
+    return run
+
+
+def _by_range(asked: DataFrame, found: Catalogue) -> tuple[DataFrame, DataFrame]:
+    """Queries with the range of ids (salt) that they go to, and the shards of each range with their ids.
+
+    Ranges are cut by targets and by ids alike, so neither queries nor ids of one range are many. A target
+    that several ranges end at (as many queries have it) is dealt over all of these.
+    """
+    ranges = max(shards.salts(asked, found.n), -(-found.items // (found.ids * found.n)))
+    places = written(found.places(), "places")
+    cuts = np.array(sorted(_edges(asked, "target", -(-ranges // 2)) + _edges(places, "item_id", ranges // 2 + 1)), np.int64)
+    ranges = len(cuts) + 1
+
+    def of_query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            target = batch.column("target").to_numpy()
+            lo, hi = np.searchsorted(cuts, target, "left"), np.searchsorted(cuts, target, "right")
+            yield batch.append_column("salt", pa.array((lo + (batch.column("key").to_numpy().view(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64) % (hi - lo + 1)).astype(np.int32)))
+
+    def of_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("range", pa.array(np.searchsorted(cuts, batch.column("item_id").to_numpy(), "left").astype(np.int32)))
+
+    queries = asked.mapInArrow(of_query, T.StructType([*asked.schema.fields, T.StructField("salt", T.IntegerType())]))
+    ids = places.mapInArrow(of_id, T.StructType([*places.schema.fields, T.StructField("range", T.IntegerType())]))
+    entries = found.entries.groupBy("s").agg(F.count("*").alias("entries"))
+    counts = ids.groupBy("s", "range", "e").agg(F.count("*").alias("n")).join(F.broadcast(entries), "s")
+    beyond = counts.groupBy("s").applyInArrow(_beyond(ranges), "s int, salt int, beyond binary")
+    own = ids.groupBy("s", F.col("range").alias("salt")).agg(F.collect_list(F.struct("e", "item_id")).alias("_own"))
+    rows = beyond.join(own, ["s", "salt"], "left").withColumn("_own", F.coalesce("_own", F.array().cast(own.schema["_own"].dataType)))
+    return queries, found.shards.join(rows, "s").select("s", "salt", "shard", F.col("_own.e").alias(_RANGE[0]), F.col("_own.item_id").alias(_RANGE[1]), "beyond")
+
+
 def ranks(queries: DataFrame, found: Catalogue, key: str, target: str, masked: DataFrame | None = None, *, total: bool = False) -> DataFrame:
     """key, target, sim, known and rank_strict (1 and the number of better scores) of each query's target.
 
     queries: key (unique, a whole number), text, target. A target that the catalogue lacks has similarity
-    0 and the rank after all items. masked: key, item_id of items left out for a query (never its target,
-    each pair once); a query's masks are one list, so keep them as short as a history. With total,
+    0 and the rank after all items. masked: key, item_id of items left out for a query (never its target);
+    a query's masks are one list, so keep them as short as a history. With total,
     rank_total as well: equal scores of larger ids also come before the target.
     """
     own = found.texts.select(F.col("item_id").alias("target"), F.col("text").alias("_text"))
     rows = queries.select(F.col(key).cast("long").alias("key"), F.col(target).cast("long").alias("target"), F.col("text").alias("_query")).join(own, "target", "left")
     rows = rows.select("key", "target", F.col("_text").isNotNull().alias("known"), token_hashes(F.coalesce("_query", F.lit(""))).alias("tokens"), token_hashes(F.coalesce("_text", F.lit(""))).alias("own"))
     if masked is not None:
-        rows = rows.join(masked.groupBy(F.col(key).cast("long").alias("key")).agg(F.collect_set(F.col("item_id").cast("long")).alias("hidden")), "key", "left")
+        code = F.shiftleft((F.shiftleft(F.col("s").cast("long"), _ENTRY) + F.col("e")), 1)
+        pairs = masked.select(F.col(key).cast("long").alias("key"), F.col("item_id").cast("long").alias("item_id")).join(found.places(), "item_id")
+        lists = pairs.groupBy("key").agg(F.collect_set(F.struct("item_id", code.alias("code"))).alias("_masked"))
+        other = F.filter("_masked", lambda m: m["item_id"] != F.col("target"))
+        rows = rows.join(lists, "key", "left").withColumn("hidden", F.transform(other, lambda m: m["code"] + (m["item_id"] > F.col("target")).cast("long"))).drop("_masked")
     else:
         rows = rows.withColumn("hidden", F.lit(None).cast("array<long>"))
     prepared = rows.mapInArrow(_dots, "key long, target long, known boolean, tokens array<long>, hidden array<long>, sim double")
     prepared = written(prepared, "asked")
-    counts = shards.dealt(prepared.filter("known"), found.shards, found.n, ["key", "target", "tokens", "hidden", "sim"]).mapInArrow(_ranked(total), "key long, better long, tied long")
+    asked, columns = prepared.filter("known"), ["key", "target", "tokens", "hidden", "sim"]
+    dealt = shards.dealt(*_by_range(asked, found), found.n, columns, more=_RANGE) if total else shards.dealt(asked, found.shards, found.n, columns)
+    counts = dealt.mapInArrow(_ranked(total), "key long, better long, tied long")
     sums = counts.groupBy("key").agg(F.sum("better").alias("better"), F.sum("tied").alias("tied"))
     place = lambda c: F.when(F.col("known"), 1 + c).otherwise(found.items + 1)
     better, tied = F.coalesce("better", F.lit(0)), F.coalesce("tied", F.lit(0))
@@ -277,13 +360,13 @@ def ranks(queries: DataFrame, found: Catalogue, key: str, target: str, masked: D
 
 
 def _bests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, part in _met(batches):
+    for (shard,), part in _met(batches):
         row, token, tf, square = _row_sums(part.column("tokens"))
         none = np.zeros(0, np.int64)
         who, entry, score, _ = cosines(shard, Asked(row, token, tf, square, none, none, none, none), np.zeros(part.num_rows))
         best = np.zeros(part.num_rows)
         np.maximum.at(best, who, score)
-        n = _sums(who, np.diff(shard.held)[entry], part.num_rows)
+        n = _sums(who, shard.held[entry], part.num_rows)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(some)), pa.array(best[some]), pa.array(n[some])], ["key", "best", "n"])
 

@@ -30,24 +30,31 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def dealt(rows: DataFrame, shards: DataFrame, n: int, columns: list[str], to: str | None = None) -> DataFrame:
+def salts(rows: DataFrame, n: int) -> int:
+    """How many salts n shards are repeated for."""
+    return max(1, -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n))
+
+
+def dealt(rows: DataFrame, shards: DataFrame, n: int, columns: list[str], to: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Query rows (key and other columns) and the n shards (s, shard) side by side, by shard and salt.
 
-    to: an array column of the shards that a row meets; all without.
+    to: an array column of the shards that a row meets; all without. With more (other columns of the
+    shards), both sides have their salts in a column, and shards a row for each of them.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-2 * tasks // n))
-    salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt")
-    asked = rows.select(F.explode(to or F.sequence(F.lit(0), F.lit(n - 1))).alias("s"), salt, F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("shard"), *columns)
-    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns]
-    repeated = shards.select("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "shard", *none)
-    return repeated.unionByName(asked).repartition(max(tasks, min(salts * n, 1 << 16)), "s", "salt").sortWithinPartitions("s", "salt", "kind")
+    own = salts(rows, n)
+    salt = F.col("salt") if more else F.pmod(F.xxhash64("key"), F.lit(own)).cast("int").alias("salt")
+    blank = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    asked = rows.select(F.explode(to or F.sequence(F.lit(0), F.lit(n - 1))).alias("s"), salt, F.lit(1).alias("kind"), *blank(shards, ["shard", *more]), *columns)
+    every = salt if more else F.explode(F.sequence(F.lit(0), F.lit(own - 1))).alias("salt")
+    repeated = shards.select("s", every, F.lit(0).alias("kind"), "shard", *more, *blank(rows, columns))
+    return repeated.unionByName(asked).repartition(max(tasks, min(own * n, 1 << 16)), "s", "salt").sortWithinPartitions("s", "salt", "kind")
 
 
-def met(batches: Iterator[pa.RecordBatch], load: Callable, entries: Callable, size: Callable | None = None, most: int = 0) -> Iterator[tuple[object, pa.RecordBatch]]:
+def met(batches: Iterator[pa.RecordBatch], load: Callable, entries: Callable, size: Callable | None = None, most: int = 0, more: tuple[str, ...] = ()) -> Iterator[tuple[object, pa.RecordBatch]]:
     """Each shard with the query rows that follow it, in parts of at most CELLS scores.
 
-    load unpacks a shard, entries counts its items. With size (the sizes of a batch's rows), a part's
+    load unpacks a shard (and takes its values of the columns `more`), entries counts its items. With size (the sizes of a batch's rows), a part's
     sizes also sum to `most` at most (one row at least).
     """
     shard, at = None, None
@@ -57,7 +64,7 @@ def met(batches: Iterator[pa.RecordBatch], load: Callable, entries: Callable, si
         cut = np.flatnonzero(np.append(True, (kind[1:] == 0) | (kind[:-1] == 0) | (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])))
         for lo, hi in zip(cut.tolist(), np.append(cut[1:], batch.num_rows).tolist(), strict=True):
             if kind[lo] == 0:
-                shard, at = load(batch.column("shard")[lo].as_py()), (s[lo], salt[lo])
+                shard, at = load(batch.column("shard")[lo].as_py(), *(batch.column(c)[lo] for c in more)), (s[lo], salt[lo])
             elif at == (s[lo], salt[lo]):
                 step = max(1, CELLS // max(1, entries(shard)))
                 while lo < hi:

@@ -51,6 +51,12 @@ def test_numbers_have_six_digits(spark, x, want):
     assert want == f"{x:g}" and one(spark, T.number(F.col("a")), "a double", a=x) == want
 
 
+def test_numbers_round_halves_by_their_exact_value(spark):
+    some = [1016385.0, 1016375.0, -1016385.0, 100000.5, 100001.5, 1.000005, 1.000015, 0.0001234565, 999999.5, 3.0000005e-4, 1234565e9, 4.5, 1234565e-18]
+    rows = spark.createDataFrame([(x,) for x in [*some, None]], "x double").select("x", T.number(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in rows] == [(x, f"{x:g}") for x in some] + [(None, None)]
+
+
 def test_ratings_that_do_not_fit_raise(spark):
     df = spark.createDataFrame([("x (4 stars) y (2.5 Star)",)], "a string")
     assert df.select(items.ratings_in(F.col("a"))).first()[0] == [4.0, 2.5]

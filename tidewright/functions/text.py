@@ -137,12 +137,38 @@ def tagged_assistant(x: Column, fallback: str | Column = "") -> Column:
     return F.when(good, form(clean(b["think"]), clean(b["answer"]))).otherwise(form(clean(strip(x)), default))
 
 
+def _tie(x: Column, seven: Column) -> Column:
+    """Where a number lies (below 0, 0, above 0) against its seven digits, exactly: the rest of a product of two doubles counts."""
+    digits, k = F.replace(F.split_part(seven, F.lit("e"), F.lit(1)), F.lit("."), F.lit("")).cast("double"), F.split_part(seven, F.lit("e"), F.lit(2)).cast("int") - 6
+    a, w = F.when(k < 0, x).otherwise(digits), F.pow(F.lit(10.0), F.abs(k))
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    p, ah, wh = a * w, high(a), high(w)
+    rest = ((ah * wh - p) + ah * (w - wh) + (a - ah) * wh) + (a - ah) * (w - wh)
+    return F.when(F.abs(k) > 22, 1).when(k < 0, F.signum((p - digits) + rest)).otherwise(F.signum((x - p) - rest))
+
+
 def number(x: Column) -> Column:
-    """A number with six digits in its shortest form: 5, 4.5, 0.333333, 1e+06."""
-    science = F.format_string("%.5e", x.cast("double"))
+    """A number with six digits in its shortest form: 5, 4.5, 0.333333, 1e+06.
+
+    Rounded as C does, by the exact value and half to even; only seven digits that end in 5 can be a tie.
+    (Below 1e-16 and from 1e29 on, where powers of ten aren't exact doubles, such a tie is rounded up.)
+    """
+    x = x.cast("double")
+    named = F.array(F.struct(x.alias("x"), F.abs(x).alias("size"), F.format_string("%.6e", F.abs(x)).alias("seven")))
+    return F.transform(F.transform(named, lambda r: _six_digits(r["x"], r["size"], r["seven"])), _shortest)[0]
+
+
+def _six_digits(x: Column, size: Column, seven: Column) -> Column:
+    even = F.substring(F.regexp_extract(seven, r"(\d)5e", 1), 1, 1).isin("0", "2", "4", "6", "8")
+    side = _tie(size, seven)
+    down = seven.contains("5e") & (seven.try_cast("double") == size) & ((side < 0) | ((side == 0) & even))
+    return F.when(down, F.concat(F.when(x < 0, "-").otherwise(""), F.replace(seven, F.lit("5e"), F.lit("e")))).when(x.isNotNull(), F.format_string("%.5e", x))
+
+
+def _shortest(science: Column) -> Column:
     v = science.cast("double")
     plain = F.regexp_replace(v.cast("decimal(20,10)").cast("string"), r"0+$", "")
-    return F.when(x.isNull(), None).when(v == 0, "0").when((F.abs(v) >= 1e6) | (F.abs(v) < 1e-4), F.regexp_replace(science, r"\.?0+e", "e")).when(v == F.floor(v), v.cast("long").cast("string")).otherwise(plain)
+    return F.when(science.isNull(), None).when(v == 0, "0").when((F.abs(v) >= 1e6) | (F.abs(v) < 1e-4), F.regexp_replace(science, r"\.?0+e", "e")).when(v == F.floor(v), v.cast("long").cast("string")).otherwise(plain)
 
 
 def block_cut(x: Column, limit: int) -> Column:

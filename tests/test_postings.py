@@ -117,3 +117,15 @@ def test_ids_are_in_no_shard_and_a_popular_target_is_many_ranges(spark):
     got = {r.user: (r.rank_strict, r.rank_total) for r in postings.ranks(q, found, "user", "target", spark.createDataFrame(masked, "user long, item_id long"), total=True).collect()}
     some = [r for r in ask if r[0] % 30 < 2]
     assert {k: got[k] for k, *_ in some} == {r[0]: r[4:] for r in _plain(items, some, masked)}
+
+
+def test_long_batches_of_two_texts_are_worked_on_in_parts(monkeypatch):
+    rng = random.Random(2)
+    lists = [[[rng.randrange(9) for _ in range(rng.randrange(30))] for _ in range(200)] for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["key", "tokens", "own"])
+    whole = pa.Table.from_batches(list(postings._dots(iter([batch, batch]))))
+    monkeypatch.setattr(postings, "PART", 100)
+    parts = list(postings._dots(iter([batch, batch])))
+    assert len(parts) > 40 and pa.Table.from_batches(parts).equals(whole)
+    for k in range(200):
+        assert math.isclose(whole.column("sim")[k].as_py(), _cosine(Counter(lists[0][k]), Counter(lists[1][k])), abs_tol=1e-12)

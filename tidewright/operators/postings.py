@@ -37,8 +37,8 @@ from tidewright.sources.tables import written
 
 #: Entries of a shard and of a block of postings, and ids of a range, about.
 SHARD, BLOCK, IDS = 1 << 14, 64, 1 << 16
-#: Tokens of queries that are worked on at once (one query at least).
-TOKENS = 1 << 16
+#: Tokens of queries that are worked on at once (one query at least), and those of rows of two texts.
+TOKENS, PART = 1 << 16, 1 << 18
 #: Bits of an entry's number within its shard, where both are one number.
 _ENTRY = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -192,6 +192,15 @@ def counted(shard: Shard, q: Asked, ids: Range | None = None) -> tuple[np.ndarra
     return better, tied
 
 
+def _runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum to `most` at most (one row at least)."""
+    upto, lo = np.append(0, np.cumsum(size)), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _row_sums(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     row, token, tf = _counted(lists)
     return row, token, tf, _sums(row, tf * tf, len(lists))
@@ -199,7 +208,8 @@ def _row_sums(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the column `own` (the target's tokens) by sim."""
-    for batch in batches:
+    tokens_of = lambda batch: sum(pc.list_value_length(batch.column(c)).fill_null(0).to_numpy() for c in ("tokens", "own"))
+    for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in _runs(tokens_of(whole), PART)):
         (ra, ta, na, sa), (rb, tb, nb, sb) = (_row_sums(batch.column(c)) for c in ("tokens", "own"))
         token = np.unique(np.concatenate([ta, tb]))
         key = lambda r, t: r * max(1, len(token)) + np.searchsorted(token, t)

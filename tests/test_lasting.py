@@ -166,3 +166,20 @@ def test_rewards_by_name(spark):
     c = F.col
     made = providers.REWARDS["gated_ndcg"](c("q"), c("b"), c("n"), F.lit(1), F.lit("t")), providers.REWARDS["gated_lexical"](c("q"), F.lit(None).cast("double"), c("b"), c("n"), F.lit(""))
     assert [round(x, 6) for x in row.select(*made).first()] == [0.27, -0.05]
+
+
+def test_files_of_a_stage_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from tidewright.plans import training
+
+    spark.createDataFrame([(k, f"text {k}") for k in range(400)], "doc_id long, text string").repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(training, "scratch", lambda _, name: f"{tmp_path}/{name}")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        rows = training.resumed_stage(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len({r.doc_id for r in rows}) == 400
+    assert len(list((tmp_path / "tasks").glob("*.json"))) > 4

@@ -155,7 +155,7 @@ def lasting_memo(spark, d):
 def resumed_stage(spark, d):
     """A stage over files that fails after the first ones and is run again: every row comes once."""
     source, out, docs = scratch(spark, "tasks"), scratch(spark, "done"), table(spark, d, "documents").select("doc_id", "text")
-    docs.repartition(4, "doc_id").write.json(source)
+    docs.repartition(max(4, docs.rdd.getNumPartitions()), "doc_id").write.json(source)  # files in proportion to the input
     runs = []
 
     def made(batch):

@@ -227,3 +227,11 @@ def test_lists_that_do_not_fit_raise_whatever_is_read(spark):
     for read in (lambda df: df.select("k").collect(), lambda df: df.count()):
         with pytest.raises(Exception, match="ratings don't fit titles"):
             read(kept(rows))
+
+
+def test_texts_beside_rows_are_never_broadcast(spark):
+    rows = spark.createDataFrame([(1, [3, 2, 9]), (2, [])], "k long, ids array<long>")
+    made = spark.range(5).select(F.col("id").alias("item_id"), F.repeat(F.col("id").cast("string"), 3).alias("text"))
+    found = datasets.beside(rows, "k", "ids", made, ["text"])
+    assert [(r.k, r.text) for r in found.collect()] == [(1, ["333", "222", None])]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -20,9 +20,10 @@ def beside(rows: DataFrame, key: str, ids: str, items: DataFrame, columns: list[
     """key and, for each of the items' columns, an array of its values in the order of the ids (null for unknown items).
 
     Items are joined once for each id of a row; what is made of an item (a text) is best made in `items` before.
+    They are never broadcast: Spark guesses the size of made texts from the columns that they are made of.
     Rows have unique keys; cut their ids before to what is needed.
     """
-    each = rows.select(key, F.posexplode(ids).alias("_pos", item_key)).join(items.select(item_key, *columns), item_key, "left")
+    each = rows.select(key, F.posexplode(ids).alias("_pos", item_key)).join(items.select(item_key, *columns).hint("merge"), item_key, "left")
     listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", *columns))).alias("_rows"))
 
     def field(name: str):

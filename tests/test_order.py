@@ -80,3 +80,22 @@ def test_places_within_groups(spark):
             want[r[2]] = place
     assert got == want
     assert order.places_within(table.limit(0), "g", [F.col("k")], "place").count() == 0
+
+
+def test_places_within_groups_deal_rows_once(spark):
+    """Groups go on over Arrow batches; only the carried counts are shuffled after the ranges are written."""
+    table = spark.createDataFrame([(None if i % 3 == 0 else i % 2, (i * 37) % 101, i) for i in range(101)], "g int, k int, own int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = order.places_within(table, "g", [F.col("k")], "place")
+        got = {r.own: r.place for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g in (None, 0, 1):
+        own = sorted((i for i in range(101) if (None if i % 3 == 0 else i % 2) == g), key=lambda i: (i * 37) % 101)
+        want |= {i: place for place, i in enumerate(own, 1)}
+    assert got == want and found.columns == ["g", "k", "own", "place"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_part" not in plan
+    assert order.places_within(table, "g", [F.col("k")], "place", drop=["k"]).columns == ["g", "own", "place"]

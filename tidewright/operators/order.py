@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidewright.sources.tables import written
 
@@ -33,19 +36,40 @@ def running(rows: DataFrame, by: list[Column], weight: Column | None = None) ->
     return out.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_by", "_w", "_part", "_inside", "_earlier")
 
 
-def places_within(rows: DataFrame, group: str, by: list[Column], name: str) -> DataFrame:
+def _inside(group: str) -> callable:
+    """Adds _part, the task, and _inside, the place (from 1) of each row among those of its group that the task has; rows come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(group))
+            size = np.diff(np.append(0, runs.run_ends.to_numpy()))
+            before = np.zeros(len(size), np.int64)
+            before[0] = seen if [runs.values[0].as_py()] == last else 0
+            last, seen = [runs.values[-1].as_py()], int(before[-1] + size[-1])
+            place = np.arange(batch.num_rows) - np.repeat(np.append(0, np.cumsum(size)[:-1]) - before, size) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(place, pa.int64())], [*batch.schema.names, "_part", "_inside"])
+
+    return run
+
+
+def places_within(rows: DataFrame, group: str, by: list[Column], name: str, drop: list[str] | None = None) -> DataFrame:
     """Adds name: the place (from 1) of each row among those of its group (null is one) in the order of `by`, which should tell a group's rows apart.
 
-    A large group lies in many ranges. Only the first group of a range can have begun before it, so at
-    most one row for each range is carried over and broadcast.
+    Rows are dealt once, by ranges, and counted in their range's order as they are written. A large group
+    lies in many ranges. Only the first group of a range can have begun before it, so at most one row for
+    each range is carried over and broadcast. drop: columns that only the order needs.
     """
-    ranged = written(rows.withColumn("_by", F.struct(F.col(group).alias("g"), *[c.alias(f"k{i}") for i, c in enumerate(by)])).repartitionByRange("_by").withColumn("_part", F.spark_partition_id()), "ranges")
+    dealt = rows.withColumn("_by", F.struct(F.col(group).alias("g"), *[c.alias(f"k{i}") for i, c in enumerate(by)])).drop(*(drop or []))
+    ordered = dealt.repartitionByRange("_by").sortWithinPartitions("_by").drop("_by")
+    ranged = written(ordered.mapInArrow(_inside(group), StructType([*ordered.schema.fields, StructField("_part", IntegerType()), StructField("_inside", LongType())])), "ranges")
     counts = ranged.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at")) - F.col("_n")
     carried = counts.withColumn("_earlier", earlier).filter("_earlier > 0").drop("_n")
-    inside = ranged.withColumn("_inside", F.row_number().over(Window.partitionBy("_part", group).orderBy("_by")))
-    out = inside.join(F.broadcast(carried), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")), "left")
-    return out.withColumn(name, F.coalesce("_earlier", F.lit(0).cast("long")) + F.col("_inside")).drop("_by", "_part", "_group", "_at", "_earlier", "_inside")
+    out = ranged.join(F.broadcast(carried), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")), "left")
+    return out.withColumn(name, F.coalesce("_earlier", F.lit(0).cast("long")) + F.col("_inside")).drop("_part", "_group", "_at", "_earlier", "_inside")
 
 
 def average_ranks(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:

@@ -56,7 +56,7 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     """user_id, item_id, rating and pos, the place in the user's log; a long log is numbered by many tasks."""
-    own = places_within(log(spark, d), "user_id", [F.col(c) for c in ORDER], "pos")
+    own = places_within(log(spark, d), "user_id", [F.col(c) for c in ORDER], "pos", drop=ORDER)
     return own.select("user_id", "item_id", "rating", F.col("pos").cast("int").alias("pos"))
 
 

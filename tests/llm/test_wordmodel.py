@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +80,35 @@ def test_padding():
     assert (h[[0, 1, 5, 6]] == wordmodel.EDGE).all() and (h[[4, 8]] == wordmodel.END).all() and h[2] == h[7] != h[3]
     assert [len(wordmodel.grams(h, row, 3, k)[0]) for k in (1, 2, 3)] == [7, 7, 5]
     assert np.array_equal(wordmodel.grams(h, row, 3, 1)[0], [1, 2, 3, 4, 6, 7, 8])
+
+
+def test_parts_of_the_shards_give_what_one_pass_gives(spark):
+    """Each pass sends the places of its shards only; equal rows, rows without an id and texts without words stay rows."""
+    texts = [*_texts(60), "", "-- !!", None, "never seen words", "one", "one"]
+    rows = spark.createDataFrame([*((i, t, "xx") for i, t in enumerate(texts)), (None, "one", None), (3, texts[3], "xx"), (3, texts[3], "xx")], "doc_id long, text string, lang string").repartition(3)
+    model = wordmodel.fit(rows.filter("doc_id < 40"), text_bytes=3 * wordmodel.PASS)
+    one, three = (sorted(wordmodel.score(rows, model, parts=k).collect(), key=repr) for k in (1, 3))
+    assert len(one) == len(three) == len(texts) + 3
+    for a, b in zip(one, three, strict=True):
+        assert a[:3] == b[:3] and (a[3] == b[3] or math.isclose(a[3], b[3], rel_tol=1e-6))
+
+
+def test_packed_triples():
+    h, row, _ = wordmodel.padded(pa.array(["a b a b a b", None, "b a", "a b a b"]), 3)
+    at = wordmodel.places(row, 3, 3)
+    places = wordmodel.Triples.unpacked(wordmodel._triples(h, at, row[at]).packed())
+    got = sorted(zip(*(places.words[x].tolist() for x in places[1:4]), places.more.tolist(), strict=True))
+    assert got == sorted(zip(h[at - 1].tolist(), h[at - 2].tolist(), h[at].tolist(), row[at].tolist(), strict=True))
+    parts = [t for _, t in wordmodel._by_shard(wordmodel._triples(h, at), 6)]
+    whole = wordmodel.merged([*parts, *parts])
+    counts = Counter(zip(h[at - 1].tolist(), h[at - 2].tolist(), h[at].tolist(), strict=True))
+    assert {k: 2 * n for k, n in counts.items()} == dict(zip(zip(*(whole.words[x].tolist() for x in whole[1:4]), strict=True), whole.more.tolist(), strict=True))
+    big = np.array([0, 1 << 63, 255], np.uint64)
+    assert [x.tolist() for x in wordmodel.unpacked(wordmodel.packed(big, big[:0], big[2:]))] == [big.tolist(), [], [255]]
+
+
+def test_the_model_on_disk_is_smaller_than_keys_and_values(spark):
+    """A row for each n-gram took eight bytes of key and eight of value, which nothing makes smaller."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = wordmodel.fit(docs)
+    assert sum(Path(f.removeprefix("file://")).stat().st_size for df in (model.triples, model.singles) for f in df.inputFiles()) < 10 * model.size

@@ -1,7 +1,7 @@
 """Quality classifier: interpolated modified Kneser-Ney model on trusted text, and perplexity limits.
 
-The model is of words (see `wordmodel`): its counts grow with the trusted text, are sharded by n-gram,
-and every document's n-grams are joined with them; n_symbols is the number of words.
+The model is of words (see `wordmodel`): its counts grow with the trusted text, are sharded by middle word,
+and every document's n-grams meet them there; n_symbols is the number of words.
 
 One trusted document in `held_out` (by a hash of its id) is kept out of the counts. Limits are
 quantiles of the perplexity of those by language, so they are not of text that the model has seen; a
@@ -37,7 +37,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id",
     marks = kept(trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("held", held), "marks")
     learnt, limiting = marks.filter("not held").select("doc_id"), marks.filter("held").select("doc_id", F.lit(True).alias("limiting"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    model = wordmodel.fit(possible(source.select("doc_id", "text"), "doc_id", learnt, learnt.count()).join(learnt.hint("merge"), "doc_id", "left_semi"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = wordmodel.fit(possible(source.select("doc_id", "text"), "doc_id", learnt, learnt.count()).join(learnt.hint("merge"), "doc_id", "left_semi"), text_bytes=size)
     scored = kept(wordmodel.score(source, model).join(limiting, "doc_id", "left"), "scored")
     own = scored.filter("limiting and perplexity is not null")
     at = lambda: F.percentile_approx("perplexity", quantile, 10_000)

@@ -21,7 +21,6 @@ encoded; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -468,22 +467,30 @@ class Merges(Vocabulary):
         return ptr[np.append(0, np.cumsum(count))], ids
 
 
-_loaded: dict[tuple, Vocabulary] = {}
+class Tokenizer:
+    """A tokenizer file, with its tables once a task has asked for them.
 
+    As the value of a broadcast it goes, tables and all, when the worker takes a task of a query
+    that doesn't use it: what a worker keeps for later tasks holds no tables of steps before.
+    """
+
+    def __init__(self, file_text: str):
+        self.file_text, self._made = file_text, {}
 
-def _once(kind: type, file_text: str) -> Vocabulary:
-    """The tables of one file, made once in a worker; those for encoding serve for decoding too."""
-    name = hashlib.sha256(file_text.encode()).hexdigest()
-    found = _loaded.get((Merges, name)) or _loaded.get((kind, name))
-    if found is None:
-        _loaded.clear()
-        found = _loaded[kind, name] = kind(file_text)
-    return found
+    def __reduce__(self):
+        return Tokenizer, (self.file_text,)
+
+    def tables(self, kind: type) -> Vocabulary:
+        """The tables, made once; those for encoding serve for decoding too."""
+        found = self._made.get(Merges) or self._made.get(kind)
+        if found is None:
+            found = self._made[kind] = kind(self.file_text)
+        return found
 
 
 def _encode(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _once(Merges, shared.value)
+        m = shared.value.tables(Merges)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = part.column("text").fill_null("")
@@ -496,7 +503,7 @@ def _encode(shared) -> callable:
 
 def _decode(shared) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _once(Vocabulary, shared.value)
+        m = shared.value.tables(Vocabulary)
         for batch in batches:
             for part in slices(batch, "ids", 1 << 20):
                 data, off = raw(part.column("ids"))
@@ -524,7 +531,7 @@ def tokenizer_text(path: str | os.PathLike) -> str:
 
 def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit). tokenizer: text of the tokenizer file."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer))
     return id_and_text(docs, id_col, text_col).mapInArrow(_encode(shared), "doc_id long, ids binary")
 
 
@@ -533,12 +540,12 @@ def counter(spark: SparkSession, tokenizer: str) -> Callable[[pa.Array], np.ndar
 
     A single text goes the way of rows with special tokens: for a short one numpy's passes cost more.
     """
-    shared = spark.sparkContext.broadcast(tokenizer)
+    shared = spark.sparkContext.broadcast(Tokenizer(tokenizer))
     held: list[Merges] = []  # of the task
 
     def count(texts: pa.Array) -> np.ndarray:
         if not held:
-            held.append(_once(Merges, shared.value))
+            held.append(shared.value.tables(Merges))
         if len(texts) == 1:
             return np.array([len(held[0].encode_text(texts[0].as_py() or "")) // 4])
         return np.diff(held[0].encode(texts)[1])
@@ -548,11 +555,11 @@ def counter(spark: SparkSession, tokenizer: str) -> Callable[[pa.Array], np.ndar
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids and the decoded text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = encoded.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer))
     return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), "doc_id long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids and the text decoded from them: `decode` of `encode`, with one worker for both."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer))
     return id_and_text(docs, id_col, text_col).mapInArrow(_round_trip(shared), "doc_id long, ids binary, decoded string")

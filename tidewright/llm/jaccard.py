@@ -51,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.bitmap import among, bitmap
@@ -97,7 +97,7 @@ def _measure(shingle: int) -> callable:
             for part in slices(batch, "text"):
                 sets = shingle_sets(words(part.column("text"), SPACED), shingle)
                 every = np.concatenate(sets)
-                table += np.bincount((every >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                np.add.at(table, (every >> np.uint64(42)).astype(np.int64), np.uint32(1))  # bincount would make two more tables
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, -1, np.int32)), part.column("doc_id"), part.column("key"), pa.array(np.array(list(map(len, sets)), np.int64)), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.binary())], names
@@ -346,6 +346,11 @@ def _distances(percent: int) -> callable:
     return run
 
 
+def _none(spark: SparkSession, *columns: str) -> DataFrame:
+    """No rows of whole numbers; rows made on the driver would start a second set of Python workers on each executor."""
+    return spark.range(0).select(*[F.col("id").alias(c) for c in columns])
+
+
 def divided(members: DataFrame, sets_of, region: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, regions, stubborn): what large regions come to when they are divided around pivots.
 
@@ -354,7 +359,7 @@ def divided(members: DataFrame, sets_of, region: int, percent: int) -> tuple[Dat
     regions of at most `region` members, and larger ones that pivots don't divide.
     """
     reach, spark = 1 - percent / 100, members.sparkSession
-    links, small, stubborn = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "lead long, node long"), spark.createDataFrame([], "lead long, node long")
+    links, small, stubborn = _none(spark, "a", "b"), _none(spark, "lead", "node"), _none(spark, "lead", "node")
     now, sets = members, kept(sets_of(members.select("node").distinct()).select("node", "members"), "sets")
     while True:
         salted = now.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)))
@@ -542,7 +547,7 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, reg
     keyed = nodes.select("node", "key", "n_shingles")
     large = members.groupBy("lead").agg(F.count("*").alias("n")).filter(F.col("n") > region).select("lead")
     sketches = _wanted(source, kept(members.select("node").distinct().join(keyed, "node"), "wanted"), shingle, False)
-    links = spark.createDataFrame([], "a long, b long")
+    links = _none(spark, "a", "b")
     if not large.isEmpty():
         sets_of = lambda some: _wanted(source, kept(some.join(keyed, "node"), "wanted"), shingle, True)
         links, divided_up, stubborn = divided(members.join(large, "lead", "left_semi"), sets_of, region, percent)
